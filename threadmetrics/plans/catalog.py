@@ -70,3 +70,68 @@ def p3_tlc_key(spark, sf_dir):
 @query("p2_basic_features")
 def p2_basic_features(spark, sf_dir):
     return feat.basic_features(_t(spark, sf_dir, "conv_comments"), _t(spark, sf_dir, "conv_posts"))
+
+
+# --------------------------------------------------------------- halves and sampling
+from ..operators import halves as hv  # noqa: E402
+
+
+def _even(spark, sf_dir, name="order_comments"):
+    return hv.even_tlcs(hv.reply_counts_by_key(_t(spark, sf_dir, name)))
+
+
+@query("a3_sum_by_key")
+def a3_sum_by_key(spark, sf_dir):
+    return hv.reply_counts_by_key(_t(spark, sf_dir, "order_comments"))
+
+
+@query("f6_even")
+def f6_even(spark, sf_dir):
+    return _even(spark, sf_dir)
+
+
+@query("f7_strata")
+def f7_strata(spark, sf_dir):
+    return hv.strata_sizes(_even(spark, sf_dir))
+
+
+@query("w3_stratified_sample")
+def w3_stratified_sample(spark, sf_dir):
+    return hv.stratified_sample(_even(spark, sf_dir))
+
+
+@query("j1_sample_join")
+def j1_sample_join(spark, sf_dir):
+    sample = hv.stratified_sample(_even(spark, sf_dir))
+    full = feat.basic_features(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_posts"))
+    return hv.sample_join(sample, full)
+
+
+@query("w1_order")
+def w1_order(spark, sf_dir):
+    from ..operators.grouprank import group_rank
+    r = hv.replies_with_heights(_t(spark, sf_dir, "conv_comments"))
+    out = group_rank(r, ["post_id", "tlc_id"], ["created_utc", "comment_id"],
+                     rank_col="time_rank", size_col="n_replies")
+    return out.select(F.col("tlc_id").alias("Top_comment_id"), "comment_id", "time_rank", "n_replies")
+
+
+@query("w2_split")
+def w2_split(spark, sf_dir):
+    h = hv.time_halves(hv.replies_with_heights(_t(spark, sf_dir, "conv_comments")))
+    return h.select(F.col("tlc_id").alias("Top_comment_id"), "comment_id", "half")
+
+
+@query("a6_half_features")
+def a6_half_features(spark, sf_dir):
+    return hv.half_features(hv.time_halves(hv.replies_with_heights(_t(spark, sf_dir, "chain_comments"))))
+
+
+@query("a7_direct_total")
+def a7_direct_total(spark, sf_dir):
+    return hv.direct_total(hv.time_halves(hv.replies_with_heights(_t(spark, sf_dir, "conv_comments"))))
+
+
+@query("j2_fix_direct")
+def j2_fix_direct(spark, sf_dir):
+    return hv.fixed_half_features(hv.time_halves(hv.replies_with_heights(_t(spark, sf_dir, "conv_comments"))))

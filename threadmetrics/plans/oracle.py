@@ -113,20 +113,20 @@ select subreddit Top_comment_subreddit, subreddit_id Top_comment_subreddit_id, c
 from conv_comments where parent_id is null"""
 
 
-@register("p2_basic_features")
-def _p2():
+def features_cte(src: str, posts: str) -> str:
+    """Basic TLC features (P2) of ``src`` as CTEs ``roll``, ``base``, ``features``
+    (needs the ``tree`` CTE of ``src``)."""
     tc, pc = "t.created_utc", "p.created_utc"
-    return ctes("conv_comments", "conv_posts", extra=tree_cte("conv_comments"), recursive=True) + f""",
-roll as (
+    return f"""roll as (
   select tl.comment_id Top_comment_id,
     cast(count(r.comment_id) as bigint) Replies_total_number,
     cast(coalesce(max(r.level), 0) as bigint) Replies_max_depth,
     cast(coalesce(sum(r.links), 0) as bigint) Replies_links_count,
     cast(coalesce(sum(coalesce(r.score, 0)), 0) as bigint) Replies_sum_score,
     cast(count(case when r.level = 1 then 1 end) as bigint) Top_comment_direct_children
-  from conv_comments tl left join (
+  from {src} tl left join (
     select t.tlc_id, t.level, c.comment_id, c.score, {tx.sql_link_count('c.body')} links
-    from tree t join conv_comments c using (post_id, comment_id) where t.level > 0) r
+    from tree t join {src} c using (post_id, comment_id) where t.level > 0) r
     on r.tlc_id = tl.comment_id
   where tl.parent_id is null group by tl.comment_id),
 base as (
@@ -140,11 +140,120 @@ base as (
     {cal.sql_hours_post_to_tlc(tc, pc)} Top_comment_and_Post_time_difference,
     {tx.sql_clean_text('t.body')} Top_comment_text,
     {tx.sql_clean_text(tx.sql_post_text('p.title', 'p.selftext'))} Post_text
-  from conv_comments t join conv_posts p using (post_id) where t.parent_id is null)
+  from {src} t join {posts} p using (post_id) where t.parent_id is null),
+features as (
 select b.Top_comment_id, Top_comment_order, Post_created_utc, Post_score, Top_comment_created_utc,
   Top_comment_subreddit, Top_comment_link_count, Top_comment_score, Top_comment_author, Post_author,
   r.Top_comment_direct_children, Top_comment_hour, Top_comment_day, Top_comment_day_of_week, Post_hour, Post_day,
   Post_day_of_week, Top_comment_and_Post_time_difference, Replies_total_number, Replies_max_depth,
   Replies_links_count, Replies_sum_score, Top_comment_text,
   cast({tx.sql_token_count('b.Top_comment_text')} as bigint) Top_comment_word_count, Post_text
-from base b join roll r using (Top_comment_id)"""
+from base b join roll r using (Top_comment_id))"""
+
+
+@register("p2_basic_features")
+def _p2():
+    return (ctes("conv_comments", "conv_posts", extra=tree_cte("conv_comments") + ",\n"
+                 + features_cte("conv_comments", "conv_posts"), recursive=True)
+            + " select * from features")
+
+
+# --------------------------------------------------------------- halves and sampling
+def _counts(src: str) -> str:
+    return tree_cte(src) + f""",
+counts as (
+  select tl.subreddit Top_comment_subreddit, tl.subreddit_id Top_comment_subreddit_id,
+    tl.comment_id Top_comment_id, cast(count(t.comment_id) as bigint) n_replies
+  from {src} tl left join tree t on t.post_id = tl.post_id and t.tlc_id = tl.comment_id and t.level > 0
+  where tl.parent_id is null group by all),
+even as (select * from counts where n_replies > 0 and n_replies % 2 = 0)"""
+
+
+def _sample() -> str:
+    return """,
+strata as (select Top_comment_subreddit, Top_comment_subreddit_id, n_replies, cast(count(*) as bigint) n_members
+  from even group by all having count(*) >= 50),
+sample as (select e.* from (
+    select *, row_number() over (partition by Top_comment_subreddit, Top_comment_subreddit_id, n_replies
+      order by md5('42:' || Top_comment_id), Top_comment_id) r from even) e
+  join strata s using (Top_comment_subreddit, Top_comment_subreddit_id, n_replies) where r <= 100)"""
+
+
+@register("a3_sum_by_key")
+def _a3():
+    return ctes("order_comments", extra=_counts("order_comments"), recursive=True) + " select * from counts"
+
+
+@register("f6_even")
+def _f6():
+    return ctes("order_comments", extra=_counts("order_comments"), recursive=True) + " select * from even"
+
+
+@register("f7_strata")
+def _f7():
+    return ctes("order_comments", extra=_counts("order_comments") + _sample(), recursive=True) + " select * from strata"
+
+
+@register("w3_stratified_sample")
+def _w3():
+    return (ctes("order_comments", extra=_counts("order_comments") + _sample(), recursive=True)
+            + " select Top_comment_subreddit, Top_comment_subreddit_id, Top_comment_id, n_replies from sample")
+
+
+def _replies(src: str) -> str:
+    """Replies with tlc, level and whole-tree height, ranked by time."""
+    return tree_cte(src) + ",\n" + anc_cte(src) + f""",
+h as (select post_id, a comment_id, cast(max(d) + 1 as bigint) height from anc group by all),
+r as (select c.*, t.tlc_id, t.level, h.height from {src} c join tree t using (post_id, comment_id)
+      join h using (post_id, comment_id) where t.level > 0),
+rk as (select *, row_number() over (partition by post_id, tlc_id order by created_utc, comment_id) time_rank,
+       count(*) over (partition by post_id, tlc_id) n_replies from r),
+halves as (select *, case when time_rank <= n_replies / 2 then 0 else 1 end half from rk
+           where n_replies > 0 and n_replies % 2 = 0),
+hf as (select tlc_id Top_comment_id, half,
+    cast(sum({tx.sql_link_count('body')}) as bigint) Replies_links_count,
+    cast(count(*) as bigint) Replies_total_number,
+    cast(count(case when parent_id = tlc_id then 1 end) as bigint) Top_comment_direct_children,
+    cast(sum(coalesce(score, 0)) as bigint) Replies_sum_score,
+    cast(max(height) as bigint) Replies_max_depth
+  from halves group by all),
+tot as (select tlc_id Top_comment_id, cast(count(case when parent_id = tlc_id then 1 end) as bigint) Top_comment_direct_children
+  from halves group by all)"""
+
+
+@register("w1_order")
+def _w1():
+    return (ctes("conv_comments", extra=_replies("conv_comments"), recursive=True)
+            + " select tlc_id Top_comment_id, comment_id, cast(time_rank as bigint) time_rank, cast(n_replies as bigint) n_replies from rk")
+
+
+@register("w2_split")
+def _w2():
+    return (ctes("conv_comments", extra=_replies("conv_comments"), recursive=True)
+            + " select tlc_id Top_comment_id, comment_id, half from halves")
+
+
+@register("a6_half_features")
+def _a6():
+    return ctes("chain_comments", extra=_replies("chain_comments"), recursive=True) + " select * from hf"
+
+
+@register("a7_direct_total")
+def _a7():
+    return ctes("conv_comments", extra=_replies("conv_comments"), recursive=True) + " select * from tot"
+
+
+@register("j2_fix_direct")
+def _j2():
+    return (ctes("conv_comments", extra=_replies("conv_comments"), recursive=True) + """
+select hf.Top_comment_id, hf.half, hf.Replies_links_count, hf.Replies_total_number,
+  case when hf.half = 1 then tot.Top_comment_direct_children else hf.Top_comment_direct_children end Top_comment_direct_children,
+  hf.Replies_sum_score, hf.Replies_max_depth
+from hf join tot using (Top_comment_id)""")
+
+
+@register("j1_sample_join")
+def _j1():
+    return (ctes("order_comments", "order_posts", extra=_counts("order_comments") + _sample() + ",\n"
+                 + features_cte("order_comments", "order_posts"), recursive=True)
+            + " select s.n_replies, f.* from sample s join features f using (Top_comment_id)")
