@@ -155,8 +155,8 @@ def valid_tokens(text: Column) -> Column:
 
 
 def sql_valid_tokens(x: str) -> str:
-    return (f"list_filter(list_transform({sql_treebank_tokens(x)}, t -> {sql_normalize_token('t')}), "
-            f"t -> t is not null)")
+    return (f"list_filter(list_transform({sql_treebank_tokens(x)}, lambda t: {sql_normalize_token('t')}), "
+            f"lambda t: t is not null)")
 
 
 # ------------------------------------------------------------------ T8 alpha
@@ -166,7 +166,7 @@ def alpha_words(text: Column) -> Column:
 
 
 def sql_alpha_words(x: str) -> str:
-    return f"array_to_string(list_filter({sql_treebank_tokens(x)}, t -> regexp_full_match(t, '\\p{{L}}+')), ' ')"
+    return f"array_to_string(list_filter({sql_treebank_tokens(x)}, lambda t: regexp_full_match(t, '\\p{{L}}+')), ' ')"
 
 
 # ------------------------------------------------------------------ T9 words

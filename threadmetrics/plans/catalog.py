@@ -135,3 +135,85 @@ def a7_direct_total(spark, sf_dir):
 @query("j2_fix_direct")
 def j2_fix_direct(spark, sf_dir):
     return hv.fixed_half_features(hv.time_halves(hv.replies_with_heights(_t(spark, sf_dir, "conv_comments"))))
+
+
+# --------------------------------------------------------------- vocabulary
+from ..functions import text as tx  # noqa: E402
+from ..operators import vocab as vb  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+def _tokens(spark, sf_dir):
+    return vb.token_docs(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query("t2_treebank_count")
+def t2_treebank_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.token_count(F.col("text")).cast("bigint").alias("n_tokens"))
+
+
+@query("t7_token")
+def t7_token(spark, sf_dir):
+    toks = tx.valid_tokens(tx.clean_text(F.col("text")))
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.array_join(toks, " ").alias("valid_text"), F.size(toks).cast("bigint").alias("n_valid"))
+
+
+@query("f3_min_tokens")
+def f3_min_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("doc_id", F.size("tokens").cast("bigint").alias("n_valid"))
+
+
+@query("a9_doc_freq")
+def a9_doc_freq(spark, sf_dir):
+    return vb.doc_freq(_tokens(spark, sf_dir))
+
+
+@query("a10_doc_count")
+def a10_doc_count(spark, sf_dir):
+    return _tokens(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("f4_band")
+def f4_band(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    n = t.count()
+    return vb.doc_freq(t).filter((F.col("doc_freq") >= 10) & (F.col("doc_freq") < 0.9 * n))
+
+
+@query("o1_minus_stop")
+def o1_minus_stop(spark, sf_dir):
+    return vb.vocabulary(_tokens(spark, sf_dir))
+
+
+@query("f10_vocab_docs")
+def f10_vocab_docs(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    return vb.filter_to_vocab(t, vb.vocabulary(t))
+
+
+@query("j4_vocab_semi_join")
+def j4_vocab_semi_join(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    v = vb.vocabulary(t)
+    pos = t.select("doc_id", F.explode("tokens").alias("word"))
+    return (pos.join(vb._vocab_side(v), "word", "left_semi")
+            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept")))
+
+
+@query("f5_nonempty_docs")
+def f5_nonempty_docs(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    kept = vb.filter_to_vocab(t, vb.vocabulary(t))
+    return kept.agg(F.count(F.lit(1)).alias("n_nonempty"),
+                    F.count_if(F.trim("text_for_topic_modeling") == "").alias("n_blank"))
+
+
+@query("a11_bow")
+def a11_bow(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    return vb.bag_of_words(t, vb.vocabulary(t))

@@ -257,3 +257,39 @@ def _j1():
     return (ctes("order_comments", "order_posts", extra=_counts("order_comments") + _sample() + ",\n"
                  + features_cte("order_comments", "order_posts"), recursive=True)
             + " select s.n_replies, f.* from sample s join features f using (Top_comment_id)")
+
+
+# --------------------------------------------------------------- vocabulary
+from ..functions.fixed import STOP_WORDS  # noqa: E402
+
+
+def _vocab_ctes() -> str:
+    stops = ", ".join(tx.sql_str(w) for w in STOP_WORDS)
+    return f"""with docs as (select doc_id, {tx.sql_valid_tokens(tx.sql_clean_text('text'))} toks from documents),
+kept as (select * from docs where len(toks) > 10),
+ndocs as (select count(*) n from kept),
+dfreq as (select w word, cast(count(*) as bigint) doc_freq from (select distinct doc_id, unnest(toks) w from kept) group by w),
+band as (select d.* from dfreq d, ndocs where doc_freq >= 10 and doc_freq < 0.9::double * n),
+vocab as (select * from band where word not in ({stops})),
+pos as (select doc_id, unnest(toks) word, unnest(generate_series(1, len(toks))) pos from kept),
+vdocs as (select doc_id, string_agg(word, ' ' order by pos) text_for_topic_modeling
+          from pos where word in (select word from vocab) group by doc_id)"""
+
+
+ORACLE["t2_treebank_count"] = f"select doc_id, cast({tx.sql_token_count('text')} as bigint) n_tokens from documents"
+ORACLE["t7_token"] = (f"select doc_id, array_to_string(t, ' ') valid_text, cast(len(t) as bigint) n_valid from "
+                      f"(select doc_id, {tx.sql_valid_tokens(tx.sql_clean_text('text'))} t from documents)")
+ORACLE["f3_min_tokens"] = _vocab_ctes() + " select doc_id, cast(len(toks) as bigint) n_valid from kept"
+ORACLE["a9_doc_freq"] = _vocab_ctes() + " select * from dfreq"
+ORACLE["a10_doc_count"] = _vocab_ctes() + " select cast(n as bigint) n_docs from ndocs"
+ORACLE["f4_band"] = _vocab_ctes() + " select * from band"
+ORACLE["o1_minus_stop"] = _vocab_ctes() + " select * from vocab"
+ORACLE["f10_vocab_docs"] = _vocab_ctes() + " select * from vdocs"
+ORACLE["j4_vocab_semi_join"] = (_vocab_ctes() + " select doc_id, cast(count(*) as bigint) n_kept from pos "
+                                "where word in (select word from vocab) group by doc_id")
+ORACLE["f5_nonempty_docs"] = (_vocab_ctes() + " select cast(count(*) as bigint) n_nonempty, "
+                              "cast(count(case when trim(text_for_topic_modeling) = '' then 1 end) as bigint) n_blank from vdocs")
+ORACLE["a11_bow"] = _vocab_ctes() + """,
+ids as (select word, row_number() over (order by word) - 1 word_id from vocab),
+cnt as (select doc_id, word_id, count(*) c from pos join ids using (word) group by all)
+select doc_id, string_agg(word_id || ':' || c, ' ' order by word_id) bow from cnt group by doc_id"""
