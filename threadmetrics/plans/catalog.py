@@ -217,3 +217,79 @@ def f5_nonempty_docs(spark, sf_dir):
 def a11_bow(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     return vb.bag_of_words(t, vb.vocabulary(t))
+
+
+# --------------------------------------------------------------- scalar text and calendar
+from ..functions import calendar as cal  # noqa: E402
+
+LOCAL_TZ = "America/Detroit"
+
+
+@query("t1_clean")
+def t1_clean(spark, sf_dir):
+    c = _t(spark, sf_dir, "conv_comments")
+    return c.select("comment_id", tx.clean_text(F.col("body")).alias("clean_body"))
+
+
+@query("t1_clean_docs")
+def t1_clean_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.clean_text(F.col("text")).alias("clean_text"))
+
+
+@query("t3_links")
+def t3_links(spark, sf_dir):
+    c = _t(spark, sf_dir, "conv_comments")
+    return c.select("comment_id", tx.link_count(F.col("body")).alias("n_links"))
+
+
+@query("t3_links_pages")
+def t3_links_pages(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", tx.link_count(F.col("url")).alias("n_links"))
+
+
+@query("t4_calendar")
+def t4_calendar(spark, sf_dir):
+    e = _t(spark, sf_dir, "chain_comments")
+    u = F.col("created_utc")
+    return e.select("comment_id", cal.utc_hour(u).alias("hour_of_day"), cal.utc_day(u).alias("day_of_month"),
+                    cal.utc_weekday(u).alias("day_of_week"))
+
+
+@query("t5_hours")
+def t5_hours(spark, sf_dir):
+    c = _t(spark, sf_dir, "order_comments").filter(F.col("parent_id").isNull())
+    p = _t(spark, sf_dir, "order_posts").select("post_id", F.col("created_utc").alias("post_utc"))
+    return c.join(p, "post_id").select(
+        "comment_id", cal.hours_post_to_tlc(F.col("created_utc"), F.col("post_utc")).alias("hours_diff"))
+
+
+@query("t6_local")
+def t6_local(spark, sf_dir):
+    e = _t(spark, sf_dir, "chain_comments")
+    h, d, w = cal.local_parts(F.col("created_utc"), LOCAL_TZ)
+    return e.select("comment_id", h.alias("hour_of_day"), d.alias("day_of_month"), w.alias("day_of_week"))
+
+
+@query("t8_alpha")
+def t8_alpha(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.alpha_words(F.col("text")).alias("alpha_text"))
+
+
+@query("t9_words")
+def t9_words(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        "doc_id", tx.space_word_count(tx.alpha_words(F.col("text"))).alias("word_count"))
+
+
+@query("t17_prefix")
+def t17_prefix(spark, sf_dir):
+    c = _t(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNotNull())
+    typed = F.concat(F.lit("t1_"), F.col("parent_id"))
+    return c.select("comment_id", typed.alias("typed_parent"), tx.strip_type_prefix(typed).alias("parent"))
+
+
+@query("t19_concat")
+def t19_concat(spark, sf_dir):
+    p = _t(spark, sf_dir, "conv_posts")
+    return p.select("post_id", tx.post_text(F.col("title"), F.col("selftext")).alias("post_text"))

@@ -293,3 +293,33 @@ ORACLE["a11_bow"] = _vocab_ctes() + """,
 ids as (select word, row_number() over (order by word) - 1 word_id from vocab),
 cnt as (select doc_id, word_id, count(*) c from pos join ids using (word) group by all)
 select doc_id, string_agg(word_id || ':' || c, ' ' order by word_id) bow from cnt group by doc_id"""
+
+
+# --------------------------------------------------------------- scalar text and calendar
+LOCAL_TZ = "America/Detroit"
+
+
+def _local(x: str) -> str:
+    return f"timezone('{LOCAL_TZ}', timezone('UTC', {cal.sql_ts(x)}))"
+
+
+ORACLE["t1_clean"] = ctes("conv_comments") + f" select comment_id, {tx.sql_clean_text('body')} clean_body from conv_comments"
+ORACLE["t1_clean_docs"] = f"select doc_id, {tx.sql_clean_text('text')} clean_text from documents"
+ORACLE["t3_links"] = ctes("conv_comments") + f" select comment_id, {tx.sql_link_count('body')} n_links from conv_comments"
+ORACLE["t3_links_pages"] = f"select page_id, {tx.sql_link_count('url')} n_links from pages"
+ORACLE["t4_calendar"] = ctes("chain_comments") + (
+    f" select comment_id, {cal.sql_utc_hour('created_utc')} AS hour_of_day, {cal.sql_utc_day('created_utc')} AS day_of_month, "
+    f"{cal.sql_utc_weekday('created_utc')} day_of_week from chain_comments")
+ORACLE["t5_hours"] = ctes("order_comments", "order_posts") + (
+    f" select c.comment_id, {cal.sql_hours_post_to_tlc('c.created_utc', 'p.created_utc')} AS hours_diff "
+    "from order_comments c join order_posts p using (post_id) where c.parent_id is null")
+ORACLE["t6_local"] = ctes("chain_comments") + (
+    f" select comment_id, hour({_local('created_utc')}) AS hour_of_day, day({_local('created_utc')}) AS day_of_month, "
+    f"isodow({_local('created_utc')}) day_of_week from chain_comments")
+ORACLE["t8_alpha"] = f"select doc_id, {tx.sql_alpha_words('text')} alpha_text from documents"
+ORACLE["t9_words"] = f"select doc_id, {tx.sql_space_word_count(tx.sql_alpha_words('text'))} word_count from documents"
+ORACLE["t17_prefix"] = ctes("conv_comments") + (
+    " select comment_id, 't1_' || parent_id typed_parent, "
+    f"{tx.sql_strip_type_prefix(chr(39) + 't1_' + chr(39) + ' || parent_id')} parent "
+    "from conv_comments where parent_id is not null")
+ORACLE["t19_concat"] = ctes("conv_posts") + f" select post_id, {tx.sql_post_text('title', 'selftext')} post_text from conv_posts"
