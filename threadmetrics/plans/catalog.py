@@ -293,3 +293,127 @@ def t17_prefix(spark, sf_dir):
 def t19_concat(spark, sf_dir):
     p = _t(spark, sf_dir, "conv_posts")
     return p.select("post_id", tx.post_text(F.col("title"), F.col("selftext")).alias("post_text"))
+
+
+# --------------------------------------------------------------- scores, pairs, subsets
+from ..operators import scores as sc  # noqa: E402
+
+
+def _round(df, digits=6):
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def _lineitem_target(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_extendedprice") / 100000.0).alias("y"), (F.col("l_quantity") / 50.0).alias("p"))
+
+
+@query("a14_regression_scores")
+def a14_regression_scores(spark, sf_dir):
+    return _round(sc.regression_scores(_lineitem_target(spark, sf_dir), "y", "p"))
+
+
+@query("a17_mean_baseline")
+def a17_mean_baseline(spark, sf_dir):
+    return _round(sc.mean_baseline(_lineitem_target(spark, sf_dir), "y"))
+
+
+def _labeled_docs(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    return read_table(spark, sf_dir, "labels").join(d, "doc_id", "inner")
+
+
+@query("a15_ce")
+def a15_ce(spark, sf_dir):
+    d = _labeled_docs(spark, sf_dir).select(
+        F.lit(0.0).alias("z0"), ((F.col("n_chars") - 1500) / 1000.0).alias("z1"), F.col("quality").alias("gold"))
+    return _round(sc.classification_scores(d, ["z0", "z1"], "gold"))
+
+
+def _pairs(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels")
+    l = lab.filter(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("l_id"))
+    r = lab.select(F.col("doc_id").alias("r_id"), F.col("quality").alias("human_label"))
+    return l.join(r, F.col("r_id") == F.col("l_id") + 1, "inner")
+
+
+def _pair_rows(spark, sf_dir):
+    feats = _labeled_docs(spark, sf_dir).select("doc_id", "n_chars", "quality", "toxic", "source")
+    return sc.pair_features(_pairs(spark, sf_dir), feats, "doc_id")
+
+
+@query("j7_pairs")
+def j7_pairs(spark, sf_dir):
+    return _pair_rows(spark, sf_dir)
+
+
+@query("m9_rank")
+def m9_rank(spark, sf_dir):
+    p = _pair_rows(spark, sf_dir)
+    key = F.concat(F.col("l_id").cast("string"), F.lit(":"), F.col("r_id").cast("string"))
+    return p.select("l_id", "r_id", sc.rank_pair(F.col("n_chars_l") % 7, F.col("n_chars_r") % 7, key).alias("pred"))
+
+
+@query("a16_pair_scores")
+def a16_pair_scores(spark, sf_dir):
+    ranked = m9_rank(spark, sf_dir).join(_pairs(spark, sf_dir), ["l_id", "r_id"])
+    return _round(sc.pair_scores(ranked, "pred", "human_label"))
+
+
+@query("t13_t14_rescale")
+def t13_t14_rescale(spark, sf_dir):
+    d = _labeled_docs(spark, sf_dir)
+    return _round(d.select(
+        "doc_id",
+        sc.unit_to_signed((F.col("doc_id") % 10) / 9.0).alias("gender_value"),
+        sc.five_point_to_signed(1 + F.col("n_chars") % 5).alias("politeness_value")))
+
+
+@query("t15_toxicity")
+def t15_toxicity(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    u, t = sc.toxicity_flags((F.col("n_chars") % 1000) / 999.0, (F.col("doc_id") % 100) / 99.0)
+    return d.select("doc_id", u.alias("untuned_toxicity"), t.alias("tuned_toxicity"))
+
+
+def _reply_toxicity(spark, sf_dir, name="conv_comments"):
+    ann = tree.annotate(_t(spark, sf_dir, name))
+    c = _t(spark, sf_dir, name).join(ann, ["post_id", "comment_id"]).filter(F.col("level") > 0)
+    tox = (F.length("body") % 100) / 99.0
+    att = (F.length("body") % 7) / 6.0
+    return c, tox, att
+
+
+@query("x5_toxic_children")
+def x5_toxic_children(spark, sf_dir):
+    c, tox, att = _reply_toxicity(spark, sf_dir)
+    out = sc.toxic_children(c, tox, att, ["tlc_id"]).withColumnRenamed("tlc_id", "Top_comment_id")
+    return _round(out)
+
+
+@query("t16_cosine")
+def t16_cosine(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    a = e.filter(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
+    j = a.join(b, F.col("b_id") == F.col("a_id") + 1)
+    return _round(j.select("a_id", "b_id", sc.cosine(F.col("a"), F.col("b")).alias("cosine")))
+
+
+@query("a18_moments")
+def a18_moments(spark, sf_dir):
+    return _round(sc.cell_moments(read_table(spark, sf_dir, "embeddings"), "embedding"))
+
+
+@query("w4_subset")
+def w4_subset(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return sc.random_subset(o, "o_orderkey", 1000)
+
+
+@query("w5_eval_subset")
+def w5_eval_subset(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    m = sc.eval_subset_size(o.count())
+    return sc.random_subset(o, "o_orderkey", m)

@@ -323,3 +323,57 @@ ORACLE["t17_prefix"] = ctes("conv_comments") + (
     f"{tx.sql_strip_type_prefix(chr(39) + 't1_' + chr(39) + ' || parent_id')} parent "
     "from conv_comments where parent_id is not null")
 ORACLE["t19_concat"] = ctes("conv_posts") + f" select post_id, {tx.sql_post_text('title', 'selftext')} post_text from conv_posts"
+
+
+# --------------------------------------------------------------- scores, pairs, subsets
+_LI = "(select l_extendedprice / 100000.0 y, l_quantity / 50.0 p from lineitem)"
+ORACLE["a14_regression_scores"] = f"""select cast(count(*) as bigint) n,
+  round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) r2, round(sum((y - p) * (y - p)) / count(*), 6) mse
+from {_LI}"""
+ORACLE["a17_mean_baseline"] = f"""select cast(count(*) as bigint) n,
+  round(1 - sum((y - m) * (y - m)) / (var_pop(y) * count(*)), 6) r2, round(sum((y - m) * (y - m)) / count(*), 6) mse
+from {_LI}, (select avg(y) m from {_LI})"""
+_LD = "(select l.*, d.n_chars, d.source from labels l join documents d using (doc_id))"
+ORACLE["a15_ce"] = f"""select round(avg(greatest(z0, z1) + ln(exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1)))
+    - case when gold = 0 then z0 else z1 end), 6) cross_entropy,
+  round(avg(case when (case when z1 > z0 then 1 else 0 end) = gold then 1.0 else 0.0 end), 6) accuracy,
+  cast(count(*) as bigint) n
+from (select 0.0::double z0, (n_chars - 1500) / 1000.0 z1, quality gold from {_LD})"""
+_PAIRS = """(select l.doc_id l_id, r.doc_id r_id, r.quality human_label from labels l join labels r on r.doc_id = l.doc_id + 1
+  where l.doc_id % 2 = 0)"""
+_PROWS = f"""(select p.l_id, p.r_id, p.human_label,
+  a.n_chars n_chars_l, a.quality quality_l, a.toxic toxic_l, a.source source_l,
+  b.n_chars n_chars_r, b.quality quality_r, b.toxic toxic_r, b.source source_r
+  from {_PAIRS} p join {_LD} a on a.doc_id = p.l_id join {_LD} b on b.doc_id = p.r_id)"""
+_RANK = f"""(select l_id, r_id, human_label, cast(case when n_chars_l % 7 > n_chars_r % 7 then 0 when n_chars_l % 7 < n_chars_r % 7 then 1
+  else ('0x' || substr(md5(cast(l_id as varchar) || ':' || cast(r_id as varchar)), 1, 1))::int % 2 end as int) pred from {_PROWS})"""
+ORACLE["j7_pairs"] = f"select * from {_PROWS}"
+ORACLE["m9_rank"] = f"select l_id, r_id, pred from {_RANK}"
+ORACLE["a16_pair_scores"] = f"""select round(accuracy, 6) accuracy, round(recall_l, 6) recall_l, round(recall_r, 6) recall_r,
+  round(case when recall_l + recall_r > 0 then 2 * recall_l * recall_r / (recall_l + recall_r) end, 6) f1_score
+from (select count(case when pred = human_label then 1 end) / count(*) accuracy,
+  case when count(case when human_label = 0 then 1 end) > 0 then count(case when human_label = 0 and pred = 0 then 1 end) / count(case when human_label = 0 then 1 end) end recall_l,
+  case when count(case when human_label = 1 then 1 end) > 0 then count(case when human_label = 1 and pred = 1 then 1 end) / count(case when human_label = 1 then 1 end) end recall_r
+  from {_RANK})"""
+ORACLE["t13_t14_rescale"] = f"""select doc_id, round(2 * ((doc_id % 10) / 9.0) - 1, 6) gender_value,
+  round(0.5 * (1 + n_chars % 5) - 1.5, 6) politeness_value from {_LD}"""
+ORACLE["t15_toxicity"] = """select doc_id, case when (n_chars % 1000) / 999.0 > 0.5 then 1 else 0 end untuned_toxicity,
+  case when (n_chars % 1000) / 999.0 > 0.8 and (doc_id % 100) / 99.0 > 0.5 then 1 else 0 end tuned_toxicity from documents"""
+ORACLE["x5_toxic_children"] = ctes("conv_comments", extra=tree_cte("conv_comments"), recursive=True) + """
+select tlc_id Top_comment_id, cast(sum(u) as bigint) Replies_untuned_toxicity_children_count,
+  cast(sum(t) as bigint) Replies_tuned_toxicity_children_count,
+  round(avg(1 - u), 6) Replies_untuned_non_toxic_percentage, round(avg(1 - t), 6) Replies_tuned_non_toxic_percentage
+from (select tr.tlc_id, case when (length(c.body) % 100) / 99.0 > 0.5 then 1 else 0 end u,
+  case when (length(c.body) % 100) / 99.0 > 0.8 and (length(c.body) % 7) / 6.0 > 0.5 then 1 else 0 end t
+  from conv_comments c join tree tr using (post_id, comment_id) where tr.level > 0) group by tlc_id"""
+ORACLE["t16_cosine"] = """select a_id, b_id, round(dot / (sqrt(na) * sqrt(nb)), 6) cosine from (
+  select a.vec_id a_id, b.vec_id b_id,
+    list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1]::double * t[2]::double)) dot,
+    list_sum(list_transform(a.embedding, lambda t: t::double * t::double)) na,
+    list_sum(list_transform(b.embedding, lambda t: t::double * t::double)) nb
+  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0)"""
+ORACLE["a18_moments"] = """select round(avg(x), 6) mean, round(stddev_pop(x), 6) std, cast(count(*) as bigint) n_cells
+from (select unnest(embedding)::double x from embeddings)"""
+ORACLE["w4_subset"] = """select o_orderkey, o_custkey from orders order by md5('42:' || cast(o_orderkey as varchar)), o_orderkey limit 1000"""
+ORACLE["w5_eval_subset"] = """select o_orderkey, o_custkey from orders order by md5('42:' || cast(o_orderkey as varchar)), o_orderkey
+limit (select count(*) // 500 from orders)"""
