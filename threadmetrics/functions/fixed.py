@@ -42,3 +42,54 @@ MAX_SEQ_LEN = 128
 MLM_PROBABILITY = 0.15
 EMBEDDING_BLEND_ALPHA = 0.5
 GENERIC_CATEGORY_ID = 0
+
+# --- own definitions (not reference values): reply marker lexicons -------------
+# The reference consumes accommodation and prosocial counts computed elsewhere;
+# these small function-word lists are this engine's own stand-ins.
+ACCOMMODATION_MARKERS = {
+    "article": "a an the".split(),
+    "certain": "always never certainly definitely absolutely clearly".split(),
+    "conj": "and but or because so although".split(),
+    "discrep": "should would could ought wish hope".split(),
+    "excl": "but except without exclude unless".split(),
+    "incl": "with and include including both".split(),
+    "ipron": "it this that something anything these those".split(),
+    "negate": "no not never none nothing nobody".split(),
+    "quant": "all many some few most every much".split(),
+    "tentat": "maybe perhaps might guess probably possibly".split(),
+}
+PROSOCIAL_PATTERNS = {
+    "informative": r"(?i)(according to|source|research|study|for example|in fact)",
+    "advice": r"(?i)(you should|i recommend|try to|i suggest|consider)",
+    "laughter": r"(?i)(lol|haha|lmao|rofl)",
+    "gratitude": r"(?i)(thank|grateful|appreciate)",
+    "i_language": r"(?i)(^|[^a-z])(i|me|my|mine|myself)([^a-z]|$)",
+    "compliments": r"(?i)(great|awesome|nice|well done|good job)",
+}
+FUNDRAISING_HOSTS = r"(?i)https?://[^/ ]*(gofundme|patreon|kickstarter|donate)"
+INFORMATIVE_HOSTS = r"(?i)https?://[^/ ]*(wikipedia|\.gov|\.edu|doi\.org|example\.org)"
+
+# --- fixed values: the 26 outcome metrics, in the reference's order -----------
+OUTCOME_METRICS = [
+    "Replies_informative_count", "Replies_links_count", "Replies_max_depth", "Replies_sum_score",
+    "Replies_total_number", "Top_comment_article_accommodation", "Top_comment_certain_accommodation",
+    "Top_comment_conj_accommodation", "Top_comment_discrep_accommodation", "Top_comment_excl_accommodation",
+    "Top_comment_incl_accommodation", "Top_comment_ipron_accommodation", "Top_comment_negate_accommodation",
+    "Top_comment_quant_accommodation", "Top_comment_tentat_accommodation", "Replies_advice_count",
+    "Replies_laughter_count", "Replies_gratitude_count", "Replies_informative_URL_count",
+    "Replies_i_language_count", "Replies_compliments_count", "Replies_untuned_toxicity_children_count",
+    "Top_comment_direct_children", "Replies_distinct_pairs_of_sustained_conversation",
+    "Replies_max_turns_of_sustained_conversations", "Replies_untuned_non_toxic_percentage",
+]
+
+# --- fixed values: renaming of the prosocial count table (old -> new) ----------
+PROSOCIAL_OLD_NAMES = [
+    "Top_comment_id", "num_informative_replies", "num_advice_replies", "num_laughter_replies",
+    "num_gratitude_replies", "num_fundraising_URL_replies", "num_informative_URL_replies",
+    "num_i_language_replies", "num_compliments",
+]
+PROSOCIAL_NEW_NAMES = [
+    "Top_comment_id", "Replies_informative_count", "Replies_advice_count", "Replies_laughter_count",
+    "Replies_gratitude_count", "Replies_fundraising_URL_count", "Replies_informative_URL_count",
+    "Replies_i_language_count", "Replies_compliments_count",
+]

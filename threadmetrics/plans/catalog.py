@@ -417,3 +417,69 @@ def w5_eval_subset(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     m = sc.eval_subset_size(o.count())
     return sc.random_subset(o, "o_orderkey", m)
+
+
+# --------------------------------------------------------------- outcome tables and merge
+from ..functions.fixed import PROSOCIAL_NEW_NAMES, PROSOCIAL_OLD_NAMES  # noqa: E402
+from ..operators import merge as mg  # noqa: E402
+from ..operators import outcomes as oc  # noqa: E402
+from . import dynamic as dyn  # noqa: E402
+
+
+def _halves(spark, sf_dir, name="conv_comments"):
+    return hv.time_halves(hv.replies_with_heights(_t(spark, sf_dir, name)))
+
+
+@query("x3_prosocial")
+def x3_prosocial(spark, sf_dir):
+    return oc.prosocial_counts(_halves(spark, sf_dir))
+
+
+@query("x2_accommodation")
+def x2_accommodation(spark, sf_dir):
+    return _round(oc.accommodation(_halves(spark, sf_dir), _t(spark, sf_dir, "conv_comments")))
+
+
+@query("x6_politeness_support")
+def x6_politeness_support(spark, sf_dir):
+    return _round(oc.politeness_support(_halves(spark, sf_dir)))
+
+
+@query("x7_sustained")
+def x7_sustained(spark, sf_dir):
+    return oc.sustained(_halves(spark, sf_dir), _t(spark, sf_dir, "conv_comments"))
+
+
+@query("a12_dedupe")
+def a12_dedupe(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return mg.dedupe(o, ["o_custkey"])
+
+
+@query("p5_halves_to_rows")
+def p5_halves_to_rows(spark, sf_dir):
+    long = hv.fixed_half_features(_halves(spark, sf_dir))
+    wide = mg.rows_to_halves(long, "Top_comment_id", hv.HALF_METRICS)
+    return mg.halves_to_rows(wide, "Top_comment_id", hv.HALF_METRICS)
+
+
+@query("p6_rename")
+def p6_rename(spark, sf_dir):
+    pros = oc.prosocial_counts(_halves(spark, sf_dir)).filter(F.col("half") == 0).drop("half")
+    old = pros.select(*[F.col(n).alias(o) for o, n in zip(PROSOCIAL_OLD_NAMES, PROSOCIAL_NEW_NAMES)])
+    return mg.rename(old, PROSOCIAL_OLD_NAMES, PROSOCIAL_NEW_NAMES)
+
+
+@query("p7_outcomes")
+def p7_outcomes(spark, sf_dir):
+    return _round(dyn.half_outcomes(_t(spark, sf_dir, "conv_comments")))
+
+
+@query("j3_merge")
+def j3_merge(spark, sf_dir):
+    return _round(dyn.half_outcomes(_t(spark, sf_dir, "order_comments")))
+
+
+@query("a6_half_features_orders")
+def a6_half_features_orders(spark, sf_dir):
+    return hv.fixed_half_features(_halves(spark, sf_dir, "order_comments"))

@@ -377,3 +377,86 @@ from (select unnest(embedding)::double x from embeddings)"""
 ORACLE["w4_subset"] = """select o_orderkey, o_custkey from orders order by md5('42:' || cast(o_orderkey as varchar)), o_orderkey limit 1000"""
 ORACLE["w5_eval_subset"] = """select o_orderkey, o_custkey from orders order by md5('42:' || cast(o_orderkey as varchar)), o_orderkey
 limit (select count(*) // 500 from orders)"""
+
+
+# --------------------------------------------------------------- outcome tables and merge
+from ..functions.fixed import (ACCOMMODATION_MARKERS, FUNDRAISING_HOSTS, INFORMATIVE_HOSTS,  # noqa: E402
+                               OUTCOME_METRICS, PROSOCIAL_NEW_NAMES, PROSOCIAL_OLD_NAMES,
+                               PROSOCIAL_PATTERNS)
+
+
+def _outcome_ctes(src: str) -> str:
+    body = "coalesce(body, '')"
+    pros = ",\n    ".join(
+        [f"cast(count(case when regexp_matches({body}, {tx.sql_str(p)}) then 1 end) as bigint) Replies_{k}_count"
+         for k, p in PROSOCIAL_PATTERNS.items()]
+        + [f"cast(count(case when regexp_matches({body}, {tx.sql_str(FUNDRAISING_HOSTS)}) then 1 end) as bigint) Replies_fundraising_URL_count",
+           f"cast(count(case when regexp_matches({body}, {tx.sql_str(INFORMATIVE_HOSTS)}) then 1 end) as bigint) Replies_informative_URL_count"])
+
+    def has(col, m):
+        words = "[" + ", ".join(tx.sql_str(w) for w in ACCOMMODATION_MARKERS[m]) + "]"
+        return f"list_has_any(regexp_split_to_array(lower(coalesce({col}, '')), '[^a-z]+'), {words})"
+    acc_aggs, acc_out = [], []
+    for m in ACCOMMODATION_MARKERS:
+        c, p = has("h.body", m), has("pp.body", m)
+        acc_aggs.append(f"count(case when {c} and {p} then 1 end) cp_{m}, count(case when {p} then 1 end) p_{m}, "
+                        f"count(case when {c} then 1 end) c_{m}")
+        acc_out.append(f"case when p_{m} > 0 then cp_{m} / p_{m} - c_{m} / n else 0.0 end Top_comment_{m}_accommodation")
+    nlen = "length(coalesce(body, ''))"
+    return _replies(src) + f""",
+pros as (select tlc_id Top_comment_id, half, {pros} from halves group by all),
+accraw as (select h.tlc_id Top_comment_id, h.half, count(*) n, {", ".join(acc_aggs)}
+  from halves h join {src} pp on pp.post_id = h.post_id and pp.comment_id = h.parent_id group by all),
+acc as (select Top_comment_id, half, {", ".join(acc_out)} from accraw),
+ps as (select tlc_id Top_comment_id, half, avg(0.5 * (1 + {nlen} % 5) - 1.5) Replies_average_politeness,
+  avg(0.5 * (1 + ({nlen} * 7) % 5) - 1.5) Replies_average_support from halves group by all),
+tox as (select tlc_id Top_comment_id, half, cast(sum(u) as bigint) Replies_untuned_toxicity_children_count,
+  cast(sum(t) as bigint) Replies_tuned_toxicity_children_count,
+  avg(1 - u) Replies_untuned_non_toxic_percentage, avg(1 - t) Replies_tuned_non_toxic_percentage
+  from (select *, case when ({nlen} % 100) / 99.0 > 0.5 then 1 else 0 end u,
+    case when ({nlen} % 100) / 99.0 > 0.8 and ({nlen} % 7) / 6.0 > 0.5 then 1 else 0 end t from halves) group by all),
+par as (select c.post_id, c.comment_id, c.parent_id, c.author, p.author pa, p.parent_id gp
+  from {src} c left join {src} p on p.post_id = c.post_id and p.comment_id = c.parent_id),
+x as (select par.*, coalesce(pa is not null and pa <> par.author and g.author is not null and g.author = par.author, false) cont,
+  case when pa is null or pa = par.author then 1 else 2 end base
+  from par left join {src} g on g.post_id = par.post_id and g.comment_id = par.gp),
+altr(post_id, comment_id, alt) as (
+  select post_id, comment_id, base from x where not cont
+  union all
+  select x.post_id, x.comment_id, a.alt + 1 from x join altr a on x.post_id = a.post_id and x.parent_id = a.comment_id
+  where x.cont),
+sus as (select h.tlc_id Top_comment_id, h.half,
+  cast(count(distinct case when x.cont then least(x.author, x.pa) || '|' || greatest(x.author, x.pa) end) as bigint)
+    Replies_distinct_pairs_of_sustained_conversation,
+  cast(case when max(a.alt) >= 3 then max(a.alt) else 0 end as bigint) Replies_max_turns_of_sustained_conversations
+  from halves h join x using (post_id, comment_id) join altr a using (post_id, comment_id) group by all),
+basic as (select hf.Top_comment_id, hf.half, hf.Replies_links_count, hf.Replies_total_number,
+  case when hf.half = 1 then tot.Top_comment_direct_children else hf.Top_comment_direct_children end Top_comment_direct_children,
+  hf.Replies_sum_score, hf.Replies_max_depth from hf join tot using (Top_comment_id)),
+merged as (select * from basic join pros using (Top_comment_id, half) join sus using (Top_comment_id, half)
+  join acc using (Top_comment_id, half) join ps using (Top_comment_id, half) join tox using (Top_comment_id, half))"""
+
+
+def _r6(cols):
+    return ", ".join(f"round({c}, 6) {c}" if c.endswith(("accommodation", "percentage", "politeness", "support"))
+                     else c for c in cols)
+
+
+_OUT = ["Top_comment_id", "half"] + OUTCOME_METRICS
+ORACLE["x3_prosocial"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from pros"
+ORACLE["x2_accommodation"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+                              + " select " + _r6(["Top_comment_id", "half"] + [f"Top_comment_{m}_accommodation" for m in ACCOMMODATION_MARKERS]) + " from acc")
+ORACLE["x6_politeness_support"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+                                   + " select " + _r6(["Top_comment_id", "half", "Replies_average_politeness", "Replies_average_support"]) + " from ps")
+ORACLE["x7_sustained"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from sus"
+ORACLE["p7_outcomes"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+                         + " select " + _r6(_OUT) + " from merged")
+ORACLE["j3_merge"] = (ctes("order_comments", extra=_outcome_ctes("order_comments"), recursive=True)
+                      + " select " + _r6(_OUT) + " from merged")
+ORACLE["a6_half_features_orders"] = (ctes("order_comments", extra=_outcome_ctes("order_comments"), recursive=True)
+                                     + " select * from basic")
+ORACLE["a12_dedupe"] = """select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over
+  (partition by o_custkey order by o_orderkey, o_totalprice) r from orders) where r = 1"""
+ORACLE["p5_halves_to_rows"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from basic"
+ORACLE["p6_rename"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+                       + " select " + ", ".join(PROSOCIAL_NEW_NAMES) + " from pros where half = 0")
