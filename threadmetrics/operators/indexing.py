@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tree import _checkpoint
+from .lineage import materialize
 
 
 def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id", start: int = 0,
@@ -21,8 +21,8 @@ def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id", start
     order), counting from ``start``."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _checkpoint(df.repartitionByRange(n, *order_cols)
-                         .withColumn("_pid", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(n, *order_cols)
+                         .withColumn("_pid", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid")) - F.col("_c")).alias("_off"))
     w = Window.partitionBy("_pid").orderBy(*order_cols)

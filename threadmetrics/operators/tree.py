@@ -12,9 +12,10 @@ logarithmic-round joins:
 Every join is keyed by ``(post_id, node)``, never by ``post_id`` alone, so a
 giant thread spreads over all tasks. Many children of one parent meet in an
 aggregation (map-side partial aggregation bounds it) or in a many-to-one
-join, which AQE's skew-join handling splits. Each round ends with
-``checkpoint()`` into the shared checkpoint folder, so the plan does not
-grow and a lost executor costs one round, not the whole lineage.
+join, which AQE's skew-join handling splits. Each round ends by
+writing its state below the shared checkpoint folder (:mod:`.lineage`), so
+the plan does not grow and a lost executor costs one round, not the whole
+lineage.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .lineage import materialize
 
 MAX_ROUNDS = 64  # 2**63 levels: never reached; guards against cycles
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "tree")
 
 
 def annotate(comments: DataFrame) -> DataFrame:
@@ -48,7 +48,6 @@ def annotate(comments: DataFrame) -> DataFrame:
         F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("dist"),
         F.col("parent_id").isNull().alias("done"),
     )
-    state = _checkpoint(state)
     for _ in range(MAX_ROUNDS):
         if state.filter(~F.col("done")).isEmpty():
             break
@@ -107,7 +106,6 @@ def subtree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) ->
         F.lit(1).cast("bigint").alias("size"),
         *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()],
     )
-    state = _checkpoint(state)
     step = 1
     for _ in range(MAX_ROUNDS):
         if state.filter(F.col("anc").isNotNull()).isEmpty():

@@ -16,6 +16,9 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Parquet sizes understate in-memory sizes; scale them before the
+    # planner compares a side with the broadcast threshold.
+    "spark.sql.sources.fileCompressionFactor": "4",
 }
 
 
@@ -29,6 +32,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", os.environ.get("TM_DRIVER_MEMORY", "16g"))
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in ENGINE_CONF.items():
         builder = builder.config(k, v)

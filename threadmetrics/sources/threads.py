@@ -114,11 +114,19 @@ THREAD_SQL = {
 POSTS_OF = {"conv_comments": "conv_posts", "order_comments": "order_posts"}
 
 
-def thread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Derive a thread table in Spark from the driver's Parquet tables."""
+def thread_table(spark: SparkSession, sf_dir: str, name: str, materialized: bool = True) -> DataFrame:
+    """Derive a thread table in Spark from the driver's Parquet tables.
+
+    The derivation (a window over the source table) is written once as a
+    Parquet table below the checkpoint folder, as a stored comment table
+    would be, so operators that read it several times scan it instead of
+    re-deriving it."""
+    from ..operators.lineage import materialize
+
     fn, inputs = THREAD_SQL[name]
     args = {t: read_table(spark, sf_dir, t) for t in inputs}
-    return spark.sql(fn(SPARK), **args)
+    df = spark.sql(fn(SPARK), **args)
+    return materialize(df, name) if materialized else df
 
 
 def thread_cte(*names: str) -> str:
