@@ -483,3 +483,78 @@ def j3_merge(spark, sf_dir):
 @query("a6_half_features_orders")
 def a6_half_features_orders(spark, sf_dir):
     return hv.fixed_half_features(_halves(spark, sf_dir, "order_comments"))
+
+
+# --------------------------------------------------------------- categories and sequences
+from ..operators import category as cg  # noqa: E402
+from ..operators import sequences as sq  # noqa: E402
+from ..operators.indexing import global_index  # noqa: E402
+
+
+def _part_dict(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part")
+    return cg.category_ids(part.filter(F.col("p_size") <= 25), "p_type")
+
+
+@query("a13_vocab_ids")
+def a13_vocab_ids(spark, sf_dir):
+    return _part_dict(spark, sf_dir)
+
+
+@query("a21_id_check")
+def a21_id_check(spark, sf_dir):
+    return cg.id_check(_part_dict(spark, sf_dir))
+
+
+@query("j5_lookup")
+def j5_lookup(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return cg.lookup(part, "p_type", _part_dict(spark, sf_dir)).select("p_partkey", "category_id")
+
+
+def _cat_cells(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    m = sc.cell_moments(emb, "embedding").first()
+    d = _part_dict(spark, sf_dir)
+    return cg.category_vectors(d, emb, "vec_id", "embedding", 64, round(m["mean"], 6), round(m["std"], 6))
+
+
+@query("j6_embedding_fill")
+def j6_embedding_fill(spark, sf_dir):
+    return _round(_cat_cells(spark, sf_dir), 4)
+
+
+@query("t18_blend")
+def t18_blend(spark, sf_dir):
+    return _round(cg.blend_with_generic(_cat_cells(spark, sf_dir)), 4)
+
+
+def _encoded(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    idx = sq.word_ids(global_index(vb.vocabulary(t).select("word"), ["word"], "word_id"))
+    return sq.encode(t, idx), idx
+
+
+@query("t20_pad")
+def t20_pad(spark, sf_dir):
+    enc, _ = _encoded(spark, sf_dir)
+    ids, mask = sq.pad_truncate(F.col("ids"))
+    return enc.select("doc_id", F.array_join(ids, " ").alias("input_ids"),
+                      F.aggregate(mask, F.lit(0), lambda a, b: a + b).cast("bigint").alias("n_real"))
+
+
+@query("m11_mask")
+def m11_mask(spark, sf_dir):
+    enc, idx = _encoded(spark, sf_dir)
+    ids, _ = sq.pad_truncate(F.col("ids"))
+    inputs, labels = sq.mask_tokens(F.col("doc_id"), ids, idx.count())
+    return enc.select("doc_id", F.array_join(inputs, " ").alias("input_ids"),
+                      F.array_join(labels, " ").alias("labels"))
+
+
+@query("o2_union")
+def o2_union(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("origin"), F.col("doc_id").alias("item_id"), "text")
+    b = read_table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), "item_id", "text")
+    return d.unionByName(b).select("origin", "item_id", F.length("text").alias("n_chars"))

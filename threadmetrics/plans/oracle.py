@@ -460,3 +460,60 @@ ORACLE["a12_dedupe"] = """select o_custkey, o_orderkey, o_totalprice from (selec
 ORACLE["p5_halves_to_rows"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from basic"
 ORACLE["p6_rename"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
                        + " select " + ", ".join(PROSOCIAL_NEW_NAMES) + " from pros where half = 0")
+
+
+# --------------------------------------------------------------- categories and sequences
+_DICT = """(select name, row_number() over (order by name) category_id from
+  (select distinct p_type name from part where p_size <= 25 and p_type is not null)
+  union all select '<generic>', 0)"""
+ORACLE["a13_vocab_ids"] = f"select * from {_DICT}"
+ORACLE["a21_id_check"] = f"""select min(category_id) min_id, max(category_id) max_id, cast(count(*) as bigint) n,
+  cast(count(distinct category_id) as bigint) n_distinct,
+  (min(category_id) = 0 and max(category_id) = count(*) - 1 and count(distinct category_id) = count(*)) ids_contiguous
+from {_DICT}"""
+ORACLE["j5_lookup"] = f"""select p_partkey, cast(coalesce(d.category_id, 0) as bigint) category_id
+from part left join {_DICT} d on d.name = part.p_type"""
+
+
+def _u(key: str, part: int) -> str:
+    return f"((('0x' || substr(md5({key}), {1 + 8 * part}, 8))::bigint)::double + 1.0) / 4294967296.0"
+
+
+_CELLS = f"""(select c.category_id, c.j, coalesce(k.v::double,
+    sqrt(-2.0 * ln({_u("'42:' || c.category_id || ':' || c.j", 0)})) * cos(2.0 * pi() * {_u("'42:' || c.category_id || ':' || c.j", 1)})
+    * m.sd + m.mu) value
+  from (select category_id, unnest(range(64)) j from {_DICT}) c
+  left join (select vec_id category_id, unnest(embedding) v, unnest(range(len(embedding))) j from embeddings) k
+    using (category_id, j),
+  (select round(avg(x), 6) mu, round(stddev_pop(x), 6) sd from (select unnest(embedding)::double x from embeddings)) m)"""
+ORACLE["j6_embedding_fill"] = f"select category_id, j, round(value, 4) value from {_CELLS}"
+ORACLE["t18_blend"] = f"""select c.category_id, c.j, round(0.5 * c.value + 0.5 * g.value, 4) value
+from {_CELLS} c join (select j, value from {_CELLS} where category_id = 0) g using (j)"""
+
+
+def _enc_ctes() -> str:
+    return _vocab_ctes() + """,
+ids as (select word, row_number() over (order by word) - 1 + 5 tok_id from vocab),
+enc as (select doc_id, list(coalesce(ids.tok_id, 1) order by pos) ids from pos left join ids using (word) group by doc_id),
+seqs as (select doc_id, list_concat([2], ids[1:126], [3]) seq from enc),
+padded as (select doc_id, list_resize(seq, 128, 0) p, len(seq) n from seqs)"""
+
+
+ORACLE["t20_pad"] = _enc_ctes() + " select doc_id, array_to_string(p, ' ') input_ids, cast(n as bigint) n_real from padded"
+
+
+def _mlm() -> str:
+    key = "'42:' || doc_id || ':' || (i - 1)"
+    chosen = f"(x >= 5 and {_u(key, 0)} <= 0.15)"
+    rnd = f"(((('0x' || substr(md5({key}), 25, 8))::bigint) % vs) + 5)"
+    new = (f"case when not {chosen} then x when {_u(key, 1)} <= 0.8 then 4 "
+           f"when {_u(key, 2)} <= 0.5 then {rnd} else x end")
+    lab = f"case when {chosen} then x else -100 end"
+    return (f"select doc_id, array_to_string(list_transform(p, lambda x, i: {new}), ' ') input_ids, "
+            f"array_to_string(list_transform(p, lambda x, i: {lab}), ' ') labels "
+            f"from padded, (select count(*) vs from vocab)")
+
+
+ORACLE["m11_mask"] = _enc_ctes() + " " + _mlm()
+ORACLE["o2_union"] = """select 'documents' origin, doc_id item_id, length(text) n_chars from documents
+union all select 'benchmark', item_id, length(text) from benchmark"""
