@@ -93,3 +93,17 @@ PROSOCIAL_NEW_NAMES = [
     "Replies_gratitude_count", "Replies_fundraising_URL_count", "Replies_informative_URL_count",
     "Replies_i_language_count", "Replies_compliments_count",
 ]
+
+# --- own definitions: sentiment lexicon (word, polarity, subjectivity) ---------
+SENTIMENT_LEXICON = [
+    ("good", 0.7, 0.6), ("great", 0.8, 0.75), ("excellent", 1.0, 1.0), ("nice", 0.6, 1.0),
+    ("love", 0.5, 0.6), ("happy", 0.8, 1.0), ("best", 1.0, 0.3), ("better", 0.5, 0.5),
+    ("wonderful", 1.0, 1.0), ("amazing", 0.6, 0.9), ("thanks", 0.2, 0.2),
+    ("bad", -0.7, 0.67), ("terrible", -1.0, 1.0), ("awful", -1.0, 1.0), ("worst", -1.0, 1.0),
+    ("hate", -0.8, 0.9), ("poor", -0.4, 0.6), ("wrong", -0.5, 0.9), ("sad", -0.5, 1.0),
+    ("stupid", -0.8, 1.0), ("boring", -1.0, 1.0),
+]
+NEGATIONS = ["not", "no", "never", "n't", "nobody", "nothing"]
+NEGATION_FACTOR = -0.5
+LANGUAGE_PROFILE_SIZE = 300   # trigrams kept per language
+UNKNOWN_LANGUAGE = "un"

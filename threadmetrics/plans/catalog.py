@@ -558,3 +558,69 @@ def o2_union(spark, sf_dir):
         F.lit("documents").alias("origin"), F.col("doc_id").alias("item_id"), "text")
     b = read_table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), "item_id", "text")
     return d.unionByName(b).select("origin", "item_id", F.length("text").alias("n_chars"))
+
+
+# --------------------------------------------------------------- language and text scores
+from ..functions.fixed import STOP_WORDS  # noqa: E402
+from ..operators import language as lg  # noqa: E402
+from ..operators import textscores as ts  # noqa: E402
+
+
+def _span_langs(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    prof = lg.train_profiles(docs, "text", "lang")
+    return lg.span_languages(docs, "doc_id", "text", prof)
+
+
+@query("t10_span_language")
+def t10_span_language(spark, sf_dir):
+    return _span_langs(spark, sf_dir)
+
+
+@query("a19_language_share")
+def a19_language_share(spark, sf_dir):
+    return _round(lg.language_shares(_span_langs(spark, sf_dir)))
+
+
+@query("f1_english")
+def f1_english(spark, sf_dir):
+    return lg.english_flags(_docs(spark, sf_dir), "doc_id", _span_langs(spark, sf_dir))
+
+
+@query("f2_split")
+def f2_split(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    en, other = lg.split_by_language(docs.select("doc_id", "n_chars"), "doc_id",
+                                     lg.english_flags(docs, "doc_id", _span_langs(spark, sf_dir)))
+    def summary(df, flag):
+        return df.agg(F.lit(flag).alias("is_english"), F.count(F.lit(1)).cast("bigint").alias("n_docs"),
+                      F.sum("n_chars").cast("bigint").alias("n_chars"))
+    return summary(en, True).unionByName(summary(other, False))
+
+
+@query("t11_sentiment")
+def t11_sentiment(spark, sf_dir):
+    p, s = ts.sentiment(tx.clean_text(F.col("text")))
+    return _round(_docs(spark, sf_dir).select("doc_id", p.alias("Top_comment_polarity"), s.alias("Top_comment_subjectivity")))
+
+
+@query("t12_readability")
+def t12_readability(spark, sf_dir):
+    return _round(_docs(spark, sf_dir).select("doc_id", ts.readability(tx.clean_text(F.col("text"))).alias("Top_comment_readability")))
+
+
+@query("a20_misspelling")
+def a20_misspelling(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    dic = vb.vocabulary(t).select("word").unionByName(vb.stop_words(spark))
+    return _round(ts.misspelling_ratio(_docs(spark, sf_dir), "doc_id", "text", dic))
+
+
+@query("x1_jaccard")
+def x1_jaccard(spark, sf_dir):
+    c = _t(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNull())
+    p = _t(spark, sf_dir, "conv_posts")
+    j = c.join(p.select("post_id", "title", "selftext"), "post_id")
+    a = tx.valid_tokens(tx.clean_text(tx.post_text(F.col("title"), F.col("selftext"))))
+    b = tx.valid_tokens(tx.clean_text(F.col("body")))
+    return _round(j.select(F.col("comment_id").alias("Top_comment_id"), ts.jaccard(a, b).alias("Post_Top_comment_Jaccard_sim")))

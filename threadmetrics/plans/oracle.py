@@ -517,3 +517,73 @@ def _mlm() -> str:
 ORACLE["m11_mask"] = _enc_ctes() + " " + _mlm()
 ORACLE["o2_union"] = """select 'documents' origin, doc_id item_id, length(text) n_chars from documents
 union all select 'benchmark', item_id, length(text) from benchmark"""
+
+
+# --------------------------------------------------------------- language and text scores
+from ..functions.fixed import NEGATIONS, SENTIMENT_LEXICON  # noqa: E402
+
+
+def _tri(s: str) -> str:
+    return (f"list_filter(list_transform(range(1, length(lower({s})) - 1), lambda i: substring(lower({s}), i, 3)), "
+            f"lambda g: regexp_full_match(g, '\\p{{L}}{{3}}'))")
+
+
+_LANG = f"""with prof as (select lang, tri from (select lang, tri, row_number() over (partition by lang order by cnt desc, tri) r
+    from (select lang, tri, count(*) cnt from (select lang, unnest({_tri('text')}) tri from documents) group by all)) where r <= 300),
+sp as (select * from (select doc_id, unnest(string_split(text, chr(10))) span,
+    unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) span_no from documents) where trim(span) <> ''),
+hits as (select doc_id, span_no, lang from (select doc_id, span_no, lang,
+    row_number() over (partition by doc_id, span_no order by cnt desc, lang) r
+    from (select doc_id, span_no, lang, count(*) cnt from (select doc_id, span_no, unnest({_tri('span')}) tri from sp)
+          join prof using (tri) group by all)) where r = 1),
+sl as (select doc_id, span_no, coalesce(h.lang, 'un') lang, length(span) span_len from sp left join hits h using (doc_id, span_no)),
+flags as (select doc_id, (langs = ['en'] or (langs = ['en', 'un'] and first_lang = 'en' and en_share > 0.8)) is_english from
+  (select doc_id, list_sort(list_distinct(list(lang))) langs, arg_min(lang, span_no) first_lang,
+     sum(case when lang = 'en' then span_len else 0 end) / sum(span_len) en_share from sl group by doc_id)),
+fl as (select d.doc_id, coalesce(f.is_english, false) is_english, d.n_chars from documents d left join flags f using (doc_id))"""
+
+ORACLE["t10_span_language"] = _LANG + " select * from sl"
+ORACLE["a19_language_share"] = _LANG + """ select doc_id, lang, round(lang_len / total_len, 6) share from
+  (select doc_id, lang, sum(span_len) lang_len from sl group by all) join (select doc_id, sum(span_len) total_len from sl group by all) using (doc_id)"""
+ORACLE["f1_english"] = _LANG + " select doc_id, is_english from fl"
+ORACLE["f2_split"] = _LANG + " select is_english, cast(count(*) as bigint) n_docs, cast(sum(n_chars) as bigint) n_chars from fl group by is_english"
+
+
+def _lex_sql(t: str, idx: int) -> str:
+    return "case " + " ".join(f"when {t} = {tx.sql_str(r[0])} then {r[idx]}::double" for r in SENTIMENT_LEXICON) + " end"
+
+
+_NEG = "[" + ", ".join(tx.sql_str(w) for w in NEGATIONS) + "]"
+_SENT = f"""select doc_id,
+  round(case when len(h) > 0 then list_sum(list_transform(h, lambda x: x.p)) / len(h) else 0.0 end, 6) Top_comment_polarity,
+  round(case when len(h) > 0 then list_sum(list_transform(h, lambda x: x.s)) / len(h) else 0.0 end, 6) Top_comment_subjectivity
+from (select doc_id, list_filter(list_transform(toks, lambda t, i: struct_pack(
+    p := {_lex_sql('t', 1)} * case when coalesce(list_contains({_NEG}, case when i >= 2 then toks[i - 1] end), false)
+      or coalesce(list_contains({_NEG}, case when i >= 3 then toks[i - 2] end), false) then -0.5 else 1.0 end,
+    s := {_lex_sql('t', 2)})), lambda x: x.p is not null) h
+  from (select doc_id, {tx.sql_valid_tokens(tx.sql_clean_text('text'))} toks from documents))"""
+ORACLE["t11_sentiment"] = _SENT
+
+_READ = f"""select doc_id, round(case when nw > 0 then 0.39::double * nw / ns + 11.8::double * syl / nw - 15.59::double else 0.0 end, 6)
+  Top_comment_readability from (select doc_id, len(w) nw,
+  greatest(1, len(regexp_extract_all(coalesce(t, ''), '[.!?]+'))) ns,
+  list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+'))))) syl
+  from (select doc_id, t, regexp_extract_all(coalesce(t, ''), '[A-Za-z]+') w
+        from (select doc_id, {tx.sql_clean_text('text')} t from documents)))"""
+ORACLE["t12_readability"] = _READ
+
+ORACLE["a20_misspelling"] = _vocab_ctes() + f""",
+dic as (select word from vocab union select unnest([{", ".join(tx.sql_str(w) for w in STOP_WORDS)}])),
+dw as (select doc_id, case when text = 'nan' then []::varchar[] else
+  list_filter(string_split(lower({tx.sql_alpha_words('text')}), ' '), lambda w: w <> '') end w from documents),
+ex as (select doc_id, unnest(w) w1 from dw)
+select d.doc_id, round(coalesce(m.miss / m.n, 0.0), 6) misspelling_ratio from dw d left join
+  (select doc_id, count(*) n, count(case when dic.word is null then 1 end) miss from ex left join dic on dic.word = ex.w1 group by doc_id) m
+  using (doc_id)"""
+
+ORACLE["x1_jaccard"] = ctes("conv_comments", "conv_posts") + f"""
+select comment_id Top_comment_id, round(case when u > 0 then i / u else 0.0 end, 6) Post_Top_comment_Jaccard_sim from (
+  select comment_id, len(list_distinct(list_intersect(a, b))) i, len(list_distinct(list_concat(a, b))) u from (
+    select c.comment_id, {tx.sql_valid_tokens(tx.sql_clean_text(tx.sql_post_text('p.title', 'p.selftext')))} a,
+      {tx.sql_valid_tokens(tx.sql_clean_text('c.body'))} b
+    from conv_comments c join conv_posts p using (post_id) where c.parent_id is null))"""
