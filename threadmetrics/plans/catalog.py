@@ -624,3 +624,144 @@ def x1_jaccard(spark, sf_dir):
     a = tx.valid_tokens(tx.clean_text(tx.post_text(F.col("title"), F.col("selftext"))))
     b = tx.valid_tokens(tx.clean_text(F.col("body")))
     return _round(j.select(F.col("comment_id").alias("Top_comment_id"), ts.jaccard(a, b).alias("Post_Top_comment_Jaccard_sim")))
+
+
+# --------------------------------------------------------------- machine learning
+from ..operators import ml  # noqa: E402
+
+
+def _order_features(spark, sf_dir):
+    """Per-order features from its lines and a learnable target."""
+    li = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+          .agg(F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
+               F.avg("l_discount").alias("avg_disc"), F.avg("l_tax").alias("avg_tax")))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    j = o.join(li, o["o_orderkey"] == li["l_orderkey"]).drop("l_orderkey")
+    return j.select("o_orderkey", "n_lines", "sum_qty", "avg_disc", "avg_tax",
+                    (F.col("sum_qty") / 10.0).alias("x1"),
+                    ((F.col("sum_qty") + F.col("n_lines") * 5) / 10.0 + F.col("avg_disc")).alias("x2"),
+                    (F.col("sum_qty") / 10.0 + 50 * F.col("avg_disc") + F.col("o_totalprice") / 100000.0).alias("y"),
+                    F.conv(F.substring(F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string"))), 1, 1), 16, 10)
+                    .cast("int").alias("bucket"))
+
+
+def _pca2(spark, sf_dir):
+    f = _order_features(spark, sf_dir)
+    return f, ml.fit_pca(f, ["x1", "x2"], 2)
+
+
+@query("m3_pca_ratio")
+def m3_pca_ratio(spark, sf_dir):
+    _, p = _pca2(spark, sf_dir)
+    return _round(p.ratio_table(spark))
+
+
+@query("w6_top_components")
+def w6_top_components(spark, sf_dir):
+    _, p = _pca2(spark, sf_dir)
+    return _round(ml.top_components(p.ratio_table(spark)))
+
+
+@query("m5_project")
+def m5_project(spark, sf_dir):
+    f, p = _pca2(spark, sf_dir)
+    return _round(p.transform(f, "o_orderkey"))
+
+
+@query("m4_loadings")
+def m4_loadings(spark, sf_dir):
+    f, p = _pca2(spark, sf_dir)
+    return _round(p.loadings(p.transform(f, "o_orderkey")))
+
+
+@query("m6_embedding_pca")
+def m6_embedding_pca(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    cols = [f"e{i}" for i in range(64)]
+    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    p = ml.fit_pca(wide, cols, 16)
+    return _round(p.transform(wide, "vec_id"), 4)
+
+
+def _topic_docs(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    kept = vb.filter_to_vocab(t, vb.vocabulary(t))
+    return kept.select("doc_id", F.split("text_for_topic_modeling", " ").alias("words"))
+
+
+@query("m1_topics")
+def m1_topics(spark, sf_dir):
+    d = _topic_docs(spark, sf_dir)
+    model = ml.fit_topics(d, "words")
+    return model.stages[-1].describeTopics(5).select("topic", F.size("termIndices").alias("n_terms"))
+
+
+@query("m2_topic_vectors")
+def m2_topic_vectors(spark, sf_dir):
+    d = _topic_docs(spark, sf_dir)
+    model = ml.fit_topics(d, "words")
+    return _round(ml.topic_columns(model, d, "doc_id", "Top_comment", keep=19), 4)
+
+
+def _gbt(spark, sf_dir):
+    f = _order_features(spark, sf_dir).withColumn("is_valid", F.col("bucket") == 1)
+    train = f.filter(F.col("bucket") >= 1)
+    test = f.filter(F.col("bucket") == 0)
+    model = ml.fit_gbt(train, ["n_lines", "sum_qty", "avg_disc", "avg_tax"], "y", "is_valid", max_iter=30)
+    return model.transform(test)
+
+
+@query("m7_gbt")
+def m7_gbt(spark, sf_dir):
+    return _round(_gbt(spark, sf_dir).select("o_orderkey", "prediction"), 4)
+
+
+@query("m7_gbt_scores")
+def m7_gbt_scores(spark, sf_dir):
+    return _round(sc.regression_scores(_gbt(spark, sf_dir), "y", "prediction"), 4)
+
+
+def _linear(spark, sf_dir):
+    f = _order_features(spark, sf_dir)
+    return f, ml.fit_linear(f, ["sum_qty"], "y")
+
+
+@query("m8_linear")
+def m8_linear(spark, sf_dir):
+    _, m = _linear(spark, sf_dir)
+    lr = m.stages[-1]
+    return _round(spark.createDataFrame([(float(lr.coefficients[0]), float(lr.intercept))],
+                                        "coefficient double, intercept double"))
+
+
+@query("m12_batch_inference")
+def m12_batch_inference(spark, sf_dir):
+    f, m = _linear(spark, sf_dir)
+    return _round(m.transform(f).select("o_orderkey", "prediction"))
+
+
+@query("m13_model_roundtrip")
+def m13_model_roundtrip(spark, sf_dir):
+    f, m = _linear(spark, sf_dir)
+    path, _meta = ml.save_with_params(m, spark, {"features": "sum_qty", "label": "y"}, seed=42)
+    return _round(ml.load(path).transform(f).select("o_orderkey", "prediction"))
+
+
+@query("m10_pair_classifier")
+def m10_pair_classifier(spark, sf_dir):
+    p = _pair_rows(spark, sf_dir).withColumn("human_label", F.col("human_label").cast("double"))
+    model = ml.fit_pair_classifier(p, ["n_chars", "toxic"], "human_label")
+    return model.transform(p).select("l_id", "r_id", F.col("prediction").cast("int").alias("pred"))
+
+
+@query("x8_ngrams")
+def x8_ngrams(spark, sf_dir):
+    v = ml.ngram_vectors(_tokens(spark, sf_dir), "tokens")
+    return v.select("doc_id", F.size(F.col("tokens")).alias("n_tokens"),
+                    F.aggregate(vector_to_array_safe("unigrams"), F.lit(0.0), lambda a, b: a + b).alias("unigram_mass"),
+                    F.aggregate(vector_to_array_safe("bigrams"), F.lit(0.0), lambda a, b: a + b).alias("bigram_mass"))
+
+
+def vector_to_array_safe(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col(c))

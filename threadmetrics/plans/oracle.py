@@ -587,3 +587,37 @@ select comment_id Top_comment_id, round(case when u > 0 then i / u else 0.0 end,
     select c.comment_id, {tx.sql_valid_tokens(tx.sql_clean_text(tx.sql_post_text('p.title', 'p.selftext')))} a,
       {tx.sql_valid_tokens(tx.sql_clean_text('c.body'))} b
     from conv_comments c join conv_posts p using (post_id) where c.parent_id is null))"""
+
+
+# --------------------------------------------------------------- machine learning
+_OF = """(select o.o_orderkey, l.n_lines, l.sum_qty, l.avg_disc, l.avg_tax, l.sum_qty / 10.0 x1,
+  (l.sum_qty + l.n_lines * 5) / 10.0 + l.avg_disc x2,
+  l.sum_qty / 10.0 + 50 * l.avg_disc + o.o_totalprice / 100000.0 y
+from orders o join (select l_orderkey, count(*)::double n_lines, sum(l_quantity) sum_qty, avg(l_discount) avg_disc,
+  avg(l_tax) avg_tax from lineitem group by l_orderkey) l on l.l_orderkey = o.o_orderkey)"""
+# closed-form 2 x 2 PCA: eigenvalues of the sample covariance, eigenvectors
+# (b, l - a) normalised, sign: largest |component| positive.
+_PCA = f"""with f as {_OF},
+cov as (select var_samp(x1) a, covar_samp(x1, x2) b, var_samp(x2) c, avg(x1) m1, avg(x2) m2 from f),
+ev as (select *, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) l0,
+  (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) l1 from cov),
+vec as (select *, b / sqrt(b * b + (l0 - a) * (l0 - a)) v00, (l0 - a) / sqrt(b * b + (l0 - a) * (l0 - a)) v01,
+  b / sqrt(b * b + (l1 - a) * (l1 - a)) v10, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) v11 from ev),
+sg as (select *, case when abs(v00) >= abs(v01) then sign(v00) else sign(v01) end s0,
+  case when abs(v10) >= abs(v11) then sign(v10) else sign(v11) end s1 from vec),
+ratios as (select 0 component, l0 / (l0 + l1) explained_variance_ratio from ev
+  union all select 1, l1 / (l0 + l1) from ev)"""
+ORACLE["m3_pca_ratio"] = _PCA + " select component, round(explained_variance_ratio, 6) explained_variance_ratio from ratios"
+ORACLE["w6_top_components"] = (_PCA + " select component, round(explained_variance_ratio, 6) explained_variance_ratio "
+                               "from ratios order by explained_variance_ratio desc, component limit 5")
+ORACLE["m5_project"] = _PCA + """ select o_orderkey, round(s0 * ((x1 - m1) * v00 + (x2 - m2) * v01), 6) PC0,
+  round(s1 * ((x1 - m1) * v10 + (x2 - m2) * v11), 6) PC1 from f, sg"""
+ORACLE["m4_loadings"] = _PCA + """ select 0 component, 'x1' feature, round(s0 * v00 * sqrt(l0), 6) loading from sg
+  union all select 0, 'x2', round(s0 * v01 * sqrt(l0), 6) from sg
+  union all select 1, 'x1', round(s1 * v10 * sqrt(l1), 6) from sg
+  union all select 1, 'x2', round(s1 * v11 * sqrt(l1), 6) from sg"""
+ORACLE["m8_linear"] = f"select round(regr_slope(y, sum_qty), 6) coefficient, round(regr_intercept(y, sum_qty), 6) intercept from {_OF}"
+_LINPRED = f"""select o_orderkey, round(i + s * sum_qty, 6) prediction from {_OF},
+  (select regr_slope(y, sum_qty) s, regr_intercept(y, sum_qty) i from {_OF})"""
+ORACLE["m12_batch_inference"] = _LINPRED
+ORACLE["m13_model_roundtrip"] = _LINPRED
