@@ -765,3 +765,70 @@ def x8_ngrams(spark, sf_dir):
 def vector_to_array_safe(c):
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(F.col(c))
+
+
+# --------------------------------------------------------------- sources and sinks
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import files as fs  # noqa: E402
+from ..sources import jsonl  # noqa: E402
+
+
+def _scratch(spark, name):
+    return _os.path.join(ensure_checkpoint_dir(spark), f"tm-{name}-{_uuid.uuid4().hex}")
+
+
+def _json_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "threads-json")
+    jsonl.write_threads(_t(spark, sf_dir, "conv_posts"), _t(spark, sf_dir, "conv_comments"), path)
+    return jsonl.read_threads(spark, path)
+
+
+@query("s1_json_ingest")
+def s1_json_ingest(spark, sf_dir):
+    _, comments = _json_roundtrip(spark, sf_dir)
+    return comments
+
+
+@query("s1_json_posts")
+def s1_json_posts(spark, sf_dir):
+    posts, _ = _json_roundtrip(spark, sf_dir)
+    return posts
+
+
+@query("s2_s4_tsv_roundtrip")
+def s2_s4_tsv_roundtrip(spark, sf_dir):
+    df = feat.basic_features(_t(spark, sf_dir, "conv_comments"), _t(spark, sf_dir, "conv_posts"))
+    path = _scratch(spark, "features-tsv")
+    fs.write_tsv(df, path)
+    schema = ", ".join(f"{c} {t}" for c, t in sorted(df.dtypes))
+    return fs.read_tsv(spark, path, schema)
+
+
+@query("s9_embedding_csv")
+def s9_embedding_csv(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    path = _scratch(spark, "embeddings-csv")
+    fs.write_embedding_csv(e, "vec_id", "embedding", 64, path)
+    back = fs.read_embedding_csv(spark, path, 64)
+    return _round(back.select("name", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+                              .alias("cell_sum")), 4)
+
+
+@query("s7_category_dict")
+def s7_category_dict(spark, sf_dir):
+    d = _part_dict(spark, sf_dir)
+    path = _scratch(spark, "category-json")
+    obj = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "category_id")))).alias("value"))
+    obj.write.mode("overwrite").text(path)
+    return fs.read_category_dict(spark, path)
+
+
+@query("s11_replace_labels")
+def s11_replace_labels(spark, sf_dir):
+    base = _scratch(spark, "datasets")
+    ds = fs.save_dataset(_pair_rows(spark, sf_dir), base, "pairs", "1")
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("r_id"), F.col("toxic").alias("human_label"))
+    return fs.replace_labels(ds, lab, "r_id", "human_label").select("l_id", "r_id", "human_label", "n_chars_l", "n_chars_r")

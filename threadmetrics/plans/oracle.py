@@ -621,3 +621,16 @@ _LINPRED = f"""select o_orderkey, round(i + s * sum_qty, 6) prediction from {_OF
   (select regr_slope(y, sum_qty) s, regr_intercept(y, sum_qty) i from {_OF})"""
 ORACLE["m12_batch_inference"] = _LINPRED
 ORACLE["m13_model_roundtrip"] = _LINPRED
+
+
+# --------------------------------------------------------------- sources and sinks
+ORACLE["s1_json_ingest"] = ctes("conv_comments") + """ select post_id, comment_id, parent_id,
+  cast(row_number() over (partition by post_id, parent_id order by sibling_ord) - 1 as int) sibling_ord,
+  subreddit, subreddit_id, author, score, created_utc, body from conv_comments"""
+ORACLE["s1_json_posts"] = ctes("conv_posts") + " select * from conv_posts"
+ORACLE["s2_s4_tsv_roundtrip"] = ORACLE["p2_basic_features"]
+ORACLE["s9_embedding_csv"] = """select cast(vec_id as varchar) name, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) cell_sum
+from embeddings"""
+ORACLE["s7_category_dict"] = ORACLE["a13_vocab_ids"]
+ORACLE["s11_replace_labels"] = f"""select p.l_id, p.r_id, l.toxic human_label, p.n_chars_l, p.n_chars_r
+from {_PROWS} p join labels l on l.doc_id = p.r_id"""
