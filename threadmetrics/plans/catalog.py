@@ -832,3 +832,17 @@ def s11_replace_labels(spark, sf_dir):
     ds = fs.save_dataset(_pair_rows(spark, sf_dir), base, "pairs", "1")
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("r_id"), F.col("toxic").alias("human_label"))
     return fs.replace_labels(ds, lab, "r_id", "human_label").select("l_id", "r_id", "human_label", "n_chars_l", "n_chars_r")
+
+
+# --------------------------------------------------------------- remaining small ids
+@query("f8_half_select")
+def f8_half_select(spark, sf_dir):
+    h = _halves(spark, sf_dir)
+    return h.filter(F.col("half") == 0).select(F.col("tlc_id").alias("Top_comment_id"), "comment_id")
+
+
+@query("p4_flatten")
+def p4_flatten(spark, sf_dir):
+    f = tree.flatten_post_order(_t(spark, sf_dir, "bushy_comments"))
+    return f.filter(F.col("level") > 0).select(F.col("tlc_id").alias("Top_comment_id"), "comment_id", "level",
+                                               F.col("height").cast("bigint").alias("height"))

@@ -634,3 +634,11 @@ from embeddings"""
 ORACLE["s7_category_dict"] = ORACLE["a13_vocab_ids"]
 ORACLE["s11_replace_labels"] = f"""select p.l_id, p.r_id, l.toxic human_label, p.n_chars_l, p.n_chars_r
 from {_PROWS} p join labels l on l.doc_id = p.r_id"""
+
+
+# --------------------------------------------------------------- remaining small ids
+ORACLE["f8_half_select"] = (ctes("conv_comments", extra=_replies("conv_comments"), recursive=True)
+                            + " select tlc_id Top_comment_id, comment_id from halves where half = 0")
+ORACLE["p4_flatten"] = (ctes("bushy_comments", extra=tree_cte("bushy_comments") + ",\n" + anc_cte("bushy_comments"), recursive=True)
+                        + """, h as (select post_id, a comment_id, cast(max(d) + 1 as bigint) height from anc group by all)
+select t.tlc_id Top_comment_id, t.comment_id, t.level, h.height from tree t join h using (post_id, comment_id) where t.level > 0""")
