@@ -43,7 +43,10 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
     hot = sizes.filter(F.col("_gn") > hot_rows).select(*group_cols)
     n_hot = hot.count()
     if n_hot == 0:
-        pieced = df.withColumn("_piece", F.lit(0))
+        # every group fits a task: one window, no piece bookkeeping
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return (df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
+                .withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("bigint")))
     else:
         fracs = [i / pieces for i in range(1, pieces)]
         small = n_hot <= MAX_BROADCAST_GROUPS
