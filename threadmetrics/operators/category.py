@@ -61,8 +61,9 @@ def category_vectors(dictionary: DataFrame, vectors: DataFrame, vec_id: str, vec
     """For every category id the known vector (left join on the id), else
     a deterministic normal draw with the given mean and std, per cell.
     Output long form ``(category_id, j, value)``: cells stay rows."""
-    known = vectors.select(F.col(vec_id).alias("category_id"), F.posexplode(vec_col).alias("j", "_v"))
-    cells = dictionary.select("category_id", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("j"))
+    known = (vectors.select(F.col(vec_id).alias("category_id"), F.posexplode(vec_col).alias("j", "_v"))
+             .withColumn("j", F.col("j").cast("bigint")))
+    cells = dictionary.select("category_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))).alias("j"))
     key = F.concat(F.lit(f"{seed}:"), F.col("category_id").cast("string"), F.lit(":"), F.col("j").cast("string"))
     return (cells.join(known, ["category_id", "j"], "left")
             .select("category_id", "j",

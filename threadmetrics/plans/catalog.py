@@ -557,7 +557,7 @@ def o2_union(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("item_id"), "text")
     b = read_table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), "item_id", "text")
-    return d.unionByName(b).select("origin", "item_id", F.length("text").alias("n_chars"))
+    return d.unionByName(b).select("origin", "item_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
 # --------------------------------------------------------------- language and text scores

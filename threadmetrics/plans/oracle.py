@@ -356,7 +356,7 @@ from (select count(case when pred = human_label then 1 end) / count(*) accuracy,
   case when count(case when human_label = 1 then 1 end) > 0 then count(case when human_label = 1 and pred = 1 then 1 end) / count(case when human_label = 1 then 1 end) end recall_r
   from {_RANK})"""
 ORACLE["t13_t14_rescale"] = f"""select doc_id, round(2 * ((doc_id % 10) / 9.0) - 1, 6) gender_value,
-  round(0.5 * (1 + n_chars % 5) - 1.5, 6) politeness_value from {_LD}"""
+  round((0.5 * (1 + n_chars % 5) - 1.5)::double, 6) politeness_value from {_LD}"""
 ORACLE["t15_toxicity"] = """select doc_id, case when (n_chars % 1000) / 999.0 > 0.5 then 1 else 0 end untuned_toxicity,
   case when (n_chars % 1000) / 999.0 > 0.8 and (doc_id % 100) / 99.0 > 0.5 then 1 else 0 end tuned_toxicity from documents"""
 ORACLE["x5_toxic_children"] = ctes("conv_comments", extra=tree_cte("conv_comments"), recursive=True) + """
