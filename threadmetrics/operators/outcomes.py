@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import (ACCOMMODATION_MARKERS, FUNDRAISING_HOSTS, INFORMATIVE_HOSTS,
                                PROSOCIAL_PATTERNS)
 from . import scores as sc
+from .lineage import materialize
 from .tree import annotate
 
 KEY = ["Top_comment_id", "half"]
@@ -22,8 +23,9 @@ def _words(body: Column) -> Column:
     return F.split(F.lower(F.coalesce(body, F.lit(""))), "[^a-z]+")
 
 
-def has_marker(body: Column, category: str) -> Column:
-    return F.arrays_overlap(_words(body), F.array(*[F.lit(w) for w in ACCOMMODATION_MARKERS[category]]))
+def has_marker(words: Column, category: str) -> Column:
+    """Does a word array (see ``_words``) contain a marker of the category?"""
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in ACCOMMODATION_MARKERS[category]]))
 
 
 def reply_scores(replies: DataFrame) -> DataFrame:
@@ -67,10 +69,11 @@ def accommodation(halves: DataFrame, comments: DataFrame) -> DataFrame:
     no parent has m. One many-to-one join reply -> parent on
     ``(post_id, comment_id)``."""
     par = comments.select("post_id", F.col("comment_id").alias("parent_id"), F.col("body").alias("_pbody"))
-    j = halves.select("post_id", "parent_id", "tlc_id", "half", "body").join(par, ["post_id", "parent_id"], "inner")
+    j = (halves.select("post_id", "parent_id", "tlc_id", "half", "body").join(par, ["post_id", "parent_id"], "inner")
+         .select("tlc_id", "half", _words(F.col("body")).alias("_cw"), _words(F.col("_pbody")).alias("_pw")))
     aggs = []
     for m in ACCOMMODATION_MARKERS:
-        c, p = has_marker(F.col("body"), m), has_marker(F.col("_pbody"), m)
+        c, p = has_marker(F.col("_cw"), m), has_marker(F.col("_pw"), m)
         aggs += [F.count_if(c & p).alias(f"_cp_{m}"), F.count_if(p).alias(f"_p_{m}"),
                  F.count_if(c).alias(f"_c_{m}")]
     a = j.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(
@@ -101,7 +104,8 @@ def alternation(comments: DataFrame) -> DataFrame:
     cont = (F.col("_pa").isNotNull() & (F.col("_pa") != F.col("author"))
             & F.col("_ga").isNotNull() & (F.col("_ga") == F.col("author")))
     base = F.when(F.col("_pa").isNull() | (F.col("_pa") == F.col("author")), 1).otherwise(2)
-    x = x.select("post_id", "comment_id", "parent_id", "author", "_pa", cont.alias("cont"), base.alias("base"))
+    x = materialize(x.select("post_id", "comment_id", "parent_id", "author", "_pa", cont.alias("cont"),
+                             base.alias("base")), "alternation")
     cut = x.select("post_id", "comment_id", F.when(F.col("cont"), F.col("parent_id")).alias("parent_id"))
     runs = annotate(cut).select("post_id", "comment_id", F.col("tlc_id").alias("_start"), F.col("level").alias("_d"))
     starts = x.select("post_id", F.col("comment_id").alias("_start"), F.col("base").alias("_base"))
