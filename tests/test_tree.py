@@ -78,3 +78,17 @@ def test_same_result_any_partitioning(spark):
     base = sorted(tree.node_heights(df).collect())
     for n in (1, 4, 13):
         assert sorted(tree.node_heights(df.repartition(n)).collect()) == base
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=10_000), min_size=1, max_size=40))
+def test_fused_tree_stats_match(spark, picks):
+    parent = {"n0": None}
+    for i, x in enumerate(picks, start=1):
+        parent[f"n{i}"] = None if x % 7 == 0 else (f"n{x % i}" if x % 11 else "gone")
+    df = frame(spark, [("p", n, p, 0, 1, "") for n, p in parent.items()])
+    fused = {r["comment_id"]: (r["tlc_id"], r["level"] if r["tlc_id"] else None, r["height"], r["size"])
+             for r in tree.tree_stats(df).collect()}
+    ann = {r["comment_id"]: (r["tlc_id"], r["level"] if r["tlc_id"] else None) for r in tree.annotate(df).collect()}
+    hs = {r["comment_id"]: (r["height"], r["size"]) for r in tree.subtree_stats(df).collect()}
+    assert fused == {n: ann[n] + hs[n] for n in parent}

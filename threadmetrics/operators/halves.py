@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import EVEN_SAMPLE_MIN_STRATUM, EVEN_SAMPLE_PER_STRATUM
 from ..functions.text import link_count
 from .grouprank import group_rank
-from .tree import _checkpoint, annotate, subtree_stats
+from .tree import _checkpoint, annotate, tree_stats
 
 HALF_METRICS = ["Replies_links_count", "Replies_total_number", "Top_comment_direct_children",
                 "Replies_sum_score", "Replies_max_depth"]
@@ -24,13 +24,10 @@ def replies_with_heights(comments: DataFrame) -> DataFrame:
     whole tree first), so a half reports heights of the whole thread.
     Materialised: the half split reads it several times.
     """
-    ann = annotate(comments)
-    h = subtree_stats(comments).select("post_id", "comment_id", "height")
+    stats = tree_stats(comments).select("post_id", "comment_id", "tlc_id", "level", "height")
     r = (comments.select("post_id", "comment_id", "parent_id", "subreddit", "subreddit_id",
                          "score", "created_utc", "body")
-         .join(ann, ["post_id", "comment_id"], "inner")
-         .filter(F.col("level") > 0)
-         .join(h, ["post_id", "comment_id"], "inner"))
+         .join(stats.filter(F.col("level") > 0), ["post_id", "comment_id"], "inner"))
     return _checkpoint(r)
 
 

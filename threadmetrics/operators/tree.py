@@ -185,6 +185,58 @@ def flatten_post_order(comments: DataFrame) -> DataFrame:
     """Every reply as a row with its TLC, level and height (the flat
     forest the half-split works on). The reference's post-order is only a
     tie-break; ordering is done explicitly downstream (W1)."""
-    tree = comment_tree(comments)
-    h = subtree_stats(comments).select("post_id", "comment_id", "height")
-    return tree.join(h, ["post_id", "comment_id"], "inner")
+    stats = tree_stats(comments).select("post_id", "comment_id", "tlc_id", "level", "height")
+    return comments.join(stats, ["post_id", "comment_id"], "inner")
+
+
+def tree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Root, level, height, subtree size (and sums) of every comment in one
+    loop: :func:`annotate` and :func:`subtree_stats` fused.
+
+    Both walk the same pointers. At the start of round k a node that is not
+    done points ``2**k`` levels up (``dist == 2**k``); a done node points at
+    its root with ``dist`` = its level. So the doubling ancestor of round k
+    is ``ptr`` exactly when ``dist == 2**k``; contributions go up along it
+    (aggregation keyed by the ancestor) and unfinished nodes jump (join on
+    ``ptr``). Stops when every node is done and no ancestor is left.
+    """
+    sums = sums or {}
+    names = list(sums)
+    state = comments.select(
+        "post_id",
+        F.col("comment_id").alias("node"),
+        F.coalesce("parent_id", "comment_id").alias("ptr"),
+        F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
+        F.col("parent_id").isNull().alias("done"),
+        F.lit(1).alias("height"),
+        F.lit(1).cast("bigint").alias("size"),
+        *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()],
+    )
+    step = 1
+    for _ in range(MAX_ROUNDS):
+        has_anc = (F.col("dist") == step) & F.col("ptr").isNotNull()
+        if state.filter(~F.col("done") | has_anc).isEmpty():
+            break
+        up = (state.filter(has_anc)
+              .groupBy("post_id", F.col("ptr").alias("node"))
+              .agg(F.max("height").alias("_h"), F.sum("size").alias("_size"),
+                   *[F.sum(n).alias("_" + n) for n in names]))
+        look = state.select("post_id", F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"),
+                            F.col("dist").alias("_dist"), F.col("done").alias("_done"))
+        j = (state.join(up, ["post_id", "node"], "left")
+             .join(look, ["post_id", "ptr"], "left"))
+        orphan = F.col("_ptr").isNull()
+        done = F.col("done")
+        state = _checkpoint(j.select(
+            "post_id", "node",
+            F.when(done, F.col("ptr")).when(orphan, F.lit(None).cast("string")).otherwise(F.col("_ptr")).alias("ptr"),
+            F.when(done, F.col("dist")).otherwise(F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            (done | orphan | F.col("_done")).alias("done"),
+            F.greatest("height", F.coalesce(F.col("_h") + step, F.lit(0))).alias("height"),
+            (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
+            *[(F.col(n) + F.coalesce("_" + n, F.lit(0))).alias(n) for n in names]))
+        step *= 2
+    else:
+        raise RuntimeError("reply tree has a cycle or is deeper than 2**64")
+    return state.select("post_id", F.col("node").alias("comment_id"), F.col("ptr").alias("tlc_id"),
+                        F.col("dist").cast("int").alias("level"), "height", "size", *names)
