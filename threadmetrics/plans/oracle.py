@@ -339,8 +339,7 @@ ORACLE["a15_ce"] = f"""select round(avg(greatest(z0, z1) + ln(exp(z0 - greatest(
   round(avg(case when (case when z1 > z0 then 1 else 0 end) = gold then 1.0 else 0.0 end), 6) accuracy,
   cast(count(*) as bigint) n
 from (select 0.0::double z0, (n_chars - 1500) / 1000.0 z1, quality gold from {_LD})"""
-_PAIRS = """(select l.doc_id l_id, r.doc_id r_id, r.quality human_label from labels l join labels r on r.doc_id = l.doc_id + 1
-  where l.doc_id % 2 = 0)"""
+_PAIRS = """(select l.doc_id l_id, r.doc_id r_id, r.quality human_label from labels l join labels r on r.doc_id = l.doc_id + 1)"""
 _PROWS = f"""(select p.l_id, p.r_id, p.human_label,
   a.n_chars n_chars_l, a.quality quality_l, a.toxic toxic_l, a.source source_l,
   b.n_chars n_chars_r, b.quality quality_r, b.toxic toxic_r, b.source source_r
@@ -371,7 +370,7 @@ ORACLE["t16_cosine"] = """select a_id, b_id, round(dot / (sqrt(na) * sqrt(nb)),
     list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1]::double * t[2]::double)) dot,
     list_sum(list_transform(a.embedding, lambda t: t::double * t::double)) na,
     list_sum(list_transform(b.embedding, lambda t: t::double * t::double)) nb
-  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0)"""
+  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"""
 ORACLE["a18_moments"] = """select round(avg(x), 6) mean, round(stddev_pop(x), 6) std, cast(count(*) as bigint) n_cells
 from (select unnest(embedding)::double x from embeddings)"""
 ORACLE["w4_subset"] = """select o_orderkey, o_custkey from orders order by md5('42:' || cast(o_orderkey as varchar)), o_orderkey limit 1000"""
