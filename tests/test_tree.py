@@ -92,3 +92,22 @@ def test_fused_tree_stats_match(spark, picks):
     ann = {r["comment_id"]: (r["tlc_id"], r["level"] if r["tlc_id"] else None) for r in tree.annotate(df).collect()}
     hs = {r["comment_id"]: (r["height"], r["size"]) for r in tree.subtree_stats(df).collect()}
     assert fused == {n: ann[n] + hs[n] for n in parent}
+
+
+def test_hot_parent_split_path(spark):
+    # one parent with many children plus a chain below: force the hot-key path
+    rows = [("p", "root", None, 0, 1, "")]
+    rows += [("p", f"k{i}", "root", i, 1, "") for i in range(60)]
+    rows += [("p", f"c{i}", f"c{i - 1}" if i else "k0", 0, 1, "") for i in range(20)]
+    df = frame(spark, rows)
+    base = (sorted(tree.tree_stats(df).collect()), sorted(tree.annotate(df).collect()),
+            sorted(tree.subtree_stats(df).collect()))
+    spark.conf.set("threadmetrics.hotKeyRows", "5")
+    try:
+        hot = (sorted(tree.tree_stats(df).collect()), sorted(tree.annotate(df).collect()),
+               sorted(tree.subtree_stats(df).collect()))
+    finally:
+        spark.conf.unset("threadmetrics.hotKeyRows")
+    assert hot == base
+    stats = {r["comment_id"]: r for r in base[0]}
+    assert stats["root"]["size"] == 81 and stats["root"]["height"] == 22 and stats["c19"]["level"] == 21

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import materialize
+from .skew import lookup_join
 
 MAX_ROUNDS = 64  # 2**63 levels: never reached; guards against cycles
 
@@ -58,7 +59,7 @@ def annotate(comments: DataFrame) -> DataFrame:
             F.col("dist").alias("_dist"),
             F.col("done").alias("_done"),
         )
-        active = state.filter(~F.col("done")).join(look, ["post_id", "ptr"], "left")
+        active = lookup_join(state.filter(~F.col("done")), look, ["post_id", "ptr"])
         orphan = F.col("_ptr").isNull()
         stepped = active.select(
             "post_id",
@@ -115,8 +116,7 @@ def subtree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) ->
               .agg(F.max("height").alias("_h"), F.sum("size").alias("_size"),
                    *[F.sum(n).alias("_" + n) for n in names]))
         jump = state.select("post_id", F.col("node").alias("anc"), F.col("anc").alias("_anc"))
-        nxt = (state.join(up, ["post_id", "node"], "left")
-               .join(jump, ["post_id", "anc"], "left")
+        nxt = (lookup_join(state.join(up, ["post_id", "node"], "left"), jump, ["post_id", "anc"])
                .select(
                    "post_id", "node",
                    F.col("_anc").alias("anc"),
@@ -223,18 +223,21 @@ def tree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) -> Da
                    *[F.sum(n).alias("_" + n) for n in names]))
         look = state.select("post_id", F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"),
                             F.col("dist").alias("_dist"), F.col("done").alias("_done"))
-        j = (state.join(up, ["post_id", "node"], "left")
-             .join(look, ["post_id", "ptr"], "left"))
-        orphan = F.col("_ptr").isNull()
-        done = F.col("done")
-        state = _checkpoint(j.select(
-            "post_id", "node",
-            F.when(done, F.col("ptr")).when(orphan, F.lit(None).cast("string")).otherwise(F.col("_ptr")).alias("ptr"),
-            F.when(done, F.col("dist")).otherwise(F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
-            (done | orphan | F.col("_done")).alias("done"),
+        grown = state.join(up, ["post_id", "node"], "left").select(
+            "post_id", "node", "ptr", "dist", "done",
             F.greatest("height", F.coalesce(F.col("_h") + step, F.lit(0))).alias("height"),
             (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
-            *[(F.col(n) + F.coalesce("_" + n, F.lit(0))).alias(n) for n in names]))
+            *[(F.col(n) + F.coalesce("_" + n, F.lit(0))).alias(n) for n in names])
+        # finished nodes keep their pointer; only the others jump
+        jumped = lookup_join(grown.filter(~F.col("done")), look, ["post_id", "ptr"])
+        orphan = F.col("_ptr").isNull()
+        jumped = jumped.select(
+            "post_id", "node",
+            F.when(orphan, F.lit(None).cast("string")).otherwise(F.col("_ptr")).alias("ptr"),
+            (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            (orphan | F.col("_done")).alias("done"),
+            "height", "size", *names)
+        state = _checkpoint(grown.filter(F.col("done")).unionByName(jumped))
         step *= 2
     else:
         raise RuntimeError("reply tree has a cycle or is deeper than 2**64")
