@@ -128,3 +128,12 @@ def test_streaming_matches_batch(spark):
     got = spark.read.parquet(os.path.join(d, "out"))
     want = tlc_row_features(c)
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+
+
+def test_lookup_join_hot_keys(spark):
+    from threadmetrics.operators.skew import lookup_join
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)] + [(None, 99)], "k string, v int")
+    right = spark.createDataFrame([("hot", "H"), ("k0", "Z"), ("k3", "T")], "k string, r string")
+    for how in ("left", "inner", "left_semi"):
+        want = sorted(left.join(right, ["k"], how).collect())
+        assert sorted(lookup_join(left, right, ["k"], how, hot_rows=5).collect()) == want

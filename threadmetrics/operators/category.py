@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import EMBEDDING_BLEND_ALPHA, GENERIC_CATEGORY_ID
 from .indexing import global_index
+from .skew import lookup_join
 
 GENERIC_NAME = "<generic>"
 # A dictionary up to this size is broadcast to the lookup; larger ones are
@@ -33,15 +34,17 @@ def id_check(dictionary: DataFrame) -> DataFrame:
                     ok.alias("ids_contiguous"))
 
 
-def _dict_side(dictionary: DataFrame) -> DataFrame:
-    d = dictionary.select("name", "category_id")
-    return F.broadcast(d) if dictionary.count() <= MAX_BROADCAST_CATEGORIES else d
-
-
 def lookup(df: DataFrame, name_col: str, dictionary: DataFrame, out_col: str = "category_id") -> DataFrame:
-    """Name -> id, unknown names (and NULL) -> the generic id 0."""
-    d = _dict_side(dictionary).withColumnRenamed("category_id", "_cid")
-    return (df.join(d, df[name_col] == d["name"], "left").drop("name")
+    """Name -> id, unknown names (and NULL) -> the generic id 0. The
+    dictionary is broadcast below a size bound; above it, a hot-key aware
+    shuffle join (one popular category may cover many rows)."""
+    d = dictionary.select(F.col("name").alias("_name"), F.col("category_id").alias("_cid"))
+    left = df.withColumn("_name", F.col(name_col))
+    if dictionary.count() <= MAX_BROADCAST_CATEGORIES:
+        j = left.join(F.broadcast(d), "_name", "left")
+    else:
+        j = lookup_join(left, d, ["_name"])
+    return (j.drop("_name")
             .withColumn(out_col, F.coalesce("_cid", F.lit(GENERIC_CATEGORY_ID)).cast("bigint")).drop("_cid"))
 
 

@@ -15,6 +15,7 @@ from ..functions.fixed import (ACCOMMODATION_MARKERS, FUNDRAISING_HOSTS, INFORMA
 from . import scores as sc
 from .lineage import materialize
 from .tree import annotate
+from .skew import lookup_join
 
 KEY = ["Top_comment_id", "half"]
 
@@ -69,7 +70,7 @@ def accommodation(halves: DataFrame, comments: DataFrame) -> DataFrame:
     no parent has m. One many-to-one join reply -> parent on
     ``(post_id, comment_id)``."""
     par = comments.select("post_id", F.col("comment_id").alias("parent_id"), F.col("body").alias("_pbody"))
-    j = (halves.select("post_id", "parent_id", "tlc_id", "half", "body").join(par, ["post_id", "parent_id"], "inner")
+    j = (lookup_join(halves.select("post_id", "parent_id", "tlc_id", "half", "body"), par, ["post_id", "parent_id"], "inner")
          .select("tlc_id", "half", _words(F.col("body")).alias("_cw"), _words(F.col("_pbody")).alias("_pw")))
     aggs = []
     for m in ACCOMMODATION_MARKERS:
@@ -100,7 +101,7 @@ def alternation(comments: DataFrame) -> DataFrame:
     p = c.select("post_id", F.col("comment_id").alias("parent_id"), F.col("parent_id").alias("_gp"),
                  F.col("author").alias("_pa"))
     g = c.select("post_id", F.col("comment_id").alias("_gp"), F.col("author").alias("_ga"))
-    x = c.join(p, ["post_id", "parent_id"], "left").join(g, ["post_id", "_gp"], "left")
+    x = lookup_join(lookup_join(c, p, ["post_id", "parent_id"]), g, ["post_id", "_gp"])
     cont = (F.col("_pa").isNotNull() & (F.col("_pa") != F.col("author"))
             & F.col("_ga").isNotNull() & (F.col("_ga") == F.col("author")))
     base = F.when(F.col("_pa").isNull() | (F.col("_pa") == F.col("author")), 1).otherwise(2)

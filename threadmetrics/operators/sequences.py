@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import MAX_SEQ_LEN, MLM_PROBABILITY
 from .category import _uniform
+from .skew import lookup_join
 
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 FIRST_WORD_ID = 5
@@ -27,9 +28,10 @@ def word_ids(vocab_index: DataFrame) -> DataFrame:
 
 def encode(tokens: DataFrame, ids: DataFrame) -> DataFrame:
     """Token ids of every document in token order, unknown words -> UNK."""
-    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_WORDS else ids
     pos = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "word"))
-    j = pos.join(side, "word", "left").select("doc_id", "pos", F.coalesce("tok_id", F.lit(UNK_ID)).alias("tok_id"))
+    j = (pos.join(F.broadcast(ids), "word", "left") if ids.count() <= MAX_BROADCAST_WORDS
+         else lookup_join(pos, ids, ["word"]))
+    j = j.select("doc_id", "pos", F.coalesce("tok_id", F.lit(UNK_ID)).alias("tok_id"))
     return (j.groupBy("doc_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "tok_id"))).alias("_s"))
             .select("doc_id", F.transform("_s", lambda s: s["tok_id"]).alias("ids")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.fixed import MIN_VALID_TOKENS, STOP_WORDS, VOCAB_MAX_DOC_SHARE, VOCAB_MIN_DOC_FREQ
 from .indexing import global_index
+from .skew import lookup_join
 
 # A vocabulary up to this many words is broadcast; larger ones are joined
 # by shuffle (with AQE's skew split for very frequent words).
@@ -51,11 +52,20 @@ def _vocab_side(vocab: DataFrame) -> DataFrame:
     return F.broadcast(v) if vocab.count() <= MAX_BROADCAST_WORDS else v
 
 
+def _in_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Keep rows whose ``word`` is in the vocabulary: broadcast below the
+    bound, else a hot-key aware semi join (frequent words are hot keys)."""
+    v = vocab.select("word")
+    if vocab.count() <= MAX_BROADCAST_WORDS:
+        return rows.join(F.broadcast(v), "word", "left_semi")
+    return lookup_join(rows, v, ["word"], "left_semi")
+
+
 def filter_to_vocab(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """F10 + F5 + J4: keep in-vocabulary tokens in their order, drop
     documents left empty; ``(doc_id, text_for_topic_modeling)``."""
     pos = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "word"))
-    kept = pos.join(_vocab_side(vocab), "word", "left_semi")
+    kept = _in_vocab(pos, vocab)
     return (kept.groupBy("doc_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_t"))
             .select("doc_id", F.array_join(F.transform("_t", lambda s: s["word"]), " ")
