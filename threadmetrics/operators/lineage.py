@@ -5,8 +5,8 @@ every round and, after a lost executor, recompute every earlier round. Each
 round's state is written as a Parquet table below the shared folder named by
 ``spark.checkpoint.dir`` and read back: the plan restarts from a scan, the
 data survives executor loss, and the next round reads it column-pruned and
-vectorised. (``DataFrame.checkpoint()`` does the same with Java-serialised
-rows and a second pass over the data; Parquet is several times cheaper.)
+vectorised. (``DataFrame.checkpoint()`` would store Java-serialised rows
+instead of a columnar, compressed table.)
 """
 
 from __future__ import annotations
