@@ -20,12 +20,16 @@ MAX_BROADCAST_KEYS = 200_000
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-                hot_rows: int | None = None) -> DataFrame:
+                hot_rows: int | None = None, left_rows: int | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for a ``right`` unique per key, with
-    hot keys joined by a bounded broadcast."""
+    hot keys joined by a bounded broadcast. ``left_rows``, when the caller
+    already knows an upper bound of the left size, skips the key count when
+    no key can exceed the threshold."""
     spark = left.sparkSession
     if hot_rows is None:
         hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right, keys, how)
     hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_rows).select(*keys))
     n_hot = hot.count()

@@ -50,7 +50,8 @@ def annotate(comments: DataFrame) -> DataFrame:
         F.col("parent_id").isNull().alias("done"),
     )
     for _ in range(MAX_ROUNDS):
-        if state.filter(~F.col("done")).isEmpty():
+        n_active = state.filter(~F.col("done")).count()
+        if n_active == 0:
             break
         look = state.select(
             "post_id",
@@ -59,7 +60,7 @@ def annotate(comments: DataFrame) -> DataFrame:
             F.col("dist").alias("_dist"),
             F.col("done").alias("_done"),
         )
-        active = lookup_join(state.filter(~F.col("done")), look, ["post_id", "ptr"])
+        active = lookup_join(state.filter(~F.col("done")), look, ["post_id", "ptr"], left_rows=n_active)
         orphan = F.col("_ptr").isNull()
         stepped = active.select(
             "post_id",
@@ -108,15 +109,17 @@ def subtree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) ->
         *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()],
     )
     step = 1
+    n_rows = None
     for _ in range(MAX_ROUNDS):
         if state.filter(F.col("anc").isNotNull()).isEmpty():
             break
+        n_rows = n_rows if n_rows is not None else state.count()
         up = (state.filter(F.col("anc").isNotNull())
               .groupBy("post_id", F.col("anc").alias("node"))
               .agg(F.max("height").alias("_h"), F.sum("size").alias("_size"),
                    *[F.sum(n).alias("_" + n) for n in names]))
         jump = state.select("post_id", F.col("node").alias("anc"), F.col("anc").alias("_anc"))
-        nxt = (lookup_join(state.join(up, ["post_id", "node"], "left"), jump, ["post_id", "anc"])
+        nxt = (lookup_join(state.join(up, ["post_id", "node"], "left"), jump, ["post_id", "anc"], left_rows=n_rows)
                .select(
                    "post_id", "node",
                    F.col("_anc").alias("anc"),
@@ -215,7 +218,8 @@ def tree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) -> Da
     step = 1
     for _ in range(MAX_ROUNDS):
         has_anc = (F.col("dist") == step) & F.col("ptr").isNotNull()
-        if state.filter(~F.col("done") | has_anc).isEmpty():
+        n_active = state.filter(~F.col("done") | has_anc).count()
+        if n_active == 0:
             break
         up = (state.filter(has_anc)
               .groupBy("post_id", F.col("ptr").alias("node"))
@@ -229,7 +233,7 @@ def tree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) -> Da
             (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
             *[(F.col(n) + F.coalesce("_" + n, F.lit(0))).alias(n) for n in names])
         # finished nodes keep their pointer; only the others jump
-        jumped = lookup_join(grown.filter(~F.col("done")), look, ["post_id", "ptr"])
+        jumped = lookup_join(grown.filter(~F.col("done")), look, ["post_id", "ptr"], left_rows=n_active)
         orphan = F.col("_ptr").isNull()
         jumped = jumped.select(
             "post_id", "node",
