@@ -20,7 +20,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 # One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["materialize", "read_table", "ascii_lower", "packed", "with_uid", "unpack", "rows_of", "shuffle_parts"]
+__all__ = ["materialize", "read_table", "ascii_lower", "packed", "with_uid", "unpack", "rows_of", "shuffle_parts", "bound_arrow"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -54,3 +54,10 @@ def rows_of(df: DataFrame) -> int:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds: texts can be long, so both the rows
+    and the bytes of a batch handed to Python are limited."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
