@@ -28,6 +28,7 @@ from .common import ascii_lower, materialize, packed, unpack, with_uid
 
 BATCHES = 4                  # three snapshots, then the incoming batch
 DIGESTS_PER_BUCKET = 100_000
+SALTS = 16                   # rows of one digest meet its entry in so many places
 
 
 def _digest(text: Column) -> tuple[Column, Column]:
@@ -74,7 +75,8 @@ def exact_groups(lite: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     """Byte-checked groups of equal texts with more than one row:
     ``digest, check, group_size, last`` (last = id and row number of the row
     that stays). ``lite``: _uid, _id, digest, check, batch; ``texts``:
-    digest, check, _text for the same rows; ``rows``: their number."""
+    digest, check, _text and _salt (any column that varies between copies) for
+    the same rows; ``rows``: their number."""
     buckets = max(8, rows // DIGESTS_PER_BUCKET + 1)
     per_batch = materialize(
         lite.groupBy("digest", "check", "batch")
@@ -92,8 +94,10 @@ def exact_groups(lite: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     suspects = materialize(across.unionByName(within).filter("n > 1"), "suspects")
 
     # Byte check: group on the text itself (map-side combined), then demand
-    # one text per digest.
-    exact = (texts.join(suspects.select("digest", "check"), ["digest", "check"], "left_semi")
+    # one text per digest. Salted, so that the copies of one text spread.
+    salted = suspects.select("digest", "check", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    exact = (texts.withColumn("salt", F.pmod(F.xxhash64("_salt"), F.lit(SALTS)).cast("int"))
+             .join(salted, ["digest", "check", "salt"], "left_semi")
              .groupBy("digest", "check", ascii_lower(F.col("_text")).alias("norm"))
              .agg(F.count(F.lit(1)).alias("m"))
              .groupBy("digest", "check").agg(F.sum("m").alias("group_size"), F.count(F.lit(1)).alias("texts")))
@@ -109,7 +113,7 @@ def duplicate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest, check = _digest(F.col("_text"))
     tagged = src.withColumns({"digest": digest, "check": check, "batch": batch_of(F.col("_id"))})
     lite = materialize(with_uid(tagged.drop("_text")), "digests")
-    groups = exact_groups(lite, tagged.select("digest", "check", "_text"), lite.count())
+    groups = exact_groups(lite, tagged.select("digest", "check", "_text", F.col("_id").alias("_salt")), lite.count())
     return (lite.join(groups, ["digest", "check"], "left")
             .select(F.col("_id").alias("doc_id"),
                     F.when(F.col("last").isNull(), F.col("_id")).otherwise(F.col("last._id")).alias("keep_id"),
@@ -126,7 +130,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .drop("_id", "_text"), "tagged")
     row_id, row_text = F.col(f"_row.`{id_col}`"), F.col(f"_row.`{text_col}`")
     lite = tagged.select("_uid", row_id.alias("_id"), "digest", "check", "batch")
-    groups = exact_groups(lite, tagged.select("digest", "check", row_text.alias("_text")), tagged.count())
+    groups = exact_groups(lite, tagged.select("digest", "check", row_text.alias("_text"), F.col("_uid").alias("_salt")),
+                          tagged.count())
     dropped = (lite.join(groups, ["digest", "check"])
                .filter(F.col("last._uid") != F.col("_uid")).select("_uid"))
     return unpack(tagged.join(dropped, "_uid", "left_anti"))

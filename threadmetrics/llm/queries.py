@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,9 @@ FROM d
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicate_table(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark, sf_dir):
+    pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
