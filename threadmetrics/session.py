@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 # Settings every job relies on. AQE re-plans joins at run time, coalesces
 # small shuffle partitions and splits skewed join partitions; the session
 # zone is pinned so calendar functions are reproducible.
@@ -49,10 +51,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def apply_engine_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable engine settings to an existing session."""
     for k, v in ENGINE_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
+        spark.conf.set(k, v)   # all runtime settings: a refused one would change results, so it raises
+    # Python workers import this package from the driver's folder unless the
+    # cluster has it installed (then the extra path entry is harmless).
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH", ""), _ROOT) if p)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
