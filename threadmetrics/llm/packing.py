@@ -136,6 +136,24 @@ def _price(sizes: np.ndarray, duals: np.ndarray, cap: int) -> tuple[float, np.nd
     return float(best[cap]), counts
 
 
+def _invert(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan inverse of a small matrix (no BLAS threads in the driver)."""
+    n = len(a)
+    w = np.hstack([a, np.eye(n)])
+    for i in range(n):
+        p = i + int(np.argmax(np.abs(w[i:, i])))
+        w[[i, p]] = w[[p, i]]
+        w[i] /= w[i, i]
+        factor = w[:, i].copy()
+        factor[i] = 0
+        w -= factor[:, None] * w[i]
+    return w[:, n:]
+
+
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, x)
+
+
 def solve_patterns(counts: dict[int, int], cap: int) -> list[tuple[dict[int, int], int]]:
     """Patterns ({class size: pieces}, times used) that hold exactly
     ``counts`` pieces of each size (1..cap units) in sequences of ``cap``."""
@@ -144,25 +162,30 @@ def solve_patterns(counts: dict[int, int], cap: int) -> list[tuple[dict[int, int
         return []
     need = np.array([counts[int(k)] for k in sizes], dtype=np.float64)
     m = len(sizes)
+    # distinct tiny amounts keep the simplex steps from cycling among ties
+    need_lp = need + 1e-5 * (1 + np.arange(m)) / m
+    lowest, since = np.inf, 0
     basis = np.diag((cap // sizes).astype(np.float64))
     inverse = np.diag(1.0 / np.diag(basis))
     for step in range(MAX_COLUMNS):
         duals = inverse.sum(axis=0)
         value, column = _price(sizes, duals, cap)
-        if value <= 1 + 1e-9:
+        x = _times(inverse, need_lp)
+        since = 0 if x.sum() < lowest * (1 - 1e-7) else since + 1
+        lowest = min(lowest, x.sum())
+        if value <= 1 + 1e-7 or since > m:   # optimal, or only steps of no gain are left
             break
-        direction = inverse @ column
-        x = inverse @ need
+        direction = _times(inverse, column)
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(np.argmin(ratio))
         basis[:, out] = column
-        if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
+        if step % 256 == 255:
+            inverse = _invert(basis)
         else:
             row = inverse[out] / direction[out]
             inverse = inverse - np.outer(direction, row)
             inverse[out] = row
-    uses = np.floor(np.linalg.solve(basis, need) + 1e-7).astype(np.int64).clip(0)
+    uses = np.floor(_times(_invert(basis), need) + 1e-7).astype(np.int64).clip(0)
     left = need.astype(np.int64)
     plan = []
     for j in range(m):
