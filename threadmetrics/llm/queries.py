@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, packing, secrets, simhash, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,32 @@ def op10_simhash(spark, sf_dir):
 def op8_packing(spark, sf_dir):
     pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"))
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query("op7_warc")
+def op7_warc(spark, sf_dir):
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages"))).drop("url")
+
+
+ORACLE["op7_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (
+  SELECT page_id, h, strlen(h) AS b, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN b >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+
+@query("op1_secrets")
+def op1_secrets(spark, sf_dir):
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+
+    def n(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "markov")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(base), 256)
+                        .alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n("markov"))
