@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, secrets, simhash, warc
+from . import exact_dedup, packing, quality, secrets, simhash, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op1_secrets(spark, sf_dir):
     base = F.filter("spans", lambda x: x["kind"] != "markov")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(base), 256)
                         .alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n("markov"))
+
+
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    return quality.score_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
