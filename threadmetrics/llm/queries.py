@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, secrets, simhash, warc
+from . import exact_dedup, packing, quality, rules, secrets, simhash, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,44 @@ def op1_secrets(spark, sf_dir):
 @query("op9_quality")
 def op9_quality(spark, sf_dir):
     return quality.score_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op6_host_rules")
+def op6_host_rules(spark, sf_dir):
+    return rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_host_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1) || 'null') AS host, coalesce(text, '') AS t
+  FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, t FROM d),
+win AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (
+  SELECT d.doc_id, d.host, CAST(len(w.ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w.ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
+j AS (
+  SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 10 * n_symbols > n_words AS f3,
+         word_chars < 2 * n_words AS f4, word_chars > 12 * n_words AS f5, 10 * n_dup_lines > n_words AS f6
+  FROM c),
+h AS (
+  SELECT host, count(*) AS n, unnest([1, 2, 3, 4, 5, 6]) AS rule,
+         unnest([sum(f1::INT), sum(f2::INT), sum(f3::INT), sum(f4::INT), sum(f5::INT), sum(f6::INT)]) AS failed
+  FROM j GROUP BY host),
+m AS (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM h GROUP BY rule),
+p AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM m),
+v AS (SELECT host, max((failed + m * k) / (n + k)) > 0.8 AS host_failed FROM h JOIN p USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 OR f2) AS base_failed,
+       NOT (f1 OR f2) AND NOT host_failed AS kept
+FROM j JOIN v USING (host)
+"""
