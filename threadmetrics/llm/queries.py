@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, quality, rules, secrets, simhash, warc
+from . import chat, exact_dedup, mixing, packing, quality, rules, secrets, simhash, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,16 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM g
 """
+
+
+def labelled_languages(spark, sf_dir):
+    """The labelled table of the mixing classifier: labelled ids and their domain."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
+@query("op4_mixing")
+def op4_mixing(spark, sf_dir):
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       labelled_languages(spark, sf_dir))
+    return mixed.select(F.col("_row.doc_id").alias("doc_id"), "tokens", "domain", "posterior", "rate", "copies")
