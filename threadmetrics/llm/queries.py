@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, rules, secrets, simhash, warc
+from . import chat, exact_dedup, mixing, packing, quality, rules, secrets, simhash, token_counts, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,8 @@ def op4_mixing(spark, sf_dir):
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
                        labelled_languages(spark, sf_dir))
     return mixed.select(F.col("_row.doc_id").alias("doc_id"), "tokens", "domain", "posterior", "rate", "copies")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
