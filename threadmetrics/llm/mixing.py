@@ -7,8 +7,8 @@
 2. The expected tokens of domain d under document rates r are
    ``sum_i r_i * tokens_i * posterior_i(d)``. Projected gradient descent on the
    squared distance to the target totals finds rates ``r >= min_rate``. The
-   residual is whitened by the inverse of the posteriors' Gram matrix, so a step
-   of length one never overshoots. Each step is one aggregate over a compact
+   residual is whitened by the inverse of the posteriors' Gram matrix over the
+   rows above the bound, and a step that does not help is halved. Each step is one aggregate over a compact
    table (posteriors and token counts); its state is the list of residuals so
    far, domains x steps numbers, from which every row recomputes its own rate,
    so a lost executor costs nothing but the rescan.
@@ -76,8 +76,9 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
             .join(F.broadcast(chosen), "_id")            # at most max_labelled rows are broadcast
             .withColumn("words", F.array_distinct(_words(F.col("_text")))))
     rows = materialize(rows.select("domain", "words"), "labelled")
-    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()}
+    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"{len(sizes)} domains; the model holds at most {MAX_DOMAINS}")
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
         return DomainModel(["all"], [[]], [0.0], [[0.0]])
@@ -133,25 +134,46 @@ def _rate(start: float, moves: list[list[float]], posts: list[Column], min_rate:
 def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0, steps: int = STEPS,
               tolerance: float = TOLERANCE) -> tuple[Column, list[list[float]]]:
     """Rate column over ``soft`` (tokens, p0, p1, ...) whose expected domain
-    totals come closest to ``target``, and the totals after each step."""
+    totals come closest to ``target``, and the totals after each step. A step
+    is whitened by the Gram matrix of the rows above the bound, and halved
+    when the squared distance does not fall."""
     k = len(target)
     posts = [F.col(f"p{d}") for d in range(k)]
-    gram_cols = [F.coalesce(F.sum(F.col("tokens") * posts[d] * posts[e]), F.lit(0.0)) for d in range(k) for e in range(k)]
-    flat = list(soft.agg(*gram_cols).first())
-    ridge = 1e-9 * (sum(flat[d * k + d] for d in range(k)) + 1.0)
-    white = _inverse([[flat[d * k + e] + (ridge if d == e else 0.0) for e in range(k)] for d in range(k)])
+    pairs = [(d, e) for d in range(k) for e in range(d, k)]
+    start, scale = max(1.0, min_rate), max(1.0, sum(target))
     moves: list[list[float]] = []
-    start, seen = max(1.0, min_rate), []
-    scale = max(1.0, sum(target))
+    seen: list[list[float]] = []
+    whole: list[list[float]] = []
+    best, length, direction = math.inf, 1.0, [0.0] * k
     for _ in range(steps):
         rate = _rate(start, moves, posts, min_rate)
-        totals = [float(x or 0.0) for x in soft.agg(*[F.sum(rate * F.col("tokens") * p) for p in posts]).first()]
-        seen.append(totals)
+        free = F.when(rate > min_rate, F.col("tokens")).otherwise(0.0) if moves else F.col("tokens")
+        row = soft.select("tokens", *posts, rate.alias("r"), free.alias("f")).agg(
+            *[F.sum(F.col("r") * F.col("tokens") * p) for p in posts],
+            *[F.sum(F.col("f") * posts[d] * posts[e]) for d, e in pairs]).first()     # one row of sums
+        totals, gram = [float(x or 0.0) for x in row[:k]], [[0.0] * k for _ in range(k)]
+        for (d, e), x in zip(pairs, row[k:], strict=True):
+            gram[d][e] = gram[e][d] = float(x or 0.0)
+        ridge = 1e-9 * (sum(gram[d][d] for d in range(k)) + 1.0)
+        white = _inverse([[gram[d][e] + (ridge if d == e else 0.0) for e in range(k)] for d in range(k)])
+        whole = whole or white
         gap = [s - t for s, t in zip(totals, target, strict=True)]
-        if max(map(abs, gap)) <= tolerance * scale or (len(seen) > 1 and max(
-                abs(a - b) for a, b in zip(seen[-1], seen[-2], strict=True)) <= 0.01 * tolerance * scale):
-            break
-        moves.append([sum(w * g for w, g in zip(row, gap, strict=True)) for row in white])
+        loss = sum(g * w * h for g, row_w in zip(gap, whole, strict=True) for w, h in zip(row_w, gap, strict=True))
+        if loss < best:
+            gain, best, length = best - loss, loss, 1.0
+            seen.append(totals)
+            if max(map(abs, gap)) <= tolerance * scale or gain <= 1e-6 * best:
+                break
+            direction = [sum(w * g for w, g in zip(row_w, gap, strict=True)) for row_w in white]
+            moves.append(direction)
+        else:
+            length /= 2
+            if length < 1e-3:
+                moves.pop()
+                break
+            moves[-1] = [length * x for x in direction]
+    else:
+        moves.pop()        # the last move has not been tried
     return _rate(start, moves, posts, min_rate), seen
 
 
