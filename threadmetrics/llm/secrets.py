@@ -3,7 +3,7 @@
 Two first-order Markov models over the characters of a token are trained from
 the corpus itself: one on strings labelled as random (the values that the
 fixed patterns mark as secrets), one on ordinary identifiers (all other
-character pairs of the texts). A candidate, a long run of token characters, is
+character pairs of the texts; the few unlabelled secrets among them hardly count). A candidate, a long run of token characters, is
 a secret when the log-likelihood ratio of the two models reaches
 ``THRESHOLD``. The fixed-pattern spans are always kept; the models only add.
 
@@ -39,6 +39,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ASSIGN_VALUE = 8
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET)
+BACK_OFF = 20.0                                    # weight of single characters in a pair's probability
 THRESHOLD = float(np.log(1e6))                     # odds of a random string against it: one token in a million
 _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(SIZE)
@@ -108,11 +109,12 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def log_ratio(random: np.ndarray, other: np.ndarray) -> np.ndarray:
     """log P_random(next | char) - log P_ordinary(next | char), from pair
-    counts; one added count per pair (without samples the random model is
-    uniform)."""
+    counts. Rare pairs fall back on the frequency of the next character alone
+    (without samples a model is uniform)."""
     def logs(counts: np.ndarray) -> np.ndarray:
-        c = counts.reshape(SIZE, SIZE).astype(np.float64) + 1.0
-        return np.log(c / c.sum(axis=1, keepdims=True))
+        c = counts.reshape(SIZE, SIZE).astype(np.float64)
+        single = (c.sum(axis=0) + 1.0) / (c.sum() + SIZE)
+        return np.log((c + BACK_OFF * single) / (c.sum(axis=1, keepdims=True) + BACK_OFF))
     return logs(random) - logs(other)
 
 
