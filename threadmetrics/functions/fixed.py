@@ -43,6 +43,18 @@ MLM_PROBABILITY = 0.15
 EMBEDDING_BLEND_ALPHA = 0.5
 GENERIC_CATEGORY_ID = 0
 
+# --- fixed values: columns of the basic feature row, in the reference's order --
+BASIC_COLUMNS = [
+    "Top_comment_id", "Top_comment_order", "Post_created_utc", "Post_score",
+    "Top_comment_created_utc", "Top_comment_subreddit", "Top_comment_link_count",
+    "Top_comment_score", "Top_comment_author", "Post_author", "Top_comment_direct_children",
+    "Top_comment_hour", "Top_comment_day", "Top_comment_day_of_week", "Post_hour", "Post_day",
+    "Post_day_of_week", "Top_comment_and_Post_time_difference", "Replies_total_number",
+    "Replies_max_depth", "Replies_links_count", "Replies_sum_score", "Top_comment_text",
+    "Top_comment_word_count", "Post_text", "Top_comment_polarity", "Top_comment_subjectivity",
+    "Top_comment_readability",
+]
+
 # --- own definitions (not reference values): reply marker lexicons -------------
 # The reference consumes accommodation and prosocial counts computed elsewhere;
 # these small function-word lists are this engine's own stand-ins.

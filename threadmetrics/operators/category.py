@@ -12,9 +12,6 @@ from .indexing import global_index
 from .skew import lookup_join
 
 GENERIC_NAME = "<generic>"
-# A dictionary up to this size is broadcast to the lookup; larger ones are
-# shuffle-joined.
-MAX_BROADCAST_CATEGORIES = 2_000_000
 
 
 def category_ids(names: DataFrame, name_col: str) -> DataFrame:
@@ -35,16 +32,12 @@ def id_check(dictionary: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, name_col: str, dictionary: DataFrame, out_col: str = "category_id") -> DataFrame:
-    """Name -> id, unknown names (and NULL) -> the generic id 0. The
-    dictionary is broadcast below a size bound; above it, a hot-key aware
-    shuffle join (one popular category may cover many rows)."""
+    """Name -> id, unknown names (and NULL) -> the generic id 0. One
+    popular category may cover many rows, so the lookup splits hot names;
+    whether the dictionary is broadcast is the planner's decision by its bytes."""
     d = dictionary.select(F.col("name").alias("_name"), F.col("category_id").alias("_cid"))
     left = df.withColumn("_name", F.col(name_col))
-    if dictionary.count() <= MAX_BROADCAST_CATEGORIES:
-        j = left.join(F.broadcast(d), "_name", "left")
-    else:
-        j = lookup_join(left, d, ["_name"])
-    return (j.drop("_name")
+    return (lookup_join(left, d, ["_name"]).drop("_name")
             .withColumn(out_col, F.coalesce("_cid", F.lit(GENERIC_CATEGORY_ID)).cast("bigint")).drop("_cid"))
 
 

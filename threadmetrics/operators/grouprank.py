@@ -1,19 +1,16 @@
 """Exact row numbers within groups that may be huge (W1, W2 building block).
 
-``Window.partitionBy(g)`` sends a whole group to one task. When one group
-can hold a third of all rows that task becomes the job. :func:`group_rank`
-gives the same numbers but cuts every *hot* group into contiguous pieces:
-
-1. group sizes by a partially aggregated ``groupBy``;
-2. hot groups (more than ``hot_rows`` rows; at most ``rows / hot_rows`` of
-   them, so the table is bounded) get ``pieces - 1`` cut points from
-   ``percentile_approx`` of the first (numeric) order column;
-3. a row's piece is the number of cut points below its value (ties stay in
-   one piece, so pieces are contiguous in the order);
-4. ``row_number()`` within ``(group, piece)`` plus the number of rows in the
-   earlier pieces of the group (a window over at most ``pieces`` rows).
-
-The result is exact: approximate cut points only affect piece balance.
+``Window.partitionBy(g)`` sends a whole group to one task. When one group can
+hold a third of all rows that task becomes the job. :func:`group_rank` gives the
+same numbers: ordinary groups take the window; rows of *hot* groups are
+range-partitioned by (group, full order), numbered densely across tasks, and a
+row's rank is its number minus that of its group's first row. A hot group is
+thus cut into as many pieces as its size asks for, also when all its first
+order values are equal.
+
+A group is hot above a threshold that grows with the table, so at most
+``MAX_HOT_GROUPS`` groups can be hot and their table (keys and a number) is
+bounded and broadcast.
 """
 
 from __future__ import annotations
@@ -21,55 +18,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import global_index
+from .lineage import materialize
+
 DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_PIECES = 64
 HOT_ROWS_CONF = "threadmetrics.hotGroupRows"
-# Above this many hot groups the cut-point table is joined by shuffle
-# instead of broadcast.
-MAX_BROADCAST_GROUPS = 200_000
+MAX_HOT_GROUPS = 100_000
 
 
 def group_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
                rank_col: str = "rank", size_col: str = "n",
-               hot_rows: int | None = None, pieces: int = DEFAULT_PIECES) -> DataFrame:
+               hot_rows: int | None = None, pieces: int | None = None) -> DataFrame:
     """``df`` plus ``rank_col`` (1-based position within the group by
     ``order_cols``, ascending, which must be a total order) and ``size_col``
-    (group size). The first order column must be numeric."""
+    (group size). ``pieces``: range partitions for hot groups (the session's
+    shuffle partitions by default)."""
     spark = df.sparkSession
     if hot_rows is None:
         hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-    first = order_cols[0]
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = sizes.filter(F.col("_gn") > hot_rows).select(*group_cols)
-    n_hot = hot.count()
-    if n_hot == 0:
-        # every group fits a task: one window, no piece bookkeeping
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return (df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
-                .withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("bigint")))
-    else:
-        fracs = [i / pieces for i in range(1, pieces)]
-        small = n_hot <= MAX_BROADCAST_GROUPS
-        hot_side = F.broadcast(hot) if small else hot
-        cuts = (df.join(hot_side, group_cols, "left_semi")
-                .groupBy(*group_cols)
-                .agg(F.percentile_approx(F.col(first).cast("double"), fracs, 10_000).alias("_cuts")))
-        cuts_side = F.broadcast(cuts) if small else cuts
-        v = F.col(first).cast("double")
-        pieced = (df.join(cuts_side, group_cols, "left")
-                  .withColumn("_piece", F.coalesce(
-                      F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < v)), F.lit(0)))
-                  .drop("_cuts"))
-    keys = group_cols + ["_piece"]
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    local = pieced.withColumn("_local", F.row_number().over(w))
-    piece_n = pieced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pn"))
-    wg = Window.partitionBy(*group_cols).orderBy("_piece")
-    offsets = piece_n.select(
-        *keys,
-        (F.sum("_pn").over(wg) - F.col("_pn")).alias("_off"),
-        F.sum("_pn").over(wg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(size_col))
-    return (local.join(offsets, keys, "inner")
-            .withColumn(rank_col, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .withColumn(size_col, F.col(size_col).cast("bigint"))
-            .drop("_piece", "_local", "_off"))
+    total, largest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn")).agg(
+        F.sum("_gn"), F.max("_gn")).first()
+    limit = max(hot_rows, -(-(total or 0) // MAX_HOT_GROUPS))
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        by = Window.partitionBy(*group_cols)
+        return (rows.withColumn(rank_col, F.row_number().over(by.orderBy(*order_cols)).cast("bigint"))
+                .withColumn(size_col, F.count(F.lit(1)).over(by).cast("bigint")))
+
+    if (largest or 0) <= limit:
+        return windowed(df)
+    hot = materialize(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
+                      .filter(F.col("_gn") > limit), "hot-groups")
+    few = F.broadcast(hot.withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(group_cols)}))   # <= MAX_HOT_GROUPS rows
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group_cols)]
+    tagged = df.join(few, same, "left").drop(*[f"_g{i}" for i in range(len(group_cols))])
+    cold = windowed(tagged.filter(F.col("_gn").isNull()).drop("_gn"))
+    numbered = global_index(tagged.filter(F.col("_gn").isNotNull()), [*group_cols, *order_cols], "_at", partitions=pieces)
+    firsts = (numbered.groupBy(*group_cols).agg(F.min("_at").alias("_first"))
+              .withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(group_cols)}))
+    ranked = (numbered.join(F.broadcast(firsts), same)
+              .withColumn(rank_col, (F.col("_at") - F.col("_first") + 1).cast("bigint"))
+              .withColumn(size_col, F.col("_gn").cast("bigint")))
+    return cold.unionByName(ranked.select(*cold.columns))

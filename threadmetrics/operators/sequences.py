@@ -17,7 +17,6 @@ from .skew import lookup_join
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 FIRST_WORD_ID = 5
 IGNORE_LABEL = -100
-MAX_BROADCAST_WORDS = 5_000_000
 
 
 def word_ids(vocab_index: DataFrame) -> DataFrame:
@@ -27,13 +26,14 @@ def word_ids(vocab_index: DataFrame) -> DataFrame:
 
 
 def encode(tokens: DataFrame, ids: DataFrame) -> DataFrame:
-    """Token ids of every document in token order, unknown words -> UNK."""
-    pos = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "word"))
-    j = (pos.join(F.broadcast(ids), "word", "left") if ids.count() <= MAX_BROADCAST_WORDS
-         else lookup_join(pos, ids, ["word"]))
-    j = j.select("doc_id", "pos", F.coalesce("tok_id", F.lit(UNK_ID)).alias("tok_id"))
+    """Token ids of every document in token order, unknown words -> UNK; a
+    document without tokens has no ids (it is not dropped)."""
+    pos = tokens.select("doc_id", F.posexplode_outer("tokens").alias("pos", "word"))
+    j = lookup_join(pos, ids, ["word"])
+    j = j.select("doc_id", F.when(F.col("word").isNotNull(), F.struct(
+        "pos", F.coalesce("tok_id", F.lit(UNK_ID)).alias("tok_id"))).alias("_p"))   # collect_list skips nulls
     return (j.groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "tok_id"))).alias("_s"))
+            .agg(F.array_sort(F.collect_list("_p")).alias("_s"))
             .select("doc_id", F.transform("_s", lambda s: s["tok_id"]).alias("ids")))
 
 

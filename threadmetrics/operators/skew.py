@@ -1,43 +1,62 @@
 """Many-to-one lookups where one key may carry a large share of the rows.
 
 A sort-merge join sends all rows of a key to one task. For a lookup
-``left.key -> right`` (right unique per key) the hot keys are found with a
-partially aggregated count; they are at most ``rows / hot_rows`` many, so
-their right-hand rows form a table of bounded size that is broadcast, and
-the hot left rows are joined map-side wherever they are. The remaining rows
-take the ordinary shuffle join. (AQE's skew-join split is on as well; this
-does not depend on its size thresholds.)
+``left.key -> right`` (right unique per key):
+
+* rows with a NULL key never match; they are set aside before the join;
+* the left side is written once, counted per key with a partial aggregation,
+  and keys above a threshold are salted: their left rows are dealt over
+  ``rows of the key / threshold`` parts and their one right-hand row is repeated
+  once per part, so no task receives more than about a threshold's worth of
+  one key. The threshold grows with the table so that at most ``MAX_HOT_KEYS``
+  keys can exceed it: the table of hot keys (keys and a number, no payload) is
+  bounded for any input and is broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import materialize
+
 DEFAULT_HOT_ROWS = 1_000_000
 HOT_ROWS_CONF = "threadmetrics.hotKeyRows"
-MAX_BROADCAST_KEYS = 200_000
+MAX_HOT_KEYS = 100_000
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
                 hot_rows: int | None = None, left_rows: int | None = None) -> DataFrame:
-    """``left.join(right, keys, how)`` for a ``right`` unique per key, with
-    hot keys joined by a bounded broadcast. ``left_rows``, when the caller
-    already knows an upper bound of the left size, skips the key count when
-    no key can exceed the threshold."""
+    """``left.join(right, keys, how)`` (left, inner or left_semi) for a
+    ``right`` unique per key. ``left_rows``, when the caller already knows an
+    upper bound of the left size, skips the key count when no key can exceed
+    the threshold."""
     spark = left.sparkSession
     if hot_rows is None:
         hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
     if left_rows is not None and left_rows <= hot_rows:
         return left.join(right, keys, how)
-    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).select(*keys))
-    n_hot = hot.count()
-    if n_hot == 0 or n_hot > MAX_BROADCAST_KEYS:
+    left = materialize(left, "lookup")
+    total = left.count()
+    if total <= hot_rows:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    tagged = left.join(hot, keys, "left")
-    hot_left = tagged.filter(F.col("_hot").isNotNull()).drop("_hot")
-    cold_left = tagged.filter(F.col("_hot").isNull()).drop("_hot")
-    hot_right = F.broadcast(right.join(hot.drop("_hot"), keys, "left_semi"))
-    return hot_left.join(hot_right, keys, how).unionByName(cold_left.join(right, keys, how))
+    limit = max(hot_rows, -(-total // MAX_HOT_KEYS))
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    keyed = left.filter(has_key)
+    hot = materialize(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+                      .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        joined = keyed.join(right, keys, how)
+    else:
+        few = F.broadcast(hot)      # at most MAX_HOT_KEYS keys
+        parts = F.coalesce("_parts", F.lit(1))
+        dealt = (keyed.join(few, keys, "left")
+                 .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts"))
+        copies = (right.join(few, keys, "left")
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
+        joined = dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(left.filter(~has_key), allowMissingColumns=True)

@@ -3,32 +3,33 @@ F10, A9-A11, O1, J4)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.fixed import MIN_VALID_TOKENS, STOP_WORDS, VOCAB_MAX_DOC_SHARE, VOCAB_MIN_DOC_FREQ
 from .indexing import global_index
+from .lineage import materialize
 from .skew import lookup_join
 
-# A vocabulary up to this many words is broadcast; larger ones are joined
-# by shuffle (with AQE's skew split for very frequent words).
-MAX_BROADCAST_WORDS = 5_000_000
-
 
 def stop_words(spark) -> DataFrame:
     return spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
 
 
 def token_docs(docs: DataFrame, id_col: str, text_col: str, clean: bool = True) -> DataFrame:
-    """Tokenise (T2), normalise (T7), drop invalid tokens (F9) and keep
-    documents with more than 10 valid tokens (F3). Persisted on disk: the
-    vocabulary job reads it twice (as the reference does)."""
+    """:func:`all_token_docs` with more than 10 valid tokens."""
+    return all_token_docs(docs, id_col, text_col, clean).filter(F.size("tokens") > MIN_VALID_TOKENS)
+
+
+def all_token_docs(docs: DataFrame, id_col: str, text_col: str, clean: bool = True) -> DataFrame:
+    """Tokenise (T2), normalise (T7) and drop invalid tokens (F9), once: the
+    table is written to the shared folder, so neither a filter on the tokens
+    nor the vocabulary job's second read runs the tokeniser again."""
     text = tx.clean_text(F.col(text_col)) if clean else F.col(text_col)
-    out = (docs.select(F.col(id_col).alias("doc_id"), tx.valid_tokens(text).alias("tokens"))
-           .filter(F.size("tokens") > MIN_VALID_TOKENS))
-    return out.persist(StorageLevel.DISK_ONLY)
+    return materialize(docs.select(F.col(id_col).alias("doc_id"),
+                                   F.coalesce(tx.valid_tokens(text), F.array().cast("array<string>")).alias("tokens")),
+                       "tokens")
 
 
 def doc_freq(tokens: DataFrame) -> DataFrame:
@@ -44,28 +45,21 @@ def vocabulary(tokens: DataFrame, low: int = VOCAB_MIN_DOC_FREQ,
     after F3, A10), minus the stop words (small fixed list, broadcast)."""
     n_docs = tokens.count()
     band = doc_freq(tokens).filter((F.col("doc_freq") >= low) & (F.col("doc_freq") < high_share * n_docs))
-    return band.join(F.broadcast(stop_words(tokens.sparkSession)), "word", "left_anti")
-
-
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    v = vocab.select("word")
-    return F.broadcast(v) if vocab.count() <= MAX_BROADCAST_WORDS else v
+    return materialize(band.join(F.broadcast(stop_words(tokens.sparkSession)), "word", "left_anti"), "vocabulary")
 
 
-def _in_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Keep rows whose ``word`` is in the vocabulary: broadcast below the
-    bound, else a hot-key aware semi join (frequent words are hot keys)."""
-    v = vocab.select("word")
-    if vocab.count() <= MAX_BROADCAST_WORDS:
-        return rows.join(F.broadcast(v), "word", "left_semi")
-    return lookup_join(rows, v, ["word"], "left_semi")
+def in_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows whose ``word`` is in the vocabulary. Frequent words are hot
+    keys, so the lookup splits them; whether the vocabulary is broadcast is
+    the planner's decision by its bytes."""
+    return lookup_join(rows, vocab.select("word"), ["word"], "left_semi")
 
 
 def filter_to_vocab(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """F10 + F5 + J4: keep in-vocabulary tokens in their order, drop
     documents left empty; ``(doc_id, text_for_topic_modeling)``."""
     pos = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "word"))
-    kept = _in_vocab(pos, vocab)
+    kept = in_vocab(pos, vocab)
     return (kept.groupBy("doc_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_t"))
             .select("doc_id", F.array_join(F.transform("_t", lambda s: s["word"]), " ")
@@ -76,9 +70,10 @@ def bag_of_words(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Each document as ``id:count`` pairs over vocabulary ids (ids are
     positions of the words in sorted order, 0-based), ascending by id."""
     ids = global_index(vocab.select("word"), ["word"], "word_id")
-    counts = (tokens.select("doc_id", F.explode("tokens").alias("word"))
-              .join(ids, "word", "inner")
-              .groupBy("doc_id", "word_id").agg(F.count(F.lit(1)).alias("cnt")))
+    # counted within the document first: a frequent word is one row per document
+    words = tokens.select("doc_id", F.explode("tokens").alias("word")).groupBy("doc_id", "word").agg(
+        F.count(F.lit(1)).alias("cnt"))
+    counts = lookup_join(words, ids, ["word"], "inner").select("doc_id", "word_id", "cnt")
     return (counts.groupBy("doc_id")
             .agg(F.array_sort(F.collect_list(F.struct("word_id", "cnt"))).alias("_b"))
             .select("doc_id", F.array_join(F.transform(

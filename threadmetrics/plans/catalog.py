@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
+from ..operators import language as lg
 from ..operators import tree
+from ..operators.lineage import materialize
 from ..sources.threads import thread_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +71,14 @@ def p3_tlc_key(spark, sf_dir):
 
 @query("p2_basic_features")
 def p2_basic_features(spark, sf_dir):
-    return feat.basic_features(_t(spark, sf_dir, "conv_comments"), _t(spark, sf_dir, "conv_posts"))
+    profiles = lg.train_profiles(read_table(spark, sf_dir, "documents"), "text", "lang")
+    return _round_text_scores(feat.basic_features(_t(spark, sf_dir, "conv_comments"), _t(spark, sf_dir, "conv_posts"),
+                                                  profiles=profiles))
+
+
+def _round_text_scores(df):
+    names = ["Top_comment_polarity", "Top_comment_subjectivity", "Top_comment_readability"]
+    return df.withColumns({c: F.round(c, 6) for c in names})
 
 
 # --------------------------------------------------------------- halves and sampling
@@ -104,7 +113,7 @@ def w3_stratified_sample(spark, sf_dir):
 def j1_sample_join(spark, sf_dir):
     sample = hv.stratified_sample(_even(spark, sf_dir))
     full = feat.basic_features(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_posts"))
-    return hv.sample_join(sample, full)
+    return _round_text_scores(hv.sample_join(sample, full))
 
 
 @query("w1_order")
@@ -201,8 +210,7 @@ def j4_vocab_semi_join(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     v = vb.vocabulary(t)
     pos = t.select("doc_id", F.explode("tokens").alias("word"))
-    return (pos.join(vb._vocab_side(v), "word", "left_semi")
-            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept")))
+    return vb.in_vocab(pos, v).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
 @query("f5_nonempty_docs")
@@ -488,12 +496,12 @@ def a6_half_features_orders(spark, sf_dir):
 # --------------------------------------------------------------- categories and sequences
 from ..operators import category as cg  # noqa: E402
 from ..operators import sequences as sq  # noqa: E402
+from ..functions.fixed import MIN_VALID_TOKENS  # noqa: E402
 from ..operators.indexing import global_index  # noqa: E402
 
 
 def _part_dict(spark, sf_dir):
-    part = read_table(spark, sf_dir, "part")
-    return cg.category_ids(part.filter(F.col("p_size") <= 25), "p_type")
+    return cg.category_ids(read_table(spark, sf_dir, "part"), "p_type")
 
 
 @query("a13_vocab_ids")
@@ -508,8 +516,13 @@ def a21_id_check(spark, sf_dir):
 
 @query("j5_lookup")
 def j5_lookup(spark, sf_dir):
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return cg.lookup(part, "p_type", _part_dict(spark, sf_dir)).select("p_partkey", "category_id")
+    # source and language pairs looked up in the dictionary of the pairs that have
+    # a toxic label: the other pairs are unknown names
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    known = docs.join(labels.filter(F.col("toxic") == 1).select("doc_id"), "doc_id", "left_semi")
+    names = docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("name"))
+    dictionary = cg.category_ids(known.select(F.concat_ws("/", "source", "lang").alias("name")), "name")
+    return cg.lookup(names, "name", dictionary).select("doc_id", "category_id")
 
 
 def _cat_cells(spark, sf_dir):
@@ -529,9 +542,15 @@ def t18_blend(spark, sf_dir):
     return _round(cg.blend_with_generic(_cat_cells(spark, sf_dir)), 4)
 
 
+def _all_tokens(spark, sf_dir):
+    return vb.all_token_docs(_docs(spark, sf_dir), "doc_id", "text")
+
+
 def _encoded(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    idx = sq.word_ids(global_index(vb.vocabulary(t).select("word"), ["word"], "word_id"))
+    """Every document's ids; the vocabulary comes from documents that pass F3."""
+    t = _all_tokens(spark, sf_dir)
+    vocab = vb.vocabulary(t.filter(F.size("tokens") > MIN_VALID_TOKENS))
+    idx = sq.word_ids(global_index(vocab.select("word"), ["word"], "word_id"))
     return sq.encode(t, idx), idx
 
 
@@ -562,7 +581,6 @@ def o2_union(spark, sf_dir):
 
 # --------------------------------------------------------------- language and text scores
 from ..functions.fixed import STOP_WORDS  # noqa: E402
-from ..operators import language as lg  # noqa: E402
 from ..operators import textscores as ts  # noqa: E402
 
 
@@ -590,8 +608,9 @@ def f1_english(spark, sf_dir):
 @query("f2_split")
 def f2_split(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    en, other = lg.split_by_language(docs.select("doc_id", "n_chars"), "doc_id",
-                                     lg.english_flags(docs, "doc_id", _span_langs(spark, sf_dir)))
+    flags = materialize(lg.english_flags(docs, "doc_id", _span_langs(spark, sf_dir)), "english")   # one detection pass
+    en, other = lg.split_by_language(docs.select("doc_id", "n_chars"), "doc_id", flags)
+
     def summary(df, flag):
         return df.agg(F.lit(flag).alias("is_english"), F.count(F.lit(1)).cast("bigint").alias("n_docs"),
                       F.sum("n_chars").cast("bigint").alias("n_chars"))
@@ -600,8 +619,9 @@ def f2_split(spark, sf_dir):
 
 @query("t11_sentiment")
 def t11_sentiment(spark, sf_dir):
-    p, s = ts.sentiment(tx.clean_text(F.col("text")))
-    return _round(_docs(spark, sf_dir).select("doc_id", p.alias("Top_comment_polarity"), s.alias("Top_comment_subjectivity")))
+    scored = ts.with_sentiment(_docs(spark, sf_dir), tx.clean_text(F.col("text")), "Top_comment_polarity",
+                               "Top_comment_subjectivity")
+    return _round(scored.select("doc_id", "Top_comment_polarity", "Top_comment_subjectivity"))
 
 
 @query("t12_readability")
@@ -800,7 +820,7 @@ def s1_json_posts(spark, sf_dir):
 
 @query("s2_s4_tsv_roundtrip")
 def s2_s4_tsv_roundtrip(spark, sf_dir):
-    df = feat.basic_features(_t(spark, sf_dir, "conv_comments"), _t(spark, sf_dir, "conv_posts"))
+    df = p2_basic_features(spark, sf_dir)
     path = _scratch(spark, "features-tsv")
     fs.write_tsv(df, path)
     schema = ", ".join(f"{c} {t}" for c, t in sorted(df.dtypes))
@@ -821,8 +841,7 @@ def s9_embedding_csv(spark, sf_dir):
 def s7_category_dict(spark, sf_dir):
     d = _part_dict(spark, sf_dir)
     path = _scratch(spark, "category-json")
-    obj = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "category_id")))).alias("value"))
-    obj.write.mode("overwrite").text(path)
+    fs.write_category_dict(d, path)
     return fs.read_category_dict(spark, path)
 
 

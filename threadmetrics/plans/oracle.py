@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from ..functions import calendar as cal
 from ..functions import text as tx
+from ..functions.fixed import NEGATIONS, SENTIMENT_LEXICON
 from ..sources.threads import DUCKDB, THREAD_SQL
 
 ORACLE: dict[str, str] = {}
@@ -98,6 +99,51 @@ from order_comments tl left join order_comments c on c.post_id = tl.post_id and
 where tl.parent_id is null group by tl.comment_id"""
 
 
+# --------------------------------------------------------------- text scores and language
+def _tri(s: str) -> str:
+    return (f"list_filter(list_transform(range(1, length(lower({s})) - 1), lambda i: substring(lower({s}), i, 3)), "
+            f"lambda g: regexp_full_match(g, '\\p{{L}}{{3}}'))")
+
+
+def language_ctes(rel: str, key: str, text: str) -> str:
+    """Span languages ``sl`` and English ``flags`` of the texts of ``rel``,
+    with profiles trained on the documents."""
+    return f"""prof as (select lang, tri from (select lang, tri, row_number() over (partition by lang order by cnt desc, tri) r
+    from (select lang, tri, count(*) cnt from (select lang, unnest({_tri('text')}) tri from documents) group by all)) where r <= 300),
+sp as (select * from (select {key} doc_id, unnest(string_split({text}, chr(10))) span,
+    unnest(generate_series(0, len(string_split({text}, chr(10))) - 1)) span_no from {rel}) where trim(span) <> ''),
+hits as (select doc_id, span_no, lang from (select doc_id, span_no, lang,
+    row_number() over (partition by doc_id, span_no order by cnt desc, lang) r
+    from (select doc_id, span_no, lang, count(*) cnt from (select doc_id, span_no, unnest({_tri('span')}) tri from sp)
+          join prof using (tri) group by all)) where r = 1),
+sl as (select doc_id, span_no, coalesce(h.lang, 'un') lang, length(span) span_len from sp left join hits h using (doc_id, span_no)),
+flags as (select doc_id, (langs = ['en'] or (langs = ['en', 'un'] and first_lang = 'en' and en_share > 0.8)) is_english from
+  (select doc_id, list_sort(list(lang)) langs, list(lang order by n desc, lang)[1] first_lang,
+     sum(case when lang = 'en' then n else 0 end) / sum(n) en_share
+   from (select doc_id, lang, sum(span_len) n from sl group by all) group by doc_id))"""
+
+
+def _lex_sql(t: str, idx: int) -> str:
+    return "case " + " ".join(f"when {t} = {tx.sql_str(r[0])} then {r[idx]}::double" for r in SENTIMENT_LEXICON) + " end"
+
+
+_NEG = "[" + ", ".join(tx.sql_str(w) for w in NEGATIONS) + "]"
+def sentiment_sql(rel: str, key: str, text: str) -> str:
+    return f"""select {key},
+  round(case when len(h) > 0 then list_sum(list_transform(h, lambda x: x.p)) / len(h) else 0.0 end, 6) Top_comment_polarity,
+  round(case when len(h) > 0 then list_sum(list_transform(h, lambda x: x.s)) / len(h) else 0.0 end, 6) Top_comment_subjectivity
+from (select {key}, list_filter(list_transform(toks, lambda t, i: struct_pack(
+    p := {_lex_sql('t', 1)} * case when coalesce(list_contains({_NEG}, case when i >= 2 then toks[i - 1] end), false)
+      or coalesce(list_contains({_NEG}, case when i >= 3 then toks[i - 2] end), false) then -0.5 else 1.0 end,
+    s := {_lex_sql('t', 2)})), lambda x: x.p is not null) h
+  from (select {key}, {tx.sql_valid_tokens(text)} toks from {rel}))"""
+def readability_sql(rel: str, key: str, text: str) -> str:
+    return f"""select {key}, round(case when nw > 0 then 0.39::double * nw / ns + 11.8::double * syl / nw - 15.59::double else 0.0 end, 6)
+  Top_comment_readability from (select {key}, len(w) nw,
+  greatest(1, len(regexp_extract_all(coalesce(t, ''), '[.!?]+'))) ns,
+  list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+'))))) syl
+  from (select {key}, t, regexp_extract_all(coalesce(t, ''), '[A-Za-z]+') w
+        from (select {key}, {text} t from {rel})))"""
 # --------------------------------------------------------------- features
 @register("p1_explode_tlc")
 def _p1():
@@ -147,15 +193,19 @@ select b.Top_comment_id, Top_comment_order, Post_created_utc, Post_score, Top_co
   r.Top_comment_direct_children, Top_comment_hour, Top_comment_day, Top_comment_day_of_week, Post_hour, Post_day,
   Post_day_of_week, Top_comment_and_Post_time_difference, Replies_total_number, Replies_max_depth,
   Replies_links_count, Replies_sum_score, Top_comment_text,
-  cast({tx.sql_token_count('b.Top_comment_text')} as bigint) Top_comment_word_count, Post_text
-from base b join roll r using (Top_comment_id))"""
+  cast({tx.sql_token_count('b.Top_comment_text')} as bigint) Top_comment_word_count, Post_text,
+  s.Top_comment_polarity, s.Top_comment_subjectivity, f.Top_comment_readability
+from base b join roll r using (Top_comment_id)
+join ({sentiment_sql('base', 'Top_comment_id', 'Top_comment_text')}) s using (Top_comment_id)
+join ({readability_sql('base', 'Top_comment_id', 'Top_comment_text')}) f using (Top_comment_id))"""
 
 
 @register("p2_basic_features")
 def _p2():
     return (ctes("conv_comments", "conv_posts", extra=tree_cte("conv_comments") + ",\n"
-                 + features_cte("conv_comments", "conv_posts"), recursive=True)
-            + " select * from features")
+                 + features_cte("conv_comments", "conv_posts") + ",\n"
+                 + language_ctes("base", "Top_comment_id", "Top_comment_text"), recursive=True)
+            + " select * from features where Top_comment_id in (select doc_id from flags where is_english)")
 
 
 # --------------------------------------------------------------- halves and sampling
@@ -463,15 +513,17 @@ ORACLE["p6_rename"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"
 
 # --------------------------------------------------------------- categories and sequences
 _DICT = """(select name, row_number() over (order by name) category_id from
-  (select distinct p_type name from part where p_size <= 25 and p_type is not null)
+  (select distinct p_type name from part where p_type is not null)
   union all select '<generic>', 0)"""
 ORACLE["a13_vocab_ids"] = f"select * from {_DICT}"
 ORACLE["a21_id_check"] = f"""select min(category_id) min_id, max(category_id) max_id, cast(count(*) as bigint) n,
   cast(count(distinct category_id) as bigint) n_distinct,
   (min(category_id) = 0 and max(category_id) = count(*) - 1 and count(distinct category_id) = count(*)) ids_contiguous
 from {_DICT}"""
-ORACLE["j5_lookup"] = f"""select p_partkey, cast(coalesce(d.category_id, 0) as bigint) category_id
-from part left join {_DICT} d on d.name = part.p_type"""
+ORACLE["j5_lookup"] = """with n as (select doc_id, concat_ws('/', source, lang) name from documents),
+d as (select name, row_number() over (order by name) category_id from (select distinct name from n
+  where doc_id in (select doc_id from labels where toxic = 1)))
+select n.doc_id, cast(coalesce(d.category_id, 0) as bigint) category_id from n left join d using (name)"""
 
 
 def _u(key: str, part: int) -> str:
@@ -493,7 +545,9 @@ from {_CELLS} c join (select j, value from {_CELLS} where category_id = 0) g usi
 def _enc_ctes() -> str:
     return _vocab_ctes() + """,
 ids as (select word, row_number() over (order by word) - 1 + 5 tok_id from vocab),
-enc as (select doc_id, list(coalesce(ids.tok_id, 1) order by pos) ids from pos left join ids using (word) group by doc_id),
+apos as (select doc_id, unnest(toks) word, unnest(generate_series(1, len(toks))) pos from docs),
+aenc as (select doc_id, list(coalesce(ids.tok_id, 1) order by pos) ids from apos left join ids using (word) group by doc_id),
+enc as (select docs.doc_id, coalesce(aenc.ids, []) ids from docs left join aenc using (doc_id)),
 seqs as (select doc_id, list_concat([2], ids[1:126], [3]) seq from enc),
 padded as (select doc_id, list_resize(seq, 128, 0) p, len(seq) n from seqs)"""
 
@@ -519,26 +573,9 @@ union all select 'benchmark', item_id, length(text) from benchmark"""
 
 
 # --------------------------------------------------------------- language and text scores
-from ..functions.fixed import NEGATIONS, SENTIMENT_LEXICON  # noqa: E402
 
 
-def _tri(s: str) -> str:
-    return (f"list_filter(list_transform(range(1, length(lower({s})) - 1), lambda i: substring(lower({s}), i, 3)), "
-            f"lambda g: regexp_full_match(g, '\\p{{L}}{{3}}'))")
-
-
-_LANG = f"""with prof as (select lang, tri from (select lang, tri, row_number() over (partition by lang order by cnt desc, tri) r
-    from (select lang, tri, count(*) cnt from (select lang, unnest({_tri('text')}) tri from documents) group by all)) where r <= 300),
-sp as (select * from (select doc_id, unnest(string_split(text, chr(10))) span,
-    unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) span_no from documents) where trim(span) <> ''),
-hits as (select doc_id, span_no, lang from (select doc_id, span_no, lang,
-    row_number() over (partition by doc_id, span_no order by cnt desc, lang) r
-    from (select doc_id, span_no, lang, count(*) cnt from (select doc_id, span_no, unnest({_tri('span')}) tri from sp)
-          join prof using (tri) group by all)) where r = 1),
-sl as (select doc_id, span_no, coalesce(h.lang, 'un') lang, length(span) span_len from sp left join hits h using (doc_id, span_no)),
-flags as (select doc_id, (langs = ['en'] or (langs = ['en', 'un'] and first_lang = 'en' and en_share > 0.8)) is_english from
-  (select doc_id, list_sort(list_distinct(list(lang))) langs, arg_min(lang, span_no) first_lang,
-     sum(case when lang = 'en' then span_len else 0 end) / sum(span_len) en_share from sl group by doc_id)),
+_LANG = "with " + language_ctes("documents", "doc_id", "text") + """,
 fl as (select d.doc_id, coalesce(f.is_english, false) is_english, d.n_chars from documents d left join flags f using (doc_id))"""
 
 ORACLE["t10_span_language"] = _LANG + " select * from sl"
@@ -548,28 +585,9 @@ ORACLE["f1_english"] = _LANG + " select doc_id, is_english from fl"
 ORACLE["f2_split"] = _LANG + " select is_english, cast(count(*) as bigint) n_docs, cast(sum(n_chars) as bigint) n_chars from fl group by is_english"
 
 
-def _lex_sql(t: str, idx: int) -> str:
-    return "case " + " ".join(f"when {t} = {tx.sql_str(r[0])} then {r[idx]}::double" for r in SENTIMENT_LEXICON) + " end"
-
-
-_NEG = "[" + ", ".join(tx.sql_str(w) for w in NEGATIONS) + "]"
-_SENT = f"""select doc_id,
-  round(case when len(h) > 0 then list_sum(list_transform(h, lambda x: x.p)) / len(h) else 0.0 end, 6) Top_comment_polarity,
-  round(case when len(h) > 0 then list_sum(list_transform(h, lambda x: x.s)) / len(h) else 0.0 end, 6) Top_comment_subjectivity
-from (select doc_id, list_filter(list_transform(toks, lambda t, i: struct_pack(
-    p := {_lex_sql('t', 1)} * case when coalesce(list_contains({_NEG}, case when i >= 2 then toks[i - 1] end), false)
-      or coalesce(list_contains({_NEG}, case when i >= 3 then toks[i - 2] end), false) then -0.5 else 1.0 end,
-    s := {_lex_sql('t', 2)})), lambda x: x.p is not null) h
-  from (select doc_id, {tx.sql_valid_tokens(tx.sql_clean_text('text'))} toks from documents))"""
-ORACLE["t11_sentiment"] = _SENT
+ORACLE["t11_sentiment"] = sentiment_sql("documents", "doc_id", tx.sql_clean_text("text"))
 
-_READ = f"""select doc_id, round(case when nw > 0 then 0.39::double * nw / ns + 11.8::double * syl / nw - 15.59::double else 0.0 end, 6)
-  Top_comment_readability from (select doc_id, len(w) nw,
-  greatest(1, len(regexp_extract_all(coalesce(t, ''), '[.!?]+'))) ns,
-  list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+'))))) syl
-  from (select doc_id, t, regexp_extract_all(coalesce(t, ''), '[A-Za-z]+') w
-        from (select doc_id, {tx.sql_clean_text('text')} t from documents)))"""
-ORACLE["t12_readability"] = _READ
+ORACLE["t12_readability"] = readability_sql("documents", "doc_id", tx.sql_clean_text("text"))
 
 ORACLE["a20_misspelling"] = _vocab_ctes() + f""",
 dic as (select word from vocab union select unnest([{", ".join(tx.sql_str(w) for w in STOP_WORDS)}])),

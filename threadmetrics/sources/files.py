@@ -12,8 +12,9 @@ from pyspark.sql.types import StructType
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Headered TSV with an explicit schema."""
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"', multiLine=True)
+    """Headered TSV with an explicit schema. Cleaned text holds no line
+    breaks (T1), so a file is split between tasks at line ends."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"')
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -29,11 +30,16 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_category_dict(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``{name: id}`` -> rows (name, category_id). The
-    file is one object (one row); the map is exploded to rows at once."""
-    raw = spark.read.text(path, wholetext=True)
+    """JSON objects ``{name: id}``, one or many per file and each on a
+    line of its own -> rows (name, category_id)."""
     m = F.from_json("value", "map<string,bigint>")
-    return raw.select(F.explode(m).alias("name", "category_id"))
+    return spark.read.text(path).select(F.explode(m).alias("name", "category_id"))
+
+
+def write_category_dict(dictionary: DataFrame, path: str) -> None:
+    """One ``{name: id}`` object per line, one file per task."""
+    pair = F.create_map(F.col("name"), F.col("category_id"))
+    dictionary.select(F.to_json(pair).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_embedding_csv(spark: SparkSession, path: str, dim: int) -> DataFrame:
@@ -63,10 +69,16 @@ def save_dataset(df: DataFrame, base: str, name: str, version: str) -> DataFrame
 def load_or_build(spark: SparkSession, base: str, name: str, version: str, build) -> DataFrame:
     """Reuse a stored version if present, else build and store it."""
     path = dataset_path(base, name, version)
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not there yet
-        return save_dataset(build(), base, name, version)
+    if path_exists(spark, os.path.join(path, "_SUCCESS")):
+        return spark.read.parquet(path)     # an unreadable version raises, it is never overwritten
+    return save_dataset(build(), base, name, version)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path``, in whatever store it names?"""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def replace_labels(dataset: DataFrame, labels: DataFrame, key: str, label_col: str) -> DataFrame:
@@ -75,5 +87,6 @@ def replace_labels(dataset: DataFrame, labels: DataFrame, key: str, label_col: s
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    """Combine several training files by column name."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Combine several training files by column name; a file with
+    other columns is an error."""
+    return reduce(lambda a, b: a.unionByName(b), frames)
