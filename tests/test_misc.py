@@ -98,6 +98,34 @@ def test_json_deep_and_malformed(spark):
     assert last["parent_id"] == "deep-1198" and last["score"] is None
 
 
+def test_json_very_deep_and_rejects(spark):
+    depth = 50_000
+    line = '{"id": "deep", "children": [' + "".join(
+        '{"id": "c%d", "body": "b \\u00e9", "children": [' % i for i in range(depth)) + "]}" * depth + "]}"
+    d = tempfile.mkdtemp(prefix="tm-json-")
+    with open(os.path.join(d, "posts.jsonl"), "w") as f:
+        f.write(line + "\n" + '{"id": "broken", "children": [' + "\n\n" + "[1, 2]\n" + '{"id": "ok", "children": [7]}\n')
+    posts, comments, rejects = jsonl.read_threads_and_rejects(spark, d)
+    assert sorted(r["post_id"] for r in posts.collect()) == ["deep", "ok"]
+    assert comments.count() == depth
+    last = comments.filter(F.col("comment_id") == f"c{depth - 1}").first()
+    assert last["parent_id"] == f"c{depth - 2}" and last["body"] == "b \u00e9"
+    assert rejects.count() == 3
+
+
+def test_iterative_decoder_matches_standard():
+    texts = ['{"a": [1, -2.5e3, {"b": null, "c": [true, false, ""]}], "d": {}, "e": [], "f": "\\ud83d\\ude00 \\"x\\""}',
+             " [ ] ", "7", '"s"', '{"a": 1, "a": 2}', "[[[[]]], {}]"]
+    for x in texts:
+        assert jsonl.decode_iteratively(x) == json.loads(x)
+    for x in ["", "{", "[1,]", '{"a" 1}', "[1 2]", "nul", '{"a": 1} x', "{1: 2}", "[1}"]:
+        try:
+            jsonl.decode_iteratively(x)
+        except ValueError:
+            continue
+        raise AssertionError(x)
+
+
 def test_gbt_beats_mean(spark):
     rows = [(i, float(i % 13), float((i * 7) % 5), (i % 13) * 2.0 + ((i * 7) % 5) + (i % 3) * 0.1, i % 5 == 0)
             for i in range(600)]

@@ -1,20 +1,19 @@
 """Posts with nested reply trees as JSON lines (S1) to flat tables, and back.
 
-Reading: every line is parsed once into a VARIANT (``try_parse_json``);
-the tree is then unrolled level by level with ``posexplode`` over
-``children`` (array of VARIANT), carrying ``post_id``, the structural
-parent and the sibling order. A level costs one narrow pass over the rows
-of that level; no text is parsed twice.
-
-Lines the native parser rejects (nesting beyond its limit, malformed
-text) go to a ``mapInPandas`` fallback that decodes with Python's JSON
-module and flattens with an explicit stack; malformed lines yield no rows.
+Reading: each line is decoded once, in the task that reads it, and flattened
+with an explicit stack into one row for the post and one per comment, so the
+work is linear in the line and no depth of nesting is too deep. Lines nested
+beyond what the standard decoder takes go through an iterative decoder (an
+explicit stack over the line's tokens). The rows of all kinds are written once
+to the shared folder. Lines that are not a JSON object are never lost silently:
+they are returned as a reject table with the reason.
 """
 
 from __future__ import annotations
 
 import json
-import sys
+import re
+from json.decoder import scanstring
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,105 +24,169 @@ COMMENTS_DDL = ("post_id string, comment_id string, parent_id string, sibling_or
                 "subreddit_id string, author string, score int, created_utc bigint, body string")
 POSTS_DDL = ("post_id string, subreddit string, author string, score int, created_utc bigint, "
              "title string, selftext string")
+REJECTS_DDL = "line string, reason string"
+_COMMENT = [c.split()[0] for c in COMMENTS_DDL.split(", ")]
+_POST = [c.split()[0] for c in POSTS_DDL.split(", ")]
+ROWS_DDL = f"kind string, {COMMENTS_DDL}, title string, selftext string, line string, reason string"
+_ROW = [c.split()[0] for c in ROWS_DDL.split(", ")]
 
 
-def _g(v: str, path: str, typ: str):
-    return F.expr(f"try_variant_get({v}, '$.{path}', '{typ}')")
+def read_threads_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JSON lines -> (posts, comments, rejected lines)."""
+    rows = materialize(spark.read.text(path).filter(F.trim("value") != "").mapInPandas(_flatten, ROWS_DDL), "threads")
 
+    def kind(name: str, cols: list[str]) -> DataFrame:
+        return rows.filter(F.col("kind") == name).select(*cols)
 
-def _comment_cols(v: str, post_id, parent, ord_col):
-    return [post_id.alias("post_id"), _g(v, "id", "string").alias("comment_id"), parent.alias("parent_id"),
-            ord_col.cast("int").alias("sibling_ord"), _g(v, "subreddit", "string").alias("subreddit"),
-            _g(v, "subreddit_id", "string").alias("subreddit_id"), _g(v, "author", "string").alias("author"),
-            _g(v, "score", "int").alias("score"), _g(v, "created_utc", "bigint").alias("created_utc"),
-            _g(v, "body", "string").alias("body")]
+    return kind("post", _POST), kind("comment", _COMMENT), kind("reject", ["line", "reason"])
 
 
-def read_threads(spark: SparkSession, path: str, max_levels: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def read_threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines -> (posts, comments) with the canonical schemas."""
-    lines = spark.read.text(path)
-    parsed = materialize(lines.select("value", F.expr("try_parse_json(value)").alias("v")), "posts_raw")
-    ok = parsed.filter(F.col("v").isNotNull())
-    posts = ok.select(_g("v", "id", "string").alias("post_id"), _g("v", "subreddit", "string").alias("subreddit"),
-                      _g("v", "author", "string").alias("author"), _g("v", "score", "int").alias("score"),
-                      _g("v", "created_utc", "bigint").alias("created_utc"), _g("v", "title", "string").alias("title"),
-                      _g("v", "selftext", "string").alias("selftext"))
-    level = ok.select(_g("v", "id", "string").alias("post_id"), F.lit(None).cast("string").alias("parent"),
-                      F.posexplode(_g("v", "children", "array<variant>")).alias("ord", "c"))
-    levels = []
-    for _ in range(max_levels):
-        level = materialize(level, "level")
-        if level.isEmpty():
-            break
-        levels.append(level.select(*_comment_cols("c", F.col("post_id"), F.col("parent"), F.col("ord"))))
-        level = level.select("post_id", _g("c", "id", "string").alias("parent"),
-                             F.posexplode(_g("c", "children", "array<variant>")).alias("ord", "c"))
-    schema_empty = spark.createDataFrame([], COMMENTS_DDL)
-    comments = schema_empty
-    for lv in levels:
-        comments = comments.unionByName(lv)
-    bad = parsed.filter(F.col("v").isNull()).select("value")
-    fb_posts = bad.mapInPandas(_fallback_posts, POSTS_DDL)
-    fb_comments = bad.mapInPandas(_fallback_comments, COMMENTS_DDL)
-    return posts.unionByName(fb_posts), comments.unionByName(fb_comments)
-
-
-# ------------------------------------------------------------------ fallback (deep or odd lines)
-def _decode(line):
-    old = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(old, 200_000))
+    posts, comments, _ = read_threads_and_rejects(spark, path)
+    return posts, comments
+
+
+# ------------------------------------------------------------------ decoding
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def decode_iteratively(text: str):
+    """Value of a JSON text, for any depth of nesting. ``open_`` holds the
+    containers around the current position, outermost first."""
+    at, end = _SPACE.match(text).end(), len(text)
+    open_: list[tuple[object, object]] = []        # (container, key it sits under)
+    value, have, key = None, False, None
+    while True:
+        if not have:
+            c = text[at:at + 1]
+            if c == '"':
+                value, at = scanstring(text, at + 1, True)
+                have = True
+            elif c in ("{", "["):
+                box: object = {} if c == "{" else []
+                at = _SPACE.match(text, at + 1).end()
+                if text[at:at + 1] == ("}" if c == "{" else "]"):
+                    value, have, at = box, True, at + 1
+                else:
+                    open_.append((box, key))
+                    key, at = _key(text, at) if c == "{" else (None, at)
+                    continue
+            else:
+                m = _NUMBER.match(text, at)
+                word = next((w for w in _WORDS if text.startswith(w, at)), None)
+                if m:
+                    number = m.group()
+                    value = int(number) if re.fullmatch(r"-?\d+", number) else float(number)
+                    at = m.end()
+                elif word:
+                    value, at = _WORDS[word], at + len(word)
+                else:
+                    raise ValueError(f"no JSON value at character {at}")
+                have = True
+        at = _SPACE.match(text, at).end()
+        if not open_:
+            if at != end:
+                raise ValueError(f"more text at character {at}")
+            return value
+        box, outer = open_[-1]
+        if isinstance(box, dict):
+            box[key] = value
+        else:
+            box.append(value)
+        c = text[at:at + 1]
+        if c == ",":
+            at = _SPACE.match(text, at + 1).end()
+            key, at = _key(text, at) if isinstance(box, dict) else (None, at)
+            have = False
+        elif c == ("}" if isinstance(box, dict) else "]"):
+            open_.pop()
+            value, key, at = box, outer, at + 1
+        else:
+            raise ValueError(f"expected ',' or an end at character {at}")
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    """A member name and the place after its colon."""
+    if text[at:at + 1] != '"':
+        raise ValueError(f"expected a name at character {at}")
+    name, at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at:at + 1] != ":":
+        raise ValueError(f"expected ':' at character {at}")
+    return name, _SPACE.match(text, at + 1).end()
+
+
+def decode(line: str):
     try:
         return json.loads(line)
-    except (ValueError, RecursionError):
-        return None
-    finally:
-        sys.setrecursionlimit(old)
+    except RecursionError:
+        return decode_iteratively(line)
 
 
+# ------------------------------------------------------------------ flattening
 def _int(x):
     try:
         return None if x is None else int(x)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return None
 
 
-def _fallback_posts(batches):
-    import pandas as pd
-    for pdf in batches:
-        rows = []
-        for line in pdf["value"]:
-            p = _decode(line)
-            if isinstance(p, dict):
-                rows.append((p.get("id"), p.get("subreddit"), p.get("author"), _int(p.get("score")),
-                             _int(p.get("created_utc")), p.get("title"), p.get("selftext")))
-        yield pd.DataFrame(rows, columns=["post_id", "subreddit", "author", "score", "created_utc", "title", "selftext"])
+def _str(x):
+    return x if x is None or isinstance(x, str) else json.dumps(x)
+
+
+def _children(node: dict) -> list:
+    kids = node.get("children")
+    return kids if isinstance(kids, list) else []
 
 
-def _fallback_comments(batches):
+def _line_rows(line: str):
+    """Row dictionaries of one line."""
+    try:
+        post = decode(line)
+    except ValueError as e:
+        yield {"kind": "reject", "line": line, "reason": str(e)}
+        return
+    if not isinstance(post, dict):
+        yield {"kind": "reject", "line": line, "reason": "not a JSON object"}
+        return
+    pid = _str(post.get("id"))
+    yield {"kind": "post", "post_id": pid, "subreddit": _str(post.get("subreddit")), "author": _str(post.get("author")),
+           "score": _int(post.get("score")), "created_utc": _int(post.get("created_utc")),
+           "title": _str(post.get("title")), "selftext": _str(post.get("selftext"))}
+    stack = [(None, i, c) for i, c in reversed(list(enumerate(_children(post))))]
+    while stack:
+        parent, i, c = stack.pop()
+        if not isinstance(c, dict):
+            yield {"kind": "reject", "line": json.dumps(c), "reason": f"a comment of {pid} is not a JSON object"}
+            continue
+        cid = _str(c.get("id"))
+        yield {"kind": "comment", "post_id": pid, "comment_id": cid, "parent_id": parent, "sibling_ord": i,
+               "subreddit": _str(c.get("subreddit")), "subreddit_id": _str(c.get("subreddit_id")),
+               "author": _str(c.get("author")), "score": _int(c.get("score")),
+               "created_utc": _int(c.get("created_utc")), "body": _str(c.get("body"))}
+        stack.extend((cid, j, k) for j, k in reversed(list(enumerate(_children(c)))))
+
+
+def _flatten(batches):
     import pandas as pd
-    cols = ["post_id", "comment_id", "parent_id", "sibling_ord", "subreddit", "subreddit_id", "author",
-            "score", "created_utc", "body"]
+
+    def frame(rows):
+        out = pd.DataFrame([tuple(r.get(c) for c in _ROW) for r in rows], columns=_ROW, dtype=object)
+        return out.astype({"sibling_ord": "Int32", "score": "Int32", "created_utc": "Int64"})
+
     for pdf in batches:
         rows = []
         for line in pdf["value"]:
-            p = _decode(line)
-            if not isinstance(p, dict):
-                continue
-            stack = [(None, i, c) for i, c in enumerate(p.get("children") or [])]
-            stack.reverse()
-            while stack:  # explicit stack: no recursion on deep trees
-                parent, i, c = stack.pop()
-                if not isinstance(c, dict):
-                    continue
-                rows.append((p.get("id"), c.get("id"), parent, i, c.get("subreddit"), c.get("subreddit_id"),
-                             c.get("author"), _int(c.get("score")), _int(c.get("created_utc")), c.get("body")))
-                kids = [(c.get("id"), j, k) for j, k in enumerate(c.get("children") or [])]
-                stack.extend(reversed(kids))
-        out = pd.DataFrame(rows, columns=cols)
-        out["sibling_ord"] = out["sibling_ord"].astype("Int32")
-        out["score"] = out["score"].astype("Int32")
-        out["created_utc"] = out["created_utc"].astype("Int64")
-        yield out
+            for row in _line_rows(line):
+                rows.append(row)
+                if len(rows) >= 20_000:      # a giant thread leaves in pieces
+                    yield frame(rows)
+                    rows = []
+        yield frame(rows)
 
 
 # ------------------------------------------------------------------ writer
