@@ -22,91 +22,98 @@ empty result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow
+from .common import WORD, bound_arrow
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"            # the vocabulary's word-start mark
 KEPT = 1_000_000
+WORDS = re.compile(WORD).findall
+SHIFT, MASK = 40, (1 << 40) - 1
 TIE = 1e-9                  # scores closer than this are equal
 
-State = tuple[float, int, int]      # (score, tokens, of them bytes of uncovered characters)
-
-
 @lru_cache(maxsize=2)
-def load_pieces(path: str) -> tuple[dict[str, float], int, float]:
-    """(piece -> score, longest piece, score of a byte)."""
+def load_pieces(path: str) -> tuple[dict[str, float], float]:
+    """(piece -> score, score of a byte)."""
     from sentencepiece import SentencePieceProcessor
     model = SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     pieces = {model.id_to_piece(i): -math.log(i + 2) for i in range(n)
               if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-    return pieces, max(map(len, pieces)), -math.log(n + 2)
+    return pieces, -math.log(n + 2)
 
 
-def better(a: State, b: State | None) -> bool:
-    return b is None or a[0] > b[0] + TIE or (a[0] > b[0] - TIE and a[1] < b[1])
+@lru_cache(maxsize=2)
+def suffix_scores(path: str) -> dict[str, float | None]:
+    """Every ending of every piece -> the score if it is a piece itself. The
+    pieces that end at a character are found by growing an ending to the left
+    until no piece ends so."""
+    pieces = load_pieces(path)[0]
+    out: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(1, len(p))}
+    out.update(pieces)
+    return out
 
 
-def trie_counts(words: Iterable[str], pieces: dict[str, float], longest: int, byte: float) -> dict[str, tuple[int, int]]:
+def trie_counts(words: Iterable[str], endings: dict[str, float | None], byte: float) -> dict[str, tuple[int, int]]:
     """Word -> (tokens, byte tokens) for distinct words. The words are walked
-    in sorted order; ``path[i]`` is the state after the first i characters of
-    the current one, and the part shared with the word before is kept."""
+    in sorted order; ``score[i]``, ``tokens[i]`` and ``raw[i]`` are the state
+    after the first i characters of the current one, and the part shared with
+    the word before is kept."""
     out: dict[str, tuple[int, int]] = {}
-    path: list[State] = [(0.0, 0, 0)]
+    score, tokens, raw = [0.0], [0], [0]
     before = ""
-    get = pieces.get
     for word in sorted(words):
         marked = START + word
         shared, most = 0, min(len(before), len(marked))
         while shared < most and before[shared] == marked[shared]:
             shared += 1
-        del path[shared + 1:]
+        del score[shared + 1:], tokens[shared + 1:], raw[shared + 1:]
         for end in range(shared + 1, len(marked) + 1):
-            top: State | None = None
-            for begin in range(max(0, end - longest), end):
-                score = get(marked[begin:end])
-                if score is not None:
-                    s, n, b = path[begin]
-                    cand = (s + score, n + 1, b)
-                    if better(cand, top):
-                        top = cand
-            if get(marked[end - 1]) is None:
-                size = len(marked[end - 1].encode("utf-8", "surrogatepass"))
-                s, n, b = path[end - 1]
-                cand = (s + size * byte, n + size, b + size)
-                if better(cand, top):
-                    top = cand
-            path.append(top)
+            last = marked[end - 1]
+            if endings.get(last) is None:       # no piece is this character
+                size = len(last.encode("utf-8", "surrogatepass"))
+                top, n, r = score[end - 1] + size * byte, tokens[end - 1] + size, raw[end - 1] + size
+            else:
+                top, n, r = -math.inf, 0, 0
+            for begin in range(end - 1, -1, -1):
+                part = marked[begin:end]
+                if part not in endings:
+                    break
+                own = endings[part]
+                if own is not None:
+                    s = score[begin] + own
+                    if s > top + TIE or (s > top - TIE and tokens[begin] + 1 < n):
+                        top, n, r = s, tokens[begin] + 1, raw[begin]
+            score.append(top)
+            tokens.append(n)
+            raw.append(r)
         before = marked
-        out[word] = (path[-1][1], path[-1][2])
+        out[word] = (tokens[-1], raw[-1])
     return out
 
 
 def _counter(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, longest, byte = load_pieces(path)
-        known: dict[str, tuple[int, int]] = {}
+        endings, byte = suffix_scores(path), load_pieces(path)[1]
+        known: dict[str, int] = {}       # tokens, and byte tokens shifted left, in one number
         for pdf in frames:
-            words = [[w.decode("utf-8", "surrogatepass") for w in (t or "").encode("utf-8", "surrogatepass").split()]
-                     for t in pdf["text"].tolist()]          # bytes.split() cuts at the six ASCII white-space characters
-            new = {w for ws in words for w in ws if w not in known}
+            words = [WORDS(t) if t else [] for t in pdf["text"].tolist()]
+            new = set(chain.from_iterable(words)).difference(known)
             if len(known) + len(new) > KEPT:
-                known, new = {}, {w for ws in words for w in ws}
-            known.update(trie_counts(new, pieces, longest, byte))
-            rows = []
-            for ws in words:
-                counts = [known[w] for w in ws]
-                rows.append((len(ws), sum(c[0] for c in counts), sum(c[1] for c in counts)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [r[0] for r in rows],
-                                "n_tokens": [r[1] for r in rows], "n_byte_tokens": [r[2] for r in rows]})
+                known, new = {}, set(chain.from_iterable(words))
+            known.update((w, n | r << SHIFT) for w, (n, r) in trie_counts(new, endings, byte).items())
+            sums = [sum(map(known.__getitem__, ws)) for ws in words]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": list(map(len, words)),
+                                "n_tokens": [x & MASK for x in sums], "n_byte_tokens": [x >> SHIFT for x in sums]})
     return run
 
 
