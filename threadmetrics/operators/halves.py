@@ -22,12 +22,14 @@ def replies_with_heights(comments: DataFrame) -> DataFrame:
 
     Heights are taken before any split (the reference injects them into the
     whole tree first), so a half reports heights of the whole thread.
-    Materialised: the half split reads it several times.
+    Replies under a missing parent (orphans, see :func:`tree.orphans`) belong
+    to no TLC and are left out here and in every per-TLC table. Materialised:
+    the half split reads it several times.
     """
     stats = tree_stats(comments).select("post_id", "comment_id", "tlc_id", "level", "height")
     r = (comments.select("post_id", "comment_id", "parent_id", "subreddit", "subreddit_id",
                          "score", "created_utc", "body")
-         .join(stats.filter(F.col("level") > 0), ["post_id", "comment_id"], "inner"))
+         .join(stats.filter((F.col("level") > 0) & F.col("tlc_id").isNotNull()), ["post_id", "comment_id"], "inner"))
     return _checkpoint(r)
 
 
@@ -78,6 +80,24 @@ def stratified_sample(even: DataFrame, seed: int = 42, k: int = EVEN_SAMPLE_PER_
     return top.join(strata_sizes(even).select(*strata), strata, "left_semi")
 
 
+def stratified_sample_with_replacement(even: DataFrame, seed: int = 42, k: int = EVEN_SAMPLE_PER_STRATUM) -> DataFrame:
+    """W3 as the reference draws it: strata with more than ``k`` members give
+    ``k`` independent draws (a member may come more than once), smaller ones
+    keep all. Members are numbered in md5 order across the cluster, and draw j
+    of a stratum takes the member at position md5(seed, stratum, j) modulo its
+    size: a join of ``k`` rows per stratum, never a collected stratum."""
+    strata = ["Top_comment_subreddit", "Top_comment_subreddit_id", "n_replies"]
+    sizes = strata_sizes(even)
+    ranked = group_rank(even.withColumn("_h", sample_key(seed)), strata, ["_h", "Top_comment_id"], rank_col="_at",
+                        size_col="_size").drop("_h", "_size")
+    name = F.concat_ws(":", F.lit(str(seed)), *strata, F.col("_draw"))
+    hexd = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("bigint")
+    draws = (sizes.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.least(F.col("n_members"), F.lit(k)).cast("int"))))
+             .withColumn("_at", F.when(F.col("n_members") <= k, F.col("_draw").cast("bigint"))
+                         .otherwise(hexd % F.col("n_members") + 1)).drop("n_members"))
+    return draws.join(ranked, [*strata, "_at"]).select(*even.columns, F.col("_draw").cast("bigint").alias("draw"))
+
+
 def time_halves(replies: DataFrame) -> DataFrame:
     """W1 + W2: order the replies of each TLC by (created_utc, comment_id)
     and cut them into two equal halves; ``half`` is 0 or 1. Only TLCs with a
@@ -89,16 +109,19 @@ def time_halves(replies: DataFrame) -> DataFrame:
             .withColumn("half", F.when(F.col("time_rank") <= n / 2, 0).otherwise(1)))
 
 
+def half_aggregates(tlc) -> list:
+    """Links, replies, direct replies, score sum (NULL adds 0), largest height."""
+    return [F.sum(link_count(F.col("body"))).cast("bigint").alias("Replies_links_count"),
+            F.count(F.lit(1)).cast("bigint").alias("Replies_total_number"),
+            F.count_if(F.col("parent_id") == tlc).cast("bigint").alias("Top_comment_direct_children"),
+            F.sum(F.coalesce("score", F.lit(0))).cast("bigint").alias("Replies_sum_score"),
+            F.max("height").cast("bigint").alias("Replies_max_depth")]
+
+
 def half_features(halves: DataFrame) -> DataFrame:
     """Per (TLC, half): links, replies, direct replies within the half,
     score sum (NULL adds 0) and the largest whole-tree height."""
-    return (halves.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half")
-            .agg(F.sum(link_count(F.col("body"))).cast("bigint").alias("Replies_links_count"),
-                 F.count(F.lit(1)).cast("bigint").alias("Replies_total_number"),
-                 F.count_if(F.col("parent_id") == F.col("tlc_id")).cast("bigint")
-                 .alias("Top_comment_direct_children"),
-                 F.sum(F.coalesce("score", F.lit(0))).cast("bigint").alias("Replies_sum_score"),
-                 F.max("height").cast("bigint").alias("Replies_max_depth")))
+    return halves.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(*half_aggregates(F.col("tlc_id")))
 
 
 def direct_total(halves: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ engine's own (``fixed.ACCOMMODATION_MARKERS``, ``PROSOCIAL_PATTERNS``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import (ACCOMMODATION_MARKERS, FUNDRAISING_HOSTS, INFORMATIVE_HOSTS,
                                PROSOCIAL_PATTERNS)
+from . import halves as hv
 from . import scores as sc
 from .lineage import materialize
 from .tree import annotate
@@ -29,62 +32,93 @@ def has_marker(words: Column, category: str) -> Column:
     return F.arrays_overlap(words, F.array(*[F.lit(w) for w in ACCOMMODATION_MARKERS[category]]))
 
 
-def reply_scores(replies: DataFrame) -> DataFrame:
-    """Stand-ins for the external per-reply scorers (politeness and support
-    on 1..5, toxicity and attack on 0..1), derived from the reply text so the
-    merge has inputs that grow with the data."""
-    n = F.length(F.coalesce("body", F.lit("")))
-    return replies.select(
-        "*",
-        (1 + n % 5).alias("politeness_raw"), (1 + (n * 7) % 5).alias("support_raw"),
-        ((n % 100) / 99.0).alias("toxicity"), ((n % 7) / 6.0).alias("attack"))
+SCORES = ["politeness", "support", "toxicity", "attack"]
+
+
+def with_scores(replies: DataFrame, scores: DataFrame) -> DataFrame:
+    """Replies plus their scores (politeness and support 1..5, toxicity and
+    attack 0..1) from a table keyed by (post_id, comment_id); a reply without
+    scores keeps nulls."""
+    return replies.join(scores.select("post_id", "comment_id", *SCORES), ["post_id", "comment_id"], "left")
+
+
+def prosocial_aggregates(body: Column) -> list[Column]:
+    """X3 + X4: how many bodies carry each marker or link kind."""
+    aggs = [F.count_if(body.rlike(p)).cast("bigint").alias(f"Replies_{k}_count") for k, p in PROSOCIAL_PATTERNS.items()]
+    return [*aggs, F.count_if(body.rlike(FUNDRAISING_HOSTS)).cast("bigint").alias("Replies_fundraising_URL_count"),
+            F.count_if(body.rlike(INFORMATIVE_HOSTS)).cast("bigint").alias("Replies_informative_URL_count")]
+
+
+def score_aggregates() -> list[Column]:
+    """Average rescaled (T14) politeness and support."""
+    return [F.avg(sc.five_point_to_signed(F.col("politeness"))).alias("Replies_average_politeness"),
+            F.avg(sc.five_point_to_signed(F.col("support"))).alias("Replies_average_support")]
 
 
 def prosocial_counts(halves: DataFrame) -> DataFrame:
     """X3 + X4: replies per (TLC, half) that carry each marker or link kind."""
     body = F.coalesce(F.col("body"), F.lit(""))
-    aggs = [F.count_if(body.rlike(p)).cast("bigint").alias(f"Replies_{k}_count")
-            for k, p in PROSOCIAL_PATTERNS.items()]
-    aggs.append(F.count_if(body.rlike(FUNDRAISING_HOSTS)).cast("bigint").alias("Replies_fundraising_URL_count"))
-    aggs.append(F.count_if(body.rlike(INFORMATIVE_HOSTS)).cast("bigint").alias("Replies_informative_URL_count"))
-    return halves.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(*aggs)
+    return halves.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(*prosocial_aggregates(body))
 
 
-def politeness_support(halves: DataFrame) -> DataFrame:
-    """Average rescaled (T14) politeness and support of the replies."""
-    s = reply_scores(halves)
-    return s.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(
-        F.avg(sc.five_point_to_signed(F.col("politeness_raw"))).alias("Replies_average_politeness"),
-        F.avg(sc.five_point_to_signed(F.col("support_raw"))).alias("Replies_average_support"))
+def politeness_support(halves: DataFrame, scores: DataFrame) -> DataFrame:
+    """X6 per half, from a scores table."""
+    s = with_scores(halves, scores)
+    return s.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(*score_aggregates())
 
 
-def toxicity(halves: DataFrame) -> DataFrame:
-    """X5 per half."""
-    s = reply_scores(halves).withColumnRenamed("tlc_id", "Top_comment_id")
+def toxicity(halves: DataFrame, scores: DataFrame) -> DataFrame:
+    """X5 per half, from a scores table."""
+    s = with_scores(halves, scores).withColumnRenamed("tlc_id", "Top_comment_id")
     return sc.toxic_children(s, F.col("toxicity"), F.col("attack"), KEY)
 
 
-def accommodation(halves: DataFrame, comments: DataFrame) -> DataFrame:
-    """Per (TLC, half) and marker category m over the half's replies and
-    their parents: ``P(reply has m | parent has m) - P(reply has m)``; 0 when
-    no parent has m. One many-to-one join reply -> parent on
-    ``(post_id, comment_id)``."""
-    par = comments.select("post_id", F.col("comment_id").alias("parent_id"), F.col("body").alias("_pbody"))
-    j = (lookup_join(halves.select("post_id", "parent_id", "tlc_id", "half", "body"), par, ["post_id", "parent_id"], "inner")
-         .select("tlc_id", "half", _words(F.col("body")).alias("_cw"), _words(F.col("_pbody")).alias("_pw")))
-    aggs = []
-    for m in ACCOMMODATION_MARKERS:
-        c, p = has_marker(F.col("_cw"), m), has_marker(F.col("_pw"), m)
-        aggs += [F.count_if(c & p).alias(f"_cp_{m}"), F.count_if(p).alias(f"_p_{m}"),
-                 F.count_if(c).alias(f"_c_{m}")]
-    a = j.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(
-        F.count(F.lit(1)).alias("_n"), *aggs)
+def marker_mask(words: Column) -> Column:
+    """One bit per marker category: does the word array contain it?"""
+    bits = [F.when(has_marker(words, m), 1 << i).otherwise(0) for i, m in enumerate(ACCOMMODATION_MARKERS)]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def with_masks(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` plus the marker mask of ``body`` (words are split once)."""
+    return rows.withColumn("_words", _words(F.col("body"))).withColumn(name, marker_mask(F.col("_words"))).drop("_words")
+
+
+def parent_masks(halves: DataFrame, comments: DataFrame, how: str) -> DataFrame:
+    """Reply rows with their own marker mask ``_cm`` and their parent's
+    ``_pm``: one many-to-one join on (post_id, parent_id) that carries a number
+    of the parent, not its text."""
+    par = with_masks(comments.select("post_id", F.col("comment_id").alias("parent_id"), "body"), "_pm").drop("body")
+    return lookup_join(with_masks(halves, "_cm"), par, ["post_id", "parent_id"], how)
+
+
+def accommodation_aggregates() -> list[Column]:
+    """Counts behind X2 over rows with ``_cm`` and ``_pm``; rows without a
+    parent do not count."""
+    has = F.col("_pm").isNotNull()
+    aggs = [F.count_if(has).alias("_n")]
+    for i, m in enumerate(ACCOMMODATION_MARKERS):
+        c, p = F.col("_cm").bitwiseAND(1 << i) != 0, F.col("_pm").bitwiseAND(1 << i) != 0
+        aggs += [F.count_if(c & p).alias(f"_cp_{m}"), F.count_if(p).alias(f"_p_{m}"), F.count_if(c & has).alias(f"_c_{m}")]
+    return aggs
+
+
+def accommodation_columns() -> list[Column]:
+    """X2 from the counts: P(reply has m | parent has m) - P(reply has m)."""
     outs = []
     for m in ACCOMMODATION_MARKERS:
         cond = F.col(f"_cp_{m}") / F.col(f"_p_{m}") - F.col(f"_c_{m}") / F.col("_n")
-        outs.append(F.when(F.col(f"_p_{m}") > 0, cond).otherwise(F.lit(0.0))
-                    .alias(f"Top_comment_{m}_accommodation"))
-    return a.select(*KEY, *outs)
+        outs.append(F.when(F.col(f"_p_{m}") > 0, cond).otherwise(F.lit(0.0)).alias(f"Top_comment_{m}_accommodation"))
+    return outs
+
+
+def accommodation(halves: DataFrame, comments: DataFrame) -> DataFrame:
+    """Per (TLC, half) and marker category m over the half's replies and
+    their parents: ``P(reply has m | parent has m) - P(reply has m)``; 0 when
+    no parent has m."""
+    j = parent_masks(halves.select("post_id", "parent_id", "tlc_id", "half", "body"), comments, "inner")
+    a = j.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(*accommodation_aggregates())
+    return a.select(*KEY, *accommodation_columns())
 
 
 def alternation(comments: DataFrame) -> DataFrame:
@@ -110,19 +144,41 @@ def alternation(comments: DataFrame) -> DataFrame:
     cut = x.select("post_id", "comment_id", F.when(F.col("cont"), F.col("parent_id")).alias("parent_id"))
     runs = annotate(cut).select("post_id", "comment_id", F.col("tlc_id").alias("_start"), F.col("level").alias("_d"))
     starts = x.select("post_id", F.col("comment_id").alias("_start"), F.col("base").alias("_base"))
-    return (x.join(runs, ["post_id", "comment_id"]).join(starts, ["post_id", "_start"])
+    # a whole run tree may hang on one start
+    return (lookup_join(x.join(runs, ["post_id", "comment_id"]), starts, ["post_id", "_start"], "inner")
             .select("post_id", "comment_id", (F.col("_base") + F.col("_d")).alias("alt"),
                     F.least("author", "_pa").alias("pair_a"), F.greatest("author", "_pa").alias("pair_b"),
                     "cont"))
 
 
+def sustained_aggregates() -> list[Column]:
+    """X7 over rows of :func:`alternation`."""
+    mx, cont = F.max("alt"), F.coalesce(F.col("cont"), F.lit(False))
+    return [F.count_distinct(F.when(cont, F.col("pair_a")), F.when(cont, F.col("pair_b"))).cast("bigint")
+            .alias("Replies_distinct_pairs_of_sustained_conversation"),
+            F.when(mx >= 3, mx).otherwise(0).cast("bigint").alias("Replies_max_turns_of_sustained_conversations")]
+
+
 def sustained(halves: DataFrame, comments: DataFrame) -> DataFrame:
     """Distinct author pairs with an A->B->A exchange ending in the half,
     and the longest alternating run ending in the half (0 below 3 turns)."""
-    alt = alternation(comments)
-    j = halves.select("post_id", "comment_id", "tlc_id", "half").join(alt, ["post_id", "comment_id"])
-    mx = F.max("alt")
-    return j.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(
-        F.count_distinct(F.when(F.col("cont"), F.col("pair_a")), F.when(F.col("cont"), F.col("pair_b")))
-        .cast("bigint").alias("Replies_distinct_pairs_of_sustained_conversation"),
-        F.when(mx >= 3, mx).otherwise(0).cast("bigint").alias("Replies_max_turns_of_sustained_conversations"))
+    j = halves.select("post_id", "comment_id", "tlc_id", "half").join(alternation(comments), ["post_id", "comment_id"])
+    return j.groupBy(F.col("tlc_id").alias("Top_comment_id"), "half").agg(*sustained_aggregates())
+
+
+def all_outcomes(halves: DataFrame, comments: DataFrame, scores: DataFrame) -> DataFrame:
+    """Every metric of the seven tables in one aggregation per (TLC, half):
+    each reply row meets its parent's marker mask, its scores and its
+    alternation once, and is grouped once."""
+    rows = parent_masks(halves.select("post_id", "comment_id", "parent_id", "tlc_id", "half", "body", "score", "height"),
+                        comments, "left")
+    rows = with_scores(rows, scores).join(alternation(comments), ["post_id", "comment_id"], "left")
+    body = F.coalesce(F.col("body"), F.lit(""))
+    per = rows.groupBy("post_id", F.col("tlc_id").alias("Top_comment_id"), "half").agg(
+        *hv.half_aggregates(F.col("tlc_id")), *prosocial_aggregates(body), *accommodation_aggregates(),
+        *score_aggregates(), *sc.toxic_aggregates(F.col("toxicity"), F.col("attack")), *sustained_aggregates())
+    both = Window.partitionBy("post_id", "Top_comment_id")      # two rows
+    direct = F.col("Top_comment_direct_children")
+    per = per.withColumn("Top_comment_direct_children", F.when(F.col("half") == 1, F.sum(direct).over(both)).otherwise(direct))
+    keep = [c for c in per.columns if not c.startswith("_")]
+    return per.select(*keep, *accommodation_columns())

@@ -156,10 +156,13 @@ def eval_subset_size(n: int, mode: str = "n/500") -> int:
 def toxic_children(replies: DataFrame, tox: Column, attack: Column, group_cols: list[str]) -> DataFrame:
     """Per group, toxic replies (untuned, tuned) and the share of
     non-toxic replies (untuned, tuned)."""
-    untuned, tuned = toxicity_flags(tox, attack)
-    r = replies.select(*group_cols, untuned.alias("_u"), tuned.alias("_t"))
-    return r.groupBy(*group_cols).agg(
-        F.sum("_u").cast("bigint").alias("Replies_untuned_toxicity_children_count"),
-        F.sum("_t").cast("bigint").alias("Replies_tuned_toxicity_children_count"),
-        F.avg(1 - F.col("_u")).alias("Replies_untuned_non_toxic_percentage"),
-        F.avg(1 - F.col("_t")).alias("Replies_tuned_non_toxic_percentage"))
+    return replies.groupBy(*group_cols).agg(*toxic_aggregates(tox, attack))
+
+
+def toxic_aggregates(tox: Column, attack: Column) -> list[Column]:
+    """X5's counts and shares; a reply without scores is not toxic."""
+    u, t = toxicity_flags(tox, attack)
+    return [F.sum(u).cast("bigint").alias("Replies_untuned_toxicity_children_count"),
+            F.sum(t).cast("bigint").alias("Replies_tuned_toxicity_children_count"),
+            F.avg(1 - u).alias("Replies_untuned_non_toxic_percentage"),
+            F.avg(1 - t).alias("Replies_tuned_non_toxic_percentage")]

@@ -80,6 +80,13 @@ def annotate(comments: DataFrame) -> DataFrame:
     )
 
 
+def orphans(comments: DataFrame) -> DataFrame:
+    """Comments whose chain of parents reaches one that is not there, with
+    nothing else known of their thread: they count in no per-TLC table, and
+    this is where they are seen."""
+    return annotate(comments).filter(F.col("tlc_id").isNull()).select("post_id", "comment_id")
+
+
 def comment_tree(comments: DataFrame) -> DataFrame:
     """``comments`` plus ``tlc_id`` and ``level`` (one 1:1 join)."""
     return comments.join(annotate(comments), ["post_id", "comment_id"], "inner")

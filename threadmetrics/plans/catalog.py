@@ -109,6 +109,11 @@ def w3_stratified_sample(spark, sf_dir):
     return hv.stratified_sample(_even(spark, sf_dir))
 
 
+@query("w3_sample_with_replacement")
+def w3_sample_with_replacement(spark, sf_dir):
+    return hv.stratified_sample_with_replacement(_even(spark, sf_dir))
+
+
 @query("j1_sample_join")
 def j1_sample_join(spark, sf_dir):
     sample = hv.stratified_sample(_even(spark, sf_dir))
@@ -360,7 +365,7 @@ def j7_pairs(spark, sf_dir):
 def m9_rank(spark, sf_dir):
     p = _pair_rows(spark, sf_dir)
     key = F.concat(F.col("l_id").cast("string"), F.lit(":"), F.col("r_id").cast("string"))
-    return p.select("l_id", "r_id", sc.rank_pair(F.col("n_chars_l") % 7, F.col("n_chars_r") % 7, key).alias("pred"))
+    return p.select("l_id", "r_id", sc.rank_pair(F.col("toxic_l"), F.col("toxic_r"), key).alias("pred"))
 
 
 @query("a16_pair_scores")
@@ -374,30 +379,22 @@ def t13_t14_rescale(spark, sf_dir):
     d = _labeled_docs(spark, sf_dir)
     return _round(d.select(
         "doc_id",
-        sc.unit_to_signed((F.col("doc_id") % 10) / 9.0).alias("gender_value"),
-        sc.five_point_to_signed(1 + F.col("n_chars") % 5).alias("politeness_value")))
+        sc.unit_to_signed(F.col("toxic").cast("double")).alias("gender_value"),
+        sc.five_point_to_signed(1 + 4 * F.col("quality")).alias("politeness_value")))
 
 
 @query("t15_toxicity")
 def t15_toxicity(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
-    u, t = sc.toxicity_flags((F.col("n_chars") % 1000) / 999.0, (F.col("doc_id") % 100) / 99.0)
-    return d.select("doc_id", u.alias("untuned_toxicity"), t.alias("tuned_toxicity"))
-
-
-def _reply_toxicity(spark, sf_dir, name="conv_comments"):
-    ann = tree.annotate(_t(spark, sf_dir, name))
-    c = _t(spark, sf_dir, name).join(ann, ["post_id", "comment_id"]).filter(F.col("level") > 0)
-    tox = (F.length("body") % 100) / 99.0
-    att = (F.length("body") % 7) / 6.0
-    return c, tox, att
+    u, t = sc.toxicity_flags(F.col("toxic").cast("double"), (1 - F.col("quality")).cast("double"))
+    return read_table(spark, sf_dir, "labels").select("doc_id", u.alias("untuned_toxicity"), t.alias("tuned_toxicity"))
 
 
 @query("x5_toxic_children")
 def x5_toxic_children(spark, sf_dir):
-    c, tox, att = _reply_toxicity(spark, sf_dir)
-    out = sc.toxic_children(c, tox, att, ["tlc_id"]).withColumnRenamed("tlc_id", "Top_comment_id")
-    return _round(out)
+    replies = tree.annotate(_t(spark, sf_dir, "order_comments")).filter(F.col("level") > 0)
+    scored = oc.with_scores(replies, _t(spark, sf_dir, "order_scores"))
+    out = sc.toxic_children(scored, F.col("toxicity"), F.col("attack"), ["tlc_id"])
+    return _round(out.withColumnRenamed("tlc_id", "Top_comment_id"))
 
 
 @query("t16_cosine")
@@ -450,7 +447,7 @@ def x2_accommodation(spark, sf_dir):
 
 @query("x6_politeness_support")
 def x6_politeness_support(spark, sf_dir):
-    return _round(oc.politeness_support(_halves(spark, sf_dir)))
+    return _round(oc.politeness_support(_halves(spark, sf_dir), _t(spark, sf_dir, "conv_scores")))
 
 
 @query("x7_sustained")
@@ -480,12 +477,17 @@ def p6_rename(spark, sf_dir):
 
 @query("p7_outcomes")
 def p7_outcomes(spark, sf_dir):
-    return _round(dyn.half_outcomes(_t(spark, sf_dir, "conv_comments")))
+    return _round(dyn.merged_outcomes(_t(spark, sf_dir, "conv_comments"), _t(spark, sf_dir, "conv_scores")))
 
 
 @query("j3_merge")
 def j3_merge(spark, sf_dir):
-    return _round(dyn.half_outcomes(_t(spark, sf_dir, "order_comments")))
+    return _round(dyn.half_outcomes(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_scores")))
+
+
+@query("j3_sampled_merge")
+def j3_sampled_merge(spark, sf_dir):
+    return _round(dyn.sampled_outcomes(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_scores")))
 
 
 @query("a6_half_features_orders")

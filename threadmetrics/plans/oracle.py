@@ -250,6 +250,18 @@ def _w3():
             + " select Top_comment_subreddit, Top_comment_subreddit_id, Top_comment_id, n_replies from sample")
 
 
+@register("w3_sample_with_replacement")
+def _w3r():
+    keys = "Top_comment_subreddit, Top_comment_subreddit_id, n_replies"
+    draw = ("('0x' || substr(md5(concat_ws(':', '42', Top_comment_subreddit, Top_comment_subreddit_id, n_replies, draw)), 1, 12))"
+            "::bigint")
+    return (ctes("order_comments", extra=_counts("order_comments") + _sample() + f""",
+ranked as (select *, row_number() over (partition by {keys} order by md5('42:' || Top_comment_id), Top_comment_id) pos from even),
+draws as (select *, case when n_members <= 100 then draw else {draw} % n_members + 1 end pos
+  from (select *, unnest(range(1, least(n_members, 100) + 1)) draw from strata))""", recursive=True)
+            + f" select {keys}, r.Top_comment_id, draw from draws d join ranked r using ({keys}, pos)")
+
+
 def _replies(src: str) -> str:
     """Replies with tlc, level and whole-tree height, ranked by time."""
     return tree_cte(src) + ",\n" + anc_cte(src) + f""",
@@ -394,7 +406,7 @@ _PROWS = f"""(select p.l_id, p.r_id, p.human_label,
   a.n_chars n_chars_l, a.quality quality_l, a.toxic toxic_l, a.source source_l,
   b.n_chars n_chars_r, b.quality quality_r, b.toxic toxic_r, b.source source_r
   from {_PAIRS} p join {_LD} a on a.doc_id = p.l_id join {_LD} b on b.doc_id = p.r_id)"""
-_RANK = f"""(select l_id, r_id, human_label, cast(case when n_chars_l % 7 > n_chars_r % 7 then 0 when n_chars_l % 7 < n_chars_r % 7 then 1
+_RANK = f"""(select l_id, r_id, human_label, cast(case when toxic_l > toxic_r then 0 when toxic_l < toxic_r then 1
   else ('0x' || substr(md5(cast(l_id as varchar) || ':' || cast(r_id as varchar)), 1, 1))::int % 2 end as int) pred from {_PROWS})"""
 ORACLE["j7_pairs"] = f"select * from {_PROWS}"
 ORACLE["m9_rank"] = f"select l_id, r_id, pred from {_RANK}"
@@ -404,17 +416,17 @@ from (select count(case when pred = human_label then 1 end) / count(*) accuracy,
   case when count(case when human_label = 0 then 1 end) > 0 then count(case when human_label = 0 and pred = 0 then 1 end) / count(case when human_label = 0 then 1 end) end recall_l,
   case when count(case when human_label = 1 then 1 end) > 0 then count(case when human_label = 1 and pred = 1 then 1 end) / count(case when human_label = 1 then 1 end) end recall_r
   from {_RANK})"""
-ORACLE["t13_t14_rescale"] = f"""select doc_id, round(2 * ((doc_id % 10) / 9.0) - 1, 6) gender_value,
-  round((0.5 * (1 + n_chars % 5) - 1.5)::double, 6) politeness_value from {_LD}"""
-ORACLE["t15_toxicity"] = """select doc_id, case when (n_chars % 1000) / 999.0 > 0.5 then 1 else 0 end untuned_toxicity,
-  case when (n_chars % 1000) / 999.0 > 0.8 and (doc_id % 100) / 99.0 > 0.5 then 1 else 0 end tuned_toxicity from documents"""
-ORACLE["x5_toxic_children"] = ctes("conv_comments", extra=tree_cte("conv_comments"), recursive=True) + """
+ORACLE["t13_t14_rescale"] = f"""select doc_id, round(2.0 * toxic - 1, 6)::double gender_value,
+  round((0.5 * (1 + 4 * quality) - 1.5)::double, 6) politeness_value from {_LD}"""
+ORACLE["t15_toxicity"] = """select doc_id, case when toxic > 0.5 then 1 else 0 end untuned_toxicity,
+  case when toxic > 0.8 and 1 - quality > 0.5 then 1 else 0 end tuned_toxicity from labels"""
+ORACLE["x5_toxic_children"] = ctes("order_comments", "order_scores", extra=tree_cte("order_comments"), recursive=True) + """
 select tlc_id Top_comment_id, cast(sum(u) as bigint) Replies_untuned_toxicity_children_count,
   cast(sum(t) as bigint) Replies_tuned_toxicity_children_count,
   round(avg(1 - u), 6) Replies_untuned_non_toxic_percentage, round(avg(1 - t), 6) Replies_tuned_non_toxic_percentage
-from (select tr.tlc_id, case when (length(c.body) % 100) / 99.0 > 0.5 then 1 else 0 end u,
-  case when (length(c.body) % 100) / 99.0 > 0.8 and (length(c.body) % 7) / 6.0 > 0.5 then 1 else 0 end t
-  from conv_comments c join tree tr using (post_id, comment_id) where tr.level > 0) group by tlc_id"""
+from (select tr.tlc_id, case when s.toxicity > 0.5 then 1 else 0 end u,
+  case when s.toxicity > 0.8 and s.attack > 0.5 then 1 else 0 end t
+  from tree tr left join order_scores s using (post_id, comment_id) where tr.level > 0) group by tlc_id"""
 ORACLE["t16_cosine"] = """select a_id, b_id, round(dot / (sqrt(na) * sqrt(nb)), 6) cosine from (
   select a.vec_id a_id, b.vec_id b_id,
     list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1]::double * t[2]::double)) dot,
@@ -434,7 +446,8 @@ from ..functions.fixed import (ACCOMMODATION_MARKERS, FUNDRAISING_HOSTS, INFORMA
                                PROSOCIAL_PATTERNS)
 
 
-def _outcome_ctes(src: str) -> str:
+def _outcome_ctes(src: str, scores: str | None = None) -> str:
+    scores = scores or src.replace("_comments", "_scores")
     body = "coalesce(body, '')"
     pros = ",\n    ".join(
         [f"cast(count(case when regexp_matches({body}, {tx.sql_str(p)}) then 1 end) as bigint) Replies_{k}_count"
@@ -451,19 +464,19 @@ def _outcome_ctes(src: str) -> str:
         acc_aggs.append(f"count(case when {c} and {p} then 1 end) cp_{m}, count(case when {p} then 1 end) p_{m}, "
                         f"count(case when {c} then 1 end) c_{m}")
         acc_out.append(f"case when p_{m} > 0 then cp_{m} / p_{m} - c_{m} / n else 0.0 end Top_comment_{m}_accommodation")
-    nlen = "length(coalesce(body, ''))"
     return _replies(src) + f""",
 pros as (select tlc_id Top_comment_id, half, {pros} from halves group by all),
 accraw as (select h.tlc_id Top_comment_id, h.half, count(*) n, {", ".join(acc_aggs)}
   from halves h join {src} pp on pp.post_id = h.post_id and pp.comment_id = h.parent_id group by all),
 acc as (select Top_comment_id, half, {", ".join(acc_out)} from accraw),
-ps as (select tlc_id Top_comment_id, half, avg(0.5 * (1 + {nlen} % 5) - 1.5) Replies_average_politeness,
-  avg(0.5 * (1 + ({nlen} * 7) % 5) - 1.5) Replies_average_support from halves group by all),
+scored as (select h.tlc_id, h.half, s.* from halves h left join {scores} s using (post_id, comment_id)),
+ps as (select tlc_id Top_comment_id, half, avg(0.5 * politeness - 1.5) Replies_average_politeness,
+  avg(0.5 * support - 1.5) Replies_average_support from scored group by all),
 tox as (select tlc_id Top_comment_id, half, cast(sum(u) as bigint) Replies_untuned_toxicity_children_count,
   cast(sum(t) as bigint) Replies_tuned_toxicity_children_count,
   avg(1 - u) Replies_untuned_non_toxic_percentage, avg(1 - t) Replies_tuned_non_toxic_percentage
-  from (select *, case when ({nlen} % 100) / 99.0 > 0.5 then 1 else 0 end u,
-    case when ({nlen} % 100) / 99.0 > 0.8 and ({nlen} % 7) / 6.0 > 0.5 then 1 else 0 end t from halves) group by all),
+  from (select *, case when toxicity > 0.5 then 1 else 0 end u,
+    case when toxicity > 0.8 and attack > 0.5 then 1 else 0 end t from scored) group by all),
 par as (select c.post_id, c.comment_id, c.parent_id, c.author, p.author pa, p.parent_id gp
   from {src} c left join {src} p on p.post_id = c.post_id and p.comment_id = c.parent_id),
 x as (select par.*, coalesce(pa is not null and pa <> par.author and g.author is not null and g.author = par.author, false) cont,
@@ -492,22 +505,26 @@ def _r6(cols):
 
 
 _OUT = ["Top_comment_id", "half"] + OUTCOME_METRICS
-ORACLE["x3_prosocial"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from pros"
-ORACLE["x2_accommodation"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+ORACLE["x3_prosocial"] = ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from pros"
+ORACLE["x2_accommodation"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                               + " select " + _r6(["Top_comment_id", "half"] + [f"Top_comment_{m}_accommodation" for m in ACCOMMODATION_MARKERS]) + " from acc")
-ORACLE["x6_politeness_support"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+ORACLE["x6_politeness_support"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                                    + " select " + _r6(["Top_comment_id", "half", "Replies_average_politeness", "Replies_average_support"]) + " from ps")
-ORACLE["x7_sustained"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from sus"
-ORACLE["p7_outcomes"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+ORACLE["x7_sustained"] = ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from sus"
+ORACLE["p7_outcomes"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                          + " select " + _r6(_OUT) + " from merged")
-ORACLE["j3_merge"] = (ctes("order_comments", extra=_outcome_ctes("order_comments"), recursive=True)
+ORACLE["j3_merge"] = (ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments"), recursive=True)
                       + " select " + _r6(_OUT) + " from merged")
-ORACLE["a6_half_features_orders"] = (ctes("order_comments", extra=_outcome_ctes("order_comments"), recursive=True)
+ORACLE["j3_sampled_merge"] = (ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments") + ",\n"
+                                   + _counts("order_comments").replace(tree_cte("order_comments") + ",\n", "") + _sample(),
+                                   recursive=True)
+                              + " select " + _r6(_OUT) + " from merged where Top_comment_id in (select Top_comment_id from sample)")
+ORACLE["a6_half_features_orders"] = (ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments"), recursive=True)
                                      + " select * from basic")
 ORACLE["a12_dedupe"] = """select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over
   (partition by o_custkey order by o_orderkey, o_totalprice) r from orders) where r = 1"""
-ORACLE["p5_halves_to_rows"] = ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from basic"
-ORACLE["p6_rename"] = (ctes("conv_comments", extra=_outcome_ctes("conv_comments"), recursive=True)
+ORACLE["p5_halves_to_rows"] = ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from basic"
+ORACLE["p6_rename"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                        + " select " + ", ".join(PROSOCIAL_NEW_NAMES) + " from pros where half = 0")
 
 

@@ -50,7 +50,7 @@ def conv_comments_sql(dialect: str) -> str:
 select cast(conv_id as string) post_id, concat(cast(conv_id as string), '_', cast(turn as string)) comment_id,
   case when turn <= 2 then null else concat(cast(conv_id as string), '_', cast(cast(floor((turn - 1) / 2) as bigint) as string)) end parent_id,
   cast(turn - 1 as int) sibling_ord, concat('sub', cast(conv_id % 5 as string)) subreddit, concat('t5_', cast(conv_id % 5 as string)) subreddit_id,
-  concat(role, cast((conv_id + turn) % 3 as string)) author,
+  concat('u', cast(length(text) % 2 as string)) author,
   case when (conv_id + turn) % 17 = 0 then null else cast((conv_id * 7 + turn * 13) % 11 - 3 as int) end score,
   cast(1704067200 + conv_id * 86399 + turn * 3607 as bigint) created_utc,
   concat(text, case when (conv_id + turn) % 3 = 0 then ' see [the source](http://a.example.com/x?y=1) and https://b.example.org/z#t' else '' end) body
@@ -77,18 +77,55 @@ def bushy_comments_sql(dialect: str) -> str:
     return _event_threads_sql(dialect, "case when n <= 3 then null else concat(cast(user_id as string), '_', cast(n - 1 - event_id % 3 as string)) end")
 
 
+# Reply texts of the order threads: a phrase picked by the line's part, so that
+# every marker and link kind of the outcome metrics occurs.
+PHRASES = ["thanks, a great and nice study with the research", "maybe you should try to look, but i never did",
+           "lol that is always so, or not", "all of this would be good, i guess",
+           "no, it is the source of everything", "and the", "i appreciate it, but without proof",
+           "perhaps some of these hope to include both", "nobody said that http://en.wikipedia.org/wiki/X",
+           "definitely the most, although except one"]
+
+
+def _phrase(key: str) -> str:
+    whens = " ".join(f"when {i} then '{p}'" for i, p in enumerate(PHRASES))
+    return f"case {key} % {len(PHRASES) + 1} {whens} else concat(l_returnflag, ' ', l_linestatus) end"
+
+
+_LINES = """(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity,
+        l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) n from {t})"""
+
+
+def order_scores_sql(dialect: str) -> str:
+    """Scores of order comments: the labels of the line's part, where it has any."""
+    t, lab = ("{lineitem}", "{labels}") if dialect == SPARK else ("lineitem", "labels")
+    return f"""
+select cast(l_orderkey as string) post_id, concat(cast(l_orderkey as string), '_', cast(n as string)) comment_id,
+  cast(1 + 4 * quality as double) politeness, cast(1 + 2 * quality + 2 * (1 - toxic) as double) support,
+  cast(toxic as double) toxicity, cast(1 - quality as double) attack
+from {_LINES.format(t=t)} l join {lab} s on s.doc_id = l.l_partkey"""
+
+
+def conv_scores_sql(dialect: str) -> str:
+    """Scores of conversation comments: the labels of a document picked by conversation and turn."""
+    t, lab = ("{conversations}", "{labels}") if dialect == SPARK else ("conversations", "labels")
+    return f"""
+select cast(conv_id as string) post_id, concat(cast(conv_id as string), '_', cast(turn as string)) comment_id,
+  cast(1 + 4 * quality as double) politeness, cast(1 + 2 * quality + 2 * (1 - toxic) as double) support,
+  cast(toxic as double) toxicity, cast(1 - quality as double) attack
+from {t} c join {lab} s on s.doc_id = c.conv_id * 8 + c.turn where turn >= 1"""
+
+
 def order_comments_sql(dialect: str) -> str:
     t = "{lineitem}" if dialect == SPARK else "lineitem"
     return f"""
 select cast(l_orderkey as string) post_id, concat(cast(l_orderkey as string), '_', cast(n as string)) comment_id,
   case when n <= 2 then null else concat(cast(l_orderkey as string), '_', cast(cast(floor((n - 1) / 2) as bigint) as string)) end parent_id,
   cast(n - 1 as int) sibling_ord, concat('cat', cast(l_suppkey % 20 as string)) subreddit,
-  concat('t5_', cast(l_suppkey % 20 as string)) subreddit_id, concat('p', cast(l_partkey % 50 as string)) author,
+  concat('t5_', cast(l_suppkey % 20 as string)) subreddit_id, concat('p', cast(l_partkey % 3 as string)) author,
   cast(floor(l_quantity) as int) score, {epoch_seconds('l_shipdate', dialect)} created_utc,
   case when l_linenumber % 3 = 0 then concat('see http://x.example.com/', cast(l_partkey as string), ' and https://y.example.org/', cast(l_suppkey as string))
-       else concat(l_returnflag, ' ', l_linestatus) end body
-from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity,
-        l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) n from {t})"""
+       else {_phrase('l_partkey')} end body
+from {_LINES.format(t=t)}"""
 
 
 def order_posts_sql(dialect: str) -> str:
@@ -108,11 +145,10 @@ THREAD_SQL = {
     "bushy_comments": (bushy_comments_sql, ("events",)),
     "order_comments": (order_comments_sql, ("lineitem",)),
     "order_posts": (order_posts_sql, ("orders",)),
+    "conv_scores": (conv_scores_sql, ("conversations", "labels")),
+    "order_scores": (order_scores_sql, ("lineitem", "labels")),
 }
 
-# Which post table goes with which comment table.
-POSTS_OF = {"conv_comments": "conv_posts", "order_comments": "order_posts"}
-
 
 def thread_table(spark: SparkSession, sf_dir: str, name: str, materialized: bool = True) -> DataFrame:
     """Derive a thread table in Spark from the driver's Parquet tables.
