@@ -94,6 +94,21 @@ OUTCOME_METRICS = [
     "Replies_max_turns_of_sustained_conversations", "Replies_untuned_non_toxic_percentage",
 ]
 
+# --- fixed values: the 65 numeric model features ------------------------------
+MODEL_FEATURES = [
+    "Post_Top_comment_Jaccard_sim", "Post_Top_comment_topic_cosine_similarity",
+    *[f"Post_topic{i}" for i in range(19)],
+    "Top_comment_advice_count", "Top_comment_agreement_value", "Top_comment_and_Post_time_difference",
+    "Top_comment_author_gender_value", "Top_comment_compliments_count", "Top_comment_day",
+    "Top_comment_day_of_week", "Top_comment_fundraising_URL_count", "Top_comment_gratitude_count",
+    "Top_comment_hour", "Top_comment_i_language_count", "Top_comment_informative_URL_count",
+    "Top_comment_informative_count", "Top_comment_laughter_count", "Top_comment_link_count",
+    "Top_comment_mispellings", "Top_comment_polarity", "Top_comment_politeness_value",
+    "Top_comment_readability", "Top_comment_score", "Top_comment_subjectivity", "Top_comment_support_value",
+    *[f"Top_comment_topic{i}" for i in range(19)],
+    "Top_comment_tuned_toxicity", "Top_comment_untuned_toxicity", "Top_comment_word_count",
+]
+
 # --- fixed values: renaming of the prosocial count table (old -> new) ----------
 PROSOCIAL_OLD_NAMES = [
     "Top_comment_id", "num_informative_replies", "num_advice_replies", "num_laughter_replies",

@@ -63,9 +63,10 @@ class PcaResult:
 
 def fit_pca(df: DataFrame, cols: list[str], k: int) -> PcaResult:
     """M3/M6: centre (``StandardScaler(withMean, not withStd)``: Spark's
-    PCA does not centre) and fit PCA with ``k`` components."""
+    PCA does not centre) and fit PCA with ``k`` components. A null among
+    ``cols`` is an error, never a dropped row."""
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="skip"),
+        VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="error"),
         StandardScaler(withMean=True, withStd=False, inputCol="_x", outputCol="_xc"),
         PCA(k=k, inputCol="_xc", outputCol="_pc"),
     ])
@@ -79,8 +80,10 @@ def top_components(ratios: DataFrame, n: int = 5) -> DataFrame:
 
 # ------------------------------------------------------------------ topics
 def fit_topics(docs: DataFrame, tokens_col: str, k: int = NUM_TOPICS, seed: int = 42,
-               max_iter: int = 10, vocab_size: int = 1 << 18) -> PipelineModel:
-    """M1: bag of words + LDA (online variational Bayes on mini-batches)."""
+               max_iter: int = 10, vocab_size: int = 1 << 30) -> PipelineModel:
+    """M1: bag of words + LDA (online variational Bayes on mini-batches).
+    ``vocab_size`` is the size of the vocabulary that ``docs`` are filtered to;
+    the default leaves no word out."""
     pipe = Pipeline(stages=[
         CountVectorizer(inputCol=tokens_col, outputCol="_bow", vocabSize=vocab_size),
         LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_bow", topicDistributionCol="_topics"),
@@ -143,11 +146,11 @@ def fit_pair_classifier(pairs: DataFrame, features: list[str], label: str) -> Pi
 
 
 # ------------------------------------------------------------------ persistence
-def save_with_params(model: PipelineModel, spark, params: dict, seed: int) -> tuple[str, DataFrame]:
-    """Write the fitted pipeline and its parameters and seed together
-    below the shared checkpoint folder; returns (path, metadata row)."""
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, f"tm-model-{uuid.uuid4().hex}")
+def save_with_params(model: PipelineModel, spark, params: dict, seed: int, path: str | None = None) -> tuple[str, DataFrame]:
+    """Write the fitted pipeline and its parameters and seed together at
+    ``path`` (scratch below the checkpoint folder if none is given); returns
+    (path, metadata row)."""
+    path = path or os.path.join(ensure_checkpoint_dir(spark), f"tm-model-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     meta = spark.createDataFrame([(path, seed, ";".join(f"{k}={v}" for k, v in sorted(params.items())))],
                                  "path string, seed int, params string")
@@ -155,6 +158,12 @@ def save_with_params(model: PipelineModel, spark, params: dict, seed: int) -> tu
     return path, spark.read.parquet(path + "-params")
 
 
+def read_coefficients(spark, path: str) -> dict[str, float]:
+    """One row of coefficients by feature name (CSV with a header)."""
+    row = spark.read.csv(path, header=True, inferSchema=False).first()      # one row by format
+    return {c: float(v) for c, v in row.asDict().items() if v not in (None, "")}
+
+
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

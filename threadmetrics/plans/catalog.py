@@ -442,7 +442,7 @@ def x3_prosocial(spark, sf_dir):
 
 @query("x2_accommodation")
 def x2_accommodation(spark, sf_dir):
-    return _round(oc.accommodation(_halves(spark, sf_dir), _t(spark, sf_dir, "conv_comments")))
+    return _round(oc.accommodation(_halves(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_comments")))
 
 
 @query("x6_politeness_support")
@@ -452,7 +452,7 @@ def x6_politeness_support(spark, sf_dir):
 
 @query("x7_sustained")
 def x7_sustained(spark, sf_dir):
-    return oc.sustained(_halves(spark, sf_dir), _t(spark, sf_dir, "conv_comments"))
+    return oc.sustained(_halves(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_comments"))
 
 
 @query("a12_dedupe")
@@ -708,21 +708,29 @@ def m6_embedding_pca(spark, sf_dir):
 def _topic_docs(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     kept = vb.filter_to_vocab(t, vb.vocabulary(t))
-    return kept.select("doc_id", F.split("text_for_topic_modeling", " ").alias("words"))
+    return materialize(kept.select("doc_id", F.split("text_for_topic_modeling", " ").alias("words")), "topic-docs")
 
 
 @query("m1_topics")
 def m1_topics(spark, sf_dir):
+    """Facts of the fitted topics: each is a distribution over the vocabulary
+    (its weights add up to 1) with its top terms in falling order."""
     d = _topic_docs(spark, sf_dir)
     model = ml.fit_topics(d, "words")
-    return model.stages[-1].describeTopics(5).select("topic", F.size("termIndices").alias("n_terms"))
+    size = model.stages[0].vocabulary.__len__()
+    top = model.stages[-1].describeTopics(size)
+    w = F.col("termWeights")
+    falls = F.forall(F.zip_with(F.slice(w, 1, size - 1), F.slice(w, 2, size - 1), lambda a, b: a >= b), lambda x: x)
+    return top.select("topic", F.size("termIndices").cast("bigint").alias("n_terms"),
+                      F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"), falls.alias("falling"))
 
 
 @query("m2_topic_vectors")
 def m2_topic_vectors(spark, sf_dir):
-    d = _topic_docs(spark, sf_dir)
-    model = ml.fit_topics(d, "words")
-    return _round(ml.topic_columns(model, d, "doc_id", "Top_comment", keep=19), 4)
+    """One vector per document, null for a document without a vocabulary word."""
+    found = pr.topic_tables(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text"))
+    return _round(found.select(F.col("id").cast("bigint").alias("doc_id"),
+                               *[F.get("topics", F.lit(i)).alias(f"Top_comment_topic{i}") for i in range(19)]), 4)
 
 
 def _gbt(spark, sf_dir):
@@ -772,13 +780,14 @@ def m13_model_roundtrip(spark, sf_dir):
 @query("m10_pair_classifier")
 def m10_pair_classifier(spark, sf_dir):
     p = _pair_rows(spark, sf_dir).withColumn("human_label", F.col("human_label").cast("double"))
-    model = ml.fit_pair_classifier(p, ["n_chars", "toxic"], "human_label")
-    return model.transform(p).select("l_id", "r_id", F.col("prediction").cast("int").alias("pred"))
+    held = F.crc32(F.col("r_id").cast("string")) % 4 == 2
+    model = ml.fit_pair_classifier(p.filter(~held), ["n_chars", "toxic"], "human_label")
+    return model.transform(p.filter(held)).select("l_id", "r_id", F.col("prediction").cast("int").alias("pred"))
 
 
 @query("x8_ngrams")
 def x8_ngrams(spark, sf_dir):
-    v = ml.ngram_vectors(_tokens(spark, sf_dir), "tokens")
+    v = ml.ngram_vectors(_all_tokens(spark, sf_dir), "tokens")
     return v.select("doc_id", F.size(F.col("tokens")).alias("n_tokens"),
                     F.aggregate(vector_to_array_safe("unigrams"), F.lit(0.0), lambda a, b: a + b).alias("unigram_mass"),
                     F.aggregate(vector_to_array_safe("bigrams"), F.lit(0.0), lambda a, b: a + b).alias("bigram_mass"))
@@ -855,6 +864,143 @@ def s11_replace_labels(spark, sf_dir):
     return fs.replace_labels(ds, lab, "r_id", "human_label").select("l_id", "r_id", "human_label", "n_chars_l", "n_chars_r")
 
 
+@query("s6_word_list")
+def s6_word_list(spark, sf_dir):
+    """A word list written from a table, one word per line, and read back."""
+    path = _scratch(spark, "words")
+    read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit(" "), F.lower("p_name"), F.lit("  ")).alias("value")).distinct().write.mode("overwrite").text(path)
+    return fs.read_word_list(spark, path)
+
+
+@query("s8_columns")
+def s8_columns(spark, sf_dir):
+    """Two columns of a wide stored table: only they are read."""
+    path = _scratch(spark, "wide")
+    read_table(spark, sf_dir, "lineitem").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("n_lines"))
+
+
+@query("s10_reuse")
+def s10_reuse(spark, sf_dir):
+    """A version that is there is read, not built again."""
+    base = _scratch(spark, "datasets")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    fs.load_or_build(spark, base, "orders", "1", lambda: orders.filter(F.col("o_orderstatus") == "F"))
+    return fs.load_or_build(spark, base, "orders", "1", lambda: orders)
+
+
+@query("s12_combine")
+def s12_combine(spark, sf_dir):
+    """Training files of several sources, written apart and combined."""
+    parts = []
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    for name, rows in (("first", docs.filter(F.col("lang") == "en")), ("second", docs.filter(F.col("lang") != "en"))):
+        path = _scratch(spark, f"training-{name}")
+        fs.write_tsv(rows, path)
+        parts.append(fs.read_tsv(spark, path, "doc_id bigint, lang string, n_chars bigint"))
+    return fs.union_all(parts)
+
+
+@query("t21_vector")
+def t21_vector(spark, sf_dir):
+    """Numeric columns of a table assembled into one vector per row."""
+    from pyspark.ml.feature import VectorAssembler
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_discount", F.col("l_partkey").cast("double").alias("l_partkey"))
+    v = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_partkey"], outputCol="v").transform(li)
+    a = vector_to_array_safe("v")
+    return v.groupBy("l_orderkey").agg(F.sum(a[0]).alias("quantity"), F.round(F.sum(a[1]), 6).alias("discount"),
+                                       F.max(F.size(a)).cast("bigint").alias("width"))
+
+
+# --------------------------------------------------------------- outcome metrics to PC0 to models
+from ..functions.fixed import OUTCOME_METRICS  # noqa: E402
+from . import product as pr  # noqa: E402
+
+GBT_FEATURES = ["Top_comment_and_Post_time_difference", "Top_comment_day", "Top_comment_day_of_week", "Top_comment_hour",
+                "Top_comment_link_count", "Top_comment_score", "Top_comment_informative_count", "Top_comment_advice_count",
+                "Top_comment_laughter_count", "Top_comment_gratitude_count", "Top_comment_i_language_count",
+                "Top_comment_compliments_count", "Top_comment_informative_URL_count", "Top_comment_readability",
+                "Top_comment_polarity", "Top_comment_word_count"]
+
+
+def _metric_pca(spark, sf_dir):
+    return pr.metric_pca(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_scores"))
+
+
+@query("m5_metric_scores")
+def m5_metric_scores(spark, sf_dir):
+    """Facts that hold for principal scores of the 26 outcome metrics: mean 0,
+    no covariance, variances in descending order that add up to the metrics'."""
+    rows, p = _metric_pca(spark, sf_dir)
+    s = materialize(p.transform(rows, "id"), "pc")
+    pcs = [f"PC{j}" for j in range(len(OUTCOME_METRICS))]
+    pairs = [(a, b) for i, a in enumerate(pcs) for b in pcs[i + 1:]]
+    facts = s.agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.abs(F.avg(c)) for c in pcs]).alias("mean"),
+                  F.greatest(*[F.abs(F.covar_samp(a, b)) for a, b in pairs]).alias("cov"),
+                  sum([F.var_samp(c) for c in pcs], F.lit(0.0)).alias("total"),
+                  F.greatest(*[F.var_samp(b) - F.var_samp(a) for a, b in zip(pcs, pcs[1:])]).alias("rise"))
+    return facts.select(F.col("n").alias("n_rows"), (F.col("mean") < 1e-6).alias("centred"),
+                        (F.col("cov") < 1e-4).alias("uncorrelated"), (F.col("rise") < 1e-6).alias("descending"),
+                        F.round("total", 3).alias("total_variance"))
+
+
+@query("m3_metric_ratio")
+def m3_metric_ratio(spark, sf_dir):
+    """Explained-variance ratios of the 26 components: their number and sum."""
+    _, p = _metric_pca(spark, sf_dir)
+    r = p.ratio_table(spark)
+    return r.agg(F.count(F.lit(1)).alias("n_components"), F.round(F.sum("explained_variance_ratio"), 6).alias("ratio_sum"))
+
+
+@query("m4_metric_loadings")
+def m4_metric_loadings(spark, sf_dir):
+    """The squared loadings of a metric over all components add up to its variance."""
+    rows, p = _metric_pca(spark, sf_dir)
+    load = p.loadings(p.transform(rows, "id"))
+    return load.groupBy("feature").agg(F.round(F.sum(F.col("loading") * F.col("loading")), 3).alias("variance"))
+
+
+def _pc0_table(spark, sf_dir):
+    t = pr.training_table(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_posts"),
+                          _t(spark, sf_dir, "order_scores"), GBT_FEATURES)
+    return materialize(t, "training")
+
+
+@query("end_to_end_pc0")
+def end_to_end_pc0(spark, sf_dir):
+    """Boosted trees on the feature row predict PC0 of unseen TLCs."""
+    t = _pc0_table(spark, sf_dir).withColumn("is_valid", F.col("bucket") == 1)
+    model = ml.fit_gbt(t.filter(F.col("bucket") >= 1), GBT_FEATURES, "PC0", "is_valid", max_iter=20)
+    return _round(model.transform(t.filter(F.col("bucket") == 0)).select("Top_comment_id", "PC0", "prediction"), 4)
+
+
+@query("m8_loaded_coefficients")
+def m8_loaded_coefficients(spark, sf_dir):
+    """A linear model's coefficients written as one CSV row, loaded and applied
+    by name; a feature without a coefficient counts 0."""
+    f, m = _linear(spark, sf_dir)
+    lr = m.stages[-1]
+    path = _scratch(spark, "coefficients")
+    spark.createDataFrame([(float(lr.coefficients[0]), 7.0)], "sum_qty double, not_a_column double").write.mode(
+        "overwrite").csv(path, header=True)
+    coef = ml.read_coefficients(spark, path)
+    scored = ml.score_with_coefficients(f.select("o_orderkey", "sum_qty", "n_lines"), coef, float(lr.intercept))
+    return _round(scored.select("o_orderkey", "score"))
+
+
+@query("model_features")
+def model_features(spark, sf_dir):
+    """The 65 numeric model features of every TLC."""
+    c = _t(spark, sf_dir, "conv_comments")
+    authors = c.groupBy("author").agg(F.avg(F.when(F.col("score") > 0, 1.0).otherwise(0.0)).alias("gender"),
+                                      F.avg(F.when(F.col("body").contains("http"), 1.0).otherwise(0.0)).alias("agreement"))
+    docs = _tokens(spark, sf_dir)
+    words = vb.vocabulary(docs).select("word").unionByName(vb.stop_words(spark))
+    return _round(pr.model_features(c, _t(spark, sf_dir, "conv_posts"), _t(spark, sf_dir, "conv_scores"), authors, words), 4)
+
+
 # --------------------------------------------------------------- remaining small ids
 @query("f8_half_select")
 def f8_half_select(spark, sf_dir):

@@ -506,11 +506,11 @@ def _r6(cols):
 
 _OUT = ["Top_comment_id", "half"] + OUTCOME_METRICS
 ORACLE["x3_prosocial"] = ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from pros"
-ORACLE["x2_accommodation"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
+ORACLE["x2_accommodation"] = (ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments"), recursive=True)
                               + " select " + _r6(["Top_comment_id", "half"] + [f"Top_comment_{m}_accommodation" for m in ACCOMMODATION_MARKERS]) + " from acc")
 ORACLE["x6_politeness_support"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                                    + " select " + _r6(["Top_comment_id", "half", "Replies_average_politeness", "Replies_average_support"]) + " from ps")
-ORACLE["x7_sustained"] = ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from sus"
+ORACLE["x7_sustained"] = ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments"), recursive=True) + " select * from sus"
 ORACLE["p7_outcomes"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                          + " select " + _r6(_OUT) + " from merged")
 ORACLE["j3_merge"] = (ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments"), recursive=True)
@@ -670,6 +670,31 @@ ORACLE["s11_replace_labels"] = f"""select p.l_id, p.r_id, l.toxic human_label, p
 from {_PROWS} p join labels l on l.doc_id = p.r_id"""
 
 
+ORACLE["s6_word_list"] = "select distinct lower(p_name) word from part"
+ORACLE["s8_columns"] = "select l_returnflag, cast(sum(l_linenumber) as bigint) n_lines from lineitem group by l_returnflag"
+ORACLE["s10_reuse"] = "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'"
+ORACLE["s12_combine"] = "select doc_id, lang, n_chars from documents"
+ORACLE["t21_vector"] = """select l_orderkey, sum(l_quantity) quantity, round(sum(l_discount), 6) discount, cast(3 as bigint) width
+from lineitem group by l_orderkey"""
+ORACLE["m1_topics"] = _vocab_ctes() + """ select cast(unnest(range(20)) as int) topic, (select count(*) from vocab) n_terms,
+  1.0::double weight_sum, true falling"""
+
+
+# --------------------------------------------------------------- outcome metrics to PC0 to models
+def _metrics(select: str) -> str:
+    return ctes("order_comments", "order_scores", extra=_outcome_ctes("order_comments"), recursive=True) + select
+
+
+ORACLE["m5_metric_scores"] = _metrics(
+    " select count(*) n_rows, true centred, true uncorrelated, true descending, round("
+    + " + ".join(f"var_samp(coalesce({c}, 0)::double)" for c in OUTCOME_METRICS) + ", 3) total_variance from merged")
+ORACLE["m3_metric_ratio"] = "select cast(26 as bigint) n_components, 1.0::double ratio_sum"
+ORACLE["m4_metric_loadings"] = _metrics(" " + " union all ".join(
+    f"select '{c}' feature, round(var_samp(coalesce({c}, 0)::double), 3) variance from merged" for c in OUTCOME_METRICS))
+ORACLE["m8_loaded_coefficients"] = f"""select o_orderkey, round(i + s * sum_qty, 6) score from {_OF},
+  (select regr_slope(y, sum_qty) s, regr_intercept(y, sum_qty) i from {_OF})"""
+
+
 # --------------------------------------------------------------- remaining small ids
 ORACLE["f8_half_select"] = (ctes("conv_comments", extra=_replies("conv_comments"), recursive=True)
                             + " select tlc_id Top_comment_id, comment_id from halves where half = 0")
