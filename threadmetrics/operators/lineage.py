@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
@@ -24,4 +24,21 @@ def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, f"tm-{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    stored._tm_path = path
+    return stored
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a stored table, in whatever store its path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`materialize` returned, once
+    everything computed from it has been written; other frames are left alone."""
+    path = getattr(df, "_tm_path", None)
+    if path:
+        delete(df.sparkSession, path)

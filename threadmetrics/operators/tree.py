@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import materialize
+from .lineage import materialize, release
 from .skew import lookup_join
 
 MAX_ROUNDS = 64  # 2**63 levels: never reached; guards against cycles
@@ -69,7 +69,8 @@ def annotate(comments: DataFrame) -> DataFrame:
             (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
             (orphan | F.col("_done")).alias("done"),
         )
-        state = _checkpoint(state.filter(F.col("done")).unionByName(stepped))
+        before, state = state, _checkpoint(state.filter(F.col("done")).unionByName(stepped))
+        release(before)
     else:
         raise RuntimeError("reply tree has a cycle or is deeper than 2**64")
     return state.select(
@@ -133,7 +134,8 @@ def subtree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) ->
                    F.greatest("height", F.coalesce(F.col("_h") + step, F.lit(0))).alias("height"),
                    (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
                    *[(F.col(n) + F.coalesce("_" + n, F.lit(0))).alias(n) for n in names]))
-        state = _checkpoint(nxt)
+        before, state = state, _checkpoint(nxt)
+        release(before)
         step *= 2
     else:
         raise RuntimeError("reply tree has a cycle or is deeper than 2**64")
@@ -176,8 +178,9 @@ def reply_count(comments: DataFrame, tree: DataFrame | None = None) -> DataFrame
 
 
 def node_heights(comments: DataFrame) -> DataFrame:
-    """A5: height of every comment (leaf = 1) and its subtree size."""
-    return subtree_stats(comments).select("comment_id", "height", "size")
+    """A5: height of every comment (leaf = 1) and its subtree size, from the
+    fused loop, where finished nodes take part in no join."""
+    return tree_stats(comments).select("comment_id", "height", "size")
 
 
 def direct_children(comments: DataFrame) -> DataFrame:
@@ -248,7 +251,8 @@ def tree_stats(comments: DataFrame, sums: dict[str, Column] | None = None) -> Da
             (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
             (orphan | F.col("_done")).alias("done"),
             "height", "size", *names)
-        state = _checkpoint(grown.filter(F.col("done")).unionByName(jumped))
+        before, state = state, _checkpoint(grown.filter(F.col("done")).unionByName(jumped))
+        release(before)
         step *= 2
     else:
         raise RuntimeError("reply tree has a cycle or is deeper than 2**64")
