@@ -165,3 +165,90 @@ def test_lookup_join_hot_keys(spark):
     for how in ("left", "inner", "left_semi"):
         want = sorted(left.join(right, ["k"], how).collect(), key=repr)
         assert sorted(lookup_join(left, right, ["k"], how, hot_rows=5).collect(), key=repr) == want
+
+
+def test_lookup_join_null_and_many_hot_keys(spark):
+    """NULL keys set aside; every key hot; one key with half of the rows."""
+    from threadmetrics.operators import skew
+    n = 3000
+    left = (spark.range(n * 4).select((F.col("id") % n).alias("k"), F.col("id").alias("v"))
+            .unionByName(spark.range(n).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v")))
+            .unionByName(spark.range(n * 2).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v"))))
+    right = spark.range(0, n, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("r"))
+    for how in ("left", "inner", "left_semi"):
+        want = sorted(left.join(right, ["k"], how).collect(), key=repr)
+        assert sorted(skew.lookup_join(left, right, ["k"], how, hot_rows=3).collect(), key=repr) == want
+
+
+def test_lookup_join_bounds_its_hot_table(spark, monkeypatch):
+    from threadmetrics.operators import skew
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 10)
+    left = spark.range(5000).select((F.col("id") % 500).alias("k"), "id")
+    right = spark.range(500).select(F.col("id").alias("k"), F.col("id").alias("r"))
+    got = skew.lookup_join(left, right, ["k"], "inner", hot_rows=2)
+    assert got.count() == 5000 and got.filter("k <> r").count() == 0
+
+
+def test_group_rank_one_timestamp(spark):
+    from threadmetrics.operators.grouprank import group_rank
+    df = spark.createDataFrame([("hot", 5, f"c{i:04d}") for i in range(700)] + [(None, 5, f"n{i}") for i in range(90)]
+                               + [("cold", i, "d") for i in range(9)], "g string, t long, c string")
+    got = group_rank(df, ["g"], ["t", "c"], hot_rows=50).collect()
+    assert len(got) == 799
+    for g, size in (("hot", 700), (None, 90), ("cold", 9)):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: (r["t"], r["c"]))
+        assert [r["rank"] for r in mine] == list(range(1, size + 1)) and {r["n"] for r in mine} == {size}
+
+
+def test_orphans_are_counted_and_left_out(spark):
+    from threadmetrics.operators import halves as hv
+    from threadmetrics.operators import tree
+    ddl = ("post_id string, comment_id string, parent_id string, sibling_ord int, subreddit string, "
+           "subreddit_id string, author string, score int, created_utc bigint, body string")
+    rows = [("p", "t", None), ("p", "a", "t"), ("p", "b", "a"), ("p", "x", "gone"), ("p", "y", "x")]
+    c = spark.createDataFrame([(p, i, q, 0, "s", "t5", "u", 1, 5, "b") for p, i, q in rows], ddl)
+    assert {r["comment_id"] for r in tree.orphans(c).collect()} == {"x", "y"}
+    assert {r["comment_id"] for r in hv.replies_with_heights(c).collect()} == {"a", "b"}
+    assert tree.reply_rollup(c).first()["Replies_total_number"] == 2
+
+
+def test_merge_of_seven_tables_equals_one_aggregation(spark):
+    from conftest import SF001
+    from threadmetrics.plans import dynamic as dyn
+    from threadmetrics.sources.threads import thread_table
+    c, s = (thread_table(spark, SF001, n) for n in ("conv_comments", "conv_scores"))
+    one = dyn.half_outcomes(c, s)
+    merged = dyn.merged_outcomes(c, s).select(*one.columns)
+
+    def rows(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(one) == rows(merged) and len(rows(one)) > 0
+
+
+def test_english_by_largest_share(spark):
+    from threadmetrics.operators import language as lg
+    spans = [(1, 0, "un", 10), (1, 1, "en", 190), (2, 0, "en", 10), (2, 1, "un", 90), (3, 0, "en", 50),
+             (4, 0, "en", 95), (4, 1, "de", 5), (5, 0, "en", 80), (5, 1, "un", 20)]
+    sl = spark.createDataFrame(spans, "doc_id long, span_no long, lang string, span_len long")
+    docs = spark.createDataFrame([(i,) for i in range(1, 7)], "doc_id long")
+    got = {r["doc_id"]: r["is_english"] for r in lg.english_flags(docs, "doc_id", sl).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+
+
+def test_reuse_never_overwrites(spark):
+    import pytest
+    from threadmetrics.sources import files as fs
+    d = tempfile.mkdtemp(prefix="tm-reuse-")
+    a = spark.range(3).select("id")
+    assert fs.load_or_build(spark, d, "x", "1", lambda: a).count() == 3
+    assert fs.load_or_build(spark, d, "x", "1", lambda: spark.range(9)).count() == 3
+    with pytest.raises(Exception):
+        fs.union_all([a, spark.range(2).select(F.col("id").alias("other"))]).count()
+
+
+def test_subset_by_hash_threshold(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"))
+    order = sorted(range(5000), key=lambda i: (__import__("hashlib").md5(f"42:{i}".encode()).hexdigest(), i))
+    for k in (0, 1, 777, 5000, 9000):
+        got = sc.random_subset(df, "k", k)
+        assert sorted(r["k"] for r in got.collect()) == sorted(order[:k])

@@ -40,3 +40,24 @@ def test_hours_ignore_year(spark):
     assert df.select(cal.hours_post_to_tlc(F.col("t"), F.col("p"))).first()[0] == -23
     dec = spark.createDataFrame([(1703980800, 1704067200)], "p bigint, t bigint")  # 31 Dec -> 1 Jan
     assert dec.select(cal.hours_post_to_tlc(F.col("t"), F.col("p"))).first()[0] < 0
+
+
+# Sentences with the tokens that the published word-level Treebank rules give.
+GOLDEN = [
+    ("Good muffins cost $3.88 in New York.", "Good muffins cost $ 3.88 in New York ."),
+    ("Please buy me two of them, thanks.", "Please buy me two of them , thanks ."),
+    ("I can't do that, won't I?", "I ca n't do that , wo n't I ?"),
+    ("The dog's bone isn't here", "The dog 's bone is n't here"),
+    ("We're gonna go (maybe) now", "We 're gon na go ( maybe ) now"),
+    ("She said hi; he left: gone", "She said hi ; he left : gone"),
+    ("It costs 1,000 dollars", "It costs 1,000 dollars"),
+    ("Wait... what", "Wait ... what"),
+    ("A--B", "A -- B"),
+    ("you'd better know I'm there", "you 'd better know I 'm there"),
+]
+
+
+def test_treebank_golden(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "i int, t string")
+    got = {r["i"]: " ".join(r["w"]) for r in rows.select("i", tx.treebank_tokens(F.col("t")).alias("w")).collect()}
+    assert [got[i] for i in range(len(GOLDEN))] == [w for _, w in GOLDEN]
