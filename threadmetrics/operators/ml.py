@@ -14,7 +14,7 @@ import uuid
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import PCA, CountVectorizer, NGram, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel, NGram, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -169,13 +169,17 @@ def load(path: str) -> PipelineModel:
 
 
 # ------------------------------------------------------------------ n-grams
-def ngram_vectors(tokens: DataFrame, tokens_col: str, vocab_size: int = 1000) -> DataFrame:
-    """1,000 unigram and 1,000 bigram counts per document as two sparse
-    vectors (never 2,000 physical columns)."""
-    pipe = Pipeline(stages=[
-        NGram(n=2, inputCol=tokens_col, outputCol="_bi"),
-        CountVectorizer(inputCol=tokens_col, outputCol="unigrams", vocabSize=vocab_size),
-        CountVectorizer(inputCol="_bi", outputCol="bigrams", vocabSize=vocab_size),
-    ])
-    return pipe.fit(tokens).transform(tokens).drop("_bi")
+def top_terms(docs: DataFrame, terms_col: str, n: int) -> list[str]:
+    """The ``n`` most frequent terms of the corpus, ties by term."""
+    counts = docs.select(F.explode(terms_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    return [r["term"] for r in counts.orderBy(F.desc("c"), "term").limit(n).collect()]
 
+
+def ngram_vectors(tokens: DataFrame, tokens_col: str, vocab_size: int = 1000) -> DataFrame:
+    """Counts of the 1,000 most frequent unigrams and bigrams per document
+    as two sparse vectors (never 2,000 physical columns)."""
+    docs = NGram(n=2, inputCol=tokens_col, outputCol="_bi").transform(tokens)
+    for source, name in ((tokens_col, "unigrams"), ("_bi", "bigrams")):
+        terms = top_terms(docs, source, vocab_size) or [""]
+        docs = CountVectorizerModel.from_vocabulary(terms, inputCol=source, outputCol=name).transform(docs)
+    return docs.drop("_bi")

@@ -463,9 +463,12 @@ def a12_dedupe(spark, sf_dir):
 
 @query("p5_halves_to_rows")
 def p5_halves_to_rows(spark, sf_dir):
-    long = hv.fixed_half_features(_halves(spark, sf_dir))
-    wide = mg.rows_to_halves(long, "Top_comment_id", hv.HALF_METRICS)
-    return mg.halves_to_rows(wide, "Top_comment_id", hv.HALF_METRICS)
+    # a table that is wide to begin with: an order's early and late lines
+    early = F.col("l_linenumber") <= 3
+    sums = [F.round(F.sum(F.when(cond, F.col(c)).otherwise(0.0)), 4).alias(f"{c}_{half}_half")
+            for c in ("l_quantity", "l_tax") for half, cond in (("first", early), ("second", ~early))]
+    wide = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*sums)
+    return mg.halves_to_rows(wide, "l_orderkey", ["l_quantity", "l_tax"])
 
 
 @query("p6_rename")

@@ -523,7 +523,10 @@ ORACLE["a6_half_features_orders"] = (ctes("order_comments", "order_scores", extr
                                      + " select * from basic")
 ORACLE["a12_dedupe"] = """select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over
   (partition by o_custkey order by o_orderkey, o_totalprice) r from orders) where r = 1"""
-ORACLE["p5_halves_to_rows"] = ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True) + " select * from basic"
+ORACLE["p5_halves_to_rows"] = """select o.l_orderkey, h.half, round(coalesce(sum(l.l_quantity), 0), 4) l_quantity,
+  round(coalesce(sum(l.l_tax), 0), 4) l_tax
+from (select distinct l_orderkey from lineitem) o, (select unnest([0, 1]) half) h
+left join lineitem l on l.l_orderkey = o.l_orderkey and (l.l_linenumber > 3) = (h.half = 1) group by all"""
 ORACLE["p6_rename"] = (ctes("conv_comments", "conv_scores", extra=_outcome_ctes("conv_comments"), recursive=True)
                        + " select " + ", ".join(PROSOCIAL_NEW_NAMES) + " from pros where half = 0")
 
@@ -670,6 +673,15 @@ ORACLE["s11_replace_labels"] = f"""select p.l_id, p.r_id, l.toxic human_label, p
 from {_PROWS} p join labels l on l.doc_id = p.r_id"""
 
 
+ORACLE["x8_ngrams"] = _vocab_ctes() + """,
+uni as (select doc_id, unnest(toks) term from docs),
+bi as (select doc_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) term from docs),
+tu as (select term from uni group by term order by count(*) desc, term limit 1000),
+tb as (select term from bi group by term order by count(*) desc, term limit 1000),
+cu as (select doc_id, count(*) c from uni where term in (select term from tu) group by doc_id),
+cb as (select doc_id, count(*) c from bi where term in (select term from tb) group by doc_id)
+select d.doc_id, cast(len(d.toks) as int) n_tokens, coalesce(cu.c, 0)::double unigram_mass, coalesce(cb.c, 0)::double bigram_mass
+from docs d left join cu using (doc_id) left join cb using (doc_id)"""
 ORACLE["s6_word_list"] = "select distinct lower(p_name) word from part"
 ORACLE["s8_columns"] = "select l_returnflag, cast(sum(l_linenumber) as bigint) n_lines from lineitem group by l_returnflag"
 ORACLE["s10_reuse"] = "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'"
