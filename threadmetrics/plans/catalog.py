@@ -32,6 +32,11 @@ def _t(spark, sf_dir, name):
     return thread_table(spark, sf_dir, name)
 
 
+def _row_local(spark, sf_dir, name):
+    """A thread table that is read once, row by row: derived in place, not stored first."""
+    return thread_table(spark, sf_dir, name, materialized=False)
+
+
 # --------------------------------------------------------------- trees
 @query("a1_reply_rollup")
 def a1_reply_rollup(spark, sf_dir):
@@ -61,12 +66,12 @@ def a8_direct_children(spark, sf_dir):
 # --------------------------------------------------------------- features
 @query("p1_explode_tlc")
 def p1_explode_tlc(spark, sf_dir):
-    return feat.explode_tlc(_t(spark, sf_dir, "conv_comments"))
+    return feat.explode_tlc(_row_local(spark, sf_dir, "conv_comments"))
 
 
 @query("p3_tlc_key")
 def p3_tlc_key(spark, sf_dir):
-    return feat.tlc_key(_t(spark, sf_dir, "conv_comments"))
+    return feat.tlc_key(_row_local(spark, sf_dir, "conv_comments"))
 
 
 @query("p2_basic_features")
@@ -240,7 +245,7 @@ LOCAL_TZ = "America/Detroit"
 
 @query("t1_clean")
 def t1_clean(spark, sf_dir):
-    c = _t(spark, sf_dir, "conv_comments")
+    c = _row_local(spark, sf_dir, "conv_comments")
     return c.select("comment_id", tx.clean_text(F.col("body")).alias("clean_body"))
 
 
@@ -251,7 +256,7 @@ def t1_clean_docs(spark, sf_dir):
 
 @query("t3_links")
 def t3_links(spark, sf_dir):
-    c = _t(spark, sf_dir, "conv_comments")
+    c = _row_local(spark, sf_dir, "conv_comments")
     return c.select("comment_id", tx.link_count(F.col("body")).alias("n_links"))
 
 
@@ -263,7 +268,7 @@ def t3_links_pages(spark, sf_dir):
 
 @query("t4_calendar")
 def t4_calendar(spark, sf_dir):
-    e = _t(spark, sf_dir, "chain_comments")
+    e = _row_local(spark, sf_dir, "chain_comments")
     u = F.col("created_utc")
     return e.select("comment_id", cal.utc_hour(u).alias("hour_of_day"), cal.utc_day(u).alias("day_of_month"),
                     cal.utc_weekday(u).alias("day_of_week"))
@@ -271,15 +276,15 @@ def t4_calendar(spark, sf_dir):
 
 @query("t5_hours")
 def t5_hours(spark, sf_dir):
-    c = _t(spark, sf_dir, "order_comments").filter(F.col("parent_id").isNull())
-    p = _t(spark, sf_dir, "order_posts").select("post_id", F.col("created_utc").alias("post_utc"))
+    c = _row_local(spark, sf_dir, "order_comments").filter(F.col("parent_id").isNull())
+    p = _row_local(spark, sf_dir, "order_posts").select("post_id", F.col("created_utc").alias("post_utc"))
     return c.join(p, "post_id").select(
         "comment_id", cal.hours_post_to_tlc(F.col("created_utc"), F.col("post_utc")).alias("hours_diff"))
 
 
 @query("t6_local")
 def t6_local(spark, sf_dir):
-    e = _t(spark, sf_dir, "chain_comments")
+    e = _row_local(spark, sf_dir, "chain_comments")
     h, d, w = cal.local_parts(F.col("created_utc"), LOCAL_TZ)
     return e.select("comment_id", h.alias("hour_of_day"), d.alias("day_of_month"), w.alias("day_of_week"))
 
@@ -297,14 +302,14 @@ def t9_words(spark, sf_dir):
 
 @query("t17_prefix")
 def t17_prefix(spark, sf_dir):
-    c = _t(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNotNull())
+    c = _row_local(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNotNull())
     typed = F.concat(F.lit("t1_"), F.col("parent_id"))
     return c.select("comment_id", typed.alias("typed_parent"), tx.strip_type_prefix(typed).alias("parent"))
 
 
 @query("t19_concat")
 def t19_concat(spark, sf_dir):
-    p = _t(spark, sf_dir, "conv_posts")
+    p = _row_local(spark, sf_dir, "conv_posts")
     return p.select("post_id", tx.post_text(F.col("title"), F.col("selftext")).alias("post_text"))
 
 
@@ -567,6 +572,24 @@ def t20_pad(spark, sf_dir):
                       F.aggregate(mask, F.lit(0), lambda a, b: a + b).cast("bigint").alias("n_real"))
 
 
+@query("t20_post_tlc")
+def t20_post_tlc(spark, sf_dir):
+    """Post and TLC texts as fixed-length ids over the documents' vocabulary:
+    one row per TLC with both sequences."""
+    vocab = vb.vocabulary(_tokens(spark, sf_dir))
+    idx = sq.word_ids(global_index(vocab.select("word"), ["word"], "word_id"))
+    c = _t(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNull())
+    p = _t(spark, sf_dir, "conv_posts").select("post_id", tx.post_text(F.col("title"), F.col("selftext")).alias("text"))
+
+    def padded(texts, key, name):
+        enc = sq.encode(vb.all_token_docs(texts, key, "text"), idx)
+        return enc.select(F.col("doc_id").alias(key), F.array_join(sq.pad_truncate(F.col("ids"))[0], " ").alias(name))
+
+    return (c.select("post_id", "comment_id")
+            .join(padded(c.select("comment_id", F.col("body").alias("text")), "comment_id", "tlc_ids"), "comment_id")
+            .join(padded(p, "post_id", "post_ids"), "post_id"))
+
+
 @query("m11_mask")
 def m11_mask(spark, sf_dir):
     enc, idx = _encoded(spark, sf_dir)
@@ -643,8 +666,8 @@ def a20_misspelling(spark, sf_dir):
 
 @query("x1_jaccard")
 def x1_jaccard(spark, sf_dir):
-    c = _t(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNull())
-    p = _t(spark, sf_dir, "conv_posts")
+    c = _row_local(spark, sf_dir, "conv_comments").filter(F.col("parent_id").isNull())
+    p = _row_local(spark, sf_dir, "conv_posts")
     j = c.join(p.select("post_id", "title", "selftext"), "post_id")
     a = tx.valid_tokens(tx.clean_text(tx.post_text(F.col("title"), F.col("selftext"))))
     b = tx.valid_tokens(tx.clean_text(F.col("body")))
@@ -708,6 +731,18 @@ def m6_embedding_pca(spark, sf_dir):
     return _round(p.transform(wide, "vec_id"), 4)
 
 
+@query("m6_embedding_facts")
+def m6_embedding_facts(spark, sf_dir):
+    """Facts of the 16 principal scores of the embeddings."""
+    s = materialize(m6_embedding_pca(spark, sf_dir), "pc")
+    pcs = [f"PC{j}" for j in range(16)]
+    pairs = [(a, b) for i, a in enumerate(pcs) for b in pcs[i + 1:]]
+    return s.agg(F.count(F.lit(1)).alias("n_rows"),
+                 (F.greatest(*[F.abs(F.avg(c)) for c in pcs]) < 1e-3).alias("centred"),
+                 (F.greatest(*[F.abs(F.covar_samp(a, b)) for a, b in pairs]) < 1e-3).alias("uncorrelated"),
+                 (F.greatest(*[F.var_samp(b) - F.var_samp(a) for a, b in zip(pcs, pcs[1:])]) < 1e-3).alias("descending"))
+
+
 def _topic_docs(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     kept = vb.filter_to_vocab(t, vb.vocabulary(t))
@@ -754,6 +789,15 @@ def m7_gbt_scores(spark, sf_dir):
     return _round(sc.regression_scores(_gbt(spark, sf_dir), "y", "prediction"), 4)
 
 
+@query("m7_gbt_facts")
+def m7_gbt_facts(spark, sf_dir):
+    """On unseen rows the boosted trees explain more than the mean does."""
+    scored = materialize(_gbt(spark, sf_dir).select("y", "prediction"), "gbt")
+    r = sc.regression_scores(scored, "y", "prediction")
+    m = sc.mean_baseline(scored, "y").select(F.col("r2").alias("base"))
+    return r.join(m).select("n", (F.col("r2") > F.col("base") + 0.5).alias("beats_mean"))    # one row each
+
+
 def _linear(spark, sf_dir):
     f = _order_features(spark, sf_dir)
     return f, ml.fit_linear(f, ["sum_qty"], "y")

@@ -575,6 +575,22 @@ padded as (select doc_id, list_resize(seq, 128, 0) p, len(seq) n from seqs)"""
 ORACLE["t20_pad"] = _enc_ctes() + " select doc_id, array_to_string(p, ' ') input_ids, cast(n as bigint) n_real from padded"
 
 
+def _seq_cte(name: str, rel: str, key: str, text: str) -> str:
+    return f""",
+{name}d as (select {key}, {tx.sql_valid_tokens(tx.sql_clean_text(text))} toks from {rel}),
+{name}p as (select {key}, unnest(toks) word, unnest(generate_series(1, len(toks))) pos from {name}d),
+{name}e as (select {key}, list(coalesce(ids.tok_id, 1) order by pos) ids from {name}p left join ids using (word) group by {key}),
+{name} as (select d.{key}, array_to_string(list_resize(list_concat([2], coalesce(e.ids, [])[1:126], [3]), 128, 0), ' ') seq
+  from {name}d d left join {name}e e using ({key}))"""
+
+
+ORACLE["t20_post_tlc"] = (
+    _enc_ctes().replace("with docs as", ctes("conv_comments", "conv_posts") + ",\ndocs as", 1)
+    + ", tl as (select * from conv_comments where parent_id is null)"
+    + _seq_cte("a", "tl", "comment_id", "body") + _seq_cte("b", "conv_posts", "post_id", tx.sql_post_text("title", "selftext"))
+    + " select tl.post_id, tl.comment_id, a.seq tlc_ids, b.seq post_ids from tl join a using (comment_id) join b using (post_id)")
+
+
 def _mlm() -> str:
     key = "'42:' || doc_id || ':' || (i - 1)"
     chosen = f"(x >= 5 and {_u(key, 0)} <= 0.15)"
@@ -682,6 +698,9 @@ cu as (select doc_id, count(*) c from uni where term in (select term from tu) gr
 cb as (select doc_id, count(*) c from bi where term in (select term from tb) group by doc_id)
 select d.doc_id, cast(len(d.toks) as int) n_tokens, coalesce(cu.c, 0)::double unigram_mass, coalesce(cb.c, 0)::double bigram_mass
 from docs d left join cu using (doc_id) left join cb using (doc_id)"""
+ORACLE["m6_embedding_facts"] = "select count(*) n_rows, true centred, true uncorrelated, true descending from embeddings"
+ORACLE["m7_gbt_facts"] = f"""select cast(count(*) as bigint) n, true beats_mean from {_OF}
+  where substr(md5('42:' || o_orderkey), 1, 1) = '0'"""
 ORACLE["s6_word_list"] = "select distinct lower(p_name) word from part"
 ORACLE["s8_columns"] = "select l_returnflag, cast(sum(l_linenumber) as bigint) n_lines from lineitem group by l_returnflag"
 ORACLE["s10_reuse"] = "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'"
