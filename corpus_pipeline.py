@@ -3,7 +3,9 @@
 ``STAGES`` lists (name, function) pairs; each function takes
 ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet below the shared checkpoint folder and reread as the next stage's
-``docs``. All stages but the last return the columns of ``documents``.
+``docs``. All stages but the last return the columns of ``documents``. A stage
+first deletes the scratch tables of the stages before it, which have been
+written by then, so the folder holds one stage's intermediate tables at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmetrics.llm import exact_dedup, mixing, packing, quality, simhash
-from threadmetrics.llm.common import materialize, read_table
+from threadmetrics.llm.common import materialize, read_table, release_scratch
 
 # Mixing: shares of the domains' tokens are raised to this power and scaled so
 # that no domain has to shrink; every document stays at least once.
@@ -21,22 +23,26 @@ TEMPERATURE = 0.7
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go (operator 9)."""
+    release_scratch(docs)
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays (operator 3)."""
+    release_scratch(docs)
     return exact_dedup.drop_duplicates(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays (operator 10)."""
+    release_scratch(docs)
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their fitted rates, towards tempered language
     shares (operator 4)."""
+    release_scratch(docs)
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(
         read_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
     return mixing.mixed(docs, labelled, temperature=TEMPERATURE, min_rate=1.0, keep_all=True)
@@ -45,6 +51,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids placed in sequences of 2048 (operator 8); ids as
     little-endian 16-bit numbers, as the vocabulary has under 65,536 entries."""
+    release_scratch(docs)
     return packing.pack(packing.token_pieces(docs, dtype="<u2"))
 
 

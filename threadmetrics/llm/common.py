@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import materialize
+from ..operators import lineage
 from ..sources.tables import read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,7 +20,29 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 # One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["materialize", "read_table", "ascii_lower", "packed", "with_uid", "unpack", "rows_of", "shuffle_parts", "bound_arrow"]
+# Folders written by ``materialize`` that nobody has released yet.
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, name: str = "state") -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and reread."""
+    stored = lineage.materialize(df, name)
+    _written.append(stored._tm_path)
+    return stored
+
+
+def release_scratch(docs: DataFrame) -> None:
+    """Delete the tables that :func:`materialize` has written so far, but for
+    those that ``docs`` still reads. A pipeline stage calls this first: what it
+    gets has been written and reread, so the tables behind it are done with."""
+    if not _written:
+        return
+    spark, files = docs.sparkSession, docs.inputFiles()
+    held = [p for p in _written if any(p.removeprefix("file:").strip("/") in f for f in files)]
+    for path in _written:
+        if path not in held:
+            lineage.delete(spark, path)
+    _written[:] = held
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,14 +70,6 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def bound_arrow(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds: texts can be long, so both the rows
     and the bytes of a batch handed to Python are limited."""
