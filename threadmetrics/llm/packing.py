@@ -228,6 +228,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, length_c
     rows = materialize(with_uid(packed(pieces, _length=length_col)), "pieces")
     sized = rows.select("_uid", "_length", F.ceil(F.col("_length") / unit).cast("int").alias("k"))
     counts = {r["k"]: r["n"] for r in sized.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes
+    if any(k is None or not 1 <= k <= capacity // unit for k in counts):
+        raise ValueError(f"piece lengths must be 1 to {capacity}")
     slots = _slots(solve_patterns(counts, capacity // unit))
     firsts, total = [], 0
     for k in sorted(counts):

@@ -13,7 +13,8 @@ hashes of their ids, a documented bound of the fit); scoring covers every row.
 Defined results: null text counts as empty, and empty texts are scored like
 others (their statistics are zero); rows with a null label are not learned
 from; repeated rows are scored alike; without rows of both labels the score is
-the smoothed share of label 1; an empty table gives an empty result.
+the smoothed share of label 1 and nothing is rejected (there is no classifier);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,5 +151,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
               accept: float = ACCEPT) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
     model = fit(docs, labels, id_col, text_col)
+    if not model.rules:
+        return docs
     rows = with_statistics(packed(docs), F.col(f"_row.`{text_col}`"))
     return unpack(rows.filter(model.score() >= accept))
