@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadmetrics.llm import chat, mixing, warc
+from threadmetrics.llm import chat, mixing, packing, warc
 from threadmetrics.llm.queries import ORACLE, QUERIES
 from threadmetrics.session import apply_engine_conf
 
@@ -65,20 +65,21 @@ def talk_rows():
 
 def test_chat_reads_back(spark):
     talks = spark.createDataFrame([(*r, 0) for r in talk_rows()], "conv_id long, turn long, role string, text string, node int")
-    got = {r.conv_id: r for r in chat.contract_table(chat.format_trees(chat.conversation_nodes(talks.repartition(3)))).collect()}
+    got = {r.conv_id: r for r in chat.contract_table(chat.format_trees(*chat.conversation_nodes(talks.repartition(3)))).collect()}
     by = defaultdict(list)
     for r in talk_rows():
         by[r[0]].append(r)
     assert set(got) == set(by)
     for conv, rows in by.items():
-        rows = sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3] or ""))
+        rows = sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "",
+                                           hashlib.sha256((r[3] or "").encode()).digest()))
         said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in rows)
         loss = "".join(r[3] or "" for r in rows if r[2] == "assistant")
         g = got[conv]
         assert (g.n_turns, g.loss_chars) == (len(rows), len(loss))
         assert g.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    empty = chat.contract_table(chat.format_trees(chat.conversation_nodes(talks.limit(0))))
+    empty = chat.contract_table(chat.format_trees(*chat.conversation_nodes(talks.limit(0))))
     assert empty.count() == 0
 
 
@@ -108,6 +109,12 @@ def test_chat_branches_of_a_tree(spark):
     assert {r.leaf for r in chat.format_trees(nodes, branches=1).collect()} == {min(s)[1] for s in scores.values()}
 
 
+def test_packing_refuses_bad_lengths(spark):
+    for bad in (None, 0, 4000):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 5), (2, bad)], "doc_id long, length long"))
+
+
 # ------------------------------------------------------------ mixing
 def test_rates_match_brute_force(spark):
     rng = np.random.default_rng(6)

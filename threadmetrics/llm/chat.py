@@ -14,11 +14,14 @@ newline as ``\n`` and ``:`` as ``\c``). The loss mask is kept as segments: the
 conversation is the concatenation of its segments, and the segments marked
 ``loss`` are the assistant texts.
 
+Only ids, scores and lengths take part in numbering, paths and ranking; the
+texts join the chosen paths at the end.
+
 Defined results: null text and null role are empty; turns of one conversation
-are in order of (turn, role, text), so ties and repeated rows have one result;
-a null conversation id is a conversation of its own; an empty table gives an
-empty result. One formatted conversation is one row: its size is that of its
-own texts.
+are in order of (turn, role, SHA-256 of the text), so ties and repeated rows
+have one result; a null conversation id is a conversation of its own; an empty
+table gives an empty result. One formatted conversation is one row: its size is
+that of its own texts.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from ..operators.indexing import global_index
 from .common import materialize, with_uid
 
 ASSISTANT = "assistant"
+MAX_STEPS = 1 << 40         # no tree is deeper
 # The template's fixed strings.
 OPEN, NAMED, CLOSE = "### ", ":\n", "\n</turn>\n"
 
@@ -67,6 +71,8 @@ def paths(nodes: DataFrame) -> DataFrame:
     path = materialize(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
     dist = 1
     while not step.isEmpty():
+        if dist > MAX_STEPS:
+            raise ValueError("the parents of some node form a cycle")
         more = materialize(path.join(step, "node").select("leaf", F.col("anc").alias("node"),
                                                           (F.col("up") + dist).alias("up")), "paths")
         path = path.unionByName(more)
@@ -89,22 +95,27 @@ def rank_branches(path: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ formatting
-def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
+def format_trees(nodes: DataFrame, texts: DataFrame | None = None, branches: int | None = None) -> DataFrame:
     """One row per chosen branch: ``tree, leaf, branch_rank, score, segments``.
 
-    ``nodes``: tree, node (long, unique), parent (null at roots), role, text,
-    score. ``branches``: how many of each tree's best branches (all by
+    ``nodes``: tree, node (long, unique), parent (null at roots), score, and
+    either role and text or the ``key`` of a row of ``texts`` (key, role,
+    text). ``branches``: how many of each tree's best branches (all by
     default). ``segments``: array of (text, loss) whose concatenation is the
     formatted conversation."""
+    if texts is None:
+        texts = nodes.select(F.col("node").alias("key"), "role", "text")
+        nodes = nodes.withColumn("key", F.col("node"))
     path = paths(nodes)
     chosen = rank_branches(path, nodes)
     if branches is not None:
         chosen = chosen.filter(F.col("branch_rank") <= branches)
-    turns = nodes.select("node", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(NAMED)).alias("head"),
+    turns = texts.select("key", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(NAMED)).alias("head"),
                          escape(F.col("text")).alias("body"),
                          F.coalesce(F.col("role") == ASSISTANT, F.lit(False)).alias("loss"))
     # the root comes first: it is the most steps up
-    rows = path.join(turns, "node").select("leaf", F.struct((-F.col("up")).alias("at"), "head", "body", "loss").alias("x"))
+    placed = path.join(chosen.select("leaf"), "leaf", "left_semi").join(nodes.select("node", "key"), "node")
+    rows = placed.join(turns, "key").select("leaf", F.struct((-F.col("up")).alias("at"), "head", "body", "loss").alias("x"))
 
     def segments(x: Column) -> Column:
         return F.array(F.struct(x["head"].alias("text"), F.lit(False).alias("loss")),
@@ -137,23 +148,27 @@ def loss_text(segments: Column) -> Column:
 
 # ------------------------------------------------------------ conversations
 def conversation_nodes(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
-                       role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Linear conversations as reply trees: each row replies to the one before."""
-    src = conversations.select(F.col(id_col).alias("tree"), F.col(turn_col).alias("_turn"),
-                               F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = global_index(with_uid(src), ["tree", "_turn", "role", "text", "_uid"], "node")
-    rows = materialize(rows.select("tree", "node", "role", "text"), "nodes")
+                       role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Linear conversations as reply trees (nodes, texts): each row replies to
+    the one before."""
+    texts = materialize(with_uid(conversations.select(
+        F.col(id_col).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
+        F.col(text_col).alias("text"))).withColumnRenamed("_uid", "key"), "turns")
+    text = F.coalesce("text", F.lit(""))
+    lite = texts.select("tree", "turn", "role", F.unhex(F.sha2(text, 256)).alias("digest"), "key",
+                        F.length(text).cast("double").alias("score"))
+    rows = global_index(lite, ["tree", "turn", "role", "digest", "key"], "node").select("tree", "node", "key", "score")
+    rows = materialize(rows, "nodes")
     before = rows.select((F.col("node") + 1).alias("node"), F.col("tree").alias("_tree"), F.lit(True).alias("_any"))
-    joined = rows.join(before, "node", "left")
     replies = F.col("_any") & F.col("tree").eqNullSafe(F.col("_tree"))
-    return materialize(joined.select("tree", "node", F.when(replies, F.col("node") - 1).alias("parent"), "role", "text",
-                                     F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score")), "tree")
+    nodes = rows.join(before, "node", "left").select("tree", "node", F.when(replies, F.col("node") - 1).alias("parent"),
+                                                     "score", "key")
+    return materialize(nodes, "tree"), texts.select("key", "role", "text")
 
 
 def contract_table(branches: DataFrame) -> DataFrame:
     """Digest columns read back from the formatted conversations."""
-    stored = materialize(branches, "conversations")
-    text = stored.withColumn("_f", formatted(F.col("segments")))
+    text = branches.withColumn("_f", formatted(F.col("segments")))
     read = text.withColumns({"_turns": read_turns(F.col("_f")), "_loss": loss_text(F.col("segments"))})
     said = F.array_join(F.transform("_turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(F.col("tree").alias("conv_id"), F.size("_turns").cast("long").alias("n_turns"),

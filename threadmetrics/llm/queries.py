@@ -128,7 +128,7 @@ def op2_chat_format(spark, sf_dir):
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit("\\### Assistant: </turn> ok").alias("text"))
-    return chat.contract_table(chat.format_trees(chat.conversation_nodes(talks.unionByName(probe)))).drop("branch_rank")
+    return chat.contract_table(chat.format_trees(*chat.conversation_nodes(talks.unionByName(probe)))).drop("branch_rank")
 
 
 # formatted_chars follows from the template: 4 + 2 + 9 characters around each turn, plus what escaping adds
@@ -141,8 +141,8 @@ e AS (
   SELECT *, replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\t') AS esc FROM c),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text)) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (role = 'assistant'), '') AS loss,
          sum(length(role) + length(esc) + 15) AS chars
   FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
