@@ -41,6 +41,16 @@ def batch_of(id_col: Column, batches: int = BATCHES) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int")
 
 
+def salt(col: Column) -> Column:
+    """A row's place among the SALTS places of its digest."""
+    return F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int")
+
+
+def salted(entries: DataFrame) -> DataFrame:
+    """Entries (one row per digest) repeated at each place."""
+    return entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _build_filter(pdf: pd.DataFrame) -> pd.DataFrame:
     seed, seg, count, data = binary_fuse.build(pdf["key"].to_numpy().view(np.uint64))
     return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "batch": [pdf["batch"].iloc[0]], "seed": [seed],
@@ -95,9 +105,8 @@ def exact_groups(lite: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
 
     # Byte check: group on the text itself (map-side combined), then demand
     # one text per digest. Salted, so that the copies of one text spread.
-    salted = suspects.select("digest", "check", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    exact = (texts.withColumn("salt", F.pmod(F.xxhash64("_salt"), F.lit(SALTS)).cast("int"))
-             .join(salted, ["digest", "check", "salt"], "left_semi")
+    exact = (texts.withColumn("salt", salt(F.col("_salt")))
+             .join(salted(suspects.select("digest", "check")), ["digest", "check", "salt"], "left_semi")
              .groupBy("digest", "check", ascii_lower(F.col("_text")).alias("norm"))
              .agg(F.count(F.lit(1)).alias("m"))
              .groupBy("digest", "check").agg(F.sum("m").alias("group_size"), F.count(F.lit(1)).alias("texts")))
@@ -114,7 +123,7 @@ def duplicate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = src.withColumns({"digest": digest, "check": check, "batch": batch_of(F.col("_id"))})
     lite = materialize(with_uid(tagged.drop("_text")), "digests")
     groups = exact_groups(lite, tagged.select("digest", "check", "_text", F.col("_id").alias("_salt")), lite.count())
-    return (lite.join(groups, ["digest", "check"], "left")
+    return (lite.withColumn("salt", salt(F.col("_uid"))).join(salted(groups), ["digest", "check", "salt"], "left")
             .select(F.col("_id").alias("doc_id"),
                     F.when(F.col("last").isNull(), F.col("_id")).otherwise(F.col("last._id")).alias("keep_id"),
                     F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -132,6 +141,6 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lite = tagged.select("_uid", row_id.alias("_id"), "digest", "check", "batch")
     groups = exact_groups(lite, tagged.select("digest", "check", row_text.alias("_text"), F.col("_uid").alias("_salt")),
                           tagged.count())
-    dropped = (lite.join(groups, ["digest", "check"])
+    dropped = (lite.withColumn("salt", salt(F.col("_uid"))).join(salted(groups), ["digest", "check", "salt"])
                .filter(F.col("last._uid") != F.col("_uid")).select("_uid"))
     return unpack(tagged.join(dropped, "_uid", "left_anti"))
