@@ -3,6 +3,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadmetrics.operators import category as cg
@@ -158,7 +159,15 @@ def test_streaming_matches_batch(spark):
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
 
 
-def test_lookup_join_hot_keys(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    """The salted path also for small right sides."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lookup_join_hot_keys(spark, no_broadcast):
     from threadmetrics.operators.skew import lookup_join
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)] + [(None, 99)], "k string, v int")
     right = spark.createDataFrame([("hot", "H"), ("k0", "Z"), ("k3", "T")], "k string, r string")
@@ -167,7 +176,7 @@ def test_lookup_join_hot_keys(spark):
         assert sorted(lookup_join(left, right, ["k"], how, hot_rows=5).collect(), key=repr) == want
 
 
-def test_lookup_join_null_and_many_hot_keys(spark):
+def test_lookup_join_null_and_many_hot_keys(spark, no_broadcast):
     """NULL keys set aside; every key hot; one key with half of the rows."""
     from threadmetrics.operators import skew
     n = 3000
@@ -180,7 +189,7 @@ def test_lookup_join_null_and_many_hot_keys(spark):
         assert sorted(skew.lookup_join(left, right, ["k"], how, hot_rows=3).collect(), key=repr) == want
 
 
-def test_lookup_join_bounds_its_hot_table(spark, monkeypatch):
+def test_lookup_join_bounds_its_hot_table(spark, monkeypatch, no_broadcast):
     from threadmetrics.operators import skew
     monkeypatch.setattr(skew, "MAX_HOT_KEYS", 10)
     left = spark.range(5000).select((F.col("id") % 500).alias("k"), "id")
@@ -236,7 +245,6 @@ def test_english_by_largest_share(spark):
 
 
 def test_reuse_never_overwrites(spark):
-    import pytest
     from threadmetrics.sources import files as fs
     d = tempfile.mkdtemp(prefix="tm-reuse-")
     a = spark.range(3).select("id")

@@ -89,7 +89,7 @@ def parent_masks(halves: DataFrame, comments: DataFrame, how: str) -> DataFrame:
     ``_pm``: one many-to-one join on (post_id, parent_id) that carries a number
     of the parent, not its text."""
     par = with_masks(comments.select("post_id", F.col("comment_id").alias("parent_id"), "body"), "_pm").drop("body")
-    return lookup_join(with_masks(halves, "_cm"), par, ["post_id", "parent_id"], how)
+    return lookup_join(with_masks(halves, "_cm"), par, ["post_id", "parent_id"], how, left_rows=halves.count())
 
 
 def accommodation_aggregates() -> list[Column]:
@@ -135,7 +135,8 @@ def alternation(comments: DataFrame) -> DataFrame:
     p = c.select("post_id", F.col("comment_id").alias("parent_id"), F.col("parent_id").alias("_gp"),
                  F.col("author").alias("_pa"))
     g = c.select("post_id", F.col("comment_id").alias("_gp"), F.col("author").alias("_ga"))
-    x = lookup_join(lookup_join(c, p, ["post_id", "parent_id"]), g, ["post_id", "_gp"])
+    n = c.count()
+    x = lookup_join(lookup_join(c, p, ["post_id", "parent_id"], left_rows=n), g, ["post_id", "_gp"], left_rows=n)
     cont = (F.col("_pa").isNotNull() & (F.col("_pa") != F.col("author"))
             & F.col("_ga").isNotNull() & (F.col("_ga") == F.col("author")))
     base = F.when(F.col("_pa").isNull() | (F.col("_pa") == F.col("author")), 1).otherwise(2)
@@ -145,7 +146,7 @@ def alternation(comments: DataFrame) -> DataFrame:
     runs = annotate(cut).select("post_id", "comment_id", F.col("tlc_id").alias("_start"), F.col("level").alias("_d"))
     starts = x.select("post_id", F.col("comment_id").alias("_start"), F.col("base").alias("_base"))
     # a whole run tree may hang on one start
-    return (lookup_join(x.join(runs, ["post_id", "comment_id"]), starts, ["post_id", "_start"], "inner")
+    return (lookup_join(x.join(runs, ["post_id", "comment_id"]), starts, ["post_id", "_start"], "inner", left_rows=n)
             .select("post_id", "comment_id", (F.col("_base") + F.col("_d")).alias("alt"),
                     F.least("author", "_pa").alias("pair_a"), F.greatest("author", "_pa").alias("pair_b"),
                     "cont"))

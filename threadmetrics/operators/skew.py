@@ -27,16 +27,25 @@ HOT_ROWS_CONF = "threadmetrics.hotKeyRows"
 MAX_HOT_KEYS = 100_000
 
 
+def planner_broadcasts(right: DataFrame) -> bool:
+    """Is the planner's estimate of ``right`` within its broadcast threshold?
+    Then the join is done where the left rows are and no key can be hot."""
+    spark = right.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 <= int(str(size)) <= limit
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
                 hot_rows: int | None = None, left_rows: int | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` (left, inner or left_semi) for a
     ``right`` unique per key. ``left_rows``, when the caller already knows an
     upper bound of the left size, skips the key count when no key can exceed
-    the threshold."""
+    the threshold; so does a right side that the planner broadcasts by its bytes."""
     spark = left.sparkSession
     if hot_rows is None:
         hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-    if left_rows is not None and left_rows <= hot_rows:
+    if left_rows is not None and left_rows <= hot_rows or planner_broadcasts(right):
         return left.join(right, keys, how)
     left = materialize(left, "lookup")
     total = left.count()
