@@ -250,6 +250,26 @@ def test_secret_models_add_random_strings(spark):
     assert not any(got[i] for i, _ in rows)        # what a fixed pattern marks is not marked again
 
 
+def with_labelled(spark, rng, hidden):
+    """Documents, labelled random strings and the rows ``hidden``, scanned: texts of the markov spans by id."""
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(10_000 + i, f"set token = {''.join(rng.choice(chars, 30))} ") for i in range(200)] + hidden
+    found = secrets.scan(docs.union(spark.createDataFrame(rows, docs.schema))).collect()
+    text = dict(hidden)
+    return {r.doc_id: [text.get(r.doc_id, "")[x.start:x.end] for x in r.spans if x.kind == "markov"] for r in found}
+
+
+def test_secret_models_need_no_digit(spark):
+    rng = np.random.default_rng(5)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    drawn = ["".join(rng.choice(chars[:52], n)) for n in (16, 20, 28) for _ in range(10)]    # letters only
+    drawn += ["".join(rng.choice(chars, 16)) for _ in range(30)]
+    got = with_labelled(spark, rng, [(20_000 + i, f"see {x} there") for i, x in enumerate(drawn)])
+    assert [got[20_000 + i] for i in range(len(drawn))] == [[x] for x in drawn]
+    assert not any(found for i, found in got.items() if i < 20_000)     # no ordinary long word is marked
+
+
 # ------------------------------------------------------------ token counts
 def test_token_counts(edge, empty):
     pieces, byte = token_counts.load_pieces(token_counts.public_tokenizers.path(token_counts.VOCABULARY))

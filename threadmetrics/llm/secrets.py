@@ -66,7 +66,7 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
 
 
 def _candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, str]]:
-    """Long tokens with a letter and a digit that no fixed span overlaps."""
+    """Long tokens that no fixed span overlaps; the models alone decide on them."""
     out, i = [], 0
     spans = sorted((b[0], b[2]) for b in base)
     for m in CANDIDATE.finditer(text):
@@ -74,9 +74,7 @@ def _candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[t
             i += 1
         if i < len(spans) and spans[i][0] < m.end():
             continue
-        token = m.group()
-        if not token.isalpha() and any(c.isalpha() for c in token) and any(c.isdigit() for c in token):
-            out.append((m.start(), token))
+        out.append((m.start(), m.group()))
     return out
 
 
