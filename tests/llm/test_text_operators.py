@@ -250,11 +250,11 @@ def test_secret_models_add_random_strings(spark):
     assert not any(got[i] for i, _ in rows)        # what a fixed pattern marks is not marked again
 
 
-def with_labelled(spark, rng, hidden):
+def with_labelled(spark, rng, hidden, plain=""):
     """Documents, labelled random strings and the rows ``hidden``, scanned: texts of the markov spans by id."""
     chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rows = [(10_000 + i, f"set token = {''.join(rng.choice(chars, 30))} ") for i in range(200)] + hidden
+    rows = [(10_000 + i, f"set token = {''.join(rng.choice(chars, 30))} {plain}") for i in range(200)] + hidden
     found = secrets.scan(docs.union(spark.createDataFrame(rows, docs.schema))).collect()
     text = dict(hidden)
     return {r.doc_id: [text.get(r.doc_id, "")[x.start:x.end] for x in r.spans if x.kind == "markov"] for r in found}
@@ -270,6 +270,38 @@ def test_secret_models_need_no_digit(spark):
     assert not any(found for i, found in got.items() if i < 20_000)     # no ordinary long word is marked
 
 
+def test_secret_models_find_segments(spark):
+    rng = np.random.default_rng(7)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+
+    def draw(n):
+        return "".join(rng.choice(chars, n))
+    a, b, c, d, e, f = (draw(n) for n in (20, 24, 20, 20, 22, 22))
+    path = "/services/production/deployments/configuration/backup"
+    padded = draw(12) + "/" + draw(15) + "+" + draw(9) + "=="
+    texts = [(f"get {path}/{a} now", [a]), (f"get /v1/{b}/token=abcdefgh now", [b]),
+             (f"get {path}/{c}{path}/{d}/rest now", [c, d]), (f"get write_the_output_and_{e}_of_the_file now", [e]),
+             (f"get token=abcdefgh.{f} and key={f}{path}", [f]), (f"get {padded} now", [padded]),
+             (f"get {path}/and/write_the_output_of_the_file now", [])]
+    got = with_labelled(spark, rng, [(20_000 + i, t) for i, (t, _) in enumerate(texts)],
+                        f"/v1{path}/and/rest write_the_output_of_the_file")          # ordinary is what the corpus holds
+    assert [got[20_000 + i] for i in range(len(texts))] == [want for _, want in texts]
+
+
+def test_secret_stretches_by_brute_force():
+    rng = np.random.default_rng(11)
+    for n in [1, 2, *rng.integers(3, 90, 300)]:
+        ratio = rng.normal(-0.5, 4.0, n)
+        best, i, j = max((ratio[i:j].sum(), i, j) for i in range(n) for j in range(i + 1, n + 1))
+        found = secrets.peaks(ratio)
+        assert bool(found) == (best >= secrets.THRESHOLD)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        assert all(np.isclose(ratio[a:b].sum(), s) and s >= secrets.THRESHOLD for a, b, s in found)
+        ordinary = min(ratio[a:b].sum() for a in range(i, j) for b in range(a + 1, j + 1))
+        if found and ordinary > -secrets.THRESHOLD:
+            assert any((a, b) == (i, j) for a, b, _ in found)
+
+
 # ------------------------------------------------------------ token counts
 def test_token_counts(edge, empty):
     pieces, byte = token_counts.load_pieces(token_counts.public_tokenizers.path(token_counts.VOCABULARY))

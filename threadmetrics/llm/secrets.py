@@ -3,9 +3,10 @@
 Two first-order Markov models over the characters of a token are trained from
 the corpus itself: one on strings labelled as random (the values that the
 fixed patterns mark as secrets), one on ordinary identifiers (all other
-character pairs of the texts; the few unlabelled secrets among them hardly count). A candidate, a long run of token characters, is
-a secret when the log-likelihood ratio of the two models reaches
-``THRESHOLD``. The fixed-pattern spans are always kept; the models only add.
+character pairs of the texts; the few unlabelled secrets among them hardly count). A stretch of a candidate, a long run of token
+characters without its fixed spans, is a secret when the log-likelihood ratio
+of the two models reaches ``THRESHOLD``. The fixed-pattern spans are always
+kept; the models only add.
 
 One scan of the texts finds the fixed spans and the candidates and counts the
 character pairs of both classes; the pair counts of all tasks are summed by
@@ -39,10 +40,14 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ASSIGN_VALUE = 8
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET)
+JOINTS = "+/_=-"                                   # they join pieces: paths, snake_case, key=value
+HEAD = re.compile(r"\+?([A-Za-z0-9][+/_-])?")      # what a random string may begin or end with beside its pieces:
+TAIL = re.compile(r"([+/_-][A-Za-z0-9])?\+?={0,2}")    # a single character behind a joint, a plus, padding
 BACK_OFF = 20.0                                    # weight of single characters in a pair's probability
 THRESHOLD = float(np.log(1e6))                     # odds of a random string against it: one token in a million
 _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(SIZE)
+_JOINT = np.isin(np.arange(SIZE), _CODE[np.frombuffer(JOINTS.encode(), dtype=np.uint8)])
 
 SPANS = "array<struct<kind:string,start:long,end:long,llr:double>>"
 
@@ -66,15 +71,26 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
 
 
 def _candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, str]]:
-    """Long tokens that no fixed span overlaps; the models alone decide on them."""
+    """The parts of long tokens outside the fixed spans; the models alone decide on them."""
     out, i = [], 0
-    spans = sorted((b[0], b[2]) for b in base)
+    spans = []                                         # of the fixed spans, overlapping ones joined
+    for start, _, end, _, _ in base:
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
     for m in CANDIDATE.finditer(text):
-        while i < len(spans) and spans[i][1] <= m.start():
+        at = m.start()
+        while i < len(spans) and spans[i][1] <= at:
             i += 1
-        if i < len(spans) and spans[i][0] < m.end():
-            continue
-        out.append((m.start(), m.group()))
+        k = i
+        while k < len(spans) and spans[k][0] < m.end():
+            if spans[k][0] - at > 1:
+                out.append((at, text[at:spans[k][0]]))
+            at = spans[k][1]
+            k += 1
+        if m.end() - at > 1:
+            out.append((at, text[at:m.end()]))
     return out
 
 
@@ -116,6 +132,67 @@ def log_ratio(random: np.ndarray, other: np.ndarray) -> np.ndarray:
     return logs(random) - logs(other)
 
 
+def peaks(ratio: np.ndarray) -> list[tuple[int, int, float]]:
+    """First pair, end pair and sum of the stretches with a maximal sum of at
+    least ``THRESHOLD``. A stretch ends where what follows is ordinary by the
+    same odds, so several random pieces are found each for itself."""
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    if (sums - np.minimum.accumulate(sums)).max() < THRESHOLD - 1e-6:     # most tokens end here
+        return []
+    found = []
+    total = top = 0.0
+    first = last = 0
+    for i, x in enumerate([*ratio.tolist(), -np.inf]):
+        total += x
+        if total > top:
+            top, last = total, i + 1
+        elif total <= max(0.0, top - THRESHOLD):
+            if top >= THRESHOLD:
+                found.append((first, last, top))
+            total, top, first = 0.0, 0.0, i + 1
+    return found
+
+
+def stretches(part: str, table: np.ndarray) -> list[tuple[int, int, float]]:
+    """Start, end and log-likelihood ratio of the random stretches of a part.
+
+    Pairs with a joint (``JOINTS``) say nothing, as paths and snake_case hold
+    them as well as base64. A stretch covers the pieces between joints that it
+    reaches into, whole; a piece at its end whose pairs score less than half
+    its mean, and below the bound, is not a part of it."""
+    codes = _CODE[np.frombuffer(part.encode(), dtype=np.uint8)]
+    ratio = table[codes[:-1], codes[1:]]
+    joint = _JOINT[codes]
+    ratio[joint[:-1] | joint[1:]] = 0.0
+    out: list[tuple[int, int, float]] = []
+    edges = None
+    for first, last, llr in peaks(ratio):
+        if edges is None:
+            edges = np.concatenate([[-1], np.flatnonzero(joint), [len(part)]])
+        i, j = np.searchsorted(edges, first, side="right") - 1, np.searchsorted(edges, last) - 1    # pieces of both ends
+        half = llr / 2 / max(1, np.count_nonzero(ratio[first:last]))      # half the mean of a pair
+        while i < j:
+            a, b = int(edges[i]) + 1, int(edges[i + 1])
+            if ratio[a:b].sum() >= half * (b - a - 1) or ratio[first:b].sum() >= THRESHOLD:
+                break
+            i += 1
+            first = b
+        while i < j:
+            a, b = int(edges[j]) + 1, int(edges[j + 1])
+            if ratio[a:b].sum() >= half * (b - a - 1) or ratio[a:last].sum() >= THRESHOLD:
+                break
+            j -= 1
+            last = a
+        start, end = int(edges[i]) + 1, int(edges[j + 1])
+        start = 0 if HEAD.fullmatch(part[:start][:4]) and start < 4 else start
+        end = len(part) if TAIL.fullmatch(part[end:end + 6]) else end
+        if out and start < out[-1][1]:                 # two stretches of one piece
+            start, llr = out[-1][0], out[-1][2] + llr
+            out.pop()
+        out.append((start, end, llr))
+    return out
+
+
 def _score(table: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -124,10 +201,8 @@ def _score(table: np.ndarray):
                                                     strict=True):
                 spans = [dict(x) for x in base]
                 for start, token in zip(starts, tokens, strict=True):
-                    c = _CODE[np.frombuffer(token.encode(), dtype=np.uint8)]
-                    llr = float(table[c[:-1], c[1:]].sum())
-                    if llr >= THRESHOLD:
-                        spans.append({"kind": "markov", "start": int(start), "end": int(start) + len(token), "llr": llr})
+                    spans += [{"kind": "markov", "start": int(start) + a, "end": int(start) + b, "llr": llr}
+                              for a, b, llr in stretches(token, table)]
                 spans.sort(key=lambda x: (x["start"], KINDS.index(x["kind"])))
                 out.append((doc_id, spans))
             yield pd.DataFrame(out, columns=["doc_id", "spans"])
