@@ -260,3 +260,13 @@ def test_subset_by_hash_threshold(spark):
     for k in (0, 1, 777, 5000, 9000):
         got = sc.random_subset(df, "k", k)
         assert sorted(r["k"] for r in got.collect()) == sorted(order[:k])
+
+
+def test_topics_learn_from_every_document(spark):
+    from threadmetrics.operators import ml
+    docs = spark.createDataFrame([(i, ["common", "words"] + [f"only{i}"] * 5) for i in range(300)],
+                                 "doc_id int, words array<string>")
+    model = ml.fit_topics(docs, "words", k=2)
+    weight = dict(zip(model.stages[0].vocabulary, model.stages[1].topicsMatrix().toArray().sum(axis=1), strict=True))
+    # a word of no drawn document only falls from its start, about 1 in each of the two topics
+    assert min(weight[f"only{i}"] for i in range(300)) > 2.2

@@ -80,13 +80,15 @@ def top_components(ratios: DataFrame, n: int = 5) -> DataFrame:
 
 # ------------------------------------------------------------------ topics
 def fit_topics(docs: DataFrame, tokens_col: str, k: int = NUM_TOPICS, seed: int = 42,
-               max_iter: int = 10, vocab_size: int = 1 << 30) -> PipelineModel:
-    """M1: bag of words + LDA (online variational Bayes on mini-batches).
+               max_iter: int = 20, vocab_size: int = 1 << 30) -> PipelineModel:
+    """M1: bag of words + LDA (online variational Bayes, each batch as large
+    as the corpus). Spark draws a batch with replacement, so a document is in
+    none of ``max_iter`` batches with probability ``exp(-max_iter)``, 2e-9.
     ``vocab_size`` is the size of the vocabulary that ``docs`` are filtered to;
     the default leaves no word out."""
     pipe = Pipeline(stages=[
         CountVectorizer(inputCol=tokens_col, outputCol="_bow", vocabSize=vocab_size),
-        LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_bow", topicDistributionCol="_topics"),
+        LDA(k=k, seed=seed, maxIter=max_iter, subsamplingRate=1.0, featuresCol="_bow", topicDistributionCol="_topics"),
     ])
     return pipe.fit(docs)
 
