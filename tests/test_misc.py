@@ -270,3 +270,11 @@ def test_topics_learn_from_every_document(spark):
     weight = dict(zip(model.stages[0].vocabulary, model.stages[1].topicsMatrix().toArray().sum(axis=1), strict=True))
     # a word of no drawn document only falls from its start, about 1 in each of the two topics
     assert min(weight[f"only{i}"] for i in range(300)) > 2.2
+
+
+def test_every_row_is_scored(spark):
+    from threadmetrics.plans.catalog import QUERIES
+    pairs, orders = QUERIES["j7_pairs"](spark, "/root/testdata/sf0.001").count(), QUERIES["m12_batch_inference"](spark, "/root/testdata/sf0.001").count()
+    for name, n in (("m10_pair_classifier", pairs), ("m7_gbt", orders)):
+        held = [r.held_out for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
+        assert len(held) == n and 0 < sum(held) < n
