@@ -141,6 +141,17 @@ def test_rates_match_brute_force(spark):
         assert loss(r) <= loss(q) + 1e-3
 
 
+def test_mixing_bound_keeps_every_domain(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta {i % 7}") for i in range(400)] + [(1000, "gamma delta")] * 50
+                                 + [(1001, "gamma epsilon")], "doc_id long, text string")
+    rows = [(i, "many") for i in range(400)] + [(5, "many")] * 3000 + [(1000, "few"), (1001, "few")]
+    model = mixing.fit(docs, spark.createDataFrame(rows, "doc_id long, domain string"), max_labelled=40)
+    assert model.domains == ["few", "many"] and "gamma" in model.lists[0] and "alpha" in model.lists[1]
+    assert np.allclose(np.exp(model.prior), [2 / 402, 400 / 402])      # copies of a label or a document do not count
+    assert mixing.shares({"a": 2, "b": 100, "c": 900}, 40) == {"a": 2, "b": 19, "c": 19}
+    assert mixing.shares({"a": 2, "b": 10}, 40) == {"a": 2, "b": 10}
+
+
 def test_mixing_tables(spark):
     rows = [(i, "the cat and the dog" if i % 4 else "der hund und die katze", "x") for i in range(200)]
     rows += [(None, None, None), (500, "", "y"), (500, "", "y"), (501, "the " * 5000, "z")]

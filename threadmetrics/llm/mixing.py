@@ -15,9 +15,10 @@
 3. A rate becomes copies: its whole part, plus one with the probability of the
    rest (decided by a hash of the row, so it is reproducible).
 
-The classifier learns from at most ``MAX_LABELLED`` labelled rows (the lowest
-hashes of their ids, a documented bound of the fit); counts, totals and rates
-cover all rows.
+The classifier learns from at most ``MAX_LABELLED`` labelled ids (per domain the
+lowest hashes of the ids, see ``shares``; a documented bound of the fit), each
+with one text; the domains and their prior shares come from all labelled ids;
+counts, totals and rates cover all rows.
 
 Defined results: null text has no tokens; null labels are not learned from;
 without labels every document belongs to the one domain ``all``; repeated rows
@@ -66,19 +67,38 @@ class DomainModel:
         return [e / total for e in exps]
 
 
+def shares(count: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows of each domain are learned from: all, or equal parts of
+    ``most``; what a small domain leaves over goes to the others."""
+    parts, left = {}, max(most, len(count))
+    for i, (d, n) in enumerate(sorted(count.items(), key=lambda x: (x[1], x[0]))):
+        parts[d] = min(n, left // (len(count) - i))
+        left -= parts[d]
+    return parts
+
+
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         domain_col: str = "domain", max_labelled: int = MAX_LABELLED) -> DomainModel:
     """Learn the domains of ``labelled`` (id and domain) from their texts."""
-    chosen = (labelled.filter(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
-              .select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("domain"))
-              .orderBy(F.xxhash64("_id"), "_id", "domain").limit(max_labelled))
+    known = (labelled.filter(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
+             .select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("domain")).distinct())
+    count = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+             .limit(MAX_DOMAINS + 1).collect()}
+    if len(count) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains; the model holds no more")
+    if not count:
+        return DomainModel(["all"], [[]], [0.0], [[0.0]])
+    parts = shares(count, max_labelled)
+    first = Window.partitionBy("domain").orderBy(F.xxhash64("_id"), "_id")
+    quota = F.create_map(*[x for d, n in parts.items() for x in (F.lit(d), F.lit(n))])
+    chosen = (known.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= max(parts.values()))
+              .filter(F.col("at") <= quota[F.col("domain")]).drop("at"))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(chosen), "_id")            # at most max_labelled rows are broadcast
+            .groupBy("_id", "domain").agg(F.min("_text").alias("_text"))     # and as many leave the join
             .withColumn("words", F.array_distinct(_words(F.col("_text")))))
     rows = materialize(rows.select("domain", "words"), "labelled")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"{len(sizes)} domains; the model holds at most {MAX_DOMAINS}")
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
         return DomainModel(["all"], [[]], [0.0], [[0.0]])
@@ -103,7 +123,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     for d in domains:
         row = [float(hits[d][f"h{j}"]) + 1.0 for j in range(len(domains))]
         model.weights.append([math.log(x / sum(row)) for x in row])
-        model.prior.append(math.log(sizes[d] / total))
+        model.prior.append(math.log(count[d] / sum(count[e] for e in domains)))
     return model
 
 
