@@ -278,3 +278,20 @@ def test_every_row_is_scored(spark):
     for name, n in (("m10_pair_classifier", pairs), ("m7_gbt", orders)):
         held = [r.held_out for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
         assert len(held) == n and 0 < sum(held) < n
+
+
+def test_category_dict_layouts(spark, tmp_path):
+    import json
+
+    from threadmetrics.sources import files as fs
+    want = {"a b": 1, 'quo"te {': 2, "c": 3}
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "one.json").write_text(json.dumps(want, indent=2))
+    (tmp_path / "good" / "two.json").write_text('{"d": 4}\n\n{"e": 5, "f": 6}\n')
+    got = {r.name: r.category_id for r in fs.read_category_dict(spark, str(tmp_path / "good")).collect()}
+    assert got == {**want, "d": 4, "e": 5, "f": 6}
+    for i, text in enumerate(['{"a": 1}\nrubbish\n', json.dumps(want, indent=2) * 2]):
+        (tmp_path / f"bad{i}.json").write_text(text)
+        with pytest.raises(Exception, match="not a category dictionary"):
+            fs.read_category_dict(spark, str(tmp_path / f"bad{i}.json")).collect()
+

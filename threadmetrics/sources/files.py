@@ -30,10 +30,27 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_category_dict(spark: SparkSession, path: str) -> DataFrame:
-    """JSON objects ``{name: id}``, one or many per file and each on a
-    line of its own -> rows (name, category_id)."""
-    m = F.from_json("value", "map<string,bigint>")
-    return spark.read.text(path).select(F.explode(m).alias("name", "category_id"))
+    """JSON objects ``{name: id}`` -> rows (name, category_id). A file holds
+    one or many of them, each on a line of its own, or a single one laid out
+    over several lines; any other file is an error."""
+    def parsed(text: str):
+        return F.from_json(text, "map<string,bigint>")
+
+    def pairs(rows: DataFrame, whole):
+        bad = F.raise_error(F.concat(F.lit("not a category dictionary: "), F.col("file"))).cast("map<string,bigint>")
+        return rows.select(F.explode(F.when(whole, parsed("value")).otherwise(bad)).alias("name", "category_id"))
+
+    def read(**options):
+        return spark.read.text(path, **options).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = read().filter(F.trim("value") != "")
+    spread = [r["file"] for r in lines.filter(parsed("value").isNull()).select("file").distinct().collect()]
+    if not spread:
+        return pairs(lines, parsed("value").isNotNull())
+    # without its strings, a single object holds one opening brace
+    bare = F.regexp_replace("value", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    single = parsed("value").isNotNull() & bare.rlike(r"^\s*\{[^{}]*\}\s*$")
+    return pairs(lines.filter(~F.col("file").isin(spread)), parsed("value").isNotNull()).unionByName(
+        pairs(read(wholetext=True).filter(F.col("file").isin(spread)), single))
 
 
 def write_category_dict(dictionary: DataFrame, path: str) -> None:
