@@ -295,3 +295,20 @@ def test_category_dict_layouts(spark, tmp_path):
         with pytest.raises(Exception, match="not a category dictionary"):
             fs.read_category_dict(spark, str(tmp_path / f"bad{i}.json")).collect()
 
+
+def test_metric_components_are_returned(spark):
+    from threadmetrics.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    ratios = [r.explained_variance_ratio for r in QUERIES["m3_metric_ratio_rows"](spark, sf).collect()]
+    assert len(ratios) == 26 and abs(sum(ratios) - 1) < 1e-4
+    assert QUERIES["m4_metric_loading_rows"](spark, sf).count() == 26 * 26
+    scores = QUERIES["m5_metric_score_rows"](spark, sf)
+    assert {f"PC{j}" for j in range(26)} < set(scores.columns)
+    assert scores.count() == QUERIES["m5_metric_scores"](spark, sf).first().n_rows
+
+
+def test_topic_terms_are_returned(spark):
+    from threadmetrics.plans.catalog import QUERIES
+    rows = QUERIES["m1_topic_terms"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r.topic for r in rows}) == 20 and max(r.place for r in rows) == 19
+

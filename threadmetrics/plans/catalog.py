@@ -763,6 +763,16 @@ def m1_topics(spark, sf_dir):
                       F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"), falls.alias("falling"))
 
 
+@query("m1_topic_terms")
+def m1_topic_terms(spark, sf_dir):
+    """The 20 strongest terms of each topic with their weights."""
+    model = ml.fit_topics(_topic_docs(spark, sf_dir), "words")
+    words = model.stages[0].vocabulary
+    rows = [(r["topic"], at, words[i], w) for r in model.stages[-1].describeTopics(20).collect()     # topics x 20 terms
+            for at, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"], strict=True))]
+    return _round(spark.createDataFrame(rows, "topic int, place int, term string, weight double"))
+
+
 @query("m2_topic_vectors")
 def m2_topic_vectors(spark, sf_dir):
     """One vector per document, null for a document without a vocabulary word."""
@@ -1009,6 +1019,27 @@ def m4_metric_loadings(spark, sf_dir):
     return load.groupBy("feature").agg(F.round(F.sum(F.col("loading") * F.col("loading")), 3).alias("variance"))
 
 
+@query("m3_metric_ratio_rows")
+def m3_metric_ratio_rows(spark, sf_dir):
+    """Explained-variance ratio of each of the 26 components."""
+    _, p = _metric_pca(spark, sf_dir)
+    return _round(p.ratio_table(spark))
+
+
+@query("m4_metric_loading_rows")
+def m4_metric_loading_rows(spark, sf_dir):
+    """Loading of each metric on each component."""
+    rows, p = _metric_pca(spark, sf_dir)
+    return _round(p.loadings(p.transform(rows, "id")))
+
+
+@query("m5_metric_score_rows")
+def m5_metric_score_rows(spark, sf_dir):
+    """All 26 component scores of every id."""
+    rows, p = _metric_pca(spark, sf_dir)
+    return _round(p.transform(rows, "id"))
+
+
 def _pc0_table(spark, sf_dir):
     t = pr.training_table(_t(spark, sf_dir, "order_comments"), _t(spark, sf_dir, "order_posts"),
                           _t(spark, sf_dir, "order_scores"), GBT_FEATURES)
