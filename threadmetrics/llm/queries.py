@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, rules, secrets, simhash, token_counts, warc
+from . import (chat, clusters, exact_dedup, merkle, mixing, packing, quality, rules, secrets, simhash, token_counts,
+               warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +168,112 @@ def op4_mixing(spark, sf_dir):
 @query("op5_token_counts")
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle")
+def op11_merkle(spark, sf_dir):
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
+# crc: bytes of the id, eight shifts each; up: a tree per language, level by level; over: the tree of subroots
+ORACLE["op11_merkle"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS r, lang, doc_id,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') ||
+         coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+crc AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+           string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) % 2 = 1 THEN 3988292384 ELSE 0 END)),
+           CAST(4294967295 AS BIGINT)) AS crc
+  FROM d),
+l AS (
+  SELECT r, lang, doc_id,
+         sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(
+           strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS now
+  FROM crc),
+up AS (
+  SELECT lang, 0 AS k, r AS p, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM l
+  UNION ALL
+  SELECT lang, k + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (min(n) + 1) // 2
+  FROM up WHERE n > 1 GROUP BY lang, k, p // 2),
+subs AS (SELECT lang, h AS subroot, k AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+         FROM up WHERE n = 1),
+over_ AS (
+  SELECT 0 AS k, g AS p, subroot AS h, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT k + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (min(n) + 1) // 2
+  FROM over_ WHERE n > 1 GROUP BY k, p // 2),
+top AS (SELECT h AS root, k AS height FROM over_ WHERE n = 1),
+steps AS (
+  SELECT l.doc_id, l.lang, l.r, s.k, (l.r >> s.k) % 2 AS side, o.h AS sib
+  FROM l JOIN subs x ON l.lang IS NOT DISTINCT FROM x.lang
+  CROSS JOIN (SELECT unnest(range(0, 64)) AS k) s
+  LEFT JOIN up o ON o.lang IS NOT DISTINCT FROM l.lang AND o.k = s.k AND o.p = xor(l.r >> s.k, 1)
+  WHERE s.k < x.depth
+  UNION ALL
+  SELECT l.doc_id, l.lang, l.r, x.depth + s.k, (x.g >> s.k) % 2, o.h
+  FROM l JOIN subs x ON l.lang IS NOT DISTINCT FROM x.lang CROSS JOIN top
+  CROSS JOIN (SELECT unnest(range(0, 64)) AS k) s
+  LEFT JOIN over_ o ON o.k = s.k AND o.p = xor(x.g >> s.k, 1)
+  WHERE s.k < height),
+proof AS (
+  SELECT lang, r, string_agg(coalesce(sib, ''), '' ORDER BY k) AS sibs, list(struct_pack(side := side,
+         sib := coalesce(sib, '')) ORDER BY k) AS path
+  FROM steps GROUP BY lang, r),
+walk AS (
+  SELECT l.lang, l.r, 0 AS k, coalesce(l.now, l.leaf) AS h, coalesce(p.path, []) AS path
+  FROM l LEFT JOIN proof p ON l.lang IS NOT DISTINCT FROM p.lang AND l.r = p.r
+  UNION ALL
+  SELECT lang, r, k + 1, sha256(CASE WHEN path[k + 1].side = 1 THEN path[k + 1].sib || h
+                                     ELSE h || path[k + 1].sib END), path
+  FROM walk WHERE k < len(path))
+SELECT l.doc_id, l.leaf, x.subroot, top.root, sha256(coalesce(p.sibs, '')) AS proof_sha256, w.h AS folded_root,
+       w.h = top.root AS verified
+FROM l JOIN subs x ON l.lang IS NOT DISTINCT FROM x.lang CROSS JOIN top
+LEFT JOIN proof p ON l.lang IS NOT DISTINCT FROM p.lang AND l.r = p.r
+JOIN walk w ON l.lang IS NOT DISTINCT FROM w.lang AND l.r = w.r AND w.k = len(w.path)
+"""
+
+
+@query("op12_centroids")
+def op12_centroids(spark, sf_dir):
+    return clusters.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """SQL of the centroids after each round: c0 (the first ones) to c<rounds>."""
+    nearest = """
+  SELECT vec_id, v, arg_min(j, (d, j)) AS cluster, min(d) AS distance FROM (
+    SELECT vec_id, v, j, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)
+           AS d, row FROM kept, c{i}) GROUP BY row, vec_id, v"""
+    steps = ["""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY key, v) - 1 AS j, v AS c FROM (
+    SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS key, v FROM kept ORDER BY key, v LIMIT 8))"""]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(i=i)})")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT j, coalesce(list(m ORDER BY at) FILTER (WHERE m IS NOT NULL), any_value(c)) AS c FROM (
+    SELECT j, c, at, (s - ((s % n) + n) % n) // n AS m FROM c{i} LEFT JOIN (
+      SELECT cluster, at, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS at FROM a{i}) GROUP BY cluster, at) ON cluster = j)
+  GROUP BY j)""")
+    steps.append(f"f AS MATERIALIZED ({nearest.format(i=rounds)})")
+    return ",\n".join(steps)
+
+
+ORACLE["op12_centroids"] = f"""
+WITH {_centroid_rounds(10)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN c10 ON j = cluster
+"""
