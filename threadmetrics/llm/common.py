@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lineage
+from ..operators import lineage, skew
 from ..sources.tables import read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,6 +65,38 @@ def with_uid(df: DataFrame) -> DataFrame:
     return df.withColumn("_uid", F.monotonically_increasing_id())
 
 
+HOT_ROWS = 20_000         # rows of one key that one task may get
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
+    """``key, _parts`` of the keys with more than ``limit`` rows of the stored
+    ``df``: into how many parts their rows go. The limit rises with the table so
+    that there are never more than ``MAX_HOT_KEYS`` such keys."""
+    limit = max(limit, -(-df.count() // MAX_HOT_KEYS))
+    return (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` (inner, left, left_semi or left_anti) for
+    a stored ``left`` of which one key may have a large share and a ``right``
+    with one row per key: rows of a frequent key are dealt over several tasks,
+    each with a copy of its one right row."""
+    if skew.planner_broadcasts(right):
+        return left.join(right, key, how)
+    hot = materialize(hot_keys(left, key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)         # at most MAX_HOT_KEYS keys and a number each
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = (left.join(few, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+             .drop("_parts"))
+    copies = (right.join(few, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+              .drop("_parts"))
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
+
+
 def unpack(df: DataFrame) -> DataFrame:
     """The input columns again."""
     return df.select("_row.*")

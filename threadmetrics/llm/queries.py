@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, clusters, exact_dedup, merkle, mixing, packing, quality, rules, secrets, simhash, token_counts,
-               warc)
+from . import (chat, clusters, exact_dedup, merkle, mixing, ngram_jaccard, packing, quality, rules, secrets, simhash,
+               token_counts, warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,10 +261,10 @@ def _centroid_rounds(rounds: int) -> str:
     for i in range(rounds):
         steps.append(f"a{i} AS MATERIALIZED ({nearest.format(i=i)})")
         steps.append(f"""c{i + 1} AS MATERIALIZED (
-  SELECT j, coalesce(list(m ORDER BY at) FILTER (WHERE m IS NOT NULL), any_value(c)) AS c FROM (
-    SELECT j, c, at, (s - ((s % n) + n) % n) // n AS m FROM c{i} LEFT JOIN (
-      SELECT cluster, at, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
-      FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS at FROM a{i}) GROUP BY cluster, at) ON cluster = j)
+  SELECT j, coalesce(list(m ORDER BY pos) FILTER (WHERE m IS NOT NULL), any_value(c)) AS c FROM (
+    SELECT j, c, pos, (s - ((s % n) + n) % n) // n AS m FROM c{i} LEFT JOIN (
+      SELECT cluster, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS pos FROM a{i}) GROUP BY cluster, pos) ON cluster = j)
   GROUP BY j)""")
     steps.append(f"f AS MATERIALIZED ({nearest.format(i=rounds)})")
     return ",\n".join(steps)
@@ -277,3 +277,8 @@ SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
        CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
 FROM f JOIN c10 ON j = cluster
 """
+
+
+@query("op13_jaccard_join")
+def op13_jaccard_join(spark, sf_dir):
+    return ngram_jaccard.similar_documents(read_table(spark, sf_dir, "documents"))
