@@ -61,7 +61,7 @@ OWNERS = 1 << 18          # counters of cell owners
 COMMON = 64               # owners above the mean and its noise that make a value frequent
 PER_TASK = 20_000         # rows of one cell value in one task
 BLOCK = 2048              # documents of one cell value compared in one task
-KEPT_WORDS = 1 << 20      # word hashes a task remembers
+PAIRS_PER_TASK = 1_000    # partners of one pivot compared in one task
 MARKED = ("uid long, id string, key binary, n long, first long, sketch binary, sigs array<long>, "
           "hot array<struct<sig:long,key:long>>")
 
@@ -74,17 +74,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, words: int, cache: dict[bytes, int]) -> np.ndarray:
+def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles."""
-    parts = [np.fromiter(map(cache.__getitem__, block), np.uint64, len(block))
+    parts = [np.fromiter(map(xxhash.xxh64_intdigest, block), np.uint64, len(block))
              for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower())]   # A-Z only
     h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     k = min(words, len(h))
@@ -92,8 +84,9 @@ def shingle_set(text: str | None, words: int, cache: dict[bytes, int]) -> np.nda
         return h
     acc = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - k + 1 + i])
-    return np.unique(acc)
+        acc = (acc ^ h[i:len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return np.unique(_mix(acc))
 
 
 # ------------------------------------------------------------ bands, cells, prefixes
@@ -125,8 +118,9 @@ def _where(cells: np.ndarray, band: int) -> np.ndarray:
 
 def cell_values(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, shingles) of the cells that hold any, and those cells."""
-    at = _mix(h + np.uint64(band + 1)) % np.uint64(cells_of(band, percent))
-    order = np.argsort(at, kind="stable")
+    cells = cells_of(band, percent)
+    at = _mix(h + np.uint64(band + 1)) % np.uint64(cells)
+    order = np.argsort(at.astype(np.uint16) if cells <= 1 << 16 else at, kind="stable")     # 16 bits: a radix sort
     at = at[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     value = np.bitwise_xor.reduceat(h[order], first)
@@ -148,16 +142,18 @@ def probes(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
-    """Parity per bit; as many bits as the power of two at or above the size (64 at least)."""
-    bits = max(64, 1 << (len(h) - 1).bit_length())
+    """Parity per bit; four to eight bits a shingle, a power of two."""
+    bits = max(64, 4 << (len(h) - 1).bit_length())
     at = (_mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def folded(sketch: np.ndarray, size: int) -> np.ndarray:
-    """A sketch of fewer bits: the parity of bits that fall together."""
-    while len(sketch) > size:
-        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    """Sketches (words along the last axis) with fewer bits: the parity of
+    bits that fall together."""
+    while sketch.shape[-1] > size:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
     return sketch
 
 
@@ -166,11 +162,10 @@ def _sets(words: int) -> Callable[[list[int], list[str]], Iterator[tuple[int, in
     """Reader of a task's texts: (size, row number of the first row in the task
     with an equal set, set or None when it is empty or repeated) for each row."""
     seen: dict[tuple[int, int, int], int] = {}
-    cache = _WordHash()
 
     def read(uids: list[int], texts: list[str]) -> Iterator[tuple[int, int, np.ndarray | None]]:
         for uid, text in zip(uids, texts, strict=True):
-            h = shingle_set(text, words, cache)
+            h = shingle_set(text, words)
             mark = (len(h), int(_mix(h).sum()), int(_mix(h ^ np.uint64(0xD6E8FEB86659FD93)).sum()))
             first = seen.setdefault(mark, uid) if len(h) else uid
             yield len(h), first, h if first == uid and len(h) else None
@@ -338,9 +333,12 @@ def cross_candidates(members: DataFrame, roots: DataFrame, marked: DataFrame, pe
     components ``roots`` (uid, root) and whose bit sketches allow a link."""
     rooted = materialize(members.join(roots, "uid", "left").select("sig", "uid", F.coalesce("root", "uid").alias("root")),
                          "rooted")
+    # of values with the same documents one will do; two documents have met as first and partner
+    same = [F.bit_xor(F.xxhash64("uid")).alias("h1"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("h2")]
     several = materialize(rooted.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"),
-                                                    F.max("root").alias("hi"))
-                          .filter("lo <> hi").select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("k")), "open")
+                                                    F.max("root").alias("hi"), *same)
+                          .filter("lo <> hi and c > 2").groupBy("c", "h1", "h2").agg(F.min("sig").alias("sig"))
+                          .select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("k")), "open")
     # a value of k blocks: each row goes to the k pairs of blocks that hold its own
     own = F.pmod(F.hash("uid"), F.col("k"))
     dealt = (hot_join(rooted, several, "sig").withColumn("own", own)
@@ -353,73 +351,84 @@ def cross_candidates(members: DataFrame, roots: DataFrame, marked: DataFrame, pe
 
 
 # ------------------------------------------------------------ verification
-def _against(load: Callable, near: Callable) -> Callable:
-    """Streams each pivot's partners (role 1) past the pivot (role 0)."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivot, held, read = None, None, load()
-        for pdf in frames:
-            x, y = [], []
-            for px, role, uid, data in zip(pdf["x"].tolist(), pdf["role"].tolist(), pdf["uid"].tolist(), pdf["data"],
-                                           strict=True):
-                if role == 0:
-                    pivot, held = px, read(data)
-                elif px == pivot and near(held, read(data)):
-                    x.append(px)
-                    y.append(uid)
-            if x:
-                yield pd.DataFrame({"x": x, "y": y})
-    return run
-
-
-def compare(pairs: DataFrame, attach: Callable[[DataFrame], DataFrame], load: Callable, near: Callable) -> DataFrame:
-    """The pairs ``x, y`` (distinct, stored) whose data are ``near``. ``attach``
-    adds ``data`` to rows with a ``uid``; ``load`` gives a task's reader of it.
-    The partners of a pivot x with many are dealt over several tasks, each
-    with the pivot's data."""
-    hot = hot_keys(pairs, "x", PER_TASK)
+def meetings(pairs: DataFrame) -> DataFrame:
+    """``x, part, role, uid``: each pivot x (role 0) and its partners (role 1)
+    of the stored pairs ``x, y``; the partners of a pivot with many are dealt
+    over several parts, each with the pivot."""
+    hot = hot_keys(pairs, "x", PAIRS_PER_TASK)
     spread = pairs.join(F.broadcast(hot), "x", "left").withColumn("parts", F.coalesce("_parts", F.lit(1)))   # few rows
     partners = spread.select("x", F.pmod(F.hash("y"), "parts").cast("int").alias("part"), F.lit(1).alias("role"),
                              F.col("y").alias("uid"))
-    pivots = spread.select("x", "parts").distinct().select(
+    return spread.select("x", "parts").distinct().select(
         "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"),
-        F.col("x").alias("uid"))
-    return (attach(pivots.union(partners)).repartition("x", "part").sortWithinPartitions("x", "part", "role")
-            .select("x", "role", "uid", "data").mapInPandas(_against(load, near), "x long, y long"))
+        F.col("x").alias("uid")).union(partners)
+
+
+def streamed(rows: DataFrame, run: Callable) -> DataFrame:
+    """``run`` over rows in the order pivot, its partners, next pivot, ..."""
+    return (rows.repartition("x", "part").sortWithinPartitions("x", "part", "role")
+            .mapInPandas(run, "x long, y long"))
+
+
+def _near_sketches(percent: int) -> Callable:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivot = None          # the last pivot's row
+        for pdf in frames:
+            if pivot is not None:
+                pdf = pd.concat([pivot, pdf])
+            role, n, sketch = pdf["role"].to_numpy(), pdf["n"].to_numpy(), pdf["sketch"].to_numpy()
+            at = np.maximum.accumulate(np.where(role == 0, np.arange(len(pdf)), 0))
+            size = np.fromiter(map(len, sketch), np.int64, len(pdf))
+            found = []
+            for a, b in set(zip(size[at].tolist(), size.tolist(), strict=True)):
+                i = np.flatnonzero((role == 1) & (size[at] == a) & (size == b))
+                for j in np.array_split(i, len(i) * (a + b) // (16 << 20) + 1) if len(i) else []:
+                    x, y = (np.frombuffer(b"".join(sketch[k]), np.uint64).reshape(len(j), -1) for k in (at[j], j))
+                    least = min(x.shape[1], y.shape[1])
+                    bits = np.bitwise_count(folded(x, least) ^ folded(y, least)).sum(axis=1, dtype=np.int64)
+                    found.append(j[bits <= apart(n[j] + n[at[j]], percent)])
+            if found:
+                got = np.concatenate(found)
+                yield pd.DataFrame({"x": pdf["x"].to_numpy()[got], "y": pdf["uid"].to_numpy()[got]})
+            pivot = pdf.iloc[at[-1]:at[-1] + 1]
+    return run
 
 
 def screened(pairs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bit sketches differ in no more bits than linked sets can."""
-    def load():
-        return lambda d: (d["n"], np.frombuffer(d["sketch"], np.uint64))
+    return streamed(meetings(pairs).join(marked.select("uid", "n", "sketch"), "uid"), _near_sketches(percent))
+
 
-    def near(a, b):
-        size = min(len(a[1]), len(b[1]))
-        bits = int(np.bitwise_count(folded(a[1], size) ^ folded(b[1], size)).sum())
-        return bits <= apart(a[0] + b[0], percent)
-    data = marked.select("uid", F.struct("n", "sketch").alias("data"))
-    return compare(pairs, lambda rows: rows.join(data, "uid"), load, near)
+def _linked(words: int, percent: int) -> Callable:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivot = None
+        for pdf in frames:
+            x, y = [], []
+            for px, role, uid, text in zip(pdf["x"].tolist(), pdf["role"].tolist(), pdf["uid"].tolist(), pdf["text"],
+                                           strict=True):
+                h = shingle_set(text, words)
+                if role == 0:
+                    pivot = h
+                    continue
+                both = len(np.intersect1d(pivot, h, assume_unique=True))
+                if 100 * both >= percent * (len(pivot) + len(h) - both):
+                    x.append(px)
+                    y.append(uid)
+            yield pd.DataFrame({"x": np.array(x, dtype=np.int64), "y": np.array(y, dtype=np.int64)})
+    return run
 
 
 def verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs that link, by their shingles. ``texts``: key, text; several rows
     of a key have the same text."""
-    def load():
-        cache = _WordHash()
-        return lambda text: shingle_set(text, words, cache)
-
-    def near(a, b):
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= percent * (len(a) + len(b) - both)
-
-    uids = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()
-    wanted = materialize(uids.join(marked.select("uid", "key"), "uid").select("key").distinct(), "wanted")
-    # copies of a text become one row per task before they meet
-    if skew.planner_broadcasts(wanted):
-        texts = texts.join(wanted, "key", "left_semi")
-        one = texts.groupBy("key").agg(F.first("text").alias("data"))
+    rows = materialize(meetings(pairs).join(marked.select("uid", "key"), "uid"), "meetings")
+    wanted = rows.select("key").distinct()
+    one = F.first("text").alias("text")       # copies of a text become one row per task before they meet
+    if skew.planner_broadcasts(rows.select("key")):
+        texts = texts.join(F.broadcast(wanted), "key", "left_semi").groupBy("key").agg(one)   # fewer than the rows checked
     else:
-        one = texts.groupBy("key").agg(F.first("text").alias("data")).join(wanted, "key", "left_semi")
-    return compare(pairs, lambda rows: rows.join(marked.select("uid", "key"), "uid").join(one, "key"), load, near)
+        texts = texts.groupBy("key").agg(one).join(wanted, "key", "left_semi")
+    return streamed(hot_join(rows, texts, "key"), _linked(words, percent))
 
 
 # ------------------------------------------------------------ the operator
