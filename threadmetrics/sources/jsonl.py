@@ -5,13 +5,20 @@ with an explicit stack into one row for the post and one per comment, so the
 work is linear in the line and no depth of nesting is too deep. Lines nested
 beyond what the standard decoder takes go through an iterative decoder (an
 explicit stack over the line's tokens). The rows of all kinds are written once
-to the shared folder. Lines that are not a JSON object are never lost silently:
-they are returned as a reject table with the reason.
+to the shared folder. Nothing is lost silently: lines that are not a JSON
+object, comments that are not one and numbers that do not fit their column are
+returned as a reject table with the reason.
+
+Defined values: bytes that are not UTF-8 and lone surrogates become U+FFFD; a
+whole number may be written as 7, 7.0, 7e0, "7" or "7.0"; any other number, a
+boolean and a number out of its column's range (32 bits for score, 64 for
+created_utc) are NULL in the row and rejected.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from json.decoder import scanstring
 
@@ -31,9 +38,14 @@ ROWS_DDL = f"kind string, {COMMENTS_DDL}, title string, selftext string, line st
 _ROW = [c.split()[0] for c in ROWS_DDL.split(", ")]
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that hold anything, as valid UTF-8."""
+    return spark.read.text(path).select(F.make_valid_utf8("value").alias("value")).filter(F.trim("value") != "")
+
+
 def read_threads_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """JSON lines -> (posts, comments, rejected lines)."""
-    rows = materialize(spark.read.text(path).filter(F.trim("value") != "").mapInPandas(_flatten, ROWS_DDL), "threads")
+    rows = materialize(text_lines(spark, path).mapInPandas(_flatten, ROWS_DDL), "threads")
 
     def kind(name: str, cols: list[str]) -> DataFrame:
         return rows.filter(F.col("kind") == name).select(*cols)
@@ -127,15 +139,50 @@ def decode(line: str):
 
 
 # ------------------------------------------------------------------ flattening
-def _int(x):
-    try:
-        return None if x is None else int(x)
-    except (TypeError, ValueError, OverflowError):
+def whole_number(x, bits: int) -> int | None:
+    """A JSON value as a whole number of so many bits. Raises ValueError."""
+    if x is None:
         return None
+    if isinstance(x, bool) or not isinstance(x, int | float | str):
+        raise ValueError("not a number")
+    if isinstance(x, str):
+        x = x.strip()
+        x = int(x) if re.fullmatch(r"[+-]?[0-9]{1,40}", x) else float(x)
+    if isinstance(x, float) and (not math.isfinite(x) or x != int(x)):
+        raise ValueError("not a whole number")
+    if not -(1 << bits - 1) <= int(x) < 1 << bits - 1:
+        raise ValueError(f"out of the range of {bits} bits")
+    return int(x)
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def valid(text: str) -> str:
+    """``text`` with surrogate pairs joined and lone surrogates as U+FFFD."""
+    if not _SURROGATE.search(text):
+        return text
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _str(x):
-    return x if x is None or isinstance(x, str) else json.dumps(x)
+    return x if x is None else valid(x) if isinstance(x, str) else json.dumps(x)
+
+
+_BITS = {"score": 32, "created_utc": 64}
+
+
+def _numbers(node: dict, what: str) -> tuple[dict, list[dict]]:
+    """The number columns of a post or comment, and rejects for what does not fit."""
+    values, rejects = {}, []
+    for name, bits in _BITS.items():
+        raw = node.get(name)
+        try:
+            values[name] = whole_number(raw, bits)
+        except ValueError as e:
+            values[name] = None
+            rejects.append({"kind": "reject", "line": json.dumps({name: raw}), "reason": f"{name} of {what}: {e}"})
+    return values, rejects
 
 
 def _children(node: dict) -> list:
@@ -143,20 +190,21 @@ def _children(node: dict) -> list:
     return kids if isinstance(kids, list) else []
 
 
-def _line_rows(line: str):
+def line_rows(line: str):
     """Row dictionaries of one line."""
     try:
         post = decode(line)
     except ValueError as e:
-        yield {"kind": "reject", "line": line, "reason": str(e)}
+        yield {"kind": "reject", "line": line, "reason": valid(str(e))}
         return
     if not isinstance(post, dict):
         yield {"kind": "reject", "line": line, "reason": "not a JSON object"}
         return
     pid = _str(post.get("id"))
+    numbers, rejects = _numbers(post, f"post {pid}")
     yield {"kind": "post", "post_id": pid, "subreddit": _str(post.get("subreddit")), "author": _str(post.get("author")),
-           "score": _int(post.get("score")), "created_utc": _int(post.get("created_utc")),
-           "title": _str(post.get("title")), "selftext": _str(post.get("selftext"))}
+           **numbers, "title": _str(post.get("title")), "selftext": _str(post.get("selftext"))}
+    yield from rejects
     stack = [(None, i, c) for i, c in reversed(list(enumerate(_children(post))))]
     while stack:
         parent, i, c = stack.pop()
@@ -164,10 +212,11 @@ def _line_rows(line: str):
             yield {"kind": "reject", "line": json.dumps(c), "reason": f"a comment of {pid} is not a JSON object"}
             continue
         cid = _str(c.get("id"))
+        numbers, rejects = _numbers(c, f"comment {cid} of {pid}")
         yield {"kind": "comment", "post_id": pid, "comment_id": cid, "parent_id": parent, "sibling_ord": i,
                "subreddit": _str(c.get("subreddit")), "subreddit_id": _str(c.get("subreddit_id")),
-               "author": _str(c.get("author")), "score": _int(c.get("score")),
-               "created_utc": _int(c.get("created_utc")), "body": _str(c.get("body"))}
+               "author": _str(c.get("author")), **numbers, "body": _str(c.get("body"))}
+        yield from rejects
         stack.extend((cid, j, k) for j, k in reversed(list(enumerate(_children(c)))))
 
 
@@ -181,7 +230,7 @@ def _flatten(batches):
     for pdf in batches:
         rows = []
         for line in pdf["value"]:
-            for row in _line_rows(line):
+            for row in line_rows(line):
                 rows.append(row)
                 if len(rows) >= 20_000:      # a giant thread leaves in pieces
                     yield frame(rows)
