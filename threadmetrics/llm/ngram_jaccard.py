@@ -50,7 +50,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import skew
 from .common import bound_arrow, hot_join, hot_keys, materialize
 from .components import components
 from .simhash import _word_blocks as word_blocks
@@ -61,6 +60,7 @@ OWNERS = 1 << 18          # counters of cell owners
 COMMON = 64               # owners above the mean and its noise that make a value frequent
 PER_TASK = 20_000         # rows of one cell value in one task
 BLOCK = 2048              # documents of one cell value compared in one task
+KEY_BITS = 1 << 23        # of the bitmap of texts to fetch
 PAIRS_PER_TASK = 1_000    # partners of one pivot compared in one task
 MARKED = ("uid long, id string, key binary, n long, first long, sketch binary, sigs array<long>, "
           "hot array<struct<sig:long,key:long>>")
@@ -142,8 +142,8 @@ def probes(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
-    """Parity per bit; four to eight bits a shingle, a power of two."""
-    bits = max(64, 4 << (len(h) - 1).bit_length())
+    """Parity per bit; two to four bits a shingle, a power of two."""
+    bits = max(64, 2 << (len(h) - 1).bit_length())
     at = (_mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -419,18 +419,26 @@ def _linked(words: int, percent: int) -> Callable:
 
 
 def verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs that link, by their shingles. ``texts``: key, text; several rows
-    of a key have the same text."""
+    """Pairs that link, by their shingles. ``texts``: key, text."""
     rows = materialize(meetings(pairs).join(marked.select("uid", "key"), "uid"), "meetings")
-    wanted = rows.select("key").distinct()
-    one = F.first("text").alias("text")       # copies of a text become one row per task before they meet
-    if skew.planner_broadcasts(rows.select("key")):
-        texts = texts.join(F.broadcast(wanted), "key", "left_semi").groupBy("key").agg(one)   # fewer than the rows checked
-    else:
-        texts = texts.groupBy("key").agg(one).join(wanted, "key", "left_semi")
     return streamed(hot_join(rows, texts, "key"), _linked(words, percent))
 
 
+def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, text`` once for each of the distinct, stored ``keys``. A bitmap of
+    ``KEY_BITS`` bits, whatever the data, first leaves most other texts where
+    they are; copies of a text become one row per task before they meet."""
+    cell = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)) + 1
+    bits = (keys.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))      # KEY_BITS / 32768 rows of 4 KB
+    at = F.bitmap_bit_position(cell)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    wanted = (texts.select("key", "text", F.bitmap_bucket_number(cell).alias("bucket"), at.alias("at"))
+              .join(F.broadcast(bits), "bucket")
+              .filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0))
+    return wanted.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key", "left_semi")
+
+
 # ------------------------------------------------------------ the operator
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
             percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -448,7 +456,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     marked = materialize(src.mapInPandas(_mark(words, percent, common, parts), MARKED)
                          .withColumn("id", F.col("id").cast(kind)), "marked")
     members, pairs = star_candidates(marked)
-    texts = src.select("key", "text")
+    met = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()     # all that can be in a pair, now or later
+    keys = materialize(met.join(marked.select("uid", "key"), "uid").select("key").distinct(), "keys")
+    texts = materialize(texts_of(keys, src.select("key", "text")), "texts")
     near = materialize(screened(pairs, marked, percent), "screened")
     star = materialize(verified(near, marked, texts, words, percent), "star-links")
     roots = components(star.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "uid")
