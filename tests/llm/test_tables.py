@@ -116,29 +116,86 @@ def test_packing_refuses_bad_lengths(spark):
 
 
 # ------------------------------------------------------------ mixing
-def test_rates_match_brute_force(spark):
+def bounded_least_squares(a, target, low):
+    """Independent solver: accelerated projected gradient on the rates themselves, run long."""
+    q = y = np.full(a.shape[1], max(1.0, low))
+    step, t = 1 / np.linalg.eigvalsh(a @ a.T).max(), 1.0
+    for _ in range(5_000):
+        new = np.maximum(low, y - step * (a.T @ (a @ y - target)))
+        t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        y, q = new + (old - 1) / t * (new - q), new
+    return q
+
+
+def squared_gap(a, r, target):
+    return float(((a @ r - target) ** 2).sum() / target.sum() ** 2)
+
+
+def in_memory(p, t, low):
+    """``evaluate`` of the descent over arrays, with the metric of ``fit_rates``."""
+    t = t / t.sum()
+    s = p @ np.maximum((p * t[:, None]).sum(axis=0), 1e-9)
+
+    def evaluate(moves, v):
+        a = np.full(len(t), max(1.0, low))
+        for m in moves:
+            a = np.maximum(low, a - p @ np.array(m) / s)
+        x = a - p @ np.array(v) / s
+        r, free = np.maximum(low, x), x > low
+        gram = (p[free] * (t / s)[free][:, None]).T @ p[free]
+        return list((r * t) @ p), gram.tolist(), float((t * s * np.where(free, r * r / 2, low * x - low * low / 2)).sum())
+    return evaluate
+
+
+def test_descent_reaches_the_optimum():
+    rng = np.random.default_rng(7)
+    for i in range(50):
+        k, n, low = int(rng.integers(1, 6)), int(rng.integers(5, 300)), float(rng.choice([0.0, 0.5, 1.0]))
+        p, t = rng.dirichlet(np.full(k, rng.choice([0.05, 0.4, 2.0])), n), rng.integers(1, 500, n).astype(float)
+        target = rng.dirichlet(np.full(k, 0.7)) * t.sum() * rng.choice([0.5, 1.0, 3.0])
+        _, totals = mixing.descend(in_memory(p, t, low), list(target / t.sum()))
+        best = squared_gap((p * t[:, None]).T, bounded_least_squares((p * t[:, None]).T, target, low), target)
+        got = float(((np.array(totals) * t.sum() - target) ** 2).sum() / target.sum() ** 2)
+        assert got <= best + 1e-4, (i, k, n, low, got, best)
+
+
+def test_rates_match_independent_solver(spark):
     rng = np.random.default_rng(6)
-    p = rng.dirichlet([0.4, 0.4, 0.4], 400)
-    t = rng.integers(1, 500, 400).astype(float)
-    soft = spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(t, p, strict=True)],
-                                 "tokens double, p0 double, p1 double, p2 double")
-    total = t.sum()
-    for want, low in (([0.6, 0.3, 0.1], 0.0), ([0.05, 0.05, 0.9], 0.0), ([0.5, 0.4, 0.6], 1.0)):
-        target = [total * w for w in want]
-        rate, _ = mixing.fit_rates(soft, target, min_rate=low)
-        r = np.array([x[0] for x in soft.select(rate).collect()])
-        assert (r >= low).all()
-        # brute force: the same problem by many small projected steps
-        a = (p * t[:, None]).T
-        white = np.linalg.pinv(a @ p)
-        q = np.full(400, max(1.0, low))
-        for _ in range(4000):
-            q = np.maximum(low, q - 0.5 * (p @ (white @ (a @ q - target))))
-
-        def loss(x):
-            gap = a @ x - target
-            return gap @ white @ gap / total
-        assert loss(r) <= loss(q) + 1e-3
+    p = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    t = rng.integers(1, 500, 300).astype(float)
+    rows = [(i, float(a), *map(float, b)) for i, (a, b) in enumerate(zip(t, p, strict=True))]
+    soft = spark.createDataFrame(rows, "id int, tokens double, p0 double, p1 double, p2 double")
+    a = (p * t[:, None]).T
+    for want, low in (([0.0, 0.0, 1.0], 0.0), ([0.6, 0.3, 0.1], 1.0)):
+        target = t.sum() * np.array(want)
+        rate, totals = mixing.fit_rates(soft, list(target), min_rate=low)
+        r = np.array([x[0] for x in soft.select("id", rate.alias("r")).orderBy("id").select("r").collect()])
+        assert (r >= low).all() and np.allclose(a @ r, totals, rtol=1e-3, atol=1e-2)
+        assert squared_gap(a, r, target) <= squared_gap(a, bounded_least_squares(a, target, low), target) + 1e-4
+    again, _ = mixing.fit_rates(soft.repartition(7), list(target), min_rate=low)
+    assert str(again._jc) == str(rate._jc)       # the same moves, whatever the partitioning
+
+
+def test_copies_follow_the_fit_and_not_the_partitioning(spark):
+    rng = np.random.default_rng(9)
+    words = {"en": ["the", "cat", "and", "dog"], "de": ["der", "hund", "und", "katze"], "fr": ["le", "chien", "et", "chat"]}
+    rows = []
+    for i in range(1500):
+        lang = ("en", "en", "en", "de", "fr")[i % 5]
+        rows.append((i % 1400, " ".join(rng.choice(words[lang], int(rng.integers(1, 200)))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.col("lang").alias("domain")).filter("doc_id < 600")
+    weights = {"en": 0.3, "de": 0.45, "fr": 0.25}
+
+    def run(frame):
+        return [tuple(r) for r in mixing.mix(frame, labels, weights=weights).select(
+            "_row.doc_id", "_row.text", "domain", "tokens", "rate", "copies").collect()]
+    got = run(docs)
+    assert Counter(got) == Counter(run(docs.repartition(7))) == Counter(run(docs.orderBy(F.desc("text")).coalesce(1)))
+    total = sum(r[3] for r in got)
+    for lang, share in weights.items():
+        fitted, real = (sum(r[3] * r[k] for r in got if r[2] == lang) for k in (4, 5))
+        assert abs(fitted - share * total) < 0.001 * total and abs(real - fitted) < 0.01 * fitted
 
 
 def test_mixing_bound_keeps_every_domain(spark):

@@ -7,13 +7,19 @@
 2. The expected tokens of domain d under document rates r are
    ``sum_i r_i * tokens_i * posterior_i(d)``. Projected gradient descent on the
    squared distance to the target totals finds rates ``r >= min_rate``. The
-   residual is whitened by the inverse of the posteriors' Gram matrix over the
-   rows above the bound, and a step that does not help is halved. Each step is one aggregate over a compact
-   table (posteriors and token counts); its state is the list of residuals so
-   far, domains x steps numbers, from which every row recomputes its own rate,
-   so a lost executor costs nothing but the rescan.
-3. A rate becomes copies: its whole part, plus one with the probability of the
-   rest (decided by a hash of the row, so it is reproducible).
+   steps are implicit: a row moves against the gradient at the point that the
+   step leads to, then is projected, which descends at any length. That point
+   follows from one number per domain, found by Newton's method; each Newton
+   step is one aggregate over a compact table of posteriors and token counts.
+   The loop ends when the targets are met or a step no longer helps. Its state
+   is a list of moves, domains x steps numbers, from which every row recomputes
+   its own rate, so a lost executor costs a rescan only.
+3. A rate becomes copies: its whole part, plus one more for as many rows as the
+   fractions add up to. Rows of a domain are walked in the order of tokens and
+   id hash, and a row gets the extra copy when the running total of fractions
+   passes a whole number: copies and tokens of a domain stay within one row of
+   the fit. Sums are of whole numbers, so neither rates nor copies depend on
+   the partitioning.
 
 The classifier learns from at most ``MAX_LABELLED`` labelled ids (per domain the
 lowest hashes of the ids, see ``shares``; a documented bound of the fit), each
@@ -29,6 +35,7 @@ known domains or are ignored, and a domain without a target has weight zero.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +45,12 @@ from .common import materialize, packed, with_uid
 
 MAX_LABELLED = 4000
 WORDS = 64
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, INNER = 12, 30     # at most: implicit steps, Newton steps in each
+STIFF = 1e-5              # weight of staying where the rates are in a step
+CLOSE, STILL = 1e-12, 1e-8  # squared gap in shares of the whole: met; no longer falling
+LARGEST = 1e6             # of a rate while it is looked for
+UNIT = 1 << 16            # sums are of whole 65536ths of a token
+WHOLE = 1 << 30           # fractions of a copy
 MAX_DOMAINS = 64
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -89,10 +101,16 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     if not count:
         return DomainModel(["all"], [[]], [0.0], [[0.0]])
     parts = shares(count, max_labelled)
-    first = Window.partitionBy("domain").orderBy(F.xxhash64("_id"), "_id")
+    # the lowest hashes of each domain: far more than its part are left out before they meet
+    spread = 1 << 40
+    below = {d: min(spread, int(spread * (n + 10 * n ** 0.5 + 64) / count[d])) for d, n in parts.items()}
     quota = F.create_map(*[x for d, n in parts.items() for x in (F.lit(d), F.lit(n))])
-    chosen = (known.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= max(parts.values()))
-              .filter(F.col("at") <= quota[F.col("domain")]).drop("at"))
+    bound = F.create_map(*[x for d, n in below.items() for x in (F.lit(d), F.lit(n).cast("long"))])
+    first = Window.partitionBy("domain").orderBy("hash", "_id")      # about the part's size of rows per domain
+    chosen = (known.withColumn("hash", F.pmod(F.xxhash64("_id"), F.lit(spread)))
+              .filter(F.col("hash") < bound[F.col("domain")])
+              .withColumn("at", F.row_number().over(first)).filter(F.col("at") <= quota[F.col("domain")])
+              .drop("at", "hash"))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(chosen), "_id")            # at most max_labelled rows are broadcast
             .groupBy("_id", "domain").agg(F.min("_text").alias("_text"))     # and as many leave the join
@@ -128,73 +146,138 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
 
 # ------------------------------------------------------------ rates
-def _inverse(a: list[list[float]]) -> list[list[float]]:
-    """Gauss-Jordan inverse of a small matrix."""
-    n = len(a)
-    w = [[*row, *[float(i == j) for j in range(n)]] for i, row in enumerate(a)]
+def _solved(a: list[list[float]], y: list[float]) -> list[float]:
+    """x of a x = y for a small positive definite matrix, by elimination."""
+    n = len(y)
+    w = [[*row, v] for row, v in zip(a, y, strict=True)]
     for i in range(n):
-        p = max(range(i, n), key=lambda k: abs(w[k][i]))
+        p = max(range(i, n), key=lambda r: abs(w[r][i]))
         w[i], w[p] = w[p], w[i]
-        w[i] = [x / w[i][i] for x in w[i]]
-        for k in range(n):
-            if k != i:
-                w[k] = [x - w[k][i] * y for x, y in zip(w[k], w[i], strict=True)]
-    return [row[n:] for row in w]
+        for r in range(i + 1, n):
+            f = w[r][i] / w[i][i]
+            w[r] = [x - f * z for x, z in zip(w[r], w[i], strict=True)]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (w[i][n] - sum(w[i][j] * x[j] for j in range(i + 1, n))) / w[i][i]
+    return x
 
 
-def _rate(start: float, moves: list[list[float]], posts: list[Column], min_rate: float) -> Column:
+def _step(evaluate: Callable, moves: list[list[float]], target: list[float]) -> list[float]:
+    """The move of one implicit step: the minimum of a convex function of one
+    number per domain, whose gradient is ``STIFF * v - (totals after v - target)``."""
+    k = len(target)
+
+    def at(v: list[float]) -> tuple[list[float], list[list[float]], float]:
+        totals, gram, inner = evaluate(moves, v)
+        return totals, gram, inner + sum(t * x + STIFF / 2 * x * x for t, x in zip(target, v, strict=True))
+
+    v = [0.0] * k
+    totals, gram, value = at(v)
+    for _ in range(INNER):
+        slope = [STIFF * x - (q - t) for x, q, t in zip(v, totals, target, strict=True)]
+        if max(map(abs, slope)) < 1e-9:
+            break
+        push = _solved([[gram[d][e] + (STIFF if d == e else 0.0) for e in range(k)] for d in range(k)],
+                       [-x for x in slope])
+        fall, length = sum(x * y for x, y in zip(slope, push, strict=True)), 1.0
+        while True:
+            there = [x + length * y for x, y in zip(v, push, strict=True)]
+            found = at(there)
+            if found[2] <= value + 1e-4 * length * fall + 1e-13 or length < 1e-6:
+                break
+            length /= 2
+        if found[2] > value:
+            break
+        v, (totals, gram, value) = there, found
+    return v
+
+
+def descend(evaluate: Callable, target: list[float], steps: int = STEPS) -> tuple[list[list[float]], list[float]]:
+    """(moves, totals) of the fitted rates. ``evaluate(moves, v)`` gives, for
+    the rates after ``moves`` and the move ``v``, the totals, the Gram matrix of
+    the rows above the bound and the rows' part of the function of ``_step``."""
+    k, moves, seen = len(target), [], math.inf
+    scale = max(1e-300, sum(abs(t) for t in target)) ** 2
+    while True:
+        totals, _, _ = evaluate(moves, [0.0] * k)
+        loss = sum((q - t) ** 2 for q, t in zip(totals, target, strict=True)) / scale
+        if loss > seen:
+            moves.pop()
+            return moves, evaluate(moves, [0.0] * k)[0]
+        if loss <= CLOSE or len(moves) == steps or seen - loss <= STILL * max(1.0, loss):
+            return moves, totals
+        seen = loss
+        moves.append(_step(evaluate, moves, target))
+
+
+def _rate(start: float, moves: list[list[float]], steps: list[Column], min_rate: float) -> Column:
     """A row's rate after the moves so far: step, then project."""
     rate = F.lit(start)
     for move in moves:
-        step = reduce(lambda a, b: a + b, [F.lit(m) * p for m, p in zip(move, posts, strict=True)])
+        step = reduce(lambda a, b: a + b, [F.lit(m) * p for m, p in zip(move, steps, strict=True)])
         rate = F.greatest(F.lit(min_rate), rate - step)
     return rate
 
 
-def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0, steps: int = STEPS,
-              tolerance: float = TOLERANCE) -> tuple[Column, list[list[float]]]:
-    """Rate column over ``soft`` (tokens, p0, p1, ...) whose expected domain
-    totals come closest to ``target``, and the totals after each step. A step
-    is whitened by the Gram matrix of the rows above the bound, and halved
-    when the squared distance does not fall."""
-    k = len(target)
+def whole_sums(rows: DataFrame, cols: list[Column]) -> list[float | None]:
+    """Sums in whole ``UNIT``-ths, the same in any order of the rows; None where
+    a sum is too large for a long."""
+    return [None if x is None else float(x) / UNIT for x in
+            rows.agg(*[F.try_sum(F.round(c * UNIT).cast("long")) for c in cols]).first()]     # one row
+
+
+def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0,
+              steps: int = STEPS) -> tuple[Column, list[float]]:
+    """(rate, totals): the rate column over ``soft`` (tokens, p0, p1, ...) whose
+    expected domain totals are closest to ``target`` in squared distance, and
+    those totals."""
+    k, start = len(target), max(1.0, min_rate)
     posts = [F.col(f"p{d}") for d in range(k)]
     pairs = [(d, e) for d in range(k) for e in range(d, k)]
-    start, scale = max(1.0, min_rate), max(1.0, sum(target))
-    moves: list[list[float]] = []
-    seen: list[list[float]] = []
-    whole: list[list[float]] = []
-    best, length, direction = math.inf, 1.0, [0.0] * k
-    for _ in range(steps):
-        rate = _rate(start, moves, posts, min_rate)
-        free = F.when(rate > min_rate, F.col("tokens")).otherwise(0.0) if moves else F.col("tokens")
-        row = soft.select("tokens", *posts, rate.alias("r"), free.alias("f")).agg(
-            *[F.sum(F.col("r") * F.col("tokens") * p) for p in posts],
-            *[F.sum(F.col("f") * posts[d] * posts[e]) for d, e in pairs]).first()     # one row of sums
-        totals, gram = [float(x or 0.0) for x in row[:k]], [[0.0] * k for _ in range(k)]
-        for (d, e), x in zip(pairs, row[k:], strict=True):
-            gram[d][e] = gram[e][d] = float(x or 0.0)
-        ridge = 1e-9 * (sum(gram[d][d] for d in range(k)) + 1.0)
-        white = _inverse([[gram[d][e] + (ridge if d == e else 0.0) for e in range(k)] for d in range(k)])
-        whole = whole or white
-        gap = [s - t for s, t in zip(totals, target, strict=True)]
-        loss = sum(g * w * h for g, row_w in zip(gap, whole, strict=True) for w, h in zip(row_w, gap, strict=True))
-        if loss < best:
-            gain, best, length = best - loss, loss, 1.0
-            seen.append(totals)
-            if max(map(abs, gap)) <= tolerance * scale or gain <= 1e-6 * best:
-                break
-            direction = [sum(w * g for w, g in zip(row_w, gap, strict=True)) for row_w in white]
-            moves.append(direction)
-        else:
-            length /= 2
-            if length < 1e-3:
-                moves.pop()
-                break
-            moves[-1] = [length * x for x in direction]
-    else:
-        moves.pop()        # the last move has not been tried
-    return _rate(start, moves, posts, min_rate), seen
+    current = [x or 0.0 for x in whole_sums(soft, [F.col("tokens") * p for p in posts])]
+    total = sum(current)
+    if total <= 0:
+        return F.lit(start), current
+    # a row's moves count by the share of its domains, so rare domains move as fast as large ones
+    metric = reduce(lambda a, b: a + b, [F.lit(max(c / total, 1e-9)) * p for c, p in zip(current, posts, strict=True)])
+    scaled = [p / metric for p in posts]
+
+    def evaluate(moves: list[list[float]], v: list[float]) -> tuple[list[float], list[list[float]], float]:
+        rows = soft.select("tokens", *posts, metric.alias("s"), _rate(start, moves, scaled, min_rate).alias("a"))
+        rows = rows.withColumn("x", F.col("a") - reduce(lambda x, y: x + y, [
+            F.lit(m) * p for m, p in zip(v, posts, strict=True)]) / F.col("s"))
+        rows = rows.withColumns({"r": F.least(F.greatest("x", F.lit(min_rate)), F.lit(LARGEST)), "free": F.col("x") > min_rate})
+        weight = F.when(F.col("free"), F.col("tokens") / F.col("s")).otherwise(0.0)
+        part = F.when(F.col("free"), F.col("r") * F.col("r") / 2).otherwise(
+            F.lit(min_rate) * F.col("x") - min_rate * min_rate / 2)
+        got = whole_sums(rows, [F.col("r") * F.col("tokens") * p for p in posts] + [
+            weight * posts[d] * posts[e] for d, e in pairs] + [
+            F.col("tokens") * F.col("s") * part, F.when(F.col("x") >= LARGEST, 1.0).otherwise(0.0)])
+        if any(x is None for x in got) or got[-1] > 0:
+            return [math.inf] * k, [[0.0] * k] * k, math.inf
+        gram = [[0.0] * k for _ in range(k)]
+        for (d, e), x in zip(pairs, got[k:], strict=False):
+            gram[d][e] = gram[e][d] = x / total
+        return [x / total for x in got[:k]], gram, got[-2] / total
+
+    moves, totals = descend(evaluate, [t / total for t in target], steps)
+    return _rate(start, moves, scaled, min_rate), [x * total for x in totals]
+
+
+def extra_copies(rows: DataFrame) -> DataFrame:
+    """``_uid`` of the rows (_uid, domain, tokens, frac, tie columns _h, _id,
+    _t) that get one copy more, by the running total of their fractions."""
+    order = ["domain", "tokens", "_h", "_id", "_t"]
+    placed = materialize(rows.filter("frac > 0").repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id())
+                         .withColumn("_part", F.shiftright("_at", 33)), "fractions")
+    sums = placed.groupBy("_part", "domain").agg(F.sum("frac").alias("_sum"))     # a few rows per partition
+    before = F.sum("_sum").over(Window.partitionBy("domain").orderBy("_part")) - F.col("_sum")
+    offsets = sums.select("_part", "domain", before.alias("_before"))
+    within = Window.partitionBy("_part", "domain").orderBy("_at")
+    upto = F.sum("frac").over(within) + F.col("_before") + WHOLE // 2
+    return (placed.join(offsets, ["_part", "domain"]).withColumn("_upto", upto)
+            .filter(F.expr(f"_upto div {WHOLE} > (_upto - frac) div {WHOLE}")).select("_uid", F.lit(1).alias("_more")))
 
 
 def targets(current: list[float], domains: list[str], weights: dict[str, float] | None, temperature: float | None,
@@ -229,15 +312,19 @@ def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
                        *[h.alias(f"h{d}") for d, h in enumerate(hits)])
     posts = model.posteriors([F.col(f"h{d}") for d in range(k)])
     rows = materialize(rows.select("_row", "_uid", "tokens", *[p.alias(f"p{d}") for d, p in enumerate(posts)]), "soft")
-    current = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("tokens") * F.col(f"p{d}")) for d in range(k)]).first()]
+    current = [x or 0.0 for x in whole_sums(rows, [F.col("tokens") * F.col(f"p{d}") for d in range(k)])]
     rate, _ = fit_rates(rows, targets(current, model.domains, weights, temperature, keep_all), min_rate)
     most = F.greatest(*[F.col(f"p{d}") for d in range(k)]) if k > 1 else F.col("p0")
     name = reduce(lambda rest, d: F.when(F.col(f"p{d}") == F.col("posterior"), model.domains[d]).otherwise(rest),
                   range(k - 2, -1, -1), F.lit(model.domains[-1]))
-    part = F.pmod(F.xxhash64(F.col(f"_row.`{id_col}`"), F.col("_uid")), F.lit(1 << 30)) / float(1 << 30)
-    return (rows.withColumns({"posterior": most, "rate": rate})
-            .withColumn("domain", name)
-            .withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+    rated = rows.withColumns({"posterior": most, "rate": rate}).withColumn("domain", name)
+    row_id = F.col(f"_row.`{id_col}`")
+    more = extra_copies(rated.select(
+        "_uid", "domain", "tokens", F.floor((F.col("rate") - F.floor("rate")) * WHOLE).cast("long").alias("frac"),
+        F.xxhash64(row_id).alias("_h"), row_id.cast("string").alias("_id"),
+        F.xxhash64(F.col(f"_row.`{text_col}`")).alias("_t")))
+    return (rated.join(more, "_uid", "left")
+            .withColumn("copies", (F.floor("rate") + F.coalesce("_more", F.lit(0))).cast("long"))
             .select("_row", F.col("tokens").cast("long").alias("tokens"), "domain", "posterior", "rate", "copies"))
 
 
