@@ -266,3 +266,39 @@ def test_pipeline_stage_by_stage(spark):
         mine = [r for r in last if r.doc_id == doc_id]
         copies = len([r for r in mine if r.start == 0])
         assert sum(r.length for r in mine) == copies * mine[0].doc_tokens
+
+
+def test_pipeline_leaves_other_results_alone(spark, tmp_path):
+    """Unread results of other operators survive a run; interleaved runs do not disturb each other."""
+    lazy = {name: QUERIES[name](spark, SF) for name in ("op3_exact_dedup", "op10_simhash")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    outs = {"a": docs, "b": docs}
+    pending = {}
+    for name, function in corpus_pipeline.STAGES[:3]:
+        for run in outs:
+            pending[run] = function(spark, outs[run], SF)       # both are made before either is written
+        for run, made in pending.items():
+            made.write.parquet(str(tmp_path / f"{run}-{name}"))
+            outs[run] = spark.read.parquet(str(tmp_path / f"{run}-{name}"))
+    assert outs["a"].columns == docs.columns and names[0] == "quality"
+    assert sorted(outs["a"].collect(), key=str) == sorted(outs["b"].collect(), key=str)
+    for df in lazy.values():
+        assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    text = "plain words that a quality model may keep or not, " * 30
+    rows = [(1, text, "en", "s", len(text)), (1, text, "en", "s", len(text)), (2, text.upper(), "en", "s", 1), (None, None, None, None, None),
+            (3, "", "en", None, 0), (4, "x " * 50_000, None, "s", 100_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, digest string"
+    table = spark.createDataFrame([(*r, 7, "d") for r in rows], schema)
+    for at, docs in enumerate((table, table.limit(0))):
+        for name, function in corpus_pipeline.STAGES:
+            out = function(spark, docs, SF)
+            if name != "packing":
+                assert out.columns == docs.columns, name
+            path = str(tmp_path / f"{at}-{name}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert at == 0 or docs.count() == 0

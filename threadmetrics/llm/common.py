@@ -9,6 +9,11 @@ ones.
 
 from __future__ import annotations
 
+import functools
+import threading
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,29 +25,55 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 # One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Folders written by ``materialize`` that nobody has released yet.
-_written: list[str] = []
+# Scratch tables. A pipeline stage notes the tables that it writes under a
+# token, which travels as column metadata with the stage's result; Parquet keeps
+# it. The next stage, whose input carries the token, knows that the result has
+# been written and deletes exactly those tables.
+_TOKEN = "threadmetrics.scratch"
+_stages: dict[str, list[str]] = {}
+_thread = threading.local()
 
 
 def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and reread."""
     stored = lineage.materialize(df, name)
-    _written.append(stored._tm_path)
+    if getattr(_thread, "tables", None) is not None:
+        _thread.tables.append(stored._tm_path)
     return stored
 
 
-def release_scratch(docs: DataFrame) -> None:
-    """Delete the tables that :func:`materialize` has written so far, but for
-    those that ``docs`` still reads. A pipeline stage calls this first: what it
-    gets has been written and reread, so the tables behind it are done with."""
-    if not _written:
+def stage(fn: Callable) -> Callable:
+    """A pipeline stage ``(spark, docs, sf_dir) -> DataFrame`` that first deletes
+    the scratch tables of the stage whose written result ``docs`` is. Tables of
+    other stages, runs and operators are never touched."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_stage(docs)
+        outer, _thread.tables = getattr(_thread, "tables", None), []
+        try:
+            out = fn(spark, docs, sf_dir)
+            token = uuid.uuid4().hex
+            _stages[token] = _thread.tables
+        finally:
+            _thread.tables = outer
+        first = out.columns[0]
+        return out.withMetadata(first, {**out.schema[first].metadata, _TOKEN: token})
+    return run
+
+
+def release_stage(docs: DataFrame) -> None:
+    """Delete the scratch tables of the stage that made ``docs``, but for those
+    that ``docs`` reads itself (a result that has not been written)."""
+    tokens = {f.metadata[_TOKEN] for f in docs.schema.fields if _TOKEN in f.metadata} & set(_stages)
+    if not tokens:
         return
-    spark, files = docs.sparkSession, docs.inputFiles()
-    held = [p for p in _written if any(p.removeprefix("file:").strip("/") in f for f in files)]
-    for path in _written:
-        if path not in held:
-            lineage.delete(spark, path)
-    _written[:] = held
+    files = docs.inputFiles()
+    for token in tokens:
+        held = [p for p in _stages[token] if any(p.removeprefix("file:").strip("/") in f for f in files)]
+        for path in _stages[token]:
+            if path not in held:
+                lineage.delete(docs.sparkSession, path)
+        _stages[token] = held
 
 
 def ascii_lower(text: Column) -> Column:
