@@ -2,6 +2,7 @@
 empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -443,3 +444,49 @@ def test_quality_held_out(spark, quality_rows, edge, empty):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
+
+
+def labelled_strings(seed):
+    """(string, random) rows: identifiers of the standard library as names and paths, and random strings."""
+    import importlib
+    import sys
+    rng = random.Random(seed)
+    names = set()
+    for module in sorted(sys.stdlib_module_names):
+        if module in ("argparse", "ast", "asyncio", "codecs", "ctypes", "datetime", "decimal", "email", "hashlib", "http",
+                      "inspect", "json", "locale", "logging", "multiprocessing", "os", "pathlib", "pickle", "socket",
+                      "sqlite3", "ssl", "string", "subprocess", "tarfile", "threading", "token", "typing", "urllib",
+                      "unittest", "xml", "zipfile", "_ast", "errno", "signal", "stat", "tokenize", "types", "warnings"):
+            names |= {n.strip("_") for n in dir(importlib.import_module(module))}
+    names = sorted(n for n in names if n.isascii() and len(n) > 3)
+    rng.shuffle(names)
+    rows = []
+    for i in range(0, len(names) - 3, 2):
+        a, b, c = names[i:i + 3]
+        rows.append((rng.choice([f"{a}_{b}", f"{a}/{b}/{c}", f"{a}{b.title()}{c.title()}", f"{a}-{b}-{c}"]), False))
+    alphabets = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    rows += [("".join(rng.choices(rng.choice(alphabets), k=rng.randrange(20, 44))), True) for _ in range(len(rows))]
+    rows = [r for r in rows if len(r[0]) >= 16]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_secret_models_from_labelled_samples(spark):
+    """Precision and recall over held-out strings that are neither in the samples nor in another text."""
+    rows = labelled_strings(1)
+    cut = len(rows) * 2 // 3
+    samples = spark.createDataFrame([*rows[:cut], (None, True), ("x", None)], "string string, random boolean")
+    docs = spark.createDataFrame([(i, f"see {s} there") for i, (s, _) in enumerate(rows[cut:])], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans if x["kind"] == "markov"] for r in secrets.scan(docs, samples).collect()}
+    marked = {i for i, spans in got.items() if spans}
+    truth = {i for i, (_, rnd) in enumerate(rows[cut:]) if rnd}
+    both = len(marked & truth)
+    assert len(truth) > 200 and both / len(marked) >= 0.95 and both / len(truth) >= 0.95, (
+        both, len(marked), len(truth), [rows[cut + i][0] for i in sorted(marked - truth)][:10])
+    assert all(x["end"] - x["start"] >= secrets.SHORTEST for spans in got.values() for x in spans)
+
+
+def test_secret_spans_are_never_short(spark):
+    docs = spark.createDataFrame([(0, "org/apache/hadoop/hdfs/server/namenode"), (1, "plain prose without any name " * 50)],
+                                 "doc_id long, text string")
+    assert all(x["end"] - x["start"] >= secrets.SHORTEST for r in secrets.scan(docs).collect() for x in r.spans)

@@ -1,12 +1,15 @@
 """Secret scan: fixed patterns plus a log-likelihood ratio of character Markov models.
 
 Two first-order Markov models over the characters of a token are trained from
-the corpus itself: one on strings labelled as random (the values that the
-fixed patterns mark as secrets), one on ordinary identifiers (all other
-character pairs of the texts; the few unlabelled secrets among them hardly count). A stretch of a candidate, a long run of token
-characters without its fixed spans, is a secret when the log-likelihood ratio
-of the two models reaches ``THRESHOLD``. The fixed-pattern spans are always
-kept; the models only add.
+labelled samples: random strings and ordinary identifiers. A caller gives them
+as a table (``string, random``); without one the labels come from the corpus:
+the values that the fixed patterns mark are random, all other tokens of four or
+more characters (words, names, paths) are ordinary. A stretch of a candidate, a
+long run of token characters without its fixed spans, is a secret when the
+log-likelihood ratio of the two models reaches ``THRESHOLD`` and it has at
+least ``SHORTEST`` characters. The fixed-pattern spans are always kept; the
+models only add. The corpus labels know only names like those in the corpus:
+names in another language than the texts need labelled samples.
 
 One scan of the texts finds the fixed spans and the candidates and counts the
 character pairs of both classes; the pair counts of all tasks are summed by
@@ -37,6 +40,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")          # a run from the first AKIA on, of 16 characters or more
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16                                      # characters of a candidate and of a span that the models add
+ORDINARY = 4                                       # characters of a token that counts as a sample
 ASSIGN_VALUE = 8
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET)
@@ -70,6 +75,28 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
     return np.bincount(both[(codes[:-1] >= 0) & (codes[1:] >= 0)], minlength=SIZE * SIZE)
 
 
+def _tokens_only(codes: np.ndarray) -> np.ndarray:
+    """``codes`` with everything outside tokens of ``ORDINARY`` or more characters masked."""
+    inside = np.concatenate([[0], (codes >= 0).astype(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(inside))
+    short = edges[1::2] - edges[::2] < ORDINARY
+    out = codes.copy()
+    mask = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.add.at(mask, edges[::2][short], 1)
+    np.add.at(mask, edges[1::2][short], -1)
+    out[np.cumsum(mask[:-1]) > 0] = -1
+    return out
+
+
+def _sample_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros((2, SIZE * SIZE), dtype=np.int64)
+    for pdf in frames:
+        for string, random in zip(pdf["string"], pdf["random"], strict=True):
+            counts[int(random)] += _pairs(_CODE[np.frombuffer(string.encode("ascii", "replace"), dtype=np.uint8)])
+    held = np.flatnonzero(counts.sum(axis=0))
+    yield pd.DataFrame({"pair": held, "random": counts[1, held], "other": counts[0, held]})
+
+
 def _candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, str]]:
     """The parts of long tokens outside the fixed spans; the models alone decide on them."""
     out, i = [], 0
@@ -102,7 +129,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text or ""
             base = base_spans(text)
             codes = _CODE[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
-            total = _pairs(codes)
+            total = _pairs(_tokens_only(codes))
             done = 0
             for _, _, _, s, e in sorted(base, key=lambda b: (b[3], b[4])):
                 s = max(s, done)       # a hex run inside an assigned value counts once
@@ -111,7 +138,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     random += own
                     total -= own
                     done = e
-            other += total
+            other += np.maximum(total, 0)
             cand = _candidates(text, base)
             rows.append((doc_id, [{"kind": KINDS[k], "start": s, "end": e, "llr": None} for s, k, e, _, _ in base],
                          [c[0] for c in cand], [c[1] for c in cand], -1, 0, 0))
@@ -190,7 +217,7 @@ def stretches(part: str, table: np.ndarray) -> list[tuple[int, int, float]]:
             start, llr = out[-1][0], out[-1][2] + llr
             out.pop()
         out.append((start, end, llr))
-    return out
+    return [x for x in out if x[1] - x[0] >= SHORTEST]
 
 
 def _score(table: np.ndarray):
@@ -209,9 +236,11 @@ def _score(table: np.ndarray):
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id",
+         text_col: str = "text") -> DataFrame:
     """``doc_id, spans`` for every row: kind, start, end and, for spans that
-    the models add, their log-likelihood ratio."""
+    the models add, their log-likelihood ratio. ``samples``: ``string, random``
+    rows to train the models from; rows with a null are ignored."""
     bound_arrow(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = materialize(
@@ -219,7 +248,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .mapInPandas(_scan, f"doc_id string, base {SPANS}, starts array<long>, tokens array<string>, "
                             "pair int, random long, other long"), "scan")
     random, other = np.zeros(SIZE * SIZE), np.zeros(SIZE * SIZE)
-    counted = rows.filter("pair >= 0").groupBy("pair").agg(F.sum("random").alias("r"), F.sum("other").alias("o"))
+    pairs = rows.filter("pair >= 0")
+    if samples is not None:
+        pairs = samples.select("string", "random").dropna().mapInPandas(_sample_pairs, "pair int, random long, other long")
+    counted = pairs.groupBy("pair").agg(F.sum("random").alias("r"), F.sum("other").alias("o"))
     for r in counted.collect():        # at most alphabet squared rows
         random[r["pair"]], other[r["pair"]] = r["r"], r["o"]
     found = rows.filter("pair < 0").select("doc_id", "base", "starts", "tokens")
