@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
@@ -676,6 +676,7 @@ def x1_jaccard(spark, sf_dir):
 
 # --------------------------------------------------------------- machine learning
 from ..operators import ml  # noqa: E402
+from ..operators import topics as tp  # noqa: E402
 
 
 def _order_features(spark, sf_dir):
@@ -743,34 +744,44 @@ def m6_embedding_facts(spark, sf_dir):
                  (F.greatest(*[F.var_samp(b) - F.var_samp(a) for a, b in zip(pcs, pcs[1:])]) < 1e-3).alias("descending"))
 
 
-def _topic_docs(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    kept = vb.filter_to_vocab(t, vb.vocabulary(t))
-    return materialize(kept.select("doc_id", F.split("text_for_topic_modeling", " ").alias("words")), "topic-docs")
+def _topic_model(spark, sf_dir):
+    """The documents' tokens and the model of their vocabulary."""
+    docs = _tokens(spark, sf_dir)
+    return docs, tp.fit(docs, "doc_id", "tokens", vb.vocabulary(docs))
+
+
+def _strongest(model, n):
+    """The ``n`` strongest words of every topic with their place, from 0."""
+    order = Window.partitionBy("topic").orderBy(F.desc("weight"), "word")
+    return model.shares().withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n)
 
 
 @query("m1_topics")
 def m1_topics(spark, sf_dir):
     """Facts of the fitted topics: each is a distribution over the vocabulary
-    (its weights add up to 1) with its top terms in falling order."""
-    d = _topic_docs(spark, sf_dir)
-    model = ml.fit_topics(d, "words")
-    size = model.stages[0].vocabulary.__len__()
-    top = model.stages[-1].describeTopics(size)
-    w = F.col("termWeights")
-    falls = F.forall(F.zip_with(F.slice(w, 1, size - 1), F.slice(w, 2, size - 1), lambda a, b: a >= b), lambda x: x)
-    return top.select("topic", F.size("termIndices").cast("bigint").alias("n_terms"),
-                      F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"), falls.alias("falling"))
+    (its weights add up to 1) with its 20 top terms in falling order."""
+    _, model = _topic_model(spark, sf_dir)
+    facts = model.shares().groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
+    after = F.lead("weight").over(Window.partitionBy("topic").orderBy("place"))
+    falls = (_strongest(model, 20).withColumn("_next", after).groupBy("topic")
+             .agg(F.every(F.coalesce(F.col("weight") >= F.col("_next"), F.lit(True))).alias("falling")))
+    return facts.join(falls, "topic").select("topic", "n_terms", "weight_sum", "falling")
 
 
 @query("m1_topic_terms")
 def m1_topic_terms(spark, sf_dir):
     """The 20 strongest terms of each topic with their weights."""
-    model = ml.fit_topics(_topic_docs(spark, sf_dir), "words")
-    words = model.stages[0].vocabulary
-    rows = [(r["topic"], at, words[i], w) for r in model.stages[-1].describeTopics(20).collect()     # topics x 20 terms
-            for at, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"], strict=True))]
-    return _round(spark.createDataFrame(rows, "topic int, place int, term string, weight double"))
+    return _round(_strongest(_topic_model(spark, sf_dir)[1], 20).select(
+        "topic", F.col("place").cast("int").alias("place"), F.col("word").alias("term"), "weight"))
+
+
+@query("m1_word_mass")
+def m1_word_mass(spark, sf_dir):
+    """The expected counts of every word summed over the topics: its count in
+    the corpus, as every occurrence is shared out whole in every round."""
+    _, model = _topic_model(spark, sf_dir)
+    mass = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x.cast("double") - model.eta))
+    return model.weights.select("word", F.round(mass).cast("bigint").alias("n_tokens"))
 
 
 @query("m2_topic_vectors")
@@ -781,6 +792,17 @@ def m2_topic_vectors(spark, sf_dir):
                                *[F.get("topics", F.lit(i)).alias(f"Top_comment_topic{i}") for i in range(19)]), 4)
 
 
+@query("m2_topic_facts")
+def m2_topic_facts(spark, sf_dir):
+    """Per document that the model learns from: its vector has 20 shares, none
+    negative, that add up to 1; null without a vocabulary word."""
+    docs, model = _topic_model(spark, sf_dir)
+    got = tp.infer(model, docs, "doc_id", "tokens")
+    return got.select("doc_id", F.array_size("topics").cast("bigint").alias("n_topics"),
+                      F.forall("topics", lambda x: x >= 0).alias("not_negative"),
+                      F.round(F.aggregate("topics", F.lit(0.0), lambda a, x: a + x), 6).alias("share_sum"))
+
+
 def _gbt(spark, sf_dir):
     f = _order_features(spark, sf_dir).withColumn("is_valid", F.col("bucket") == 1)
     train = f.filter(F.col("bucket") >= 1)

@@ -709,6 +709,11 @@ ORACLE["t21_vector"] = """select l_orderkey, sum(l_quantity) quantity, round(sum
 from lineitem group by l_orderkey"""
 ORACLE["m1_topics"] = _vocab_ctes() + """ select cast(unnest(range(20)) as int) topic, (select count(*) from vocab) n_terms,
   1.0::double weight_sum, true falling"""
+ORACLE["m1_word_mass"] = _vocab_ctes() + """ select word, cast(count(*) as bigint) n_tokens from pos
+  where word in (select word from vocab) group by word"""
+ORACLE["m2_topic_facts"] = _vocab_ctes() + """ select doc_id, case when known then cast(20 as bigint) end n_topics,
+  case when known then true end not_negative, case when known then 1.0::double end share_sum
+from (select doc_id, doc_id in (select doc_id from vdocs) known from kept)"""
 
 
 # --------------------------------------------------------------- outcome metrics to PC0 to models
