@@ -701,6 +701,7 @@ from docs d left join cu using (doc_id) left join cb using (doc_id)"""
 ORACLE["m6_embedding_facts"] = "select count(*) n_rows, true centred, true uncorrelated, true descending from embeddings"
 ORACLE["m7_gbt_facts"] = f"""select cast(count(*) as bigint) n, true beats_mean from {_OF}
   where substr(md5('42:' || o_orderkey), 1, 1) = '0'"""
+ORACLE["m7_boosting_facts"] = ORACLE["m7_gbt_facts"]
 ORACLE["s6_word_list"] = "select distinct lower(p_name) word from part"
 ORACLE["s8_columns"] = "select l_returnflag, cast(sum(l_linenumber) as bigint) n_lines from lineitem group by l_returnflag"
 ORACLE["s10_reuse"] = "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'"
