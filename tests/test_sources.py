@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from threadmetrics.sources import datasource
+from threadmetrics.sources import files as fs
 from threadmetrics.sources.jsonl import read_threads_and_rejects, whole_number
 
 
@@ -97,3 +98,16 @@ def test_source_writes_whole_files_only(spark, tmp_path):
     assert spark.read.format("threads").option("kind", "posts").load(path).count() == 57
     first.limit(3).write.format("threads").mode("overwrite").save(path)
     assert spark.read.format("threads").option("kind", "posts").load(path).count() == 3
+
+
+def test_label_overlay_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, "c", 1), (None, "d", 1), (3, "e", None)],
+                                 "id int, text string, label int")
+    new = spark.createDataFrame([(1, 5), (3, 7), (2, None), (9, 9), (None, 4), (None, 4)], "id int, label int")
+    got = {r["text"]: r["label"] for r in fs.replace_labels(rows, new, "id", "label").collect()}
+    assert got == {"a": 5, "b": 5, "c": None, "d": 1, "e": 7}
+    bare = fs.replace_labels(rows.drop("label"), new, "id", "label")
+    assert bare.columns == ["id", "text", "label"] and bare.count() == 5
+    twice = new.unionByName(spark.createDataFrame([(1, 6)], "id int, label int"))
+    with pytest.raises(Exception, match="more than one label for key 1"):
+        fs.replace_labels(rows, twice, "id", "label").collect()

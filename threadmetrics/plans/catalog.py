@@ -966,10 +966,12 @@ def s7_category_dict(spark, sf_dir):
 
 @query("s11_replace_labels")
 def s11_replace_labels(spark, sf_dir):
+    """New labels laid over a stored data set, written as its next version."""
     base = _scratch(spark, "datasets")
     ds = fs.save_dataset(_pair_rows(spark, sf_dir), base, "pairs", "1")
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("r_id"), F.col("toxic").alias("human_label"))
-    return fs.replace_labels(ds, lab, "r_id", "human_label").select("l_id", "r_id", "human_label", "n_chars_l", "n_chars_r")
+    newer = fs.save_dataset(fs.replace_labels(ds, lab, "r_id", "human_label"), base, "pairs", "2")
+    return newer.select("l_id", "r_id", "human_label", "n_chars_l", "n_chars_r")
 
 
 @query("s6_word_list")

@@ -99,8 +99,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_labels(dataset: DataFrame, labels: DataFrame, key: str, label_col: str) -> DataFrame:
-    """Swap the label column of a prepared data set (join on the key)."""
-    return dataset.drop(label_col).join(labels.select(key, label_col), key, "inner")
+    """Lay new labels over a prepared data set, whose rows all stay.
+
+    A row whose key has a new label takes it, also a null one; every other row,
+    one with a null key among them, keeps its old label (null where the data
+    set had no such column). A key with more than one new label is an error."""
+    old = dataset if label_col in dataset.columns else dataset.withColumn(
+        label_col, F.lit(None).cast(labels.schema[label_col].dataType))
+    said = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("more than one label for key "), F.col(key).cast("string")))
+                  .cast(labels.schema[label_col].dataType)).otherwise(F.first(label_col))
+    new = (labels.filter(F.col(key).isNotNull()).groupBy(key).agg(said.alias("_label"))
+           .select(F.col(key).alias("_key"), "_label", F.lit(True).alias("_new")))
+    out = old.join(new, F.col(key) == F.col("_key"), "left")
+    return out.withColumn(label_col, F.when(F.col("_new"), F.col("_label")).otherwise(F.col(label_col))).select(*old.columns)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
