@@ -97,7 +97,9 @@ OUTCOME_METRICS = [
 # --- fixed values: the 65 numeric model features ------------------------------
 MODEL_FEATURES = [
     "Post_Top_comment_Jaccard_sim", "Post_Top_comment_topic_cosine_similarity",
-    *[f"Post_topic{i}" for i in range(19)],
+    "Post_topic0", "Post_topic1", "Post_topic10", "Post_topic11", "Post_topic12", "Post_topic13",
+    "Post_topic14", "Post_topic15", "Post_topic16", "Post_topic17", "Post_topic18", "Post_topic2",
+    "Post_topic3", "Post_topic4", "Post_topic5", "Post_topic6", "Post_topic7", "Post_topic8", "Post_topic9",
     "Top_comment_advice_count", "Top_comment_agreement_value", "Top_comment_and_Post_time_difference",
     "Top_comment_author_gender_value", "Top_comment_compliments_count", "Top_comment_day",
     "Top_comment_day_of_week", "Top_comment_fundraising_URL_count", "Top_comment_gratitude_count",
@@ -105,7 +107,11 @@ MODEL_FEATURES = [
     "Top_comment_informative_count", "Top_comment_laughter_count", "Top_comment_link_count",
     "Top_comment_mispellings", "Top_comment_polarity", "Top_comment_politeness_value",
     "Top_comment_readability", "Top_comment_score", "Top_comment_subjectivity", "Top_comment_support_value",
-    *[f"Top_comment_topic{i}" for i in range(19)],
+    "Top_comment_topic0", "Top_comment_topic1", "Top_comment_topic10", "Top_comment_topic11",
+    "Top_comment_topic12", "Top_comment_topic13", "Top_comment_topic14", "Top_comment_topic15",
+    "Top_comment_topic16", "Top_comment_topic17", "Top_comment_topic18", "Top_comment_topic2",
+    "Top_comment_topic3", "Top_comment_topic4", "Top_comment_topic5", "Top_comment_topic6",
+    "Top_comment_topic7", "Top_comment_topic8", "Top_comment_topic9",
     "Top_comment_tuned_toxicity", "Top_comment_untuned_toxicity", "Top_comment_word_count",
 ]
 
