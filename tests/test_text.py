@@ -61,3 +61,36 @@ def test_treebank_golden(spark):
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "i int, t string")
     got = {r["i"]: " ".join(r["w"]) for r in rows.select("i", tx.treebank_tokens(F.col("t")).alias("w")).collect()}
     assert [got[i] for i in range(len(GOLDEN))] == [w for _, w in GOLDEN]
+
+
+def test_guarded_steps_equal_the_plain_chain(spark):
+    """Steps run only on texts that they can change (STEP_NEEDS); the tokens are
+    those of all steps one after the other, and of a judgement token by token."""
+    import random
+    parts = [*"ab.,:;'\"`-?!()[]{}<>@#$%& \n\t\r7N", "...", "--", "''", "``", "cannot", "Gonna", "d'ye", "more'n", " 'tis ",
+             "'Twas", "n't ", "'ll ", "'s ", "\u0085", "é", "K", " ", " ", " a", "the "]
+    pick = random.Random(7)
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 24))) for _ in range(4000)] + [None, "", "a.\" ) "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    x = F.col("text")
+    for step in tx.TREEBANK_STEPS:
+        x = F.concat(F.lit(" "), x, F.lit(" ")) if step is None else F.regexp_replace(x, step[0], tx._spark_repl(step[1]))
+    plain = F.regexp_extract_all(x, F.lit(tx.NON_WS), 0)
+    valid = F.filter(F.transform(plain, tx.normalize_token), lambda t: t.isNotNull())
+    alpha = F.array_join(F.filter(plain, lambda t: t.rlike(r"^\p{L}+$")), " ")
+    t = F.col("text")
+    for new, old in ((tx.treebank_tokens(t), plain), (tx.token_count(t), F.size(plain)), (tx.valid_tokens(t), valid),
+                     (tx.alpha_words(t), alpha)):
+        assert df.filter(~new.eqNullSafe(old)).count() == 0
+    assert {s[0] for s in tx.TREEBANK_STEPS if s} >= {*tx.STEP_NEEDS, *tx.STEP_NEEDS_LOWER}
+
+
+def test_one_row_group_is_spread_over_the_cores(spark, tmp_path):
+    from threadmetrics.sources.tables import spread
+    spark.range(0, 20000, 1, 1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = spread(df, "id")
+    cores = spark.sparkContext.defaultParallelism
+    assert got.count() == 20000
+    assert cores == 1 or got.select(F.spark_partition_id()).distinct().count() >= cores
+    assert spread(df.limit(5), "id").count() == 5
