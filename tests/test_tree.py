@@ -111,3 +111,26 @@ def test_hot_parent_split_path(spark):
     assert hot == base
     stats = {r["comment_id"]: r for r in base[0]}
     assert stats["root"]["size"] == 81 and stats["root"]["height"] == 22 and stats["c19"]["level"] == 21
+
+
+def test_small_threads_need_no_key_count(spark, monkeypatch):
+    """No key of a thread has more rows than the thread: where every thread is
+    below the threshold, lookups by post write no copy of the left side."""
+    from threadmetrics.operators import outcomes as oc
+    from threadmetrics.operators import skew
+    rows = [(f"p{p}", f"{p}_{i}", f"{p}_{i - 1}" if i else None, "ab"[i % 2]) for p in range(20) for i in range(5)]
+    comments = spark.createDataFrame(rows, "post_id string, comment_id string, parent_id string, author string")
+    spark.conf.set(skew.HOT_ROWS_CONF, "6")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written = []
+    plain = skew.materialize
+    monkeypatch.setattr(skew, "materialize", lambda df, name="state": written.append(name) or plain(df, name))
+    try:
+        levels = {r["comment_id"]: r["level"] for r in tree.annotate(comments).collect()}
+        runs = {r["comment_id"]: r["alt"] for r in oc.alternation(comments).collect()}
+        stats = {r["comment_id"]: r["height"] for r in tree.tree_stats(comments).collect()}
+    finally:
+        spark.conf.unset(skew.HOT_ROWS_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written == []
+    assert levels["3_4"] == 4 and runs["3_4"] == 5 and stats["3_0"] == 5 and len(levels) == 100
