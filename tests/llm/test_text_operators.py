@@ -490,3 +490,13 @@ def test_secret_spans_are_never_short(spark):
     docs = spark.createDataFrame([(0, "org/apache/hadoop/hdfs/server/namenode"), (1, "plain prose without any name " * 50)],
                                  "doc_id long, text string")
     assert all(x["end"] - x["start"] >= secrets.SHORTEST for r in secrets.scan(docs).collect() for x in r.spans)
+
+
+def test_mixing_sums_are_whole_and_the_same_in_any_partitioning(spark):
+    from threadmetrics.llm import mixing
+    rows = spark.range(999).select((F.col("id") * 0.37 - 100).alias("x"))
+    want = sum(round((i * 0.37 - 100) * mixing.UNIT) for i in range(999)) / mixing.UNIT
+    assert mixing.whole_sums(rows.repartition(1), [F.col("x")]) == mixing.whole_sums(rows.repartition(7), [F.col("x")]) == [want]
+    # rounding by decimals cost two thirds of a pass over the table
+    assert "rint" in mixing.whole_sums.__code__.co_names + tuple(
+        n for c in mixing.whole_sums.__code__.co_consts if hasattr(c, "co_names") for n in c.co_names)

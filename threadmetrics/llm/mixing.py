@@ -223,7 +223,7 @@ def whole_sums(rows: DataFrame, cols: list[Column]) -> list[float | None]:
     """Sums in whole ``UNIT``-ths, the same in any order of the rows; None where
     a sum is too large for a long."""
     return [None if x is None else float(x) / UNIT for x in
-            rows.agg(*[F.try_sum(F.round(c * UNIT).cast("long")) for c in cols]).first()]     # one row
+            rows.agg(*[F.try_sum(F.rint(c * UNIT).cast("long")) for c in cols]).first()]     # one row
 
 
 def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0,
