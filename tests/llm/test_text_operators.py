@@ -500,3 +500,19 @@ def test_mixing_sums_are_whole_and_the_same_in_any_partitioning(spark):
     # rounding by decimals cost two thirds of a pass over the table
     assert "rint" in mixing.whole_sums.__code__.co_names + tuple(
         n for c in mixing.whole_sums.__code__.co_consts if hasattr(c, "co_names") for n in c.co_names)
+
+
+def test_dropping_copies_moves_the_texts_once(spark):
+    """The stored rows are joined by digest; nothing shuffles them again."""
+    rows = [(i, "Same text" if i % 3 else f"text {i}", "x" * (i % 2)) for i in range(60)] + [(None, "SAME TEXT", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = exact_dedup.drop_duplicates(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        got = sorted((r["doc_id"], r["text"], r["more"]) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([r for r in rows if r[0] is not None and r[0] % 3 == 0] + [rows[59]])

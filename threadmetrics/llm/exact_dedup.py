@@ -81,12 +81,10 @@ def screen(digests: DataFrame, filters: DataFrame) -> DataFrame:
             .cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest binary")).distinct()
 
 
-def exact_groups(lite: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
-    """Byte-checked groups of equal texts with more than one row:
-    ``digest, check, group_size, last`` (last = id and row number of the row
-    that stays). ``lite``: _uid, _id, digest, check, batch; ``texts``:
-    digest, check, _text and _salt (any column that varies between copies) for
-    the same rows; ``rows``: their number."""
+def suspect_groups(lite: DataFrame, rows: int) -> DataFrame:
+    """Groups of equal digests with more than one row: ``digest, check, n,
+    last`` (last = id and row number of the row that stays). ``lite``: _uid,
+    _id, digest, check, batch; ``rows``: their number."""
     buckets = max(8, rows // DIGESTS_PER_BUCKET + 1)
     per_batch = materialize(
         lite.groupBy("digest", "check", "batch")
@@ -101,15 +99,28 @@ def exact_groups(lite: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     across = (flagged.filter("_hit").groupBy("digest", "check")
               .agg(F.sum("n").alias("n"), F.max("last").alias("last")))
     within = flagged.filter("_hit is null").select("digest", "check", "n", "last")
-    suspects = materialize(across.unionByName(within).filter("n > 1"), "suspects")
-
-    # Byte check: group on the text itself (map-side combined), then demand
-    # one text per digest. Salted, so that the copies of one text spread.
-    exact = (texts.withColumn("salt", salt(F.col("_salt")))
-             .join(salted(suspects.select("digest", "check")), ["digest", "check", "salt"], "left_semi")
-             .groupBy("digest", "check", ascii_lower(F.col("_text")).alias("norm"))
-             .agg(F.count(F.lit(1)).alias("m"))
-             .groupBy("digest", "check").agg(F.sum("m").alias("group_size"), F.count(F.lit(1)).alias("texts")))
+    return materialize(across.unionByName(within).filter("n > 1"), "suspects")
+
+
+def checked(rows: DataFrame, text: Column) -> DataFrame:
+    """``digest, check, group_size, texts`` of the rows of suspect groups: they
+    are grouped on the text itself (map-side combined), one text per digest is
+    demanded of ``texts``."""
+    return (rows.groupBy("digest", "check", ascii_lower(text).alias("norm"))
+            .agg(F.count(F.lit(1)).alias("m"))
+            .groupBy("digest", "check").agg(F.sum("m").alias("group_size"), F.count(F.lit(1)).alias("texts")))
+
+
+def exact_groups(lite: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """Byte-checked groups of equal texts with more than one row:
+    ``digest, check, group_size, last`` (last = id and row number of the row
+    that stays). ``lite``: _uid, _id, digest, check, batch; ``texts``:
+    digest, check, _text and _salt (any column that varies between copies) for
+    the same rows; ``rows``: their number."""
+    suspects = suspect_groups(lite, rows)
+    # Salted, so that the copies of one text spread.
+    exact = checked(texts.withColumn("salt", salt(F.col("_salt")))
+                    .join(salted(suspects.select("digest", "check")), ["digest", "check", "salt"], "left_semi"), F.col("_text"))
     return (suspects.join(exact, ["digest", "check"])
             .withColumn("_bad", F.assert_true(F.col("texts") == 1, F.lit("two texts share both digests")))
             .filter("_bad is null").select("digest", "check", "group_size", "last"))
@@ -139,8 +150,13 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .drop("_id", "_text"), "tagged")
     row_id, row_text = F.col(f"_row.`{id_col}`"), F.col(f"_row.`{text_col}`")
     lite = tagged.select("_uid", row_id.alias("_id"), "digest", "check", "batch")
-    groups = exact_groups(lite, tagged.select("digest", "check", row_text.alias("_text"), F.col("_uid").alias("_salt")),
-                          tagged.count())
-    dropped = (lite.withColumn("salt", salt(F.col("_uid"))).join(salted(groups), ["digest", "check", "salt"])
-               .filter(F.col("last._uid") != F.col("_uid")).select("_uid"))
-    return unpack(tagged.join(dropped, "_uid", "left_anti"))
+    suspects = suspect_groups(lite, tagged.count())
+    # The texts move once: with its group's last row beside it, a row can be checked and dropped where it lies.
+    grouped = materialize(
+        tagged.withColumn("salt", salt(F.col("_uid"))).join(salted(suspects.select("digest", "check", "last")),
+                                                            ["digest", "check", "salt"], "left")
+        .select("_row", "_uid", "digest", "check", F.col("last._uid").alias("_last")), "grouped")
+    exact = checked(grouped.filter("_last is not null"), row_text)
+    if not exact.filter("texts <> 1").isEmpty():
+        raise ValueError("two texts share both digests")
+    return unpack(grouped.filter("_last is null or _last = _uid"))
