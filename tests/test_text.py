@@ -94,3 +94,20 @@ def test_one_row_group_is_spread_over_the_cores(spark, tmp_path):
     assert got.count() == 20000
     assert cores == 1 or got.select(F.spark_partition_id()).distinct().count() >= cores
     assert spread(df.limit(5), "id").count() == 5
+
+
+def test_tokens_of_plain_texts_equal_those_of_the_steps(spark):
+    """Texts without quotes skip the steps; what they give must be the same."""
+    import random
+    draw = random.Random(3)
+    atoms = ["a", "Cat", "x", "-", "--", "---", ".", "...", "....", ",", ":", ",,", " ", "\n", "(", ")", "] (", "[", "?", ";", "&",
+             "5", "é", "K", " ", "`", "'", " cannot ", "Gimme", "http://x.y", "_"]
+    texts = ["".join(draw.choice(atoms) for _ in range(draw.randint(0, 8))) for _ in range(3000)]
+    words = tx.treebank_text(F.col("t"))
+    each = F.filter(F.transform(F.regexp_extract_all(words, F.lit(tx.NON_WS), 0), tx.normalize_token), lambda x: x.isNotNull())
+    alpha = F.array_join(F.filter(F.regexp_extract_all(words, F.lit(tx.NON_WS), 0), lambda x: x.rlike(r"^\p{L}+$")), " ")
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    got = df.select("t", tx.valid_tokens(F.col("t")).alias("v"), each.alias("w"), tx.alpha_words(F.col("t")).alias("a"), alpha.alias("b"),
+                    tx._plain_or(F.col("t"), lambda t, low: F.lit(1), lambda t: F.lit(0)).alias("plain")).collect()
+    assert [r for r in got if r["v"] != r["w"] or r["a"] != r["b"]] == []
+    assert 500 < sum(r["plain"] for r in got) < 2500
