@@ -128,6 +128,30 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return dealt.join(copies, [key, "_part"], how).drop("_part")
 
 
+MAX_BITMAPS = 8192        # broadcast at most; 4 KB for 32,768 row numbers each
+
+
+def _bit(bits: Column, at: Column) -> Column:
+    """Bit ``at`` of a bitmap of ``bitmap_construct_agg``: 0 or 1."""
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, at.bitwiseAND(7).cast("int"))
+
+
+def flagged(rows: DataFrame, listed: DataFrame, name: str, most: int = MAX_BITMAPS) -> DataFrame:
+    """``rows`` plus a boolean ``name``: is the row's ``_uid`` among those of
+    ``listed``? The rows, which hold whole texts, stay where they lie: the list
+    comes to them as bitmaps, one bit per row number. A list of more than ``most``
+    bitmaps is not broadcast; then the rows move, once, to meet it."""
+    # Parted by bucket before the aggregation: no task makes bitmaps of a bucket of which it has only some numbers.
+    maps = materialize(
+        listed.select("_uid", F.bitmap_bucket_number("_uid").alias("_bucket")).repartition("_bucket").groupBy("_bucket")
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_uid")).alias("_bits")), "bitmaps")
+    found = F.broadcast(maps) if maps.count() <= most else maps.hint("merge")
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number("_uid")).join(found, "_bucket", "left")
+            .withColumn(name, F.coalesce(_bit(F.col("_bits"), F.bitmap_bit_position("_uid")) == 1, F.lit(False)))
+            .drop("_bucket", "_bits"))
+
+
 def unpack(df: DataFrame) -> DataFrame:
     """The input columns again."""
     return df.select("_row.*")

@@ -23,8 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import lineage
 from . import binary_fuse
-from .common import ascii_lower, materialize, packed, unpack, with_uid
+from .common import ascii_lower, flagged, materialize, packed, unpack, with_uid
 
 BATCHES = 4                  # three snapshots, then the incoming batch
 DIGESTS_PER_BUCKET = 100_000
@@ -151,12 +152,14 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row_id, row_text = F.col(f"_row.`{id_col}`"), F.col(f"_row.`{text_col}`")
     lite = tagged.select("_uid", row_id.alias("_id"), "digest", "check", "batch")
     suspects = suspect_groups(lite, tagged.count())
-    # The texts move once: with its group's last row beside it, a row can be checked and dropped where it lies.
-    grouped = materialize(
-        tagged.withColumn("salt", salt(F.col("_uid"))).join(salted(suspects.select("digest", "check", "last")),
-                                                            ["digest", "check", "salt"], "left")
-        .select("_row", "_uid", "digest", "check", F.col("last._uid").alias("_last")), "grouped")
-    exact = checked(grouped.filter("_last is not null"), row_text)
+    # Only row numbers and digests are joined; texts of suspect groups move, to be grouped, and no others.
+    members = materialize(
+        lite.select("_uid", "digest", "check", salt(F.col("_uid")).alias("salt"))
+        .join(salted(suspects.select("digest", "check", "last")), ["digest", "check", "salt"])
+        .select("_uid", (F.col("last._uid") != F.col("_uid")).alias("_goes")), "members")
+    exact = checked(flagged(tagged, members, "_suspect").filter("_suspect"), row_text)
     if not exact.filter("texts <> 1").isEmpty():
         raise ValueError("two texts share both digests")
-    return unpack(grouped.filter("_last is null or _last = _uid"))
+    kept = materialize(unpack(flagged(tagged, members.filter("_goes"), "_dropped").filter("not _dropped")), "kept")
+    lineage.release(tagged)
+    return kept

@@ -41,7 +41,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, with_uid
+from .common import flagged, materialize, packed, with_uid
 
 MAX_LABELLED = 4000
 WORDS = 64
@@ -277,7 +277,7 @@ def extra_copies(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("_part", "domain").orderBy("_at")
     upto = F.sum("frac").over(within) + F.col("_before") + WHOLE // 2
     return (placed.join(offsets, ["_part", "domain"]).withColumn("_upto", upto)
-            .filter(F.expr(f"_upto div {WHOLE} > (_upto - frac) div {WHOLE}")).select("_uid", F.lit(1).alias("_more")))
+            .filter(F.expr(f"_upto div {WHOLE} > (_upto - frac) div {WHOLE}")).select("_uid"))
 
 
 def targets(current: list[float], domains: list[str], weights: dict[str, float] | None, temperature: float | None,
@@ -323,8 +323,8 @@ def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         "_uid", "domain", "tokens", F.floor((F.col("rate") - F.floor("rate")) * WHOLE).cast("long").alias("frac"),
         F.xxhash64(row_id).alias("_h"), row_id.cast("string").alias("_id"),
         F.xxhash64(F.col(f"_row.`{text_col}`")).alias("_t")))
-    return (rated.join(more, "_uid", "left")
-            .withColumn("copies", (F.floor("rate") + F.coalesce("_more", F.lit(0))).cast("long"))
+    return (flagged(rated, more, "_more")
+            .withColumn("copies", (F.floor("rate") + F.col("_more").cast("int")).cast("long"))
             .select("_row", F.col("tokens").cast("long").alias("tokens"), "domain", "posterior", "rate", "copies"))
 
 

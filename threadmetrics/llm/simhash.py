@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, materialize, packed, unpack, with_uid
+from .common import bound_arrow, flagged, materialize, packed, unpack, with_uid
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -392,4 +392,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep = cls.join(fps, "fp").groupBy("root").agg(F.min("first").alias("keep"))
     of = cls.join(keep, "root").select("fp", F.col("keep._uid").alias("kept"))
     dropped = lite.join(of, "fp").filter(F.col("kept") != F.col("_uid")).select("_uid")
-    return unpack(marked.join(dropped, "_uid", "left_anti"))
+    return unpack(flagged(marked, dropped, "_dropped").filter("not _dropped"))
