@@ -235,7 +235,7 @@ def test_mixing_tables(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels"):
+    for t in ("documents", "pages", "conversations", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     rel = con.execute(ORACLE[name])
     cols = [d[0] for d in rel.description]
