@@ -3,14 +3,17 @@
 1. A classifier learned from a labelled table predicts for every document the
    posterior of each domain: per domain the ``WORDS`` most characteristic words
    are found by log-odds over the labelled documents, a document's hits in each
-   list (array intersections, no shuffle) are scored by multinomial naive Bayes.
+   list (one array intersection with all lists, parted by list, no shuffle) are
+   scored by multinomial naive Bayes.
 2. The expected tokens of domain d under document rates r are
    ``sum_i r_i * tokens_i * posterior_i(d)``. Projected gradient descent on the
    squared distance to the target totals finds rates ``r >= min_rate``. The
    steps are implicit: a row moves against the gradient at the point that the
    step leads to, then is projected, which descends at any length. That point
    follows from one number per domain, found by Newton's method; each Newton
-   step is one aggregate over a compact table of posteriors and token counts.
+   step is one aggregate over a compact table of posteriors and token counts,
+   or three where its whole length does not help: one more for all shorter
+   lengths together and one for the length taken.
    The loop ends when the targets are met or a step no longer helps. Its state
    is a list of moves, domains x steps numbers, from which every row recomputes
    its own rate, so a lost executor costs a rescan only.
@@ -52,7 +55,8 @@ LARGEST = 1e6             # of a rate while it is looked for
 UNIT = 1 << 16            # sums are of whole 65536ths of a token
 WHOLE = 1 << 30           # fractions of a copy
 MAX_DOMAINS = 64
-WHITE = r"[\x20\x09-\x0D]+"
+LENGTHS = [0.5 ** i for i in range(21)]     # of a Newton step, the first that helps is taken
+WHITE = r"\s+"            # the six characters \x20 and \x09-\x0D, told apart faster than by a class that lists them
 
 
 def _words(text: Column) -> Column:
@@ -65,9 +69,16 @@ class DomainModel:
     def __init__(self, domains: list[str], lists: list[list[str]], prior: list[float], weights: list[list[float]]):
         self.domains, self.lists, self.prior, self.weights = domains, lists, prior, weights
 
-    def hits(self, words: Column) -> list[Column]:
-        return [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ws]).cast("array<string>")))
-                for ws in self.lists]
+    def known(self, words: Column) -> Column:
+        """The distinct words that are in any list, looked up once."""
+        every = sorted({w for ws in self.lists for w in ws})
+        return F.array_intersect(words, F.array(*[F.lit(w) for w in every]).cast("array<string>"))
+
+    def hits(self, known: Column) -> list[Column]:
+        """How many of the ``known`` words each list has, one column per domain."""
+        def inside(ws: list[str]) -> Callable:
+            return lambda w: w.isin(ws)
+        return [F.size(F.filter(known, inside(ws))) for ws in self.lists]
 
     def posteriors(self, hits: list[Column]) -> list[Column]:
         """Softmax of log prior plus hits x log weights, one column per domain."""
@@ -135,7 +146,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     for r in top.select("domain", "word").orderBy("domain", "at").collect():   # domains x WORDS rows
         lists[r["domain"]].append(r["word"])
     model = DomainModel(domains, [lists[d] for d in domains], [], [])
-    sums = rows.select("domain", *[h.alias(f"h{j}") for j, h in enumerate(model.hits(F.col("words")))]).groupBy(
+    found = rows.select("domain", model.known(F.col("words")).alias("known"))
+    sums = found.select("domain", *[h.alias(f"h{j}") for j, h in enumerate(model.hits(F.col("known")))]).groupBy(
         "domain").agg(*[F.sum(f"h{j}").alias(f"h{j}") for j in range(len(domains))])
     hits = {r["domain"]: r for r in sums.collect()}
     for d in domains:
@@ -162,52 +174,67 @@ def _solved(a: list[list[float]], y: list[float]) -> list[float]:
     return x
 
 
-def _step(evaluate: Callable, moves: list[list[float]], target: list[float]) -> list[float]:
+def _step(evaluate: Callable, values: Callable, moves: list[list[float]], target: list[float],
+          start: tuple[list[float], list[list[float]], float]) -> list[float]:
     """The move of one implicit step: the minimum of a convex function of one
-    number per domain, whose gradient is ``STIFF * v - (totals after v - target)``."""
+    number per domain, whose gradient is ``STIFF * v - (totals after v - target)``.
+    ``start`` is what ``evaluate`` gives before the move."""
     k = len(target)
 
-    def at(v: list[float]) -> tuple[list[float], list[list[float]], float]:
-        totals, gram, inner = evaluate(moves, v)
-        return totals, gram, inner + sum(t * x + STIFF / 2 * x * x for t, x in zip(target, v, strict=True))
+    def whole(inner: float, v: list[float]) -> float:
+        return inner + sum(t * x + STIFF / 2 * x * x for t, x in zip(target, v, strict=True))
 
     v = [0.0] * k
-    totals, gram, value = at(v)
+    totals, gram, value = *start[:2], whole(start[2], v)
     for _ in range(INNER):
         slope = [STIFF * x - (q - t) for x, q, t in zip(v, totals, target, strict=True)]
         if max(map(abs, slope)) < 1e-9:
             break
         push = _solved([[gram[d][e] + (STIFF if d == e else 0.0) for e in range(k)] for d in range(k)],
                        [-x for x in slope])
-        fall, length = sum(x * y for x, y in zip(slope, push, strict=True)), 1.0
-        while True:
-            there = [x + length * y for x, y in zip(v, push, strict=True)]
-            found = at(there)
-            if found[2] <= value + 1e-4 * length * fall + 1e-13 or length < 1e-6:
-                break
-            length /= 2
-        if found[2] > value:
+        fall = sum(x * y for x, y in zip(slope, push, strict=True))
+        points = [[x + length * y for x, y in zip(v, push, strict=True)] for length in LENGTHS]
+        enough = [value + 1e-4 * length * fall + 1e-13 for length in LENGTHS]
+        found = evaluate(moves, points[0])
+        at, least = 0, whole(found[2], points[0])
+        if not least <= enough[0]:
+            # near the minimum the sums' rounding hides the fall and many lengths fail: all are looked at in one pass
+            shorter = [math.inf, *map(whole, values(moves, points[1:]), points[1:])]
+            for at in range(1, len(LENGTHS)):
+                least = shorter[at]
+                if least <= enough[at] or (at == len(LENGTHS) - 1 and not least > value):
+                    found = evaluate(moves, points[at])
+                    least = whole(found[2], points[at])     # infinite where another sum is too large
+                    if least <= enough[at]:
+                        break
+        if least > value:
             break
-        v, (totals, gram, value) = there, found
+        v, (totals, gram, _), value = points[at], found, least
     return v
 
 
-def descend(evaluate: Callable, target: list[float], steps: int = STEPS) -> tuple[list[list[float]], list[float]]:
+def descend(evaluate: Callable, target: list[float], steps: int = STEPS,
+            values: Callable | None = None) -> tuple[list[list[float]], list[float]]:
     """(moves, totals) of the fitted rates. ``evaluate(moves, v)`` gives, for
     the rates after ``moves`` and the move ``v``, the totals, the Gram matrix of
-    the rows above the bound and the rows' part of the function of ``_step``."""
-    k, moves, seen = len(target), [], math.inf
+    the rows above the bound and the rows' part of the function of ``_step``;
+    ``values(moves, vs)`` gives that part alone for each of ``vs``, at once."""
+    k, moves, seen, before = len(target), [], math.inf, []
     scale = max(1e-300, sum(abs(t) for t in target)) ** 2
+    if values is None:
+        def values(moves: list[list[float]], vs: list[list[float]]) -> list[float]:
+            return [evaluate(moves, v)[2] for v in vs]
     while True:
-        totals, _, _ = evaluate(moves, [0.0] * k)
+        found = evaluate(moves, [0.0] * k)
+        totals = found[0]
         loss = sum((q - t) ** 2 for q, t in zip(totals, target, strict=True)) / scale
         if loss > seen:
             moves.pop()
-            return moves, evaluate(moves, [0.0] * k)[0]
+            return moves, before
         if loss <= CLOSE or len(moves) == steps or seen - loss <= STILL * max(1.0, loss):
             return moves, totals
-        seen = loss
-        moves.append(_step(evaluate, moves, target))
+        seen, before = loss, totals
+        moves.append(_step(evaluate, values, moves, target, found))
 
 
 def _rate(start: float, moves: list[list[float]], steps: list[Column], min_rate: float) -> Column:
@@ -226,15 +253,20 @@ def whole_sums(rows: DataFrame, cols: list[Column]) -> list[float | None]:
             rows.agg(*[F.try_sum(F.rint(c * UNIT).cast("long")) for c in cols]).first()]     # one row
 
 
+def expected(soft: DataFrame, k: int) -> list[float]:
+    """Expected tokens of each of ``k`` domains in ``soft`` (tokens, p0, p1, ...)."""
+    return [x or 0.0 for x in whole_sums(soft, [F.col("tokens") * F.col(f"p{d}") for d in range(k)])]
+
+
 def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0,
-              steps: int = STEPS) -> tuple[Column, list[float]]:
+              steps: int = STEPS, current: list[float] | None = None) -> tuple[Column, list[float]]:
     """(rate, totals): the rate column over ``soft`` (tokens, p0, p1, ...) whose
     expected domain totals are closest to ``target`` in squared distance, and
-    those totals."""
+    those totals. ``current``: the ``expected`` totals, if known."""
     k, start = len(target), max(1.0, min_rate)
     posts = [F.col(f"p{d}") for d in range(k)]
     pairs = [(d, e) for d in range(k) for e in range(d, k)]
-    current = [x or 0.0 for x in whole_sums(soft, [F.col("tokens") * p for p in posts])]
+    current = expected(soft, k) if current is None else current
     total = sum(current)
     if total <= 0:
         return F.lit(start), current
@@ -242,17 +274,26 @@ def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0,
     metric = reduce(lambda a, b: a + b, [F.lit(max(c / total, 1e-9)) * p for c, p in zip(current, posts, strict=True)])
     scaled = [p / metric for p in posts]
 
-    def evaluate(moves: list[list[float]], v: list[float]) -> tuple[list[float], list[list[float]], float]:
+    def moved(moves: list[list[float]], vs: list[list[float]]) -> DataFrame:
+        """A column ``x0``, ``x1``, ... per ``vs``: the rates after ``moves`` and it, not yet projected."""
         rows = soft.select("tokens", *posts, metric.alias("s"), _rate(start, moves, scaled, min_rate).alias("a"))
-        rows = rows.withColumn("x", F.col("a") - reduce(lambda x, y: x + y, [
-            F.lit(m) * p for m, p in zip(v, posts, strict=True)]) / F.col("s"))
-        rows = rows.withColumns({"r": F.least(F.greatest("x", F.lit(min_rate)), F.lit(LARGEST)), "free": F.col("x") > min_rate})
+        return rows.withColumns({f"x{i}": F.col("a") - reduce(lambda x, y: x + y, [
+            F.lit(m) * p for m, p in zip(v, posts, strict=True)]) / F.col("s") for i, v in enumerate(vs)})
+
+    def projected(x: Column) -> Column:
+        return F.least(F.greatest(x, F.lit(min_rate)), F.lit(LARGEST))
+
+    def parts(x: Column) -> list[Column]:
+        """The row's part of the function of ``_step``, and whether its rate is too large."""
+        r = projected(x)
+        part = F.when(x > min_rate, r * r / 2).otherwise(F.lit(min_rate) * x - min_rate * min_rate / 2)
+        return [F.col("tokens") * F.col("s") * part, F.when(x >= LARGEST, 1.0).otherwise(0.0)]
+
+    def evaluate(moves: list[list[float]], v: list[float]) -> tuple[list[float], list[list[float]], float]:
+        rows = moved(moves, [v]).withColumns({"r": projected(F.col("x0")), "free": F.col("x0") > min_rate})
         weight = F.when(F.col("free"), F.col("tokens") / F.col("s")).otherwise(0.0)
-        part = F.when(F.col("free"), F.col("r") * F.col("r") / 2).otherwise(
-            F.lit(min_rate) * F.col("x") - min_rate * min_rate / 2)
         got = whole_sums(rows, [F.col("r") * F.col("tokens") * p for p in posts] + [
-            weight * posts[d] * posts[e] for d, e in pairs] + [
-            F.col("tokens") * F.col("s") * part, F.when(F.col("x") >= LARGEST, 1.0).otherwise(0.0)])
+            weight * posts[d] * posts[e] for d, e in pairs] + parts(F.col("x0")))
         if any(x is None for x in got) or got[-1] > 0:
             return [math.inf] * k, [[0.0] * k] * k, math.inf
         gram = [[0.0] * k for _ in range(k)]
@@ -260,7 +301,12 @@ def fit_rates(soft: DataFrame, target: list[float], min_rate: float = 0.0,
             gram[d][e] = gram[e][d] = x / total
         return [x / total for x in got[:k]], gram, got[-2] / total
 
-    moves, totals = descend(evaluate, [t / total for t in target], steps)
+    def values(moves: list[list[float]], vs: list[list[float]]) -> list[float]:
+        got = whole_sums(moved(moves, vs), [c for i in range(len(vs)) for c in parts(F.col(f"x{i}"))])
+        return [math.inf if x is None or large is None or large > 0 else x / total
+                for x, large in zip(got[::2], got[1::2], strict=True)]
+
+    moves, totals = descend(evaluate, [t / total for t in target], steps, values)
     return _rate(start, moves, scaled, min_rate), [x * total for x in totals]
 
 
@@ -307,13 +353,12 @@ def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     model = fit(docs, labelled, id_col, text_col, domain_col)
     k = len(model.domains)
     rows = with_uid(packed(docs)).withColumn("_w", _words(F.col(f"_row.`{text_col}`")))
-    hits = model.hits(F.col("_w"))
-    rows = rows.select("_row", "_uid", F.size("_w").cast("double").alias("tokens"),
-                       *[h.alias(f"h{d}") for d, h in enumerate(hits)])
+    rows = rows.select("_row", "_uid", F.size("_w").cast("double").alias("tokens"), model.known(F.col("_w")).alias("_known"))
+    rows = rows.select("_row", "_uid", "tokens", *[h.alias(f"h{d}") for d, h in enumerate(model.hits(F.col("_known")))])
     posts = model.posteriors([F.col(f"h{d}") for d in range(k)])
     rows = materialize(rows.select("_row", "_uid", "tokens", *[p.alias(f"p{d}") for d, p in enumerate(posts)]), "soft")
-    current = [x or 0.0 for x in whole_sums(rows, [F.col("tokens") * F.col(f"p{d}") for d in range(k)])]
-    rate, _ = fit_rates(rows, targets(current, model.domains, weights, temperature, keep_all), min_rate)
+    current = expected(rows, k)
+    rate, _ = fit_rates(rows, targets(current, model.domains, weights, temperature, keep_all), min_rate, current=current)
     most = F.greatest(*[F.col(f"p{d}") for d in range(k)]) if k > 1 else F.col("p0")
     name = reduce(lambda rest, d: F.when(F.col(f"p{d}") == F.col("posterior"), model.domains[d]).otherwise(rest),
                   range(k - 2, -1, -1), F.lit(model.domains[-1]))
