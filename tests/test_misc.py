@@ -237,7 +237,7 @@ def test_outcomes_leave_no_table_or_shuffle_behind(spark, monkeypatch, near):
                               "subreddit_id string, author string, score int, created_utc long, body string")
     s = spark.createDataFrame([(r[0], r[1], 1.0 + r[3] % 5, 2.0, r[3] / 9, 0.5) for r in rows if r[3] % 4],
                               "post_id string, comment_id string, politeness double, support double, toxicity double, attack double")
-    root = lineage.ensure_checkpoint_dir(spark)
+    root = lineage.ensure_checkpoint_dir(spark).removeprefix("file:")
     before = set(os.listdir(root))
     one = dyn.half_outcomes(c, s)
     left = set(os.listdir(root)) - before
